@@ -27,6 +27,12 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -42,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op7_html_extraction, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op7_html_extraction, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -129,3 +129,64 @@ def squeeze_sorted(values: np.ndarray) -> bytes:
 def unsqueeze_sorted(data: bytes, dtype=np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.cumsum(unsqueeze(data, dtype), dtype=dtype)
+
+
+def split_blocks(batches, columns: list[str], most: int = BLOCK_BYTES):
+    """Rows of Arrow batches as lists of columns, in blocks of about `most` text bytes; the last column is the text, as bytes."""
+    rows: list[list] = [[] for _ in columns]
+    size = 0
+    for b in batches:
+        values = [b.column(c).to_pylist() for c in columns[:-1]] + [texts_of(b.column(columns[-1]))]
+        for i, text in enumerate(values[-1]):
+            for into, column in zip(rows, values, strict=True):
+                into.append(column[i])
+            size += len(text) + 64
+            if size >= most:
+                yield rows
+                rows, size = [[] for _ in columns], 0
+    if rows[0]:
+        yield rows
+
+
+def runs(batches, key: str):
+    """Groups of rows with equal values of an integer column, from Arrow batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(key).to_numpy()
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        starts = [0, *cuts.tolist()]
+        for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
+            if held and keys[s] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = keys[s]
+            held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_shingles(texts: list[bytes], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, ascending: how many each has, and all of them one after the other."""
+    words = [ascii_lower(t).split() for t in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    flat = hashes.of([w for ws in words for w in ws])
+    del words
+    ends = np.cumsum(n)
+    owner = np.repeat(np.arange(len(texts)), n)
+    found = shingle_hashes(flat, width) if len(flat) >= width else flat[:0]
+    at = np.arange(len(found))
+    whole_run = at + width <= ends[owner[: len(found)]]
+    owner, found = owner[: len(found)][whole_run], found[whole_run]
+    short = np.flatnonzero((n > 0) & (n < width))
+    if len(short):
+        extra = np.concatenate([shingle_hashes(flat[ends[i] - n[i] : ends[i]], width) for i in short])
+        owner, found = np.concatenate([owner, short]), np.concatenate([found, extra])
+    order = np.lexsort((found, owner))
+    owner, found = owner[order], found[order]
+    if len(found):
+        new = np.r_[True, (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])]
+        owner, found = owner[new], found[new]
+    return np.bincount(owner, minlength=len(texts)), found
