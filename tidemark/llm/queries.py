@@ -33,6 +33,17 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+#: Mean log-ratio that a document must reach.
+QUALITY_THRESHOLD = -0.25
+
+
+def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_ratio import judge, log_ratios
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return judge(docs, log_ratios(docs, labels.filter("quality = 1")), QUALITY_THRESHOLD)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -48,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op7_html_extraction, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op7_html_extraction, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
