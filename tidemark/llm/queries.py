@@ -44,6 +44,13 @@ def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, log_ratios(docs, labels.filter("quality = 1")), QUALITY_THRESHOLD)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "n_items", F.round("overlap", 6).alias("overlap"), "item_ids")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -59,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op7_html_extraction, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op6_decontamination, op7_html_extraction, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
