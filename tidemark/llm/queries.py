@@ -44,6 +44,13 @@ def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, log_ratios(docs, labels.filter("quality = 1")), QUALITY_THRESHOLD)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode
+
+    coded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -66,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op6_decontamination, op7_html_extraction, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op5_bpe, op6_decontamination, op7_html_extraction, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
