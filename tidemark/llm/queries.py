@@ -64,6 +64,12 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op9_interpolation_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .interpolation_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score, training_labels
 
@@ -73,7 +79,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op5_bpe, op6_decontamination, op7_html_extraction, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op5_bpe, op6_decontamination, op7_html_extraction, op9_interpolation_lm, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
