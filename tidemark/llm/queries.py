@@ -52,10 +52,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, one row for each benchmark item found in them."""
     from .decontaminate import contaminated
 
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "contaminated", "n_items", F.round("overlap", 6).alias("overlap"), "item_ids")
+    return found.filter("contaminated").select("doc_id", F.explode("item_ids").alias("item_id"), F.round("overlap", 6).alias("overlap"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,14 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated passages, one row for each document and span of words."""
+    from .substring_dedup import repeated_passages
+
+    found = repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), F.col("s.first_id").alias("first_doc_id"), F.col("s.exact").alias("exact"))
+
+
 def op9_interpolation_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .interpolation_lm import score
 
@@ -79,7 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op5_bpe, op6_decontamination, op7_html_extraction, op9_interpolation_lm, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op5_bpe, op6_decontamination, op7_html_extraction, op8_substring_dedup, op9_interpolation_lm, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
