@@ -15,11 +15,8 @@ def normalise_mapping(raw: DataFrame) -> DataFrame:
 
     An object may name its fields in several ways; a key that is a number is an id, else the value must be one. Others go.
     """
-    names = "ItemID string, item_id string, id string, StockCode string, stock_code string, stockCode string, Description string, description string"
-    fields = F.from_json("value", names, {"caseSensitive": "true"})
     whole = r"^\s*[+-]?\d+\s*$"
     rows = raw.select("key", "value", F.get_json_object("value", "$.ItemID").alias("a"), F.get_json_object("value", "$.item_id").alias("b"), F.get_json_object("value", "$.id").alias("c"), F.coalesce(*[F.get_json_object("value", f"$.{n}") for n in ("StockCode", "stock_code", "stockCode")]).alias("code"), F.coalesce(F.get_json_object("value", "$.Description"), F.get_json_object("value", "$.description"), F.lit("")).alias("text"), F.trim("value").startswith("{").alias("object"))
-    del fields
     key_id, value_id = F.when(F.col("key").rlike(whole), F.trim("key")), F.when(F.col("value").rlike(whole), F.trim("value"))
     item = F.when(F.col("object"), F.coalesce("a", "b", key_id, "c")).otherwise(F.coalesce(key_id, value_id)).try_cast("int")
     code = F.when(F.col("object"), F.coalesce("code", "key")).when(key_id.isNotNull(), F.col("value")).otherwise(F.col("key"))

@@ -62,17 +62,18 @@ def mine(tx_item: DataFrame, tx: DataFrame, ratio: float, prune: bool = True, ma
     frontier = frontier.select("window_key", F.array("i.item_id").alias("items"), F.col("i.util").alias("used"), later(F.col("x"), F.col("at")).alias("rest"))
     found, level = [], 1
     while True:
-        frontier = checkpoint(frontier.withColumn("left", F.aggregate("rest", F.lit(0).cast("long"), lambda a, r: a + r["util"])))
-        sums = frontier.groupBy("window_key", "items").agg(F.sum("used").alias("utility"), F.sum(F.col("used") + F.when(F.size("rest") > 0, F.col("left")).otherwise(0)).alias("bound"))
-        sums = checkpoint(sums.join(limits, "window_key"))
+        frontier = checkpoint(frontier)
+        if level > 1 and frontier.isEmpty():
+            break
+        # Sums are worked out again from the written frontier when the patterns are read, which is cheaper than to keep them.
+        left = F.aggregate("rest", F.lit(0).cast("long"), lambda a, r: a + r["util"])
+        sums = frontier.groupBy("window_key", "items").agg(F.sum("used").alias("utility"), F.sum(F.col("used") + left).alias("bound")).join(limits, "window_key")
         found.append(sums.filter("utility >= min_util").select("window_key", "items", "utility"))
         if level == max_len:
             break
-        open_prefixes = sums.filter("bound >= min_util").select("window_key", "items")
-        grown = frontier.filter(F.size("rest") > 0).join(open_prefixes, ["window_key", "items"], "left_semi").select("window_key", "items", "used", "rest", F.posexplode("rest").alias("at", "i"))
+        grown = frontier.filter(F.size("rest") > 0).join(sums.filter("bound >= min_util").select("window_key", "items"), ["window_key", "items"], "left_semi")
+        grown = grown.select("window_key", "items", "used", "rest", F.posexplode("rest").alias("at", "i"))
         frontier = grown.select("window_key", F.concat("items", F.array("i.item_id")).alias("items"), (F.col("used") + F.col("i.util")).alias("used"), later(F.col("rest"), F.col("at")).alias("rest"))
-        if grown.isEmpty():
-            break
         level += 1
     return reduce(DataFrame.unionByName, found).withColumn("pattern_key", pattern_key(F.col("items")))
 
