@@ -170,7 +170,7 @@ def global_pass(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame, score
     leaking = definitions.join(totals.filter(F.col("utility") >= threshold), "pattern_key", "left_semi")
     patterns = [(r.pattern_key, list(r["items"])) for r in leaking.select("pattern_key", "items").collect()]  # selected patterns, few
     known = {r.item_id: r.score for r in scores.select("item_id", "score").collect()}
-    return _payload(leaking, tx_item, tx).groupBy(F.lit(1)).applyInPandas(_global(patterns, threshold, known, beta, gamma), MODIFICATION)
+    return _payload(leaking, tx_item, tx).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_global(patterns, threshold, known, beta, gamma), MODIFICATION)
 
 
 def sanitize(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame, scores: DataFrame, local_ratio: float, global_ratio: float, beta: float = 0.25, gamma: float = 0.75):
