@@ -128,7 +128,7 @@ def main_text(page: str | None) -> str:
         return ""
     found = lines(page)
     if any(x[3] and not x[2] for x in found):  # an article element bounds the text: what stands outside it weighs nothing
-        found = [(t, w if inside else 0, o or not inside, inside) for t, w, o, inside in found]
+        found = [(t, len(t) if inside and not o else 0, o or not inside, inside) for t, w, o, inside in found]
     n = len(found)
     weights = [x[1] for x in found]
     blocks = [sum(weights[i : i + WINDOW]) for i in range(n)]
@@ -138,12 +138,14 @@ def main_text(page: str | None) -> str:
         if start is None:
             if i < n and weights[i] and blocks[i] >= SURGE:
                 start, empty = i, 0
-        elif i == n or found[i][2] or not weights[i]:
+        elif i == n or not found[i][3] and (found[i][2] or not weights[i]):
             empty += 1
             if i == n or empty >= DIVE and not blocks[i]:
-                weight = sum(weights[start:i])
+                weight, end = sum(weights[start:i]), i
+                while not weights[end - 1]:  # what follows the last line with weight is no part of it
+                    end -= 1
                 if weight > best_weight:
-                    best, best_weight = (start, i), weight
+                    best, best_weight = (start, end), weight
                 start = None
         else:
             empty = 0

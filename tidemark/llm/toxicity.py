@@ -131,11 +131,11 @@ def train_rows(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
     return docs.select(F.col(id).alias("__id"), whole(text).alias("text")).join(F.broadcast(chosen), "__id").select("text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", most: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS, minimum: int = 4) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", most: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS, minimum: int = 6) -> Lexicon:
     """Learn the lexicon and the curve.
 
-    An entry must occur in at least `minimum` toxic training documents and be, by smoothed log-odds with a margin of two
-    standard errors, at least e^2 times as likely in toxic ones. With no labelled row of either kind the lexicon is empty and
+    An entry must occur in at least `minimum` toxic training documents and be, by smoothed log-odds with a margin of one
+    standard error, at least e^2 times as likely in toxic ones. With no labelled row of either kind the lexicon is empty and
     every score is low.
     """
     rows = train_rows(docs, labels, id, text, most)
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     counts = rows.mapInArrow(_terms, "term string, label int").groupBy("term").agg(F.sum("label").alias("toxic"), F.count("*").alias("all"))
     pos, neg = F.col("toxic") + 0.5, F.col("all") - F.col("toxic") + 0.5
     odds = F.log(pos / (n1 + 1.0)) - F.log(neg / (n0 + 1.0))
-    low = odds - 2.0 * F.sqrt(1.0 / pos + 1.0 / neg)
+    low = odds - F.sqrt(1.0 / pos + 1.0 / neg)
     best = counts.filter(F.col("toxic") >= minimum).select("term", odds.alias("weight"), low.alias("low"), "toxic").filter("low >= 2.0").orderBy(F.desc("toxic"), "term").limit(ENTRIES)
     lexicon = Lexicon({r.term: float(r.weight) for r in best.collect()}, exceptions)  # at most ENTRIES rows
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
