@@ -12,8 +12,15 @@ from tidemark.llm import interpolation_lm as lm
 
 
 def documents(spark, n=60):
+    """Texts in which a word mostly follows from the one before it."""
     rng = random.Random(4)
-    texts = [" ".join(rng.choice(["The", "cat", "sat", "on", "a", "mat", f"x{rng.randrange(200)}"]) for _ in range(rng.randint(0, 60))) for _ in range(n)]
+    follows = {"The": "cat", "cat": "sat", "sat": "on", "on": "a", "a": "mat", "mat": "The"}
+    texts: list[str | None] = []
+    for _ in range(n):
+        words = ["The"] * rng.randint(0, 1)
+        for _ in range(rng.randint(0, 60)):
+            words.append(follows.get(words[-1], "The") if words and rng.random() < 0.8 else rng.choice([*follows, f"x{rng.randrange(200)}"]))
+        texts.append(" ".join(words))
     texts[0] = None
     return texts, spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
 

@@ -176,7 +176,7 @@ def expectation_maximisation(cells: np.ndarray, counts: np.ndarray, uniform: flo
     for _ in range(rounds):
         share = parts * weights[bucket]
         share *= (counts / np.maximum(share.sum(1), 1e-300))[:, None]
-        total = np.stack([np.bincount(bucket, weights=share[:, k], minlength=CONTEXTS) for k in range(3)], 1)
+        total = np.stack([np.bincount(bucket, weights=share[:, k], minlength=CONTEXTS) for k in range(3)], 1).astype(np.float64)
         total += 0.1 * weights  # keeps the weights of buckets without counts, and none quite at 0
         weights = total / total.sum(1, keepdims=True)
     return weights
