@@ -280,48 +280,82 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     return found.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def _link(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Component of every node of the groups."""
+def _few(df: DataFrame, count: int) -> DataFrame:
+    """For broadcasting where it is small enough, else for a join that shuffles."""
+    return F.broadcast(df) if count <= BROADCAST_NODES else df
+
+
+def _verified(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Exact verdicts for edges (a, b). The set of each b travels once to its a; an a with many has its set copied to parts of them."""
+    sizes = edges.groupBy("a").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    dealt = materialise(edges.select("a", "b").join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "jaccard-edges")
+    count = dealt.count()
+    full = nodes.select("node", "hashes")
+    members = full.join(_few(dealt, count), full.node == dealt.b).select("a", "part", "b", F.col("hashes").alias("hashes_b"))
+    centres = dealt.select(F.col("a").alias("centre"), "part").distinct()
+    centres = full.join(_few(centres, count), full.node == centres.centre).select(F.col("centre").alias("a"), "part", F.col("hashes").alias("hashes_a"))
+    return materialise(members.join(centres, ["a", "part"]).select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify(percent), "a long, b long, linked boolean"), "jaccard-verified")
+
+
+def _star(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """For each node the most promising of its groups' centres, a centre being a group's smallest node."""
     bits = nodes.select("node", "n", "bits")
 
     def side(x: str) -> DataFrame:
         return bits.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
 
-    def verified(edges: DataFrame) -> DataFrame:
-        full = [nodes.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab"]
-        return materialise(edges.select("a", "b").join(full[0], "a").join(full[1], "b").mapInArrow(_verify(percent), "a long, b long, linked boolean"), "jaccard-verified")
-
     centre = groups.groupBy("gid").agg(F.min("node").alias("a"))
     star = groups.join(centre, "gid").filter("node != a").select("a", F.col("node").alias("b")).distinct()
     star = star.join(side("a"), "a").join(side("b"), "b").filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    star = star.mapInArrow(_approve(percent), "a long, b long, bound long")
-    tried = verified(star.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a")))
-    accepted, rejected = tried.filter("linked").select("a", "b"), tried.filter("not linked").select("a", "b")
-    each = 1
+    return star.mapInArrow(_approve(percent), "a long, b long, bound long").groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
+
+
+def _open_pairs(groups: DataFrame, comp: DataFrame, rejected: DataFrame, nodes: DataFrame, percent: int, each: int) -> DataFrame:
+    """Pairs of nodes that share a group, are in different components, may link by their bitmaps, and are not rejected yet."""
+    labelled = groups.join(comp, "node")
+    mixed = labelled.groupBy("gid").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("gid")
+    open_groups = materialise(labelled.join(mixed, "gid", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent)) + 1e-9)), "jaccard-open")
+    parts = open_groups.groupBy("gid", "band").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    above = parts.select("gid", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
+    below = parts.select("gid", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
+    dealt = open_groups.join(parts.join(above, ["gid", "band"], "left").join(below, ["gid", "band"], "left"), ["gid", "band"])
+    # Part p of a band meets the parts from p on of its own band, and all parts of the bands beside it.
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    def tile(b1, p1, b2, p2, side):
+        return F.struct(b1.alias("b1"), p1.alias("p1"), b2.alias("b2"), p2.alias("p2"), side.alias("side"))
+
+    band, part = F.col("band"), F.col("part")
+    own = F.transform(upto("parts"), lambda q: tile(band, F.least(part, q), band, F.greatest(part, q), F.when(part == q, 2).when(part < q, 0).otherwise(1)))
+    up = F.when(F.col("above").isNotNull(), F.transform(upto("above"), lambda q: tile(band, part, band + 1, q, F.lit(0))))
+    down = F.when(F.col("below").isNotNull(), F.transform(upto("below"), lambda q: tile(band - 1, q, band, part, F.lit(1))))
+    cells = dealt.select("gid", "node", "n", "comp", F.explode(F.concat(own, F.coalesce(up, F.array()), F.coalesce(down, F.array()))).alias("t"))
+    cells = cells.select(F.xxhash64("gid", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side", "node", "n", "comp")
+    wanted = open_groups.select("node").distinct()
+    bits = nodes.select("node", "bits").join(_few(wanted, wanted.count()), "node", "left_semi")
+    refused = rejected.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
+    cells = cells.join(bits, "node").join(refused, "node", "left")
+    tiles = cells.repartition(partitions(nodes.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent, each), "a long, b long, bound long")
+    return tiles.select("a", "b").distinct()
+
+
+def _link(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Component of every node of the groups."""
+    tried = _verified(_star(groups, nodes, percent), nodes, percent)
+    rejected = tried.filter("not linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = components(tried.filter("linked"))
+    comp = materialise(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "jaccard-labels")
+    each = 4
     while True:
-        found = components(accepted)
-        comp = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-        open_groups = groups.join(comp, "node")
-        mixed = open_groups.groupBy("gid").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("gid")
-        open_groups = open_groups.join(mixed, "gid", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent)) + 1e-9))
-        parts = open_groups.groupBy("gid", "band").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-        above = parts.select("gid", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
-        below = parts.select("gid", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-        dealt = open_groups.join(parts.join(above, ["gid", "band"], "left").join(below, ["gid", "band"], "left"), ["gid", "band"])
-        # Part p of a band meets the parts from p on of its own band, and all parts of the bands beside it.
-        part = F.pmod(F.xxhash64("node"), F.col("parts"))
-        dealt = dealt.withColumn("part", part)
-        own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.struct(F.col("band").alias("b1"), F.least("part", q).alias("p1"), F.col("band").alias("b2"), F.greatest("part", q).alias("p2"), F.when(F.col("part") == q, 2).when(F.col("part") < q, 0).otherwise(1).alias("side")))
-        up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("above") - 1), lambda q: F.struct(F.col("band").alias("b1"), F.col("part").alias("p1"), (F.col("band") + 1).alias("b2"), q.alias("p2"), F.lit(0).alias("side"))))
-        down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("below") - 1), lambda q: F.struct((F.col("band") - 1).alias("b1"), q.alias("p1"), F.col("band").alias("b2"), F.col("part").alias("p2"), F.lit(1).alias("side"))))
-        refused = rejected.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
-        cells = dealt.select("gid", "node", "n", "comp", F.explode(F.concat(own, F.coalesce(up, F.array()), F.coalesce(down, F.array()))).alias("t"))
-        cells = cells.select(F.xxhash64("gid", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side", "node", "n", "comp")
-        cells = cells.join(nodes.select("node", "bits"), "node").join(refused, "node", "left")
-        tiles = cells.repartition(partitions(nodes.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent, each), "a long, b long, bound long")
-        tried = verified(tiles.select("a", "b").distinct())
+        tried = _verified(_open_pairs(groups, comp, rejected, nodes, percent, each), nodes, percent)
         if tried.isEmpty():
             return comp
-        accepted = accepted.union(tried.filter("linked").select("a", "b"))
         rejected = rejected.union(tried.filter("not linked").select("a", "b"))
-        each *= 4
+        linked = tried.filter("linked")
+        if not linked.isEmpty():  # components of components
+            ends = [comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+            joined = components(linked.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            merged = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            comp = materialise(comp.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "jaccard-labels")
+        each *= 8
