@@ -200,7 +200,9 @@ def _verify(percent: int):
 
 
 def _tiles(percent: int, each: int):
-    """Compare the two sides of each tile; for each pair of components, the `each` most promising pairs not yet rejected."""
+    """Compare the two sides of each tile; for each pair of components, the `each` most promising pairs not yet rejected.
+
+    A tile in which there were more is marked by a row without a, so that it is looked at again when these are verified."""
 
     def run(batches):
         for t in runs(batches, "tile"):
@@ -231,8 +233,10 @@ def _tiles(percent: int, each: int):
                 continue
             start = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
             rank = np.arange(len(i)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-            i, j = i[rank < each], j[rank < each]
-            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array((1e6 * score[order][rank < each]).astype(np.int64))], ["a", "b", "bound"])
+            tile, a, b = t.column("tile")[0].as_py(), node[i[rank < each]].tolist(), node[j[rank < each]].tolist()
+            if (rank >= each).any():
+                a, b = [*a, None], [*b, None]
+            yield pa.RecordBatch.from_arrays([pa.array([tile] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["tile", "a", "b"])
 
     return run
 
@@ -310,8 +314,8 @@ def _star(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return star.mapInArrow(_approve(percent), "a long, b long, bound long").groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
 
 
-def _open_pairs(groups: DataFrame, comp: DataFrame, rejected: DataFrame, nodes: DataFrame, percent: int, each: int) -> DataFrame:
-    """Pairs of nodes that share a group, are in different components, may link by their bitmaps, and are not rejected yet."""
+def _cells(groups: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """tile, side, node, n of the groups whose nodes are in different components: nodes of like size, at most TILE on a side."""
     labelled = groups.join(comp, "node")
     mixed = labelled.groupBy("gid").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("gid")
     open_groups = materialise(labelled.join(mixed, "gid", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent)) + 1e-9)), "jaccard-open")
@@ -330,14 +334,19 @@ def _open_pairs(groups: DataFrame, comp: DataFrame, rejected: DataFrame, nodes:
     own = F.transform(upto("parts"), lambda q: tile(band, F.least(part, q), band, F.greatest(part, q), F.when(part == q, 2).when(part < q, 0).otherwise(1)))
     up = F.when(F.col("above").isNotNull(), F.transform(upto("above"), lambda q: tile(band, part, band + 1, q, F.lit(0))))
     down = F.when(F.col("below").isNotNull(), F.transform(upto("below"), lambda q: tile(band - 1, q, band, part, F.lit(1))))
-    cells = dealt.select("gid", "node", "n", "comp", F.explode(F.concat(own, F.coalesce(up, F.array()), F.coalesce(down, F.array()))).alias("t"))
-    cells = cells.select(F.xxhash64("gid", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side", "node", "n", "comp")
-    wanted = open_groups.select("node").distinct()
-    bits = nodes.select("node", "bits").join(_few(wanted, wanted.count()), "node", "left_semi")
+    cells = dealt.select("gid", "node", "n", F.explode(F.concat(own, F.coalesce(up, F.array()), F.coalesce(down, F.array()))).alias("t"))
+    cells = cells.select(F.xxhash64("gid", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side", "node", "n")
+    both = cells.groupBy("tile").agg((F.bool_or(F.col("side") != 1) & F.bool_or(F.col("side") != 0) & (F.count("*") > 1)).alias("both")).filter("both").select("tile")
+    return materialise(cells.join(both, "tile", "left_semi"), "jaccard-cells")
+
+
+def _compared(cells: DataFrame, comp: DataFrame, rejected: DataFrame, nodes: DataFrame, percent: int, each: int) -> DataFrame:
+    """tile, a, b: pairs of a tile's sides that are in different components, may link by their bitmaps, and are not rejected yet."""
+    wanted = cells.select("node").distinct()
+    bits = nodes.select("node", "bits").join(_few(wanted, wanted.count()), "node", "left_semi").join(comp, "node")
     refused = rejected.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
-    cells = cells.join(bits, "node").join(refused, "node", "left")
-    tiles = cells.repartition(partitions(nodes.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent, each), "a long, b long, bound long")
-    return tiles.select("a", "b").distinct()
+    rows = cells.join(bits.join(refused, "node", "left"), "node")
+    return materialise(rows.repartition(partitions(nodes.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent, each), "tile long, a long, b long"), "jaccard-pairs")
 
 
 def _link(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -346,11 +355,10 @@ def _link(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     rejected = tried.filter("not linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = components(tried.filter("linked"))
     comp = materialise(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "jaccard-labels")
-    each = 4
-    while True:
-        tried = _verified(_open_pairs(groups, comp, rejected, nodes, percent, each), nodes, percent)
-        if tried.isEmpty():
-            return comp
+    cells, each = _cells(groups, comp, percent), 16
+    while not cells.isEmpty():
+        pairs = _compared(cells, comp, rejected, nodes, percent, each)
+        tried = _verified(pairs.filter("a is not null").select("a", "b").distinct(), nodes, percent)
         rejected = rejected.union(tried.filter("not linked").select("a", "b"))
         linked = tried.filter("linked")
         if not linked.isEmpty():  # components of components
@@ -358,4 +366,10 @@ def _link(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             joined = components(linked.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
             merged = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
             comp = materialise(comp.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "jaccard-labels")
+        # A tile all of whose pairs were tried is done; so each round looks at fewer, and at more pairs of each.
+        again = pairs.filter("a is null").select("tile").distinct()
+        if again.isEmpty():
+            break
+        cells = materialise(cells.join(again, "tile", "left_semi"), "jaccard-cells")
         each *= 8
+    return comp
