@@ -59,7 +59,7 @@ STAGES = [
     ("BPE encoding and decoding", encoding),
 ]
 
-#: The miner of shingles, the learnt lexicon and the tokenizer cannot be said in SQL; tests compare the stages with plain Python.
+#: The learnt lexicon and the tokenizer cannot be said in SQL; a test holds the stages against what a small table must give.
 ORACLE_SQL = None
 
 
