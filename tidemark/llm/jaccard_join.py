@@ -27,12 +27,14 @@ COMMON = 1 << 17
 BROADCAST_NODES = 1_000_000
 #: Nodes of a tile.
 TILE = 512
+#: Text bytes of a block, small as the arrays over a block's words take some forty times as much.
+BLOCK = 2 << 20
 
 
 def _counts(width: int):
     def run(batches):
         hashes = WordHashes()
-        for (texts,) in split_blocks(batches, ["text"]):
+        for (texts,) in split_blocks(batches, ["text"], BLOCK):
             _, found = block_shingles(texts, hashes, width)
             values, n = np.unique(found, return_counts=True)
             many = n >= 3
@@ -64,7 +66,7 @@ def _nodes(n: np.ndarray, found: np.ndarray) -> np.ndarray:
 def _prefixes(width: int, percent: int, buckets: int, common):
     def run(batches):
         hashes, last = WordHashes(), common.value
-        for (texts,) in split_blocks(batches, ["text"]):
+        for (texts,) in split_blocks(batches, ["text"], BLOCK):
             n, found = block_shingles(texts, hashes, width)
             if not len(found):
                 continue
@@ -151,7 +153,7 @@ def _links(bound, na, nb, percent):
 def _sets(width: int):
     def run(batches):
         hashes = WordHashes()
-        for ids, texts in split_blocks(batches, ["id", "text"]):
+        for ids, texts in split_blocks(batches, ["id", "text"], BLOCK):
             n, found = block_shingles(texts, hashes, width)
             nodes, ends = _nodes(n, found), np.cumsum(n)
             for s in range(0, len(n), 500):
