@@ -277,9 +277,16 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     if needed.count() <= BROADCAST_NODES:
         needed = F.broadcast(needed)
     sets = rows.mapInArrow(_sets(width), "id long, node long, n long, hashes binary, bits binary").join(needed, "node", "left")
-    sets = materialise(sets.select("id", "node", "n", F.when(F.col("needed"), F.col("hashes")).alias("hashes"), F.when(F.col("needed"), F.col("bits")).alias("bits")), "jaccard-sets")
-    nodes = materialise(sets.filter(F.col("hashes").isNotNull()).select("node", "n", "hashes", "bits").dropDuplicates(["node"]), "jaccard-nodes")
-    labels = _link(groups, nodes, percent)
+    sets = materialise(sets.select("id", "node", "n", F.when(F.col("needed"), F.col("hashes")).alias("hashes"), F.when(F.col("needed"), F.col("bits")).alias("bits"), F.monotonically_increasing_id().alias("row")), "jaccard-sets")
+    # Of rows with equal sets one stands for the node; by its row number the others are left out of every join without a second
+    # table of sets.
+    kept = sets.filter(F.col("hashes").isNotNull())
+    chosen = materialise(kept.groupBy("node").agg(F.min("row").alias("row")), "jaccard-chosen")
+    groups = materialise(groups.join(_few(chosen, chosen.count()), "node").select("gid", F.col("row").alias("node"), "n"), "jaccard-groups")
+    nodes = kept.select(F.col("row").alias("node"), "n", "hashes", "bits")
+    found = _link(groups, nodes, chosen.select(F.col("row").alias("node")), percent)
+    names = chosen.select(F.col("row").alias("comp"), F.col("node").alias("comp_node"))
+    labels = found.withColumnRenamed("node", "row").join(chosen, "row").join(names, "comp").select("node", F.col("comp_node").alias("comp"))
     member = sets.select("id", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = member.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("least"))
     found = member.join(least, "comp", "left")
@@ -351,12 +358,12 @@ def _compared(cells: DataFrame, comp: DataFrame, rejected: DataFrame, nodes: Dat
     return materialise(rows.repartition(partitions(nodes.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent, each), "tile long, a long, b long"), "jaccard-pairs")
 
 
-def _link(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Component of every node of the groups."""
+def _link(groups: DataFrame, nodes: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """Component of every node that names lists; `nodes` may hold further rows, which no group refers to."""
     tried = _verified(_star(groups, nodes, percent), nodes, percent)
     rejected = tried.filter("not linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = components(tried.filter("linked"))
-    comp = materialise(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "jaccard-labels")
+    comp = materialise(names.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "jaccard-labels")
     cells, each = _cells(groups, comp, percent), 16
     while not cells.isEmpty():
         pairs = _compared(cells, comp, rejected, nodes, percent, each)
