@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes gathered by a task before it packs them as one block.
 BLOCK_BYTES = 8 << 20
+#: Rows of an Arrow batch that are turned to Python objects at a time.
+SLICE_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,7 +137,7 @@ def split_blocks(batches, columns: list[str], most: int = BLOCK_BYTES):
     """Rows of Arrow batches as lists of columns, in blocks of about `most` text bytes; the last column is the text, as bytes."""
     rows: list[list] = [[] for _ in columns]
     size = 0
-    for b in batches:
+    for b in (whole_batch.slice(at, SLICE_ROWS) for whole_batch in batches for at in range(0, whole_batch.num_rows, SLICE_ROWS)):
         values = [b.column(c).to_pylist() for c in columns[:-1]] + [texts_of(b.column(columns[-1]))]
         for i, text in enumerate(values[-1]):
             for into, column in zip(rows, values, strict=True):
