@@ -150,3 +150,49 @@ def test_compact_windows_hold_every_run():
         c = start + int(value[start : start + 10].argmin())
         k = int(np.flatnonzero(centre == c)[0])
         assert lo[k] <= start and start + 9 <= hi[k] and value[lo[k] : hi[k] + 1].min() == value[c]
+
+
+def near_starts(x, y, t, percent=75):
+    """By brute force, starts of the runs of x that are similar to a run of y; None stands outside the text."""
+    cut = lambda v: {s: set(v[s : s + t]) for s in range(len(v) - t + 1) if None not in v[s : s + t]}
+    a, b = cut(x), cut(y)
+    return {s for s, p in a.items() if any(100 * len(p & q) >= percent * len(p | q) for q in b.values())}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_similar_runs_like_brute_force(seed):
+    rng, t = random.Random(seed), 12
+    xs, ys = [], []
+    for k in range(60):
+        x = [rng.randrange(1, 10**6 if k % 3 else 40) for _ in range(2 * t - 1)]
+        y = list(x)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(y))
+            y[at:at] = [rng.randrange(1, 10**6)] * rng.randrange(3)
+            del y[at + 1 : at + 1 + rng.randrange(3)]
+        y = (y + [0] * len(x))[: len(x)]
+        xs.append(x)
+        ys.append(y)
+    got = substring_dedup._similar(np.array(xs, np.uint64), np.array(ys, np.uint64), t, 75)
+    for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        x, y = ([v or None for v in z] for z in (x, y))
+        for found, p, q in ((got[0][k], x, y), (got[1][k], y, x)):
+            want, found = near_starts(p, q, t), set(np.flatnonzero(found).tolist())
+            reach = {i for s in want for i in range(s, s + t) if p[i] in q}
+            assert found <= want and bool(found) == bool(want)
+            assert len(reach) < t or max(reach) - min(reach) + 1 < t or reach <= {i for s in found for i in range(s, s + t)}
+
+
+@pytest.mark.parametrize("edit", ["insert", "delete"])
+def test_near_passages_with_one_word_more_or_less(spark, edit):
+    rng = random.Random(8)
+    texts, cores = [], []
+    for k in range(30):
+        passage = [f"{k}-{i}" for i in range(60)]
+        changed = [*passage[:30], "other", *passage[30:]] if edit == "insert" else [*passage[:30], *passage[31:]]
+        fresh = lambda: [f"f{rng.random()}" for _ in range(60)]
+        texts += [" ".join(fresh() + passage + fresh()), " ".join(fresh() + changed + fresh())]
+        cores += [60, len(changed)]
+    got = {r.doc_id: {p for s in r.spans for p in range(s.start, s.end)} for r in substring_dedup.repeated_passages(frame(spark, texts)).collect()}
+    covered = [got[i] == set(range(60, 60 + n)) for i, n in enumerate(cores)]
+    assert sum(covered) >= 50  # by min-hashes

@@ -7,8 +7,8 @@ a passage share its centre under every function, and texts that nearly share it
 1.  The windows' centres are counted over all documents, by hash; only windows whose centre other documents have too go on.
 2.  Runs in such windows are joined by fingerprint: a run of T shingles that two documents have is an exact repeat, found without
     loss and without comparing pairs. Windows are also joined by centre, under several functions, with the shingles around the
-    centre; neighbours in the order of what stands left and right of it are verified, and are near repeats if a run of T
-    shingles around the centre is as similar as asked.
+    centre; neighbours in the order of what stands left and right of it are verified: every run of T shingles around the centre
+    that is as similar as asked to one of the neighbour, by their sets, is a near repeat.
 3.  The answers go back to the documents' blocks, where runs become spans of words.
 
 Joins are by hash, with one entry for each distinct key of a block; the work grows with the corpus, not with the square of how
@@ -51,15 +51,18 @@ class Sequences:
     """The shingles of those texts of a block that have at least T, one text after another."""
 
     def __init__(self, texts: list[bytes], hashes: WordHashes, t: int):
-        self.t, self.docs, parts, self.words = t, [], [], []
+        self.t, self.docs, parts, self.words, words_of = t, [], [], [], []
         for k, text in enumerate(texts):
             words = ascii_lower(text).split()
             self.words.append(len(words))
             if len(words) >= t + WIDTH - 1:
                 self.docs.append(k)
-                parts.append(shingle_hashes(hashes.of(words), WIDTH))
+                hashed = hashes.of(words)
+                parts.append(shingle_hashes(hashed, WIDTH))
+                words_of.append(np.maximum((hashed >> np.uint64(40)).astype(np.uint16), 1))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         self.seq = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.folded = np.concatenate(words_of) if parts else np.zeros(0, np.uint16)  # WIDTH - 1 more for each text than shingles
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
         self.owner = np.repeat(np.arange(len(parts)), sizes)  # place in docs
@@ -105,11 +108,11 @@ class Sequences:
         return out
 
     def context(self, centre: np.ndarray) -> np.ndarray:
-        """For each centre, T - 1 shingles on either side and itself, as nonzero bytes; 0 outside the text."""
-        at = centre[:, None] + np.arange(1 - self.t, self.t)[None, :]
-        inside = (at >= self.begins[self.owner[centre]][:, None]) & (at < self.ends[self.owner[centre]][:, None])
-        folded = (self.seq >> np.uint64(23)).astype(np.uint8)
-        return np.where(inside, np.maximum(folded[np.clip(at, 0, len(self.seq) - 1)], 1), 0).astype(np.uint8)
+        """For each centre, the words of T - 1 shingles on either side and of itself, as nonzero 16-bit hashes; 0 outside the text."""
+        owner, more = self.owner[centre], WIDTH - 1
+        at = (centre + more * owner)[:, None] + np.arange(1 - self.t, self.t + more)[None, :]
+        inside = (at >= (self.begins[owner] + more * owner)[:, None]) & (at < (self.ends[owner] + more * (owner + 1))[:, None])
+        return np.where(inside, self.folded[np.clip(at, 0, len(self.folded) - 1)], 0).astype(np.uint16)
 
 
 def _bucketed(keys: np.ndarray, buckets: int, first: int):
@@ -196,38 +199,118 @@ def _ask_runs(t: int, buckets: int):
     return run
 
 
-def _near(keys, ids, contexts, t: int, need: int):
-    """Links between windows of one centre that are neighbours by their surroundings: the run's offset and the first id, or none."""
-    first, offset = np.full(len(keys), np.iinfo(np.int64).max), np.zeros(len(keys), np.int64)
-    left, right = contexts[:, t - 2 :: -1], contexts[:, t:]
-    head = keys.astype(">u8").view(np.uint8).reshape(-1, 8)
+def _shingles(contexts: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of contexts, one context a row; 0 outside the text."""
+    n = contexts.shape[1] - WIDTH + 1
+    out, inside = np.zeros((len(contexts), n), np.uint64), np.ones((len(contexts), n), bool)
+    with np.errstate(over="ignore"):
+        for k in range(WIDTH):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + contexts[:, k : k + n])
+            inside &= contexts[:, k : k + n] > 0
+    return np.where(inside, np.maximum(out, 1), 0)
+
+
+def _repeating(shingles: np.ndarray) -> np.ndarray:
+    """Whether a row holds a shingle twice; 0 does not count."""
+    x = np.sort(shingles, axis=1)
+    return ((x[:, 1:] == x[:, :-1]) & (x[:, 1:] > 0)).any(axis=1)
+
+
+def _kept_runs(ok: np.ndarray, score: np.ndarray, held: np.ndarray, t: int) -> np.ndarray:
+    """Of the runs that are similar enough, by start, those within the first and last shingle that the other text has too; the best, if none is."""
+    n, at = ok.shape[1], np.arange(ok.shape[1])
+    lowest, highest = ok.argmax(1), n - 1 - ok[:, ::-1].argmax(1)
+    places = np.arange(held.shape[1])
+    inside = held & (places >= lowest[:, None]) & (places <= highest[:, None] + t - 1)
+    first, last = inside.argmax(1), held.shape[1] - 1 - inside[:, ::-1].argmax(1)
+    kept = ok & (at >= first[:, None]) & (at <= last[:, None] - t + 1)
+    none = np.flatnonzero(ok.any(1) & ~kept.any(1))
+    kept[none, score[none].argmax(1)] = True
+    return kept
+
+
+def _similar_sets(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """What _similar gives, for one pair of contexts in which shingles may occur more than once."""
+    _, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    n, size = len(x) - t + 1, int(at.max()) + 1
+    sets = np.zeros((2, n, size), np.float32)
+    for side, row in enumerate((at[: len(x)], at[len(x) :])):
+        for s in range(n):
+            sets[side, s, row[s : s + t]] = 1
+    whole_x, whole_y = (np.lib.stride_tricks.sliding_window_view(v > 0, t).all(axis=1) for v in (x, y))
+    common = sets[0] @ sets[1].T
+    union = sets[0].sum(1)[:, None] + sets[1].sum(1)[None, :] - common
+    ok = (100 * common >= percent * union) & whole_x[:, None] & whole_y[None, :]
+    score = np.where(ok, common / union, 0)
+    held_x, held_y = (x > 0) & np.isin(x, y), (y > 0) & np.isin(y, x)
+    return tuple(_kept_runs(o.any(1)[None], v.max(1)[None], h[None], t)[0] for o, v, h in ((ok, score, held_x), (ok.T, score.T, held_y)))
+
+
+def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of contexts, one pair a row: which runs of T shingles of x, by start, have a run of y whose set of shingles is
+    `percent` similar by Jaccard, and which of y have one of x, without foreign shingles at the ends."""
+    n, m = len(x), x.shape[1]
+    starts = m - t + 1
+    out = np.zeros((n, starts), bool), np.zeros((n, starts), bool)
+    slow = np.flatnonzero(_repeating(x) | _repeating(y))
+    for k in slow.tolist():
+        out[0][k], out[1][k] = _similar_sets(x[k], y[k], t, percent)
+    fast = np.ones(n, bool)
+    fast[slow] = False
+    need = -(-2 * percent * t // (100 + percent))
+    fast = np.flatnonzero(fast)
+    for s in range(0, len(fast), 256):
+        rows = fast[s : s + 256]
+        a, b = x[rows], y[rows]
+        same = (a[:, :, None] == b[:, None, :]) & (a > 0)[:, :, None]
+        some = np.flatnonzero(same.any(2).sum(1) >= need)
+        if not len(some):
+            continue
+        rows, a, b, same = rows[some], a[some], b[some], same[some]
+        held_a, held_b = same.any(2), same.any(1)
+        sums = np.zeros((len(rows), m + 1, m), np.int16)
+        np.cumsum(same, axis=1, dtype=np.int16, out=sums[:, 1:])
+        wide = np.zeros((len(rows), starts, m + 1), np.int16)
+        np.cumsum(sums[:, t:] - sums[:, :-t], axis=2, dtype=np.int16, out=wide[:, :, 1:])
+        common = wide[:, :, t:] - wide[:, :, :-t]
+        whole_a, whole_b = (np.lib.stride_tricks.sliding_window_view(v > 0, t, axis=1).all(axis=2) for v in (a, b))
+        common[~(whole_a[:, :, None] & whole_b[:, None, :])] = 0
+        for side, axis, held in ((0, 2, held_a), (1, 1, held_b)):
+            best = common.max(axis=axis)
+            out[side][rows] = _kept_runs(best >= need, best, held, t)
+    return out
+
+
+def _near(keys, ids, contexts, t: int, percent: int):
+    """For windows, by the start of the run, the first id of those that have a similar run: neighbours by their surroundings are compared."""
+    never = np.iinfo(np.int64).max
+    first = np.full((len(keys), t), never)
+    shingles = _shingles(contexts)
+    left, right = shingles[:, t - 2 :: -1], shingles[:, t:]
+    head = keys[:, None]
     for sides in ((left, right), (right, left)):
-        sort = np.ascontiguousarray(np.hstack([head, *sides]))
-        order = np.argsort(sort.view(f"V{sort.shape[1]}").ravel(), kind="stable")
+        sort = np.ascontiguousarray(np.hstack([head, *sides]).astype(">u8"))
+        order = np.argsort(sort.view(f"V{8 * sort.shape[1]}").ravel(), kind="stable")
         for s in range(0, len(order) - 1, 20_000):
             a, b = order[s : min(s + 20_000, len(order) - 1)], order[s + 1 : s + 20_001]
             same = np.flatnonzero((keys[a] == keys[b]) & (ids[a] != ids[b]))
             a, b = a[same], b[same]
-            if not len(a):
-                continue
-            x, y = contexts[a], contexts[b]
-            total = np.cumsum(np.pad((x == y) & (x > 0), ((0, 0), (1, 0))), axis=1, dtype=np.int32)
-            inside = np.cumsum(np.pad((x > 0) & (y > 0), ((0, 0), (1, 0))), axis=1, dtype=np.int32)
-            equal = np.where(inside[:, t:] - inside[:, :-t] == t, total[:, t:] - total[:, :-t], 0)
-            best = equal.argmax(1)
-            ok = equal[np.arange(len(a)), best] >= need
-            a, b, best = a[ok], b[ok], best[ok]
-            for p, q in ((a, b), (b, a)):
-                low = np.minimum(ids[p], ids[q])
-                better = low < first[p]
-                offset[p] = np.where(better, best - (t - 1), offset[p])
-                first[p] = np.minimum(first[p], low)
-    return first, offset
+            low = np.minimum(ids[a], ids[b])
+            for p, ok in zip((a, b), _similar(shingles[a], shingles[b], t, percent), strict=True):
+                first[p] = np.minimum(first[p], np.where(ok, low[:, None], never))
+    return first
+
+
+def _packed(first: np.ndarray, centres: np.ndarray, t: int) -> tuple[bytes, bytes, bytes]:
+    """Starts of runs as stretches of neighbouring places with one first id: place, length, first id."""
+    window, start = np.nonzero(first < np.iinfo(np.int64).max)
+    place, found = centres[window] + start - (t - 1), first[window, start]
+    new = np.flatnonzero(np.r_[True, (np.diff(place) != 1) | (np.diff(found) != 0)]) if len(place) else np.zeros(0, np.int64)
+    return squeeze(place[new]), squeeze(np.diff(np.r_[new, len(place)])), squeeze(found[new])
 
 
 def _answer_runs(t: int, buckets: int, percent: int):
     """Runs that several documents have, with the first of them: for fingerprints by place in the asking order, for centres by centre."""
-    need = -(-2 * percent * t // (100 + percent))
 
     def run(batches):
         for g in runs(batches, "bucket"):
@@ -248,15 +331,14 @@ def _answer_runs(t: int, buckets: int, percent: int):
             else:
                 keys = [np.frombuffer(x.as_py(), np.uint64) for x in g.column("keys")]
                 ids = np.concatenate([unsqueeze(x.as_py(), np.int64) for x in g.column("owners")])
-                contexts = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.uint8).reshape(-1, 2 * t - 1) for x in g.column("contexts")])
-                first, offset = _near(np.concatenate(keys), ids, contexts, t, need)
+                contexts = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.uint16).reshape(-1, 2 * t + WIDTH - 2) for x in g.column("contexts")])
+                first = _near(np.concatenate(keys), ids, contexts, t, percent)
                 start = 0
                 for block, sent, centres in zip(blocks, keys, g.column("centres").to_pylist(), strict=True):
-                    f, o = first[start : start + len(sent)], offset[start : start + len(sent)]
+                    places, lengths, firsts = _packed(first[start : start + len(sent)], unsqueeze(centres, np.int64), t)
                     start += len(sent)
-                    hit = f < np.iinfo(np.int64).max
-                    out.append((block, bucket, squeeze(unsqueeze(centres, np.int64)[hit] + o[hit]), squeeze(f[hit]), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)], ["block", "bucket", "places", "firsts", "near"])
+                    out.append((block, bucket, places, firsts, lengths))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "bucket", "places", "firsts", "lengths"])
 
     return run
 
@@ -280,7 +362,7 @@ def without(text: bytes, spans: list[dict], own: int) -> bytes:
 
 def _spans(t: int, buckets: int, cut: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        answers = {b: (p, f) for b, p, f in zip(right.column("bucket").to_pylist(), right.column("places").to_pylist(), right.column("firsts").to_pylist(), strict=True)}
+        answers = {b: x for b, *x in zip(*[right.column(c).to_pylist() for c in ("bucket", "places", "firsts", "lengths")], strict=True)}
         ids, rest, n_words, spans, texts = [], [], [], [], []
         for b in left.to_pylist():
             body = _texts(b["sizes"], b["texts"])
@@ -304,12 +386,14 @@ def _spans(t: int, buckets: int, cut: bool):
                 keys, at = np.unique(shared[places], return_inverse=True)
                 best = np.full(len(keys), np.iinfo(np.int64).max)
                 for bucket, p in _bucketed(keys, buckets, 0):
-                    hit, firsts = answers[bucket]
+                    hit, firsts, _ = answers[bucket]
                     best[p[unsqueeze(hit, np.int64)]] = unsqueeze(firsts, np.int64)
                 exact[places] = best[at]
-            for bucket, (hit, firsts) in answers.items():
+            for bucket, (hit, firsts, lengths) in answers.items():
                 if bucket >= buckets:
-                    np.minimum.at(near, unsqueeze(hit, np.int64), unsqueeze(firsts, np.int64))
+                    hit, lengths = unsqueeze(hit, np.int64), unsqueeze(lengths, np.int64)
+                    each = np.repeat(hit - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                    np.minimum.at(near, each, np.repeat(unsqueeze(firsts, np.int64), lengths))
             found: list[list] = [[] for _ in b["ids"]]
             starts = np.flatnonzero(np.minimum(exact, near) < np.iinfo(np.int64).max)
             for p in starts.tolist():
@@ -337,7 +421,8 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     earlier document has, and n_words and spans, which tell of the text before that.
 
     A span is a stretch of words [start, end) of at least `least` words that another document has too: word for word (exact), or
-    with a run of `least` words whose shingles are at least `percent` similar by Jaccard. first_id is the smallest id among the
+    with a run of `least` words whose sets of shingles are at least `percent` similar by Jaccard; every such run belongs to it,
+    without shingles at the ends that the other document does not have if a run is left. first_id is the smallest id among the
     documents found to have it, the document itself included. Words are runs without ASCII white space, A-Z lower-cased. Spans
     with different first ids may overlap. Exact repeats are all found; near ones with the likelihood that min-hashes give.
     Null texts count as empty; texts of fewer words have no spans. Rows with null ids take part as id -1; rows with equal ids are
@@ -354,7 +439,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     centres = blobs.select("block", "sizes", "texts").mapInArrow(_ask_centres(t, buckets), "bucket int, block long, keys binary, docs binary")
     shared = materialise(centres.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_centres, "block long, bucket int, shared binary"), "passages-centres")
     asked = blobs.drop("rest").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_runs(t, buckets), "bucket int, block long, keys binary, docs binary, firsts binary, owners binary, contexts binary, centres binary")
-    answers = asked.repartition(3 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_runs(t, buckets, percent), "block long, bucket int, places binary, firsts binary, near int")
+    answers = asked.repartition(3 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_runs(t, buckets, percent), "block long, bucket int, places binary, firsts binary, lengths binary")
     answers = materialise(answers, "passages-answers")
     exact = shared.filter(F.col("bucket") < buckets).groupBy("block").agg(F.collect_list(F.struct("bucket", "shared")).alias("shared"))
     with_shared = blobs.join(exact, "block", "left")
