@@ -196,3 +196,40 @@ def test_near_passages_with_one_word_more_or_less(spark, edit):
     got = {r.doc_id: {p for s in r.spans for p in range(s.start, s.end)} for r in substring_dedup.repeated_passages(frame(spark, texts)).collect()}
     covered = [got[i] == set(range(60, 60 + n)) for i, n in enumerate(cores)]
     assert sum(covered) >= 50  # by min-hashes
+
+
+@pytest.mark.parametrize("most", [7, 100_000])
+def test_every_pair_of_a_centre_is_tried(monkeypatch, most):
+    pairs = substring_dedup._pairs
+    monkeypatch.setattr(substring_dedup, "_pairs", lambda sizes: pairs(sizes, most))
+    rng, t = random.Random(4), 20
+    size = 2 * t + substring_dedup.WIDTH - 2
+    keys, ids, contexts = [], [], []
+    for key in range(2):
+        base = [rng.randrange(1, 2**16) for _ in range(size)]
+        for k in range(60):
+            x = [rng.randrange(1, 2**16) if abs(i - size // 2) > 16 else w for i, w in enumerate(base)]
+            if k % 10:
+                x[rng.randrange(size // 2 - 16, size // 2 + 17)] = rng.randrange(1, 2**16)
+            if k % 12 == 5:
+                x = ([1, 1, 2] * size)[:8] + x[8:]
+            contexts.append(x if k % 7 else [0] * 6 + x[6:])
+            keys.append(key)
+            ids.append(k // 2 + 100)
+    docs = np.arange(len(ids))
+    order = list(range(len(ids)))
+    rng.shuffle(order)
+    pick = lambda v, kind: np.array([v[i] for i in order], kind)
+    keys, ids, contexts = pick(keys, np.uint64), pick(ids, np.int64), pick(contexts, np.uint16)
+    got = substring_dedup._near(keys, ids, docs, contexts, t, 75)
+    shingles = [[v or None for v in row] for row in substring_dedup._shingles(contexts).tolist()]
+    never = np.iinfo(np.int64).max
+    for i, x in enumerate(shingles):
+        want = {}
+        for j, y in enumerate(shingles):
+            if i != j and keys[i] == keys[j]:
+                for s in near_starts(x, y, t):
+                    want[s] = min(want.get(s, ids[i]), ids[j])
+        found = {s: v for s, v in enumerate(got[i].tolist()) if v < never}
+        assert bool(found) == bool(want) and all(s in want and v >= want[s] for s, v in found.items())
+        assert not found or min(found.values()) == min(want.values())

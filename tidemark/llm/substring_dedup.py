@@ -7,12 +7,12 @@ a passage share its centre under every function, and texts that nearly share it
 1.  The windows' centres are counted over all documents, by hash; only windows whose centre other documents have too go on.
 2.  Runs in such windows are joined by fingerprint: a run of T shingles that two documents have is an exact repeat, found without
     loss and without comparing pairs. Windows are also joined by centre, under several functions, with the shingles around the
-    centre; neighbours in the order of what stands left and right of it are verified: every run of T shingles around the centre
-    that is as similar as asked to one of the neighbour, by their sets, is a near repeat.
+    centre; all pairs whose surroundings differ in what others have too are verified: every run of T shingles around the centre
+    that is as similar as asked to one of the other window, by their sets, is a near repeat.
 3.  The answers go back to the documents' blocks, where runs become spans of words.
 
-Joins are by hash, with one entry for each distinct key of a block; the work grows with the corpus, not with the square of how
-often a passage occurs.
+Joins are by hash. Windows of a centre whose surroundings agree, but for shingles that nobody else has, are compared as one; so
+pairs grow with the square of how many variants of a passage there are, not of how often it occurs.
 """
 
 from __future__ import annotations
@@ -187,7 +187,7 @@ def _ask_runs(t: int, buckets: int):
                     runs_of = np.unique(np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                 key = s.seq[centre]
                 for bucket, p in _bucketed(key, buckets, (1 + f) * buckets):
-                    rows.append((bucket, b["block"], key[p].tobytes(), None, None, squeeze(ids[s.owner[centre[p]]]), zstandard.compress(s.context(centre[p]).tobytes(), 1), squeeze(centre[p])))
+                    rows.append((bucket, b["block"], key[p].tobytes(), squeeze(s.owner[centre[p]]), None, squeeze(ids[s.owner[centre[p]]]), zstandard.compress(s.context(centre[p]).tobytes(), 1), squeeze(centre[p])))
             if len(runs_of):
                 prints, owner = s.fingerprints()[runs_of], s.owner[runs_of]
                 keys, docs, at = _distinct(prints, owner)
@@ -246,13 +246,14 @@ def _similar_sets(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> tuple[n
     return tuple(_kept_runs(o.any(1)[None], v.max(1)[None], h[None], t)[0] for o, v, h in ((ok, score, held_x), (ok.T, score.T, held_y)))
 
 
-def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of contexts, one pair a row: which runs of T shingles of x, by start, have a run of y whose set of shingles is
-    `percent` similar by Jaccard, and which of y have one of x, without foreign shingles at the ends."""
+    `percent` similar by Jaccard, and which of y have one of x, without foreign shingles at the ends. `repeating` names the pairs
+    in which a context may hold a shingle twice, if that is known."""
     n, m = len(x), x.shape[1]
     starts = m - t + 1
     out = np.zeros((n, starts), bool), np.zeros((n, starts), bool)
-    slow = np.flatnonzero(_repeating(x) | _repeating(y))
+    slow = np.flatnonzero(_repeating(x) | _repeating(y) if repeating is None else repeating)
     for k in slow.tolist():
         out[0][k], out[1][k] = _similar_sets(x[k], y[k], t, percent)
     fast = np.ones(n, bool)
@@ -281,24 +282,88 @@ def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> tuple[np.nda
     return out
 
 
-def _near(keys, ids, contexts, t: int, percent: int):
-    """For windows, by the start of the run, the first id of those that have a similar run: neighbours by their surroundings are compared."""
-    never = np.iinfo(np.int64).max
-    first = np.full((len(keys), t), never)
+def _labels(keys: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles as numbers from 3 on, 0 outside the text; the same with 1 for those that no other window of the centre has, as
+    they agree with nothing; and for each window a hash of these and of its centre. Rows that hold a shingle twice keep all."""
+    _, at = np.unique(np.where(shingles > 0, mix(shingles ^ mix(keys)[:, None]), 0), return_inverse=True)
+    at = at.reshape(shingles.shape).astype(np.int32)
+    ordered = np.sort(at, axis=1)
+    once = np.ones(at.shape, bool)
+    once[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    windows_of = np.bincount(ordered[once])
+    numbers = np.where(shingles == 0, 0, at + 3).astype(np.int32)
+    shared = np.where((numbers > 0) & (windows_of[at] == 1) & ~_repeating(shingles)[:, None], 1, numbers)
+    prints = mix(keys)
+    with np.errstate(over="ignore"):
+        for k in range(shared.shape[1]):
+            prints = mix(prints + shared[:, k].astype(np.uint64))
+    return numbers, shared, prints
+
+
+def _signatures(labels: np.ndarray) -> np.ndarray:
+    """A bitmap of 256 bits for each row, of its labels from 2 on."""
+    bits = np.zeros((len(labels), 256), bool)
+    row, at = np.nonzero(labels > 1)
+    bits[row, (mix(labels[row, at].astype(np.uint64)) >> np.uint64(56)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _pairs(sizes: np.ndarray, most: int = 100_000):
+    """All pairs (also of one with itself) within groups of neighbouring rows, a bounded number at a time."""
+    starts = np.cumsum(sizes) - sizes
+    last = np.repeat(starts + sizes, sizes)
+    for first in _chunks(last - np.arange(len(last)), most):
+        each = last[first] - first
+        for lo in range(0, int(each.max()), most):  # one row with very many partners is dealt in parts
+            count = np.clip(each - lo, 0, most)
+            a = np.repeat(first, count)
+            yield a, a + lo + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _chunks(weights: np.ndarray, most: int):
+    """Places in order, in parts whose weights add up to about `most`."""
+    part = (np.cumsum(weights) - weights) // most
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    yield from np.split(np.arange(len(weights)), cuts) if len(weights) else []
+
+
+def _near(keys, ids, docs, contexts, t: int, percent: int):
+    """For windows, by the start of the run, the first id of the documents that have a similar run there, or none.
+
+    Windows whose surroundings agree, but for shingles that no other window of the centre has, are one; all pairs of these are
+    tried that have shingles enough in common."""
+    never, need = np.iinfo(np.int64).max, -(-2 * percent * t // (100 + percent))
     shingles = _shingles(contexts)
-    left, right = shingles[:, t - 2 :: -1], shingles[:, t:]
-    head = keys[:, None]
-    for sides in ((left, right), (right, left)):
-        sort = np.ascontiguousarray(np.hstack([head, *sides]).astype(">u8"))
-        order = np.argsort(sort.view(f"V{8 * sort.shape[1]}").ravel(), kind="stable")
-        for s in range(0, len(order) - 1, 20_000):
-            a, b = order[s : min(s + 20_000, len(order) - 1)], order[s + 1 : s + 20_001]
-            same = np.flatnonzero((keys[a] == keys[b]) & (ids[a] != ids[b]))
-            a, b = a[same], b[same]
-            low = np.minimum(ids[a], ids[b])
-            for p, ok in zip((a, b), _similar(shingles[a], shingles[b], t, percent), strict=True):
-                first[p] = np.minimum(first[p], np.where(ok, low[:, None], never))
-    return first
+    numbers, labels, prints = _labels(keys, shingles)
+    order = np.lexsort((docs, prints, keys))
+    new = np.flatnonzero(np.r_[True, (np.diff(keys[order]) != 0) | (np.diff(prints[order]) != 0)])
+    kind = np.empty(len(keys), np.int64)  # for each window, its class
+    kind[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
+    least, one, several = np.minimum.reduceat(ids[order], new), docs[order[new]], docs[order[new]] != docs[order[np.r_[new[1:], len(order)] - 1]]
+    numbers, labels = numbers[order[new]], labels[order[new]]
+    repeating, centres = _repeating(shingles[order[new]]), keys[order[new]]
+    found = np.full((len(new), t), never)
+    # A class with too few shared shingles reaches no threshold; sets with repeats are judged by their distinct shingles.
+    able = np.flatnonzero(((labels > 1).sum(1) >= need) | repeating)
+    bits = _signatures(labels[able])
+    cuts = np.flatnonzero(np.r_[True, np.diff(centres[able]) != 0]) if len(able) else np.zeros(0, np.int64)
+    for i, j in _pairs(np.diff(np.r_[cuts, len(able)])):
+        a, b = able[i], able[j]
+        # Each shingle of one side whose bit the other lacks is foreign.
+        foreign = np.bitwise_count(bits[i] & ~bits[j]).sum(1)
+        ok = ((labels[a] > 1).sum(1) - foreign >= need) | repeating[a] | repeating[b]
+        ok &= np.where(a == b, several[a], several[a] | several[b] | (one[a] != one[b]))
+        a, b = a[ok], b[ok]
+        for s in range(0, len(a), 4096):
+            p, q = a[s : s + 4096], b[s : s + 4096]
+            twice = repeating[p] | repeating[q]
+            x = np.where(twice[:, None], numbers[p], labels[p])
+            y = np.where(twice[:, None], numbers[q], labels[q] + (labels[q] == 1))  # 1 and 2 agree with nothing
+            for to, of, hit in zip((p, q), (q, p), _similar(x, y, t, percent, twice), strict=True):
+                some = np.flatnonzero(hit.any(1))
+                np.minimum.at(found, to[some], np.where(hit[some], least[of[some]][:, None], never))
+    first = found[kind]
+    return np.where(first < never, np.minimum(first, ids[:, None]), never)
 
 
 def _packed(first: np.ndarray, centres: np.ndarray, t: int) -> tuple[bytes, bytes, bytes]:
@@ -331,8 +396,9 @@ def _answer_runs(t: int, buckets: int, percent: int):
             else:
                 keys = [np.frombuffer(x.as_py(), np.uint64) for x in g.column("keys")]
                 ids = np.concatenate([unsqueeze(x.as_py(), np.int64) for x in g.column("owners")])
+                docs = np.concatenate([unsqueeze(x.as_py(), np.int64) + (k << 32) for k, x in enumerate(g.column("docs"))])
                 contexts = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.uint16).reshape(-1, 2 * t + WIDTH - 2) for x in g.column("contexts")])
-                first = _near(np.concatenate(keys), ids, contexts, t, percent)
+                first = _near(np.concatenate(keys), ids, docs, contexts, t, percent)
                 start = 0
                 for block, sent, centres in zip(blocks, keys, g.column("centres").to_pylist(), strict=True):
                     places, lengths, firsts = _packed(first[start : start + len(sent)], unsqueeze(centres, np.int64), t)
@@ -426,7 +492,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     documents found to have it, the document itself included. Words are runs without ASCII white space, A-Z lower-cased. Spans
     with different first ids may overlap. Exact repeats are all found; near ones with the likelihood that min-hashes give.
     Null texts count as empty; texts of fewer words have no spans. Rows with null ids take part as id -1; rows with equal ids are
-    documents apart for exact repeats. An empty table gives an empty result.
+    documents apart. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     t, buckets = least - WIDTH + 1, partitions(spark)
