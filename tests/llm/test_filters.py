@@ -126,6 +126,15 @@ def test_pages_without_an_article_element():
     assert got.startswith("Head Paragraph 0") and got.endswith("5 with several words in it.") and "Menu" not in got
 
 
+@pytest.mark.parametrize("unclosed", ["<p><b>x<br>", "<dl><dt>x<dd>y", "<table><tr><td>x"])
+@pytest.mark.parametrize("n", [20, 40, 3000])
+def test_end_tags_over_many_unclosed_elements(unclosed, n):
+    page = f"<body><nav>{unclosed * n}</nav><article><p>First words.</p>{unclosed * n}</article><p>Behind it.</p></body>"
+    got = html_extract.main_text(page)
+    assert got.startswith("First words.") and "Behind" not in got
+    assert html_extract.main_text(f"<body><div class=ad>{unclosed * n}</div><p>First words.</p></body>") == "First words."
+
+
 def test_extract_keeps_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "old"), (2, "v", None, "old")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_extract.extract(pages).collect()}

@@ -8,6 +8,7 @@ with the largest total weight is the article, and its lines, however short, are
 
 from __future__ import annotations
 
+import collections
 import html
 import re
 
@@ -51,6 +52,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """The page's lines: text, characters outside links, whether outside any article, whether inside an article or main element."""
     out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is outside
+    opened: collections.Counter[str] = collections.Counter()  # how many of the open elements have a name
     parts: list[str] = []
     linked = 0
     depth = {"out": 0, "a": 0, "in": 0}
@@ -64,6 +66,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         linked = 0
 
     def leave(entry: tuple[str, bool]) -> None:
+        opened[entry[0]] -= 1
         depth["out"] -= entry[1]
         depth["a"] -= entry[0] == "a"
         depth["in"] -= entry[0] in ("article", "main")
@@ -109,10 +112,11 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 leave(stack.pop())  # its end tag may be left out
             outside = _outside(name, m[3]) or name == "header" and not depth["in"]
             stack.append((name, outside))
+            opened[name] += 1
             depth["out"] += outside
             depth["a"] += name == "a"
             depth["in"] += name in ("article", "main")
-        elif any(x == name for x, _ in stack[-64:]):
+        elif opened[name]:
             while True:
                 top = stack.pop()
                 leave(top)
