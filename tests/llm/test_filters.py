@@ -126,6 +126,17 @@ def test_pages_without_an_article_element():
     assert got.startswith("Head Paragraph 0") and got.endswith("5 with several words in it.") and "Menu" not in got
 
 
+def test_boxes_in_the_middle_of_an_article():
+    text = lambda a, b: "".join(f"<p>Paragraph {i} with several words.</p>" for i in range(a, b))
+    links = "<ul>" + "<li><a href=x>Menu entry</a></li>" * 7 + "</ul>"
+    advert = "<div class=ad>" + "<p>Buy this now</p>" * 8 + "</div>"
+    side = "<div><p>Teaser of another page</p></div>"
+    want = " ".join(f"Paragraph {i} with several words." for i in range(12))
+    for whole in (f"<div>{text(0, 2)}{links}{text(2, 9)}{advert}{text(9, 12)}</div>", f"<div>{text(0, 9)}<section>{advert}{text(9, 12)}</section></div>"):
+        assert html_extract.main_text(f"<body>{side}{links}{whole}{links}{side}</body>") == want
+    assert html_extract.main_text(f"<body>{text(0, 3)}{links}{text(3, 12)}{links}{side}</body>") == want
+
+
 @pytest.mark.parametrize("unclosed", ["<p><b>x<br>", "<dl><dt>x<dd>y", "<table><tr><td>x"])
 @pytest.mark.parametrize("n", [20, 40, 3000])
 def test_end_tags_over_many_unclosed_elements(unclosed, n):

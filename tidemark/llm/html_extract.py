@@ -3,7 +3,8 @@
 Markup is stripped so that each block-level element becomes a line. Each line weighs its text outside links; lines under
 navigation, header, footer, aside, form and similar elements, or under elements whose class or id names such a role, weigh
 nothing and are never kept. Sums over sliding windows of lines show where text surges and where it dives for good: the part
-with the largest total weight is the article, and its lines, however short, are kept.
+with the largest total weight is the article, and with it the other parts of the block that encloses it; their lines, however
+short, are kept.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 RAW = frozenset("script style noscript template textarea svg math iframe object canvas audio video head xmp".split())
 #: Elements that hold no part of an article.
 ASIDE = frozenset("nav footer aside form menu dialog button select figcaption".split())
+#: Elements that enclose the blocks of a part of the page.
+HOLDER = frozenset("article div main td".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class, id or role that mark parts outside the article.
@@ -48,9 +51,13 @@ def _outside(name: str, attributes: str) -> bool:
     return any(w in ROLES for m in _ROLE.findall(attributes) for w in _PARTS.findall("".join(m).lower()))
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The page's lines: text, characters outside links, whether outside any article, whether inside an article or main element."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines(page: str, parents: list[int] | None = None) -> list[tuple[str, int, bool, bool, int]]:
+    """The page's lines: text, characters outside links, whether outside any article, whether inside an article or main element,
+    number of the enclosing HOLDER element, 0 without; `parents` receives for each of these the one around it, itself for 0."""
+    out: list[tuple[str, int, bool, bool, int]] = []
+    parents = [] if parents is None else parents
+    parents.append(0)
+    holder = 0
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is outside
     opened: collections.Counter[str] = collections.Counter()  # how many of the open elements have a name
     parts: list[str] = []
@@ -61,12 +68,15 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append((text, 0 if depth["out"] else max(0, len(text) - linked), depth["out"] > 0, depth["in"] > 0))
+            out.append((text, 0 if depth["out"] else max(0, len(text) - linked), depth["out"] > 0, depth["in"] > 0, holder))
         parts.clear()
         linked = 0
 
     def leave(entry: tuple[str, bool]) -> None:
+        nonlocal holder
         opened[entry[0]] -= 1
+        if entry[0] in HOLDER:
+            holder = parents[holder]
         depth["out"] -= entry[1]
         depth["a"] -= entry[0] == "a"
         depth["in"] -= entry[0] in ("article", "main")
@@ -113,6 +123,9 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             outside = _outside(name, m[3]) or name == "header" and not depth["in"]
             stack.append((name, outside))
             opened[name] += 1
+            if name in HOLDER:
+                parents.append(holder)
+                holder = len(parents) - 1
             depth["out"] += outside
             depth["a"] += name == "a"
             depth["in"] += name in ("article", "main")
@@ -126,17 +139,28 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
+def _around(parents: list[int], holders: set[int]) -> int:
+    """The innermost element that encloses all these; elements have larger numbers than those around them."""
+    left = set(holders)
+    while len(left) > 1:
+        last = max(left)
+        left.discard(last)
+        left.add(parents[last])
+    return left.pop()
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page; empty for a null or empty page and for one without text outside menus and the like."""
     if not page:
         return ""
-    found = lines(page)
+    parents: list[int] = []
+    found = lines(page, parents)
     if any(x[3] and not x[2] for x in found):  # an article element bounds the text: what stands outside it weighs nothing
-        found = [(t, len(t) if inside and not o else 0, o or not inside, inside) for t, w, o, inside in found]
+        found = [(t, len(t) if inside and not o else 0, o or not inside, inside, holder) for t, w, o, inside, holder in found]
     n = len(found)
     weights = [x[1] for x in found]
     blocks = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    best, best_weight, start = (0, 0), 0, None
+    segments, best, best_weight, start = [], (0, 0), 0, None
     empty = 0
     for i in range(n + 1):
         if start is None:
@@ -148,12 +172,17 @@ def main_text(page: str | None) -> str:
                 weight, end = sum(weights[start:i]), i
                 while not weights[end - 1]:  # what follows the last line with weight is no part of it
                     end -= 1
+                segments.append((start, end))
                 if weight > best_weight:
                     best, best_weight = (start, end), weight
                 start = None
         else:
             empty = 0
-    kept = [t for t, _, outside, _ in found[best[0] : best[1]] if not outside]
+    if len(segments) > 1:  # other parts of the block that encloses the heaviest belong to the article, too
+        homes = [_around(parents, {x[4] for x in found[s:e] if x[1]}) for s, e in segments]
+        home = homes[segments.index(best)]
+        segments = [x for x, h in zip(segments, homes, strict=True) if h == home or home and _around(parents, {h, home}) == home]
+    kept = [x[0] for s, e in segments for x in found[s:e] if not x[2]]
     return " ".join(kept)
 
 
