@@ -1,6 +1,7 @@
 """Quality, decontamination, toxicity and HTML extraction on small fixtures and against brute force."""
 
 import collections
+import itertools
 import random
 import re
 
@@ -66,6 +67,23 @@ def test_leaks_whole_substituted_and_clean(spark):
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("words", range(1, 14))
+def test_masks_fit_between_all_substitutions(words):
+    masks = decontaminate.masks_for(words)
+    for gone in itertools.combinations(range(words), words - -(-75 * words // 100)):
+        assert any(not any(m == "1" and i + k in gone for k, m in enumerate(mask)) for mask in masks for i in range(words - len(mask) + 1)), gone
+
+
+def test_short_items_and_close_substitutions(spark):
+    items = {n: [f"q{n}-{i}".replace("-", "x") for i in range(n)] for n in (1, 2, 3, 4, 6, 8, 12, 13)}
+    swap = lambda n, *at: ["zzz" if i in at else w for i, w in enumerate(items[n])]
+    cases = [(swap(n), n) for n in items] + [(swap(13, 2, 4, 6), 13), (swap(13, 0, 6, 12), 13), (swap(12, 2, 5, 8), 12), (swap(8, 2, 5), 8), (swap(6, 3), 6), (swap(4, 1), 4), (swap(4, 1, 2), None), (swap(3, 1), None), (swap(13, 1, 4, 7, 10), None)]
+    docs = spark.createDataFrame([(k, " ".join(["before", *x, "behind"])) for k, (x, _) in enumerate(cases)], "doc_id long, text string")
+    tests = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.contaminated(docs, tests).collect()}
+    assert got == {k: [n] if n else [] for k, (_, n) in enumerate(cases)}
+
+
 def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon({"idiot": 5.0, "scum*": 4.0, "trash": 3.0}, ("trash can",))
     assert toxicity.fold_words("1d10t! ІDIОT idi0t, $cum 2024 a@b") == ["idiot", "idiot", "idiot", "scum", "2024", "aab"]
