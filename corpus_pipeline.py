@@ -13,10 +13,20 @@ from tidemark.llm.shared import materialise, shared_dir, table
 BROADCAST_IDS = 1_000_000
 
 
-def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the documents of these ids; documents without an id stay."""
-    ids = ids.select("doc_id").distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+#: Column that tells the rows of a stage's documents apart.
+ROW = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, in the order of ids, those without an id last; written, so that it stays the same."""
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last())
+    return materialise(ordered.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _drop(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs of _keyed without these rows, and without the numbers."""
+    rows = rows.select(ROW)
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, ROW, "left_anti").drop(ROW)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,23 +36,25 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of linked documents the one with the smallest id."""
-    classes = jaccard_join.jaccard_classes(docs)
-    return _drop(docs, materialise(classes.filter("doc_id <> component_id").select("doc_id"), "pipeline-duplicates"))
+    """Keeps of each class of linked documents the first row with the smallest id."""
+    columns, docs = docs.columns, _keyed(docs)
+    classes = jaccard_join.jaccard_classes(docs, id=ROW)
+    return _drop(docs, materialise(classes.filter(f"{ROW} <> component_id").select(ROW), "pipeline-duplicates")).select(*columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 words or more that a document with a smaller id has; a document of which nothing is left goes."""
-    found = substring_dedup.repeated_passages(docs, cut=True)
-    changed = F.exists("spans", lambda s: s["first_id"] != F.coalesce(F.col("doc_id"), F.lit(-1)))
+    """Cuts passages of 50 words or more that an earlier row (by id) has; a document of which nothing is left goes."""
+    found = substring_dedup.repeated_passages(_keyed(docs), id=ROW, cut=True)
+    changed = F.exists("spans", lambda s: s["first_id"] != F.col(ROW))
     n_chars = F.when(changed, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")).alias("n_chars")
     return found.filter(~changed | (F.col("text") != "")).select(*[n_chars if c == "n_chars" else c for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return _drop(docs, materialise(found, "pipeline-leaks"))
+    columns, docs = docs.columns, _keyed(docs)
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), id=ROW).filter("contaminated").select(ROW)
+    return _drop(docs, materialise(found, "pipeline-leaks")).select(*columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

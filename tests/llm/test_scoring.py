@@ -75,3 +75,21 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     got = {r.doc_id: r.n_tokens for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == {i for i in texts if not (i < 60 and i % 2 == 0)} - {201, 204, 206}
     assert got[203] < got[202] and got[205] == 0
+
+
+def test_pipeline_drops_rows_not_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    item, passage, same, null, one, other = fresh(30), fresh(70), fresh(80), fresh(80), fresh(80), fresh(80)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame = lambda rows: spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    key = lambda x: (x[0] or -1, x[1])
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=key)
+    docs = frame([(3, same), (3, same), (None, same), (None, null), (None, null), (5, one), (5, other), (6, other), (4, other)])
+    assert rows(pipeline.near_duplicates(spark, docs, str(tmp_path))) == sorted([(3, same), (None, null), (5, one), (4, other)], key=key)
+    docs = frame([(7, one), (7, one + " " + item), (None, item), (None, null)])
+    assert rows(pipeline.decontamination(spark, docs, str(tmp_path))) == sorted([(7, one), (None, null)], key=key)
+    docs = frame([(8, "left " + passage), (8, "right " + passage), (None, passage + " end"), (1, "first")])
+    got = rows(pipeline.repeated_passages(spark, docs, str(tmp_path)))
+    assert [i for i, _ in got] == [None, 1, 8, 8] and got[0][1] == "end" and sorted(len(t.split()) for i, t in got if i == 8) == [1, 71]
