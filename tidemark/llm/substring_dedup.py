@@ -259,7 +259,26 @@ def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.n
     fast = np.ones(n, bool)
     fast[slow] = False
     need = -(-2 * percent * t // (100 + percent))
+    # Where all that two contexts share stands at the same places, the best partner of a run is the one nearest to its place.
     fast = np.flatnonzero(fast)
+    alike = lambda v: ((v[:, 1:] == v[:, :-1]) & (v[:, 1:] > 0)).sum(1)
+    ordered = [np.sort(v, axis=1) for v in (np.concatenate([x[fast], y[fast]], axis=1), x[fast], y[fast])]
+    total = alike(ordered[0]) - alike(ordered[1]) - alike(ordered[2])  # what agrees with nothing may stand more than once
+    level = (x[fast] == y[fast]) & (x[fast] > 0)
+    straight = (level.sum(1) == total) & (total >= need)
+    rows, level = fast[straight], level[straight]
+    if len(rows):
+        sums = np.zeros((len(rows), m + 1), np.int32)
+        np.cumsum(level, axis=1, out=sums[:, 1:])
+        at = np.arange(starts)[None, :]
+        wholes = [np.lib.stride_tricks.sliding_window_view(v[rows] > 0, t, axis=1).all(axis=2) for v in (x, y)]
+        for side, (own, other) in enumerate((wholes, wholes[::-1])):
+            first, last = other.argmax(1)[:, None], starts - 1 - other[:, ::-1].argmax(1)[:, None]
+            partner = np.clip(at, first, last)
+            low, high = np.maximum(at, partner), np.minimum(at, partner) + t
+            best = np.where(own & other.any(1)[:, None], np.take_along_axis(sums, high, 1) - np.take_along_axis(sums, low, 1), 0)
+            out[side][rows] = _kept_runs(best >= need, best, level, t)
+    fast = fast[~straight & (total >= need)]
     for s in range(0, len(fast), 256):
         rows = fast[s : s + 256]
         a, b = x[rows], y[rows]
@@ -308,7 +327,7 @@ def _signatures(labels: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def _pairs(sizes: np.ndarray, most: int = 100_000):
+def _pairs(sizes: np.ndarray, most: int = 20_000):
     """All pairs (also of one with itself) within groups of neighbouring rows, a bounded number at a time."""
     starts = np.cumsum(sizes) - sizes
     last = np.repeat(starts + sizes, sizes)
@@ -335,7 +354,11 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
     never, need = np.iinfo(np.int64).max, -(-2 * percent * t // (100 + percent))
     shingles = _shingles(contexts)
     numbers, labels, prints = _labels(keys, shingles)
-    order = np.lexsort((docs, prints, keys))
+    # Classes of a centre stand in the order of their least ids, so that the first partner found for a run has the least id.
+    _, at = np.unique(mix(prints ^ mix(keys)), return_inverse=True)
+    lowest = np.full(int(at.max(initial=-1)) + 1, never)
+    np.minimum.at(lowest, at, ids)
+    order = np.lexsort((docs, prints, lowest[at], keys))
     new = np.flatnonzero(np.r_[True, (np.diff(keys[order]) != 0) | (np.diff(prints[order]) != 0)])
     kind = np.empty(len(keys), np.int64)  # for each window, its class
     kind[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
@@ -346,8 +369,15 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
     # A class with too few shared shingles reaches no threshold; sets with repeats are judged by their distinct shingles.
     able = np.flatnonzero(((labels > 1).sum(1) >= need) | repeating)
     bits = _signatures(labels[able])
+    # Runs with too many shingles that nobody has need no partner; a class all of whose other runs have one is done.
+    inside = np.lib.stride_tricks.sliding_window_view(labels > 0, t, axis=1).all(axis=2)
+    held = np.cumsum(np.pad(labels > 1, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+    possible = inside & ((held[:, t:] - held[:, :-t] >= need) | repeating[:, None])
+    done = ~possible.any(1)
     cuts = np.flatnonzero(np.r_[True, np.diff(centres[able]) != 0]) if len(able) else np.zeros(0, np.int64)
     for i, j in _pairs(np.diff(np.r_[cuts, len(able)])):
+        on = ~(done[able[i]] & done[able[j]])
+        i, j = i[on], j[on]
         a, b = able[i], able[j]
         # Each shingle of one side whose bit the other lacks is foreign.
         foreign = np.bitwise_count(bits[i] & ~bits[j]).sum(1)
@@ -362,6 +392,8 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
             for to, of, hit in zip((p, q), (q, p), _similar(x, y, t, percent, twice), strict=True):
                 some = np.flatnonzero(hit.any(1))
                 np.minimum.at(found, to[some], np.where(hit[some], least[of[some]][:, None], never))
+        seen = np.unique(np.concatenate([a, b]))
+        done[seen] |= ~(possible[seen] & (found[seen] == never)).any(1)
     first = found[kind]
     return np.where(first < never, np.minimum(first, ids[:, None]), never)
 
