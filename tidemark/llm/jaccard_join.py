@@ -8,8 +8,12 @@
     for; bits of one bitmap that the other lacks bound the overlap from above. Pairs that pass are verified by intersecting
     the sorted arrays.
 4.  Only links between different components can change the classes: a first round compares a group's nodes with one centre,
-    later rounds compare only nodes of a group that are still in different components, until no pair is left that may link.
-    So thousands of near copies cost one verification each, and yet no link between components is missed.
+    the node that shares shingles with most others; later rounds compare only nodes of a group that are still in different
+    components, the most promising partners of each component first, until no pair is left that may link.
+    A pair that shares many shingles is in many groups; where the few largest groups of both nodes tell that another group has
+    both, it is left to that one. So near copies of one text cost about one verification each, however many there are, and yet
+    no link between components is missed. Texts of one group that link with nobody, though their bitmaps allow it, are verified
+    pair by pair: the exact answer needs it.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, block_shingles, materialise, mix, partitions, runs, split_blocks, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, whole
+from .shared import WordHashes, block_shingles, discard, materialise, mix, partitions, runs, split_blocks, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, whole
 
 #: Shingles that the order puts last, at most: a bound for what is broadcast.
 COMMON = 1 << 17
@@ -27,8 +31,14 @@ COMMON = 1 << 17
 BROADCAST_NODES = 1_000_000
 #: Nodes of a tile.
 TILE = 512
+#: Bits of a bitmap for each shingle, at least: in groups of fewer than LARGE nodes, and in others, where pairs are many.
+BITS, WIDE, LARGE = 2, 16, 64
+#: Groups of a node that go with it to the tiles, the largest ones.
+TOP = 4
+#: Partners of a component that a tile proposes in the first round; each later round proposes GROWTH times as many.
+PARTNERS, GROWTH = 4, 8
 #: Text bytes of a block, small as the arrays over a block's words take some forty times as much.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def _counts(width: int):
@@ -116,14 +126,15 @@ def _groups(percent: int):
             first[np.unique(gid, return_index=True)[1]] = True
             keep = np.repeat(first & (count > 1), count)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gid, count)[keep]), pa.array(node[keep]), pa.array(size[keep])], ["gid", "node", "n"])
+                columns = (np.repeat(gid, count)[keep], node[keep], size[keep], np.repeat(count, count)[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gid", "node", "n", "members"])
 
     return run
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """Hashed bits, at least twice as many as hashes; a power of two, so that a longer one can be folded to a shorter one."""
-    bits = max(64, 1 << int(2 * len(hashes) - 1).bit_length())
+def bitmap(hashes: np.ndarray, each: int) -> bytes:
+    """Hashed bits, at least `each` times as many as hashes; a power of two, so that a longer one can be folded to a shorter one."""
+    bits = max(64, 1 << int(each * len(hashes) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(hashes & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -160,8 +171,15 @@ def _sets(width: int):
                 e = min(s + 500, len(n))
                 parts = [found[ends[i] - n[i] : ends[i]] for i in range(s, e)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[s:e], pa.int64()), pa.array(nodes[s:e], mask=n[s:e] == 0), pa.array(n[s:e]), pa.array([squeeze_sorted(p) if len(p) else None for p in parts], pa.binary()), pa.array([bitmap(p) if len(p) else None for p in parts], pa.binary())],
-                    ["id", "node", "n", "hashes", "bits"],
+                    [
+                        pa.array(ids[s:e], pa.int64()),
+                        pa.array(nodes[s:e], mask=n[s:e] == 0),
+                        pa.array(n[s:e]),
+                        pa.array([squeeze_sorted(p) if len(p) else None for p in parts], pa.binary()),
+                        pa.array([bitmap(p, BITS) if len(p) else None for p in parts], pa.binary()),
+                        pa.array([bitmap(p, WIDE) if len(p) else None for p in parts], pa.binary()),
+                    ],
+                    ["id", "node", "n", "hashes", "bits", "wide"],
                 )
 
     return run
@@ -173,7 +191,7 @@ def _approve(percent: int):
     def run(batches):
         for b in batches:
             keep, bounds = [], []
-            rows = zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)
+            rows = zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)
             for i, (na, nb, x, y) in enumerate(rows):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 words = min(len(x), len(y))
@@ -201,43 +219,60 @@ def _verify(percent: int):
     return run
 
 
+def _elsewhere(gid: int, tops: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs of a group's nodes, whether both nodes are sure to be in a larger group too; `tops` has each node's largest groups."""
+    at = tops == gid
+    before = (np.cumsum(at, axis=1) == 0) & (tops != 0)  # those before this group in the order of groups
+    x, y = np.where(before[i], tops[i], 0), np.where(before[j], tops[j], -1)
+    x[x == -1] = 0
+    return (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
+
+
+def _most_promising(low: np.ndarray, high: np.ndarray, score: np.ndarray, each: int) -> np.ndarray:
+    """Which pairs of components are among the `each` best of one of their two components."""
+    comp, pair = np.concatenate([low, high]), np.tile(np.arange(len(low)), 2)
+    order = np.lexsort((pair, -score[pair], comp))
+    comp, pair = comp[order], pair[order]
+    start = np.r_[True, comp[1:] != comp[:-1]]
+    rank = np.arange(len(comp)) - np.flatnonzero(start)[np.cumsum(start) - 1]
+    kept = np.zeros(len(low), bool)
+    kept[pair[rank < each]] = True
+    return kept
+
+
 def _tiles(percent: int, each: int):
-    """Compare the two sides of each tile; for each pair of components, the `each` most promising pairs not yet rejected.
+    """Compare the two sides of each tile; for each component, the `each` most promising pairs with other ones.
 
     A tile in which there were more is marked by a row without a, so that it is looked at again when these are verified."""
 
     def run(batches):
         for t in runs(batches, "tile"):
             side = t.column("side").to_numpy()
+            left, right = np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero((side == 1) | (side == 2))
+            if not len(left) or not len(right):
+                continue
             node, n, comp = t.column("node").to_numpy(), t.column("n").to_numpy(), t.column("comp").to_numpy()
+            tops = np.zeros((len(node), TOP), np.int64)
+            for k, x in enumerate(t.column("tops").to_pylist()):
+                tops[k, : len(x)] = x
             bits = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("bits")]
-            refused = t.column("refused")
             words = min(map(len, bits))
             bits = np.stack([folded(x, words) for x in bits])
-            left, right = np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero((side == 1) | (side == 2))
-            if not len(left) or not len(right):
-                continue
             bound = overlap_bounds(bits[left], n[left], bits[right], n[right])
             ok = _links(bound, n[left][:, None], n[right][None, :], percent) & (comp[left][:, None] != comp[right][None, :])
             i, j = np.nonzero(ok)
-            if not len(i):
-                continue
             score, i, j = bound[i, j] / np.maximum(n[left[i]], n[right[j]]), left[i], right[j]
-            swap = node[i] > node[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            no = {k: set(refused[int(k)].as_py() or ()) for k in np.unique(i)}
-            free = np.fromiter((node[y] not in no[x] for x, y in zip(i, j, strict=True)), bool, len(i))
-            i, j, score = i[free], j[free], score[free]
-            low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-            order = np.lexsort((node[j], node[i], -score, high, low))
-            i, j, low, high = i[order], j[order], low[order], high[order]
+            new = np.concatenate([~_elsewhere(t.column("gid")[0].as_py(), tops, i[s : s + 65536], j[s : s + 65536]) for s in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+            new &= (side[i] != side[j]) | (i < j)  # a tile of one part with itself has each pair twice
+            i, j, score = i[new], j[new], score[new]
             if not len(i):
                 continue
-            start = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
-            rank = np.arange(len(i)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-            tile, a, b = t.column("tile")[0].as_py(), node[i[rank < each]].tolist(), node[j[rank < each]].tolist()
-            if (rank >= each).any():
+            low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+            kept = _most_promising(low, high, score, each)
+            a, b = np.minimum(node[i], node[j])[kept].tolist(), np.maximum(node[i], node[j])[kept].tolist()
+            if not kept.all():
                 a, b = [*a, None], [*b, None]
+            tile = t.column("tile")[0].as_py()
             yield pa.RecordBatch.from_arrays([pa.array([tile] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["tile", "a", "b"])
 
     return run
@@ -252,8 +287,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         spread = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("to"))
         onward = labels.select(F.col("node").alias("to"), F.col("comp").alias("onward"))
         new = materialise(spread.join(onward, "to", "left").select("node", F.least("to", F.coalesce("onward", "to")).alias("comp"), (F.least("to", F.coalesce("onward", "to")) != F.col("comp")).alias("moved")), name)
+        discard(labels)
         labels = new.select("node", "comp")
         if new.filter("moved").isEmpty():
+            discard(both)
             return labels
 
 
@@ -271,19 +308,21 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     buckets = 2 * partitions(spark)
     common = spark.sparkContext.broadcast(common_shingles(rows.select("text"), width))
     packed = rows.select("text").mapInArrow(_prefixes(width, percent, buckets, common), "bucket int, keys binary, nodes binary, sizes binary")
-    groups = packed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_groups(percent), "gid long, node long, n long")
+    groups = packed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_groups(percent), "gid long, node long, n long, members long")
     groups = materialise(groups.distinct(), "jaccard-groups")
+    named = groups
     needed = groups.select("node").distinct().withColumn("needed", F.lit(True))
     if needed.count() <= BROADCAST_NODES:
         needed = F.broadcast(needed)
-    sets = rows.mapInArrow(_sets(width), "id long, node long, n long, hashes binary, bits binary").join(needed, "node", "left")
-    sets = materialise(sets.select("id", "node", "n", F.when(F.col("needed"), F.col("hashes")).alias("hashes"), F.when(F.col("needed"), F.col("bits")).alias("bits"), F.monotonically_increasing_id().alias("row")), "jaccard-sets")
+    sets = rows.mapInArrow(_sets(width), "id long, node long, n long, hashes binary, bits binary, wide binary").join(needed, "node", "left")
+    sets = materialise(sets.select("id", "node", "n", F.when(F.col("needed"), F.col("hashes")).alias("hashes"), *[F.when(F.col("needed"), F.col(c)).alias(c) for c in ("bits", "wide")], F.monotonically_increasing_id().alias("row")), "jaccard-sets")
     # Of rows with equal sets one stands for the node; by its row number the others are left out of every join without a second
     # table of sets.
     kept = sets.filter(F.col("hashes").isNotNull())
     chosen = materialise(kept.groupBy("node").agg(F.min("row").alias("row")), "jaccard-chosen")
-    groups = materialise(groups.join(_few(chosen, chosen.count()), "node").select("gid", F.col("row").alias("node"), "n"), "jaccard-groups")
-    nodes = kept.select(F.col("row").alias("node"), "n", "hashes", "bits")
+    groups = materialise(groups.join(_few(chosen, chosen.count()), "node").select("gid", F.col("row").alias("node"), "n", "members"), "jaccard-groups")
+    discard(named)
+    nodes = kept.select(F.col("row").alias("node"), "n", "hashes", "bits", "wide")
     found = _link(groups, nodes, chosen.select(F.col("row").alias("node")), percent)
     names = chosen.select(F.col("row").alias("comp"), F.col("node").alias("comp_node"))
     labels = found.withColumnRenamed("node", "row").join(chosen, "row").join(names, "comp").select("node", F.col("comp_node").alias("comp"))
@@ -298,35 +337,39 @@ def _few(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_NODES else df
 
 
-def _verified(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Exact verdicts for edges (a, b). The set of each b travels once to its a; an a with many has its set copied to parts of them."""
+def _ends(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """Edges (a, b) with these columns of both nodes. Those of each b travel once to its a; an a with many has its own copied to
+    parts of them, so that no task gets all partners of a node."""
     sizes = edges.groupBy("a").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     dealt = materialise(edges.select("a", "b").join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "jaccard-edges")
     count = dealt.count()
-    full = nodes.select("node", "hashes")
-    members = full.join(_few(dealt, count), full.node == dealt.b).select("a", "part", "b", F.col("hashes").alias("hashes_b"))
+    members = nodes.join(_few(dealt, count), nodes.node == dealt.b).select("a", "part", "b", *[F.col(c).alias(f"{c}_b") for c in columns])
     centres = dealt.select(F.col("a").alias("centre"), "part").distinct()
-    centres = full.join(_few(centres, count), full.node == centres.centre).select(F.col("centre").alias("a"), "part", F.col("hashes").alias("hashes_a"))
-    return materialise(members.join(centres, ["a", "part"]).select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify(percent), "a long, b long, linked boolean"), "jaccard-verified")
+    centres = nodes.join(_few(centres, count), nodes.node == centres.centre).select(F.col("centre").alias("a"), "part", *[F.col(c).alias(f"{c}_a") for c in columns])
+    return members.join(centres, ["a", "part"]).select("a", "b", *[f"{c}_{x}" for c in columns for x in "ab"])
 
 
-def _star(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """For each node the most promising of its groups' centres, a centre being a group's smallest node."""
-    bits = nodes.select("node", "n", "bits")
-
-    def side(x: str) -> DataFrame:
-        return bits.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-
-    centre = groups.groupBy("gid").agg(F.min("node").alias("a"))
-    star = groups.join(centre, "gid").filter("node != a").select("a", F.col("node").alias("b")).distinct()
-    star = star.join(side("a"), "a").join(side("b"), "b").filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    return star.mapInArrow(_approve(percent), "a long, b long, bound long").groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
+def _verified(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Exact verdicts for edges (a, b)."""
+    return materialise(_ends(edges, nodes, ["hashes"]).mapInArrow(_verify(percent), "a long, b long, linked boolean"), "jaccard-verified")
 
 
-def _cells(groups: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """tile, side, node, n of the groups whose nodes are in different components: nodes of like size, at most TILE on a side."""
-    labelled = groups.join(comp, "node")
-    mixed = labelled.groupBy("gid").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("gid")
+def _star(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """For each node the most promising of its groups' centres; a centre is the node of a group that shares groups with most others."""
+    degree = groups.groupBy("node").agg(F.sum("members").alias("degree"))
+    ranked = groups.join(degree, "node")
+    centre = ranked.groupBy("gid").agg(F.max_by(F.struct(F.col("node").alias("a"), F.col("n").alias("na")), F.struct("degree", "node")).alias("c")).select("gid", "c.*")
+    fits = (100 * F.col("na") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("na"))
+    star = groups.join(centre, "gid").filter((F.col("node") != F.col("a")) & fits).select("a", F.col("node").alias("b")).distinct()
+    return _ends(star, nodes, ["n", "bits"]).mapInArrow(_approve(percent), "a long, b long, bound long").groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
+
+
+def _cells(groups: DataFrame, comp: DataFrame, tops: DataFrame, percent: int) -> DataFrame:
+    """gid, tile, side, node, n, members of the groups whose nodes are in different components: nodes of like size, at most TILE on a side."""
+    labelled = groups.join(comp, "node").join(tops.select("node", F.col("tops")[0].alias("top")), "node")
+    # A group all of whose nodes have one larger group in common is left to that one.
+    part = (F.min("top") == F.max("top")) & (F.min("top") != F.col("gid"))
+    mixed = labelled.groupBy("gid").agg(((F.min("comp") != F.max("comp")) & ~part).alias("mixed")).filter("mixed").select("gid")
     open_groups = materialise(labelled.join(mixed, "gid", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent)) + 1e-9)), "jaccard-open")
     parts = open_groups.groupBy("gid", "band").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     above = parts.select("gid", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
@@ -343,18 +386,19 @@ def _cells(groups: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     own = F.transform(upto("parts"), lambda q: tile(band, F.least(part, q), band, F.greatest(part, q), F.when(part == q, 2).when(part < q, 0).otherwise(1)))
     up = F.when(F.col("above").isNotNull(), F.transform(upto("above"), lambda q: tile(band, part, band + 1, q, F.lit(0))))
     down = F.when(F.col("below").isNotNull(), F.transform(upto("below"), lambda q: tile(band - 1, q, band, part, F.lit(1))))
-    cells = dealt.select("gid", "node", "n", F.explode(F.concat(own, F.coalesce(up, F.array()), F.coalesce(down, F.array()))).alias("t"))
-    cells = cells.select(F.xxhash64("gid", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side", "node", "n")
+    cells = dealt.select("gid", "node", "n", "members", F.explode(F.concat(own, F.coalesce(up, F.array()), F.coalesce(down, F.array()))).alias("t"))
+    cells = cells.select("gid", F.xxhash64("gid", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side", "node", "n", "members")
     both = cells.groupBy("tile").agg((F.bool_or(F.col("side") != 1) & F.bool_or(F.col("side") != 0) & (F.count("*") > 1)).alias("both")).filter("both").select("tile")
-    return materialise(cells.join(both, "tile", "left_semi"), "jaccard-cells")
+    found = materialise(cells.join(both, "tile", "left_semi"), "jaccard-cells")
+    discard(open_groups)
+    return found
 
 
-def _compared(cells: DataFrame, comp: DataFrame, rejected: DataFrame, nodes: DataFrame, percent: int, each: int) -> DataFrame:
-    """tile, a, b: pairs of a tile's sides that are in different components, may link by their bitmaps, and are not rejected yet."""
+def _compared(cells: DataFrame, comp: DataFrame, tops: DataFrame, nodes: DataFrame, percent: int, each: int) -> DataFrame:
+    """tile, a, b: pairs of a tile's sides that are in different components and may link by their bitmaps."""
     wanted = cells.select("node").distinct()
-    bits = nodes.select("node", "bits").join(_few(wanted, wanted.count()), "node", "left_semi").join(comp, "node")
-    refused = rejected.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
-    rows = cells.join(bits.join(refused, "node", "left"), "node")
+    bits = nodes.select("node", "bits", "wide").join(_few(wanted, wanted.count()), "node", "left_semi").join(comp, "node").join(tops, "node")
+    rows = cells.join(bits, "node").withColumn("bits", F.when(F.col("members") >= LARGE, F.col("wide")).otherwise(F.col("bits"))).drop("wide", "members")
     return materialise(rows.repartition(partitions(nodes.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent, each), "tile long, a long, b long"), "jaccard-pairs")
 
 
@@ -364,21 +408,26 @@ def _link(groups: DataFrame, nodes: DataFrame, names: DataFrame, percent: int) -
     rejected = tried.filter("not linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = components(tried.filter("linked"))
     comp = materialise(names.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "jaccard-labels")
-    cells, each = _cells(groups, comp, percent), 16
+    in_order = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("members")).alias("members"), "gid"))), 1, TOP)  # a node's groups: fewer than its shingles
+    tops = materialise(groups.groupBy("node").agg(F.transform(in_order, lambda g: g["gid"]).alias("tops")), "jaccard-tops")
+    cells, each = _cells(groups, comp, tops, percent), PARTNERS
     while not cells.isEmpty():
-        pairs = _compared(cells, comp, rejected, nodes, percent, each)
-        tried = _verified(pairs.filter("a is not null").select("a", "b").distinct(), nodes, percent)
-        rejected = rejected.union(tried.filter("not linked").select("a", "b"))
+        pairs = _compared(cells, comp, tops, nodes, percent, each)
+        fresh = pairs.filter("a is not null").select("a", "b").distinct().join(rejected, ["a", "b"], "left_anti")
+        tried = _verified(fresh, nodes, percent)
+        rejected = materialise(rejected.union(tried.filter("not linked").select("a", "b")), "jaccard-rejected")
         linked = tried.filter("linked")
         if not linked.isEmpty():  # components of components
             ends = [comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
             joined = components(linked.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
             merged = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-            comp = materialise(comp.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "jaccard-labels")
+            before, comp = comp, materialise(comp.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "jaccard-labels")
+            discard(before)
         # A tile all of whose pairs were tried is done; so each round looks at fewer, and at more pairs of each.
         again = pairs.filter("a is null").select("tile").distinct()
         if again.isEmpty():
             break
-        cells = materialise(cells.join(again, "tile", "left_semi"), "jaccard-cells")
-        each *= 8
+        before, cells = cells, materialise(cells.join(again, "tile", "left_semi"), "jaccard-cells")
+        discard(before, pairs)
+        each *= GROWTH
     return comp
