@@ -101,3 +101,39 @@ def test_decode_joins_pieces(spark, library):
 
 def test_bpe_of_an_empty_table(spark):
     assert bpe.encode(documents(spark).limit(0), WORD).count() == 0
+
+
+def test_records_are_read_in_another_order_through_the_index(spark, tmp_path, library):
+    path = str(tmp_path / "r")
+    token_records.write_records(documents(spark), WORD, path, files=3)
+    ordered = {(r.doc_id, r.n_tokens, bytes(r.ids)) for r in token_records.read_records(spark, path).collect()}
+    shuffled = token_records.read_shuffled(spark, path, 7).orderBy("place").collect()
+    assert len(shuffled) == len(TEXTS) + 2 and {(r.doc_id, r.n_tokens, bytes(r.ids)) for r in shuffled} == ordered
+    assert [r.place for r in shuffled] != [r.place for r in token_records.read_shuffled(spark, path, 8).orderBy("place").collect()]
+    index = token_records.read_index(spark, path)
+    twice = index.filter("doc_id = 9").selectExpr("1L AS place", "file", "offset", "size")
+    got = token_records.read_at(spark, path, twice.union(twice)).collect()
+    assert [(r.doc_id, bytes(r.ids)) for r in got] == [(9, array.array("I", library.encode(TEXTS[9], add_special_tokens=False).ids).tobytes())] * 2
+    assert token_records.read_at(spark, path, twice.limit(0)).count() == 0
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_records, "FILE_BYTES", 2000)
+    token_records.write_records(documents(spark), WORD, str(tmp_path / "r"))
+    assert token_records.read_index(spark, str(tmp_path / "r")).select("file").distinct().count() > 4
+
+
+def test_second_run_of_the_query_meets_stored_counts(spark, tmp_path, monkeypatch):
+    import sentencepiece
+
+    from tidemark.llm import queries
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "shared_base", lambda spark: str(tmp_path / "shared"))
+    first = queries.op1_token_counts(spark, str(tmp_path)).collect()
+    entries = spark.read.parquet(str(tmp_path / "shared/token-cache")).count()
+    again = queries.op1_token_counts(spark, str(tmp_path)).collect()
+    assert spark.read.parquet(str(tmp_path / "shared/token-cache")).count() == entries == len({t or "" for t in TEXTS} | {"no id"})
+    want = sorted((i is None, i or 0, len((t or "").encode()), len(lib.encode(t or ""))) for i, t in [(None, "no id"), (1, ""), *enumerate(TEXTS)])
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens) for r in first) == want and sorted(map(str, first)) == sorted(map(str, again))

@@ -36,7 +36,7 @@ class PieceCounter:
         rebuilt = all("".join(self.lib.encode(x, out_type=str)).replace("▁", " ") == " " + x for x in probe if x.isascii())
         # No piece joins a character to a space that follows it, and spaces are kept: words can be encoded one by one.
         self.by_word = rebuilt and not any(re.search("[^▁]▁", p) for p in pieces)
-        self.seen: dict[str, int] = {}
+        self.seen = Remembered(lambda word: len(self.lib.encode(word)))
 
     def count(self, text: str) -> int:
         if not text:
@@ -44,15 +44,21 @@ class PieceCounter:
         words = text.split(" ")
         if not self.by_word or "▁" in text or "" in words:
             return len(self.lib.encode(text))
-        seen, total = self.seen, 0
-        for word in words:
-            n = seen.get(word)
-            if n is None:
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen[word] = n = len(self.lib.encode(word))
-            total += n
-        return total
+        return sum(map(self.seen.__getitem__, words))
+
+
+class Remembered(dict):
+    """What a function gives for each key, remembered for a bounded number of keys."""
+
+    def __init__(self, of, most: int = REMEMBERED):
+        super().__init__()
+        self.of, self.most = of, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value = self.of(key)
+        return value
 
 
 #: The shape of tokenizer file for which white space always separates tokens.
@@ -88,8 +94,8 @@ class WordEncoder:
         self.kind = "H" if self.size <= 1 << 16 else "I"
         self.joined = shape.get("decoder") is None
         self.pieces = None
-        self.seen: dict[bytes, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.seen = Remembered(self.word)
+        self.bare = Remembered(self._library)
 
     def _library(self, word: str) -> bytes:
         return array.array(self.kind, self.lib.encode(word, add_special_tokens=False).ids).tobytes()
@@ -97,35 +103,18 @@ class WordEncoder:
     #: A Latin word of letters, then marks that the tokenizer keeps as one run.
     _simple = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#*$%&]*)")
 
-    def _bare(self, word: str) -> bytes:
-        ids = self.bare.get(word)
-        if ids is None:
-            if len(self.bare) >= REMEMBERED:
-                self.bare.clear()
-            self.bare[word] = ids = self._library(word)
-        return ids
-
     def word(self, word: bytes) -> bytes:
         """Ids of one piece without ASCII white space."""
         text = word.decode("utf-8")
         m = self._simple.fullmatch(text)
         if m is None:
             return self._library(text)
-        return self._bare(m[1].lower()) + (self._bare(m[2]) if m[2] else b"")
+        return self.bare[m[1].lower()] + (self.bare[m[2]] if m[2] else b"")
 
     def ids(self, text: bytes) -> bytes:
         if not self.by_word:
             return self._library(text.decode("utf-8"))
-        words = text.split()
-        seen = self.seen
-        new = {w for w in words if w not in seen}
-        if new:
-            if len(seen) + len(new) > REMEMBERED:
-                seen.clear()
-                new = set(words)
-            for w in new:
-                seen[w] = self.word(w)
-        return b"".join([seen[w] for w in words])
+        return b"".join(map(self.seen.__getitem__, text.split()))
 
     def decode(self, ids: array.array) -> str:
         """The text that the library's decode(ids, skip_special_tokens=False) gives."""

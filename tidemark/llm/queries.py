@@ -8,15 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold_of, shared_dir, table, whole
+from .shared import fold_of, shared_base, shared_dir, table, whole
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), shared_dir(spark, "token-cache"))
-    return counted.select("doc_id", F.octet_length(whole()).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(whole()).cast("long").alias("n_bytes"))
+    counted = token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), f"{shared_base(spark)}/token-cache")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

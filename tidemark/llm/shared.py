@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under the folder that driver and executors share (`spark.checkpoint.dir`).
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share, `spark.checkpoint.dir`.
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder takes its place.
+    Only in local mode, as in tests on one machine, may the setting be absent: then a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _local_base()
+    return base.rstrip("/")
+
+
+@cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -32,6 +32,8 @@ from .shared import partitions, texts_of, whole
 MASK_DELTA = 0xA282EAD8
 HEAD, META = "<QI", "<BqB"
 HEAD_SIZE, META_SIZE = struct.calcsize(HEAD), struct.calcsize(META)
+#: Text bytes of a file, about; a reader holds a file at a time.
+FILE_BYTES = 64 << 20
 RECORD = "doc_id long, file string, offset long, size long, n_tokens long, local_start long, ids binary"
 
 
@@ -79,19 +81,26 @@ def _to_records(version: str, model, end_id: int | None):
     return run
 
 
+def _parts(payload) -> tuple[int | None, int, bytes]:
+    """Id, width of a token id and the ids' bytes of a payload."""
+    null, doc, width = struct.unpack_from(META, payload, 0)
+    return (None if null else doc), width, bytes(payload[META_SIZE:])
+
+
+def _wide(width: int, body: bytes) -> bytes:
+    return array.array("I", array.array("H", body)).tobytes() if width == 2 else body
+
+
 def _from_files(with_ids: bool):
     def run(batches):
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 rows, start, size = [], 0, 0
                 for at, payload in frames(content.as_buffer().to_pybytes()):
-                    null, doc, width = struct.unpack_from(META, payload, 0)
-                    body = bytes(payload[META_SIZE :])
+                    doc, width, body = _parts(payload)
                     n = len(body) // width
-                    wide = b""
-                    if with_ids:
-                        wide = array.array("I", array.array("H", body)).tobytes() if width == 2 else body
-                    rows.append((None if null else doc, path, at, HEAD_SIZE + len(payload) + 5, n, start, wide))
+                    wide = _wide(width, body) if with_ids else b""
+                    rows.append((doc, path, at, HEAD_SIZE + len(payload) + 5, n, start, wide))
                     start += n
                     size += len(wide) + 64
                     if size > 16 << 20:
@@ -115,14 +124,18 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, id: str = "doc_id"
     """Encode every whole text and write the records under `path`/data in ascending order of id, and the index under `path`/index.
 
     Null text is encoded as the empty text; null ids come first; rows with equal ids are ordered by their text. An empty table
-    gives an empty folder. `files` defaults to the session's number of shuffle partitions; texts, which are smaller than their
-    ids, are what is shuffled.
+    gives an empty folder. Very long texts are one record each. Other columns are not read. `files` defaults to the session's
+    number of shuffle partitions, or more, so that a file comes to about FILE_BYTES of text; texts, which are smaller than
+    their ids, are what is shuffled.
     """
     spark = docs.sparkSession
     data, version = file_bytes(tokenizer)
     model = spark.sparkContext.broadcast(data)
     rows = docs.select(F.col(id).cast("long").alias("id"), whole(text).alias("text"))
-    ordered = rows.repartitionByRange(files or partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    if files is None:
+        total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
+        files = max(partitions(spark), -(-total // FILE_BYTES))
+    ordered = rows.repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     records = ordered.mapInArrow(_to_records(version, model, end_id), "record binary")
     # The text writer puts a row's bytes out as they are; its line separator is the end byte of the format.
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
@@ -153,3 +166,38 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     small = starts.count() <= BROADCAST_FILES
     rows = read_files(spark, path).join(F.broadcast(starts) if small else starts, "file")
     return rows.select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+
+
+def _from_slices(batches):
+    for b in batches:
+        rows = []
+        for place, record in zip(b.column("place").to_pylist(), b.column("record").to_pylist(), strict=True):
+            (_, payload), *more = frames(record)
+            if more:
+                raise ValueError("the index does not fit the files")
+            doc, width, body = _parts(payload)
+            rows.append((place, doc, len(body) // width, _wide(width, body)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["place", "doc_id", "n_tokens", "ids"])
+
+
+def read_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """place, doc_id, n_tokens and ids of the records at the rows of `places`: file, offset and size as in the index, and place,
+    a number by which the caller orders them.
+
+    Only files that hold such a record are opened, and only their records are cut out and checked. Repeated places give repeated
+    rows; no places give an empty result.
+    """
+    wanted = places.select(*[F.col(c) for c in ("place", "file", "offset", "size")])
+    files = [r["file"] for r in wanted.select("file").distinct().toLocalIterator()]  # names of files, few beside their records
+    if not files:
+        return spark.createDataFrame([], "place long, doc_id long, n_tokens long, ids binary")
+    content = spark.read.format("binaryFile").load(files).select(F.col("path").alias("file"), "content")
+    cut = content.join(wanted, "file").select("place", F.expr("substring(content, int(offset) + 1, int(size))").alias("record"))
+    return cut.mapInArrow(_from_slices, "place long, doc_id long, n_tokens long, ids binary")
+
+
+def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
+    """Every record once, with its place in an order that the seed decides."""
+    index = read_index(spark, path)
+    return read_at(spark, path, index.withColumn("place", F.xxhash64("file", "offset", F.lit(seed))))
