@@ -26,13 +26,16 @@ from pyspark.sql import functions as F
 from .shared import WordHashes, block_shingles, discard, materialise, mix, partitions, runs, split_blocks, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, whole
 
 #: Shingles that the order puts last, at most: a bound for what is broadcast.
-COMMON = 1 << 17
+COMMON = 1 << 18
+#: Shingles that a task holds while it counts them.
+COUNTED = 2_000_000
 #: Nodes up to which the list of nodes with partners is broadcast; beyond, it is joined by shuffling.
 BROADCAST_NODES = 1_000_000
 #: Nodes of a tile.
 TILE = 512
-#: Bits of a bitmap for each shingle, at least: in groups of fewer than LARGE nodes, and in others, where pairs are many.
-BITS, WIDE, LARGE = 2, 16, 64
+#: Bits of a bitmap for each shingle, at least: in the first rounds, and in those after, where few nodes are left, each with many
+#: partners that shorter bitmaps allow.
+BITS, WIDE = 2, 16
 #: Groups of a node that go with it to the tiles, the largest ones.
 TOP = 4
 #: Partners of a component that a tile proposes in the first round; each later round proposes GROWTH times as many.
@@ -42,17 +45,27 @@ BLOCK = 1 << 20
 
 
 def _counts(width: int):
+    """Shingles that occur in two or more texts of each few thousand, with their counts there."""
+
     def run(batches):
-        hashes = WordHashes()
+        hashes, held, size = WordHashes(), [], 0
         for (texts,) in split_blocks(batches, ["text"], BLOCK):
-            _, found = block_shingles(texts, hashes, width)
-            values, n = np.unique(found, return_counts=True)
-            many = n >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(n[many])], ["hash", "n"])
+            held.append(block_shingles(texts, hashes, width)[1])
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield _repeated(held)
+                held, size = [], 0
+        if held:
+            yield _repeated(held)
 
     return run
 
 
+def _repeated(found: list[np.ndarray]) -> pa.RecordBatch:
+    values, n = np.unique(np.concatenate(found), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(values[n >= 2].view(np.int64)), pa.array(n[n >= 2])], ["hash", "n"])
+
+
 def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     """Shingles that are frequent in an eighth of the texts, ascending, at most COMMON."""
     part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(8)) == 0)
@@ -167,9 +180,11 @@ def _sets(width: int):
         for ids, texts in split_blocks(batches, ["id", "text"], BLOCK):
             n, found = block_shingles(texts, hashes, width)
             nodes, ends = _nodes(n, found), np.cumsum(n)
+            first = np.zeros(len(n), bool)  # of equal sets of a block one carries its shingles
+            first[np.unique(nodes, return_index=True)[1]] = True
             for s in range(0, len(n), 500):
                 e = min(s + 500, len(n))
-                parts = [found[ends[i] - n[i] : ends[i]] for i in range(s, e)]
+                parts = [found[ends[i] - n[i] : ends[i]] if first[i] else found[:0] for i in range(s, e)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[s:e], pa.int64()),
@@ -177,9 +192,8 @@ def _sets(width: int):
                         pa.array(n[s:e]),
                         pa.array([squeeze_sorted(p) if len(p) else None for p in parts], pa.binary()),
                         pa.array([bitmap(p, BITS) if len(p) else None for p in parts], pa.binary()),
-                        pa.array([bitmap(p, WIDE) if len(p) else None for p in parts], pa.binary()),
                     ],
-                    ["id", "node", "n", "hashes", "bits", "wide"],
+                    ["id", "node", "n", "hashes", "bits"],
                 )
 
     return run
@@ -314,15 +328,15 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     needed = groups.select("node").distinct().withColumn("needed", F.lit(True))
     if needed.count() <= BROADCAST_NODES:
         needed = F.broadcast(needed)
-    sets = rows.mapInArrow(_sets(width), "id long, node long, n long, hashes binary, bits binary, wide binary").join(needed, "node", "left")
-    sets = materialise(sets.select("id", "node", "n", F.when(F.col("needed"), F.col("hashes")).alias("hashes"), *[F.when(F.col("needed"), F.col(c)).alias(c) for c in ("bits", "wide")], F.monotonically_increasing_id().alias("row")), "jaccard-sets")
+    sets = rows.mapInArrow(_sets(width), "id long, node long, n long, hashes binary, bits binary").join(needed, "node", "left")
+    sets = materialise(sets.select("id", "node", "n", *[F.when(F.col("needed"), F.col(c)).alias(c) for c in ("hashes", "bits")], F.monotonically_increasing_id().alias("row")), "jaccard-sets")
     # Of rows with equal sets one stands for the node; by its row number the others are left out of every join without a second
     # table of sets.
     kept = sets.filter(F.col("hashes").isNotNull())
     chosen = materialise(kept.groupBy("node").agg(F.min("row").alias("row")), "jaccard-chosen")
     groups = materialise(groups.join(_few(chosen, chosen.count()), "node").select("gid", F.col("row").alias("node"), "n", "members"), "jaccard-groups")
     discard(named)
-    nodes = kept.select(F.col("row").alias("node"), "n", "hashes", "bits", "wide")
+    nodes = kept.select(F.col("row").alias("node"), "n", "hashes", "bits")
     found = _link(groups, nodes, chosen.select(F.col("row").alias("node")), percent)
     names = chosen.select(F.col("row").alias("comp"), F.col("node").alias("comp_node"))
     labels = found.withColumnRenamed("node", "row").join(chosen, "row").join(names, "comp").select("node", F.col("comp_node").alias("comp"))
@@ -365,7 +379,7 @@ def _star(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _cells(groups: DataFrame, comp: DataFrame, tops: DataFrame, percent: int) -> DataFrame:
-    """gid, tile, side, node, n, members of the groups whose nodes are in different components: nodes of like size, at most TILE on a side."""
+    """gid, tile, side, node, n of the groups whose nodes are in different components: nodes of like size, at most TILE on a side."""
     labelled = groups.join(comp, "node").join(tops.select("node", F.col("tops")[0].alias("top")), "node")
     # A group all of whose nodes have one larger group in common is left to that one.
     part = (F.min("top") == F.max("top")) & (F.min("top") != F.col("gid"))
@@ -386,19 +400,25 @@ def _cells(groups: DataFrame, comp: DataFrame, tops: DataFrame, percent: int) ->
     own = F.transform(upto("parts"), lambda q: tile(band, F.least(part, q), band, F.greatest(part, q), F.when(part == q, 2).when(part < q, 0).otherwise(1)))
     up = F.when(F.col("above").isNotNull(), F.transform(upto("above"), lambda q: tile(band, part, band + 1, q, F.lit(0))))
     down = F.when(F.col("below").isNotNull(), F.transform(upto("below"), lambda q: tile(band - 1, q, band, part, F.lit(1))))
-    cells = dealt.select("gid", "node", "n", "members", F.explode(F.concat(own, F.coalesce(up, F.array()), F.coalesce(down, F.array()))).alias("t"))
-    cells = cells.select("gid", F.xxhash64("gid", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side", "node", "n", "members")
+    cells = dealt.select("gid", "node", "n", F.explode(F.concat(own, F.coalesce(up, F.array()), F.coalesce(down, F.array()))).alias("t"))
+    cells = cells.select("gid", F.xxhash64("gid", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side", "node", "n")
     both = cells.groupBy("tile").agg((F.bool_or(F.col("side") != 1) & F.bool_or(F.col("side") != 0) & (F.count("*") > 1)).alias("both")).filter("both").select("tile")
     found = materialise(cells.join(both, "tile", "left_semi"), "jaccard-cells")
     discard(open_groups)
     return found
 
 
+def _wide(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([bitmap(unsqueeze_sorted(x), WIDE) for x in b.column("hashes").to_pylist()], pa.binary())], ["node", "bits"])
+
+
 def _compared(cells: DataFrame, comp: DataFrame, tops: DataFrame, nodes: DataFrame, percent: int, each: int) -> DataFrame:
     """tile, a, b: pairs of a tile's sides that are in different components and may link by their bitmaps."""
     wanted = cells.select("node").distinct()
-    bits = nodes.select("node", "bits", "wide").join(_few(wanted, wanted.count()), "node", "left_semi").join(comp, "node").join(tops, "node")
-    rows = cells.join(bits, "node").withColumn("bits", F.when(F.col("members") >= LARGE, F.col("wide")).otherwise(F.col("bits"))).drop("wide", "members")
+    wanted = nodes.join(_few(wanted, wanted.count()), "node", "left_semi")
+    bits = wanted.select("node", "bits") if each == PARTNERS else wanted.select("node", "hashes").mapInArrow(_wide, "node long, bits binary")
+    rows = cells.join(bits.join(comp, "node").join(tops, "node"), "node")
     return materialise(rows.repartition(partitions(nodes.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent, each), "tile long, a long, b long"), "jaccard-pairs")
 
 
