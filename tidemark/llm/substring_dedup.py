@@ -229,21 +229,33 @@ def _kept_runs(ok: np.ndarray, score: np.ndarray, held: np.ndarray, t: int) -> n
     return kept
 
 
+def _run_sets(at: np.ndarray, size: int, t: int) -> np.ndarray:
+    """For rows of shingle numbers below `size`, which numbers each run of t holds."""
+    marks = np.zeros((len(at), at.shape[1] + 1, size), np.uint8)
+    marks[np.arange(len(at))[:, None], np.arange(at.shape[1])[None, :] + 1, at] = 1
+    np.cumsum(marks, axis=1, dtype=np.uint8, out=marks)
+    return (marks[:, t:] != marks[:, :-t]).astype(np.float32)
+
+
 def _similar_sets(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """What _similar gives, for one pair of contexts in which shingles may occur more than once."""
-    _, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-    n, size = len(x) - t + 1, int(at.max()) + 1
-    sets = np.zeros((2, n, size), np.float32)
-    for side, row in enumerate((at[: len(x)], at[len(x) :])):
-        for s in range(n):
-            sets[side, s, row[s : s + t]] = 1
-    whole_x, whole_y = (np.lib.stride_tricks.sliding_window_view(v > 0, t).all(axis=1) for v in (x, y))
-    common = sets[0] @ sets[1].T
-    union = sets[0].sum(1)[:, None] + sets[1].sum(1)[None, :] - common
-    ok = (100 * common >= percent * union) & whole_x[:, None] & whole_y[None, :]
+    """What _similar gives, for pairs of contexts in which shingles may occur more than once."""
+    both = np.concatenate([x, y], axis=1)
+    order = np.argsort(both, axis=1)
+    ordered = np.take_along_axis(both, order, 1)
+    at = np.empty_like(order)  # numbers within the pair, in the order of the shingles
+    np.put_along_axis(at, order, np.cumsum(np.pad(ordered[:, 1:] != ordered[:, :-1], ((0, 0), (1, 0))), axis=1), 1)
+    size, m = int(at.max()) + 1, x.shape[1]
+    of_x, of_y = _run_sets(at[:, :m], size, t), _run_sets(at[:, m:], size, t)
+    whole_x, whole_y = (np.lib.stride_tricks.sliding_window_view(v > 0, t, axis=1).all(axis=2) for v in (x, y))
+    common = of_x @ of_y.transpose(0, 2, 1)
+    union = of_x.sum(2)[:, :, None] + of_y.sum(2)[:, None, :] - common
+    ok = (100 * common >= percent * union) & whole_x[:, :, None] & whole_y[:, None, :]
     score = np.where(ok, common / union, 0)
-    held_x, held_y = (x > 0) & np.isin(x, y), (y > 0) & np.isin(y, x)
-    return tuple(_kept_runs(o.any(1)[None], v.max(1)[None], h[None], t)[0] for o, v, h in ((ok, score, held_x), (ok.T, score.T, held_y)))
+    held = np.zeros((2, len(x), size), bool)
+    held[0, np.arange(len(x))[:, None], at[:, :m]] = True
+    held[1, np.arange(len(x))[:, None], at[:, m:]] = True
+    held_x, held_y = (x > 0) & np.take_along_axis(held[1], at[:, :m], 1), (y > 0) & np.take_along_axis(held[0], at[:, m:], 1)
+    return _kept_runs(ok.any(2), score.max(2), held_x, t), _kept_runs(ok.any(1), score.max(1), held_y, t)
 
 
 def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -254,8 +266,9 @@ def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.n
     starts = m - t + 1
     out = np.zeros((n, starts), bool), np.zeros((n, starts), bool)
     slow = np.flatnonzero(_repeating(x) | _repeating(y) if repeating is None else repeating)
-    for k in slow.tolist():
-        out[0][k], out[1][k] = _similar_sets(x[k], y[k], t, percent)
+    for k in range(0, len(slow), 64):
+        rows = slow[k : k + 64]
+        out[0][rows], out[1][rows] = _similar_sets(x[rows], y[rows], t, percent)
     fast = np.ones(n, bool)
     fast[slow] = False
     need = -(-2 * percent * t // (100 + percent))
@@ -319,6 +332,12 @@ def _labels(keys: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndar
     return numbers, shared, prints
 
 
+def _distinct_in(rows: np.ndarray) -> np.ndarray:
+    """How many different numbers from 2 on each row holds."""
+    x = np.sort(rows, axis=1)
+    return (x > 1).sum(1) - ((x[:, 1:] == x[:, :-1]) & (x[:, 1:] > 1)).sum(1)
+
+
 def _signatures(labels: np.ndarray) -> np.ndarray:
     """A bitmap of 256 bits for each row, of its labels from 2 on."""
     bits = np.zeros((len(labels), 256), bool)
@@ -366,13 +385,26 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
     numbers, labels = numbers[order[new]], labels[order[new]]
     repeating, centres = _repeating(shingles[order[new]]), keys[order[new]]
     found = np.full((len(new), t), never)
+    # Shingles that a run must share with its partner. Runs with repeats are smaller sets, so they and their partners need fewer.
+    _, at = np.unique(centres, return_inverse=True)
+    need = np.where(np.bincount(at, weights=repeating)[at] > 0 if len(at) else False, -(-percent * t // 100), need)
     # A class with too few shared shingles reaches no threshold; sets with repeats are judged by their distinct shingles.
     able = np.flatnonzero(((labels > 1).sum(1) >= need) | repeating)
     bits = _signatures(labels[able])
+    # The least that any run of a class must share, in distinct shingles.
+    distinct, least_shared = (labels > 1).sum(1), need.copy()
+    twice = np.flatnonzero(repeating)
+    if len(twice):
+        distinct[twice] = _distinct_in(labels[twice])
+        runs_of = np.lib.stride_tricks.sliding_window_view(labels[twice], t, axis=1)
+        for k in range(0, len(twice), 256):
+            part = runs_of[k : k + 256]
+            fewest = np.where((part > 0).all(2), _distinct_in(part.reshape(-1, t)).reshape(part.shape[:2]), t).min(1)
+            least_shared[twice[k : k + 256]] = -(-percent * fewest // 100)
     # Runs with too many shingles that nobody has need no partner; a class all of whose other runs have one is done.
     inside = np.lib.stride_tricks.sliding_window_view(labels > 0, t, axis=1).all(axis=2)
     held = np.cumsum(np.pad(labels > 1, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
-    possible = inside & ((held[:, t:] - held[:, :-t] >= need) | repeating[:, None])
+    possible = inside & ((held[:, t:] - held[:, :-t] >= need[:, None]) | repeating[:, None])
     done = ~possible.any(1)
     cuts = np.flatnonzero(np.r_[True, np.diff(centres[able]) != 0]) if len(able) else np.zeros(0, np.int64)
     for i, j in _pairs(np.diff(np.r_[cuts, len(able)])):
@@ -381,7 +413,7 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
         a, b = able[i], able[j]
         # Each shingle of one side whose bit the other lacks is foreign.
         foreign = np.bitwise_count(bits[i] & ~bits[j]).sum(1)
-        ok = ((labels[a] > 1).sum(1) - foreign >= need) | repeating[a] | repeating[b]
+        ok = distinct[a] - foreign >= np.maximum(least_shared[a], least_shared[b])
         ok &= np.where(a == b, several[a], several[a] | several[b] | (one[a] != one[b]))
         a, b = a[ok], b[ok]
         for s in range(0, len(a), 4096):
