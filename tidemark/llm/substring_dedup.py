@@ -314,22 +314,24 @@ def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.n
     return out
 
 
-def _labels(keys: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles as numbers from 3 on, 0 outside the text; the same with 1 for those that no other window of the centre has, as
-    they agree with nothing; and for each window a hash of these and of its centre. Rows that hold a shingle twice keep all."""
+def _labels(keys: np.ndarray, docs: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles as numbers from 3 on, 0 outside the text; the same with 1 for those that no other document's window of the centre
+    has, as they agree with nothing; for each window a hash of these and of its centre; and which shingles other documents have.
+    Rows that hold a shingle twice keep all."""
     _, at = np.unique(np.where(shingles > 0, mix(shingles ^ mix(keys)[:, None]), 0), return_inverse=True)
     at = at.reshape(shingles.shape).astype(np.int32)
-    ordered = np.sort(at, axis=1)
-    once = np.ones(at.shape, bool)
-    once[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-    windows_of = np.bincount(ordered[once])
+    lowest, highest = np.full(int(at.max(initial=0)) + 1, np.iinfo(np.int64).max), np.full(int(at.max(initial=0)) + 1, -1)
+    of = np.repeat(docs, shingles.shape[1])
+    np.minimum.at(lowest, at.ravel(), of)
+    np.maximum.at(highest, at.ravel(), of)
+    common = (shingles > 0) & (lowest < highest)[at]
     numbers = np.where(shingles == 0, 0, at + 3).astype(np.int32)
-    shared = np.where((numbers > 0) & (windows_of[at] == 1) & ~_repeating(shingles)[:, None], 1, numbers)
+    shared = np.where((numbers > 0) & ~common & ~_repeating(shingles)[:, None], 1, numbers)
     prints = mix(keys)
     with np.errstate(over="ignore"):
         for k in range(shared.shape[1]):
             prints = mix(prints + shared[:, k].astype(np.uint64))
-    return numbers, shared, prints
+    return numbers, shared, prints, common
 
 
 def _distinct_in(rows: np.ndarray) -> np.ndarray:
@@ -372,7 +374,7 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
     tried that have shingles enough in common."""
     never, need = np.iinfo(np.int64).max, -(-2 * percent * t // (100 + percent))
     shingles = _shingles(contexts)
-    numbers, labels, prints = _labels(keys, shingles)
+    numbers, labels, prints, common = _labels(keys, docs, shingles)
     # Classes of a centre stand in the order of their least ids, so that the first partner found for a run has the least id.
     _, at = np.unique(mix(prints ^ mix(keys)), return_inverse=True)
     lowest = np.full(int(at.max(initial=-1)) + 1, never)
@@ -382,7 +384,7 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
     kind = np.empty(len(keys), np.int64)  # for each window, its class
     kind[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
     least, one, several = np.minimum.reduceat(ids[order], new), docs[order[new]], docs[order[new]] != docs[order[np.r_[new[1:], len(order)] - 1]]
-    numbers, labels = numbers[order[new]], labels[order[new]]
+    numbers, labels, common = numbers[order[new]], labels[order[new]], common[order[new]]
     repeating, centres = _repeating(shingles[order[new]]), keys[order[new]]
     found = np.full((len(new), t), never)
     # Shingles that a run must share with its partner. Runs with repeats are smaller sets, so they and their partners need fewer.
@@ -391,20 +393,20 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
     # A class with too few shared shingles reaches no threshold; sets with repeats are judged by their distinct shingles.
     able = np.flatnonzero(((labels > 1).sum(1) >= need) | repeating)
     bits = _signatures(labels[able])
-    # The least that any run of a class must share, in distinct shingles.
-    distinct, least_shared = (labels > 1).sum(1), need.copy()
-    twice = np.flatnonzero(repeating)
-    if len(twice):
-        distinct[twice] = _distinct_in(labels[twice])
-        runs_of = np.lib.stride_tricks.sliding_window_view(labels[twice], t, axis=1)
-        for k in range(0, len(twice), 256):
-            part = runs_of[k : k + 256]
-            fewest = np.where((part > 0).all(2), _distinct_in(part.reshape(-1, t)).reshape(part.shape[:2]), t).min(1)
-            least_shared[twice[k : k + 256]] = -(-percent * fewest // 100)
     # Runs with too many shingles that nobody has need no partner; a class all of whose other runs have one is done.
     inside = np.lib.stride_tricks.sliding_window_view(labels > 0, t, axis=1).all(axis=2)
     held = np.cumsum(np.pad(labels > 1, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
-    possible = inside & ((held[:, t:] - held[:, :-t] >= need[:, None]) | repeating[:, None])
+    possible = inside & (held[:, t:] - held[:, :-t] >= need[:, None])
+    # The least that any such run of a class must share, in distinct shingles.
+    distinct, least_shared = (labels > 1).sum(1), need.copy()
+    twice = np.flatnonzero(repeating)
+    for part in np.split(twice, range(256, len(twice), 256)):
+        runs_of = np.lib.stride_tricks.sliding_window_view(labels[part], t, axis=1)
+        others = np.lib.stride_tricks.sliding_window_view(np.where(common[part], labels[part], 0), t, axis=1)
+        kinds, shared = (_distinct_in(v.reshape(-1, t)).reshape(v.shape[:2]) for v in (runs_of, others))
+        possible[part] = inside[part] & (100 * shared >= percent * kinds)
+        distinct[part] = _distinct_in(labels[part])
+        least_shared[part] = -(-percent * np.where(possible[part], kinds, t).min(1, initial=t) // 100)
     done = ~possible.any(1)
     cuts = np.flatnonzero(np.r_[True, np.diff(centres[able]) != 0]) if len(able) else np.zeros(0, np.int64)
     for i, j in _pairs(np.diff(np.r_[cuts, len(able)])):
@@ -416,16 +418,20 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
         ok = distinct[a] - foreign >= np.maximum(least_shared[a], least_shared[b])
         ok &= np.where(a == b, several[a], several[a] | several[b] | (one[a] != one[b]))
         a, b = a[ok], b[ok]
-        for s in range(0, len(a), 4096):
-            p, q = a[s : s + 4096], b[s : s + 4096]
+        for s in range(0, len(a), 1024):
+            p, q = a[s : s + 1024], b[s : s + 1024]
+            on = ~(done[p] & done[q])
+            p, q = p[on], q[on]
+            if not len(p):
+                continue
             twice = repeating[p] | repeating[q]
             x = np.where(twice[:, None], numbers[p], labels[p])
             y = np.where(twice[:, None], numbers[q], labels[q] + (labels[q] == 1))  # 1 and 2 agree with nothing
             for to, of, hit in zip((p, q), (q, p), _similar(x, y, t, percent, twice), strict=True):
                 some = np.flatnonzero(hit.any(1))
                 np.minimum.at(found, to[some], np.where(hit[some], least[of[some]][:, None], never))
-        seen = np.unique(np.concatenate([a, b]))
-        done[seen] |= ~(possible[seen] & (found[seen] == never)).any(1)
+            seen = np.unique(np.concatenate([p, q]))
+            done[seen] |= ~(possible[seen] & (found[seen] == never)).any(1)
     first = found[kind]
     return np.where(first < never, np.minimum(first, ids[:, None]), never)
 
