@@ -86,7 +86,7 @@ def test_bitmaps_bound_the_overlap():
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
     for n, m, common in ((200, 220, 150), (900, 300, 280), (40, 40, 0)):
         a, b = np.sort(pool[:n]), np.sort(pool[n - common : n - common + m])
-        x, y = (np.frombuffer(jaccard_join.bitmap(s), np.uint64) for s in (a, b))
+        x, y = (np.frombuffer(jaccard_join.bitmap(s, 2), np.uint64) for s in (a, b))
         words = min(len(x), len(y))
         bound = jaccard_join.overlap_bounds(jaccard_join.folded(x, words)[None], np.array([n]), jaccard_join.folded(y, words)[None], np.array([m]))
         assert common <= bound[0, 0] <= min(n, m)

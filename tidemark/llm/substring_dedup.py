@@ -334,6 +334,25 @@ def _labels(keys: np.ndarray, docs: np.ndarray, shingles: np.ndarray) -> tuple[n
     return numbers, shared, prints, common
 
 
+def _set_prints(numbers: np.ndarray, t: int) -> np.ndarray:
+    """For each run of t numbers of each row, a hash of the set of its numbers."""
+    order = np.argsort(numbers, axis=1, kind="stable")
+    ordered = np.take_along_axis(numbers, order, 1)
+    before = np.pad(np.where(ordered[:, 1:] == ordered[:, :-1], order[:, :-1], -1), ((0, 0), (1, 0)), constant_values=-1)
+    last = np.empty_like(before)  # the place before at which the same number stands
+    np.put_along_axis(last, order, before, 1)
+    values, places = (np.lib.stride_tricks.sliding_window_view(v, t, axis=1) for v in (mix(numbers.astype(np.uint64)), last))
+    return np.where(places < np.arange(values.shape[1])[None, :, None], values, np.uint64(0)).sum(2, dtype=np.uint64)
+
+
+def _run_signatures(labels: np.ndarray, t: int) -> np.ndarray:
+    """The bitmap of _signatures for each run of t labels of each row."""
+    bit = (mix(labels.astype(np.uint64)) >> np.uint64(56)).astype(np.int64)
+    words = np.zeros((*labels.shape, 4), np.uint64)
+    np.put_along_axis(words, (bit >> 6)[:, :, None], np.where(labels > 1, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0))[:, :, None], 2)
+    return np.bitwise_or.reduce(np.lib.stride_tricks.sliding_window_view(words, t, axis=1), axis=3)
+
+
 def _distinct_in(rows: np.ndarray) -> np.ndarray:
     """How many different numbers from 2 on each row holds."""
     x = np.sort(rows, axis=1)
@@ -345,7 +364,7 @@ def _signatures(labels: np.ndarray) -> np.ndarray:
     bits = np.zeros((len(labels), 256), bool)
     row, at = np.nonzero(labels > 1)
     bits[row, (mix(labels[row, at].astype(np.uint64)) >> np.uint64(56)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
 def _pairs(sizes: np.ndarray, most: int = 20_000):
@@ -400,14 +419,42 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
     # The least that any such run of a class must share, in distinct shingles.
     distinct, least_shared = (labels > 1).sum(1), need.copy()
     twice = np.flatnonzero(repeating)
+    place, kinds_of, run_bits = np.full(len(new), -1), [], []
+    place[twice] = np.arange(len(twice))
     for part in np.split(twice, range(256, len(twice), 256)):
         runs_of = np.lib.stride_tricks.sliding_window_view(labels[part], t, axis=1)
         others = np.lib.stride_tricks.sliding_window_view(np.where(common[part], labels[part], 0), t, axis=1)
         kinds, shared = (_distinct_in(v.reshape(-1, t)).reshape(v.shape[:2]) for v in (runs_of, others))
         possible[part] = inside[part] & (100 * shared >= percent * kinds)
+        kinds_of.append(kinds)
+        run_bits.append(_run_signatures(labels[part], t))
         distinct[part] = _distinct_in(labels[part])
         least_shared[part] = -(-percent * np.where(possible[part], kinds, t).min(1, initial=t) // 100)
-    done = ~possible.any(1)
+    # Runs with repeats whose sets are equal are alike without a comparison.
+    if len(twice):
+        prints = np.concatenate([mix(_set_prints(numbers[part], t) ^ centres[part][:, None]) for part in np.split(twice, range(256, len(twice), 256))])
+        row, run = np.nonzero(possible[twice])
+        kinds, at = np.unique(prints[row, run], return_inverse=True)
+        lowest, highest, id_of, many = np.full(len(kinds), never), np.full(len(kinds), -1), np.full(len(kinds), never), np.zeros(len(kinds), bool)
+        np.minimum.at(lowest, at, one[twice[row]])
+        np.maximum.at(highest, at, one[twice[row]])
+        np.minimum.at(id_of, at, least[twice[row]])
+        np.logical_or.at(many, at, several[twice[row]])
+        found[twice[row], run] = np.where(many | (lowest < highest), id_of, never)[at]
+    done = ~(possible & (found == never)).any(1)
+    kinds_of, run_bits = np.concatenate(kinds_of), np.concatenate(run_bits)
+    all_bits = np.zeros((len(new), bits.shape[1]), np.uint64)
+    all_bits[able] = bits
+
+    def wanting(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether a run of p without a partner may have one in q, by what of the run q's bitmap lacks."""
+        out = ~done[p]
+        on = np.flatnonzero(out & repeating[p])
+        at, runs_left = place[p[on]], possible[p[on]] & (found[p[on]] == never)
+        foreign = np.bitwise_count(run_bits[at] & ~all_bits[q[on]][:, None, :]).sum(2)
+        out[on] = (runs_left & (100 * (kinds_of[at] - foreign) >= percent * kinds_of[at])).any(1)
+        return out
+
     cuts = np.flatnonzero(np.r_[True, np.diff(centres[able]) != 0]) if len(able) else np.zeros(0, np.int64)
     for i, j in _pairs(np.diff(np.r_[cuts, len(able)])):
         on = ~(done[able[i]] & done[able[j]])
@@ -422,6 +469,10 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
             p, q = a[s : s + 1024], b[s : s + 1024]
             on = ~(done[p] & done[q])
             p, q = p[on], q[on]
+            on = ~(repeating[p] | repeating[q])
+            mixed = np.flatnonzero(~on)
+            on[mixed] = wanting(p[mixed], q[mixed]) | wanting(q[mixed], p[mixed])
+            p, q = p[on], q[on]
             if not len(p):
                 continue
             twice = repeating[p] | repeating[q]
