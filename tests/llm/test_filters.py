@@ -169,3 +169,11 @@ def test_extract_keeps_columns(spark):
     got = {r.page_id: r for r in html_extract.extract(pages).collect()}
     assert got[1].n_chars == len(got[1].text) > 0 and (got[2].text, got[2].n_chars, got[2].url) == ("", 0, "v")
     assert html_extract.extract(pages.filter(F.lit(False))).count() == 0
+
+
+def test_words_of_any_length_become_entries(spark):
+    word = "abcdefghij" * 9
+    rows = [(i, f"a plain text {'with ' + word if i % 2 else 'of nothing'} number {i}", i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lexicon = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert word in lexicon.weights

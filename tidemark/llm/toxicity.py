@@ -36,8 +36,6 @@ _SUBSTITUTED = re.compile("[0-9@$!€£]")
 STEMS = (4, 5, 6, 7)
 #: Labelled rows that the lexicon and the curve are fitted on, at most; chosen by hash of the id.
 TRAIN_ROWS = 30_000
-#: Entries of the lexicon at most, those with most support.
-ENTRIES = 4_000
 
 
 def fold_words(text: str) -> list[str]:
@@ -114,7 +112,7 @@ def _terms(batches):
         for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
             found = set()
             for word in set(fold_words(text or "")):
-                found.add(word[:64])
+                found.add(word)
                 found.update(f"{word[:n]}*" for n in STEMS if len(word) > n)
             terms += found
             labels += [label] * len(found)
@@ -147,8 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     pos, neg = F.col("toxic") + 0.5, F.col("all") - F.col("toxic") + 0.5
     odds = F.log(pos / (n1 + 1.0)) - F.log(neg / (n0 + 1.0))
     low = odds - F.sqrt(1.0 / pos + 1.0 / neg)
-    best = counts.filter(F.col("toxic") >= minimum).select("term", odds.alias("weight"), low.alias("low"), "toxic").filter("low >= 2.0").orderBy(F.desc("toxic"), "term").limit(ENTRIES)
-    lexicon = Lexicon({r.term: float(r.weight) for r in best.collect()}, exceptions)  # at most ENTRIES rows
+    best = counts.filter(F.col("toxic") >= minimum).select("term", odds.alias("weight"), low.alias("low"), "toxic").filter("low >= 2.0").orderBy("term")
+    lexicon = Lexicon({r.term: float(r.weight) for r in best.collect()}, exceptions)  # terms of at most `most` labelled rows, each in `minimum` of them
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def measure(batches):
