@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from .shared import WordHashes, ascii_lower, materialise, mix, partitions, runs, shingle_hashes, split_blocks, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, whole
 
 WIDTH = 5
+#: Windows that a task compares at a time, about; those of one centre are not parted.
+WINDOWS = 4_000
 #: Hash functions: the first also finds the exact repeats.
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
@@ -487,6 +489,17 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
     return np.where(first < never, np.minimum(first, ids[:, None]), never)
 
 
+def _near_by_centre(keys, ids, docs, contexts, t: int, percent: int):
+    """What _near gives, some centres at a time, so that a task's memory follows its largest centre."""
+    first, order = np.full((len(keys), t), np.iinfo(np.int64).max), np.argsort(keys, kind="stable")
+    _, sizes = np.unique(keys, return_counts=True)
+    ends = np.cumsum(sizes)
+    for part in _chunks(sizes, WINDOWS):
+        rows = order[ends[part[0]] - sizes[part[0]] : ends[part[-1]]]
+        first[rows] = _near(keys[rows], ids[rows], docs[rows], contexts[rows], t, percent)
+    return first
+
+
 def _packed(first: np.ndarray, centres: np.ndarray, t: int) -> tuple[bytes, bytes, bytes]:
     """Starts of runs as stretches of neighbouring places with one first id: place, length, first id."""
     window, start = np.nonzero(first < np.iinfo(np.int64).max)
@@ -519,7 +532,7 @@ def _answer_runs(t: int, buckets: int, percent: int):
                 ids = np.concatenate([unsqueeze(x.as_py(), np.int64) for x in g.column("owners")])
                 docs = np.concatenate([unsqueeze(x.as_py(), np.int64) + (k << 32) for k, x in enumerate(g.column("docs"))])
                 contexts = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.uint16).reshape(-1, 2 * t + WIDTH - 2) for x in g.column("contexts")])
-                first = _near(np.concatenate(keys), ids, docs, contexts, t, percent)
+                first = _near_by_centre(np.concatenate(keys), ids, docs, contexts, t, percent)
                 start = 0
                 for block, sent, centres in zip(blocks, keys, g.column("centres").to_pylist(), strict=True):
                     places, lengths, firsts = _packed(first[start : start + len(sent)], unsqueeze(centres, np.int64), t)
