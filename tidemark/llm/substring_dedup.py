@@ -490,14 +490,29 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
 
 
 def _near_by_centre(keys, ids, docs, contexts, t: int, percent: int):
-    """What _near gives, some centres at a time, so that a task's memory follows its largest centre."""
-    first, order = np.full((len(keys), t), np.iinfo(np.int64).max), np.argsort(keys, kind="stable")
-    _, sizes = np.unique(keys, return_counts=True)
+    """What _near gives, some centres at a time and equal surroundings of a centre once, so that a task's memory follows the
+    largest number of different surroundings that a centre has."""
+    never = np.iinfo(np.int64).max
+    prints = mix(keys)
+    with np.errstate(over="ignore"):
+        for k in range(contexts.shape[1]):
+            prints = mix(prints + contexts[:, k])
+    # Of equal ones three stand for all: those with the least id, the first document and the last one.
+    order = np.lexsort((ids, prints, keys))
+    new = np.flatnonzero(np.r_[True, (np.diff(prints[order]) != 0) | (np.diff(keys[order]) != 0)]) if len(keys) else np.zeros(0, np.int64)
+    kind = np.empty(len(keys), np.int64)
+    kind[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
+    by_doc = np.lexsort((docs, kind))
+    kept = np.unique(np.concatenate([order[new], by_doc[new], by_doc[np.r_[new[1:], len(order)] - 1]])) if len(keys) else new
+    kept = kept[np.argsort(keys[kept], kind="stable")]
+    found = np.full((len(new), t), never)
+    _, sizes = np.unique(keys[kept], return_counts=True)
     ends = np.cumsum(sizes)
     for part in _chunks(sizes, WINDOWS):
-        rows = order[ends[part[0]] - sizes[part[0]] : ends[part[-1]]]
-        first[rows] = _near(keys[rows], ids[rows], docs[rows], contexts[rows], t, percent)
-    return first
+        rows = kept[ends[part[0]] - sizes[part[0]] : ends[part[-1]]]
+        np.minimum.at(found, kind[rows], _near(keys[rows], ids[rows], docs[rows], contexts[rows], t, percent))
+    first = found[kind]
+    return np.where(first < never, np.minimum(first, ids[:, None]), never)
 
 
 def _packed(first: np.ndarray, centres: np.ndarray, t: int) -> tuple[bytes, bytes, bytes]:
