@@ -347,14 +347,6 @@ def _set_prints(numbers: np.ndarray, t: int) -> np.ndarray:
     return np.where(places < np.arange(values.shape[1])[None, :, None], values, np.uint64(0)).sum(2, dtype=np.uint64)
 
 
-def _run_signatures(labels: np.ndarray, t: int) -> np.ndarray:
-    """The bitmap of _signatures for each run of t labels of each row."""
-    bit = (mix(labels.astype(np.uint64)) >> np.uint64(56)).astype(np.int64)
-    words = np.zeros((*labels.shape, 4), np.uint64)
-    np.put_along_axis(words, (bit >> 6)[:, :, None], np.where(labels > 1, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0))[:, :, None], 2)
-    return np.bitwise_or.reduce(np.lib.stride_tricks.sliding_window_view(words, t, axis=1), axis=3)
-
-
 def _distinct_in(rows: np.ndarray) -> np.ndarray:
     """How many different numbers from 2 on each row holds."""
     x = np.sort(rows, axis=1)
@@ -388,11 +380,76 @@ def _chunks(weights: np.ndarray, most: int):
     yield from np.split(np.arange(len(weights)), cuts) if len(weights) else []
 
 
+def _first_similar(seek, others, best, sets, bits, kinds, lowest, highest, ids, percent: int) -> None:
+    """For each of the sets `seek`, into `best`: the least id of those of `others` (ascending by id) that are similar and that
+    another document has."""
+    for block in np.split(others, range(1024, len(others), 1024)):
+        seek = seek[best[seek] == np.iinfo(np.int64).max]
+        for part in np.split(seek, range(256, len(seek), 256)) if len(seek) else []:
+            x, y = bits[part][:, None], bits[block][None]
+            most = np.minimum(kinds[part][:, None] - np.bitwise_count(x & ~y).sum(2), kinds[block][None] - np.bitwise_count(y & ~x).sum(2))
+            ok = (100 + percent) * most >= percent * (kinds[part][:, None] + kinds[block][None])
+            single = (lowest[part] == highest[part])[:, None] & (lowest[block] == highest[block])[None]
+            ok &= ~(single & (lowest[part][:, None] == lowest[block][None])) & (part[:, None] != block[None])
+            i, j = np.nonzero(ok)
+            for s in range(0, len(i), 2048):
+                p, q = part[i[s : s + 2048]], block[j[s : s + 2048]]
+                common = ((sets[p][:, :, None] == sets[q][:, None, :]).any(2) & (sets[p] > 0)).sum(1)
+                hit = (100 + percent) * common >= percent * (kinds[p] + kinds[q])
+                np.minimum.at(best, p[hit], ids[q[hit]])
+
+
+def _near_by_sets(numbers, common, inside, repeating, centres, one, last, least, t: int, percent: int) -> np.ndarray:
+    """What is found for classes of centres some of whose classes hold a shingle twice, by the distinct sets of their runs.
+
+    A stretch that repeats itself gives many windows and few sets. Equal sets of two documents need no comparison; a set that
+    one document has is compared with all others of the centre, but two of classes without repeats, which `_near` compares.
+    """
+    never = np.iinfo(np.int64).max
+    found = np.full((len(numbers), t), never)
+    _, group = np.unique(centres, return_inverse=True)
+    rows = np.flatnonzero(np.bincount(group, weights=repeating)[group] > 0) if len(group) else np.zeros(0, np.int64)
+    parts = []
+    for part in np.split(rows, range(256, len(rows), 256)):
+        kinds, shared = (_distinct_in(np.lib.stride_tricks.sliding_window_view(v, t, axis=1).reshape(-1, t)).reshape(len(part), t) for v in (numbers[part], np.where(common[part], numbers[part], 0)))
+        row, run = np.nonzero(inside[part] & (100 * shared >= percent * kinds))
+        prints = mix(_set_prints(numbers[part], t) ^ mix(centres[part])[:, None])
+        parts.append((part[row], run, prints[row, run], kinds[row, run], shared[row, run]))
+    if not len(rows) or not any(len(x[0]) for x in parts):
+        return found
+    of, run, prints, kinds, shared = (np.concatenate(x) for x in zip(*parts, strict=True))
+    prints, sample, at = np.unique(prints, return_index=True, return_inverse=True)
+    kinds, group = kinds[sample], group[of[sample]]
+    # A class without repeats stands for windows that may differ in shingles that nobody else has, so that its sets are the same
+    # in all its documents only without these.
+    same = np.flatnonzero(repeating[of] | (shared == kinds[at]))
+    lowest, highest, ids, lowest_same, highest_same, ids_same = (np.full(len(prints), v) for v in (never, -1, never) * 2)
+    for low, high, id_of, p in ((lowest, highest, ids, np.arange(len(of))), (lowest_same, highest_same, ids_same, same)):
+        np.minimum.at(low, at[p], one[of[p]])
+        np.maximum.at(high, at[p], last[of[p]])
+        np.minimum.at(id_of, at[p], least[of[p]])
+    matched, twice = lowest_same < highest_same, np.bincount(at, weights=repeating[of]) > 0
+    best = np.where(matched, ids_same, never)
+    sets = np.sort(numbers[of[sample][:, None], run[sample][:, None] + np.arange(t)[None, :]], axis=1)
+    sets[:, 1:][sets[:, 1:] == sets[:, :-1]] = -1
+    bits = np.concatenate([_signatures(x) for x in np.split(sets, range(4096, len(sets), 4096))])
+    order = np.lexsort((ids, group))
+    for g in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        for seek, others in ((g[~matched[g] & twice[g]], g), (g[~matched[g] & ~twice[g]], g[twice[g]])):
+            _first_similar(seek, others, best, sets, bits, kinds, lowest, highest, ids, percent)
+    score = np.zeros(found.shape, np.int8)
+    found[of, run] = best[at]
+    score[of, run] = np.where(best[at] == never, 0, np.where(matched[at], 2, 1))
+    kept = _kept_runs(score[rows] > 0, score[rows], common[rows], t)
+    found[rows] = np.where(kept, found[rows], never)
+    return found
+
+
 def _near(keys, ids, docs, contexts, t: int, percent: int):
     """For windows, by the start of the run, the first id of the documents that have a similar run there, or none.
 
     Windows whose surroundings agree, but for shingles that no other window of the centre has, are one; all pairs of these are
-    tried that have shingles enough in common."""
+    tried that have shingles enough in common. Where windows hold a shingle twice, the sets of their runs are compared instead."""
     never, need = np.iinfo(np.int64).max, -(-2 * percent * t // (100 + percent))
     shingles = _shingles(contexts)
     numbers, labels, prints, common = _labels(keys, docs, shingles)
@@ -404,83 +461,34 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
     new = np.flatnonzero(np.r_[True, (np.diff(keys[order]) != 0) | (np.diff(prints[order]) != 0)])
     kind = np.empty(len(keys), np.int64)  # for each window, its class
     kind[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
-    least, one, several = np.minimum.reduceat(ids[order], new), docs[order[new]], docs[order[new]] != docs[order[np.r_[new[1:], len(order)] - 1]]
+    least, one, last = np.minimum.reduceat(ids[order], new), docs[order[new]], docs[order[np.r_[new[1:], len(order)] - 1]]
     numbers, labels, common = numbers[order[new]], labels[order[new]], common[order[new]]
     repeating, centres = _repeating(shingles[order[new]]), keys[order[new]]
-    found = np.full((len(new), t), never)
-    # Shingles that a run must share with its partner. Runs with repeats are smaller sets, so they and their partners need fewer.
-    _, at = np.unique(centres, return_inverse=True)
-    need = np.where(np.bincount(at, weights=repeating)[at] > 0 if len(at) else False, -(-percent * t // 100), need)
-    # A class with too few shared shingles reaches no threshold; sets with repeats are judged by their distinct shingles.
-    able = np.flatnonzero(((labels > 1).sum(1) >= need) | repeating)
-    bits = _signatures(labels[able])
-    # Runs with too many shingles that nobody has need no partner; a class all of whose other runs have one is done.
     inside = np.lib.stride_tricks.sliding_window_view(labels > 0, t, axis=1).all(axis=2)
+    found = _near_by_sets(numbers, common, inside, repeating, centres, one, last, least, t, percent)
+    # Runs with too many shingles that nobody has need no partner; a class all of whose other runs have one is done.
     held = np.cumsum(np.pad(labels > 1, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
-    possible = inside & (held[:, t:] - held[:, :-t] >= need[:, None])
-    # The least that any such run of a class must share, in distinct shingles.
-    distinct, least_shared = (labels > 1).sum(1), need.copy()
-    twice = np.flatnonzero(repeating)
-    place, kinds_of, run_bits = np.full(len(new), -1), [], []
-    place[twice] = np.arange(len(twice))
-    for part in np.split(twice, range(256, len(twice), 256)):
-        runs_of = np.lib.stride_tricks.sliding_window_view(labels[part], t, axis=1)
-        others = np.lib.stride_tricks.sliding_window_view(np.where(common[part], labels[part], 0), t, axis=1)
-        kinds, shared = (_distinct_in(v.reshape(-1, t)).reshape(v.shape[:2]) for v in (runs_of, others))
-        possible[part] = inside[part] & (100 * shared >= percent * kinds)
-        kinds_of.append(kinds)
-        run_bits.append(_run_signatures(labels[part], t))
-        distinct[part] = _distinct_in(labels[part])
-        least_shared[part] = -(-percent * np.where(possible[part], kinds, t).min(1, initial=t) // 100)
-    # Runs with repeats whose sets are equal are alike without a comparison.
-    if len(twice):
-        prints = np.concatenate([mix(_set_prints(numbers[part], t) ^ centres[part][:, None]) for part in np.split(twice, range(256, len(twice), 256))])
-        row, run = np.nonzero(possible[twice])
-        kinds, at = np.unique(prints[row, run], return_inverse=True)
-        lowest, highest, id_of, many = np.full(len(kinds), never), np.full(len(kinds), -1), np.full(len(kinds), never), np.zeros(len(kinds), bool)
-        np.minimum.at(lowest, at, one[twice[row]])
-        np.maximum.at(highest, at, one[twice[row]])
-        np.minimum.at(id_of, at, least[twice[row]])
-        np.logical_or.at(many, at, several[twice[row]])
-        found[twice[row], run] = np.where(many | (lowest < highest), id_of, never)[at]
+    possible = inside & (held[:, t:] - held[:, :-t] >= need)
     done = ~(possible & (found == never)).any(1)
-    kinds_of, run_bits = np.concatenate(kinds_of), np.concatenate(run_bits)
-    all_bits = np.zeros((len(new), bits.shape[1]), np.uint64)
-    all_bits[able] = bits
-
-    def wanting(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Whether a run of p without a partner may have one in q, by what of the run q's bitmap lacks."""
-        out = ~done[p]
-        on = np.flatnonzero(out & repeating[p])
-        at, runs_left = place[p[on]], possible[p[on]] & (found[p[on]] == never)
-        foreign = np.bitwise_count(run_bits[at] & ~all_bits[q[on]][:, None, :]).sum(2)
-        out[on] = (runs_left & (100 * (kinds_of[at] - foreign) >= percent * kinds_of[at])).any(1)
-        return out
-
+    able = np.flatnonzero((held[:, -1] >= need) & ~repeating)
+    bits = _signatures(labels[able])
     cuts = np.flatnonzero(np.r_[True, np.diff(centres[able]) != 0]) if len(able) else np.zeros(0, np.int64)
     for i, j in _pairs(np.diff(np.r_[cuts, len(able)])):
         on = ~(done[able[i]] & done[able[j]])
         i, j = i[on], j[on]
         a, b = able[i], able[j]
         # Each shingle of one side whose bit the other lacks is foreign.
-        foreign = np.bitwise_count(bits[i] & ~bits[j]).sum(1)
-        ok = distinct[a] - foreign >= np.maximum(least_shared[a], least_shared[b])
-        ok &= np.where(a == b, several[a], several[a] | several[b] | (one[a] != one[b]))
+        ok = held[a, -1] - np.bitwise_count(bits[i] & ~bits[j]).sum(1) >= need
+        ok &= np.where(a == b, one[a] != last[a], (one[a] != last[a]) | (one[b] != last[b]) | (one[a] != one[b]))
         a, b = a[ok], b[ok]
         for s in range(0, len(a), 1024):
             p, q = a[s : s + 1024], b[s : s + 1024]
             on = ~(done[p] & done[q])
             p, q = p[on], q[on]
-            on = ~(repeating[p] | repeating[q])
-            mixed = np.flatnonzero(~on)
-            on[mixed] = wanting(p[mixed], q[mixed]) | wanting(q[mixed], p[mixed])
-            p, q = p[on], q[on]
             if not len(p):
                 continue
-            twice = repeating[p] | repeating[q]
-            x = np.where(twice[:, None], numbers[p], labels[p])
-            y = np.where(twice[:, None], numbers[q], labels[q] + (labels[q] == 1))  # 1 and 2 agree with nothing
-            for to, of, hit in zip((p, q), (q, p), _similar(x, y, t, percent, twice), strict=True):
+            x, y = labels[p], labels[q] + (labels[q] == 1)  # 1 and 2 agree with nothing
+            for to, of, hit in zip((p, q), (q, p), _similar(x, y, t, percent, np.zeros(len(p), bool)), strict=True):
                 some = np.flatnonzero(hit.any(1))
                 np.minimum.at(found, to[some], np.where(hit[some], least[of[some]][:, None], never))
             seen = np.unique(np.concatenate([p, q]))
