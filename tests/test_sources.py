@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import explore, prepare
 from tidemark.plans import run
 from tidemark.schema import Params
+from tidemark.sources import artifacts
 from tidemark.sources.csv_source import load_csv
 from tidemark.sources.huim_text import parse_patterns, read_patterns, transaction_lines, write_transactions
 from tidemark.sources.run_store import RunStore
@@ -81,3 +82,40 @@ def test_mapping_spellings(spark):
     rows = [("1", '{"StockCode": "a", "Description": "A"}'), ("b", "2"), ("3", "c"), ("d", '{"item_id": 4}'), ("x", "y")]
     got = {(r.item_id, r.stock_code, r.description) for r in explore.normalise_mapping(spark.createDataFrame(rows, "key string, value string")).collect()}
     assert got == {(1, "a", "A"), (2, "b", ""), (3, "c", ""), (4, "d", "")}
+
+
+def test_first_pattern_line_counts(spark):
+    lines = spark.createDataFrame([("1 2 #UTIL: 5",), ("2 1 #UTIL: 9",), ("3: -2.5 more",), ("4:1.5e2",), ("5:1e",), ("6 #UTIL: x",)], "value string").coalesce(1)
+    assert {(r.pattern_key, r.utility) for r in parse_patterns(lines).collect()} == {("1 2", 5), ("3", -2), ("4", 150)}
+
+
+def test_artifacts_come_back(spark, tmp_path):
+    params = Params(candidate_mining_ratio=0.08, sensitive_ratio=0.08, min_peakness_ratio=1.0, local_ratio=0.08, global_ratio=0.08, max_transaction_len=3)
+    data = run.prepared(synthetic_retail(spark, 300, months=2), params)
+    found = run.mined(data, params)
+    hidden = run.sanitized(data, found, params)
+    base = str(tmp_path / "run")
+    assert artifacts.imported(spark, base)["found"] == [] and artifacts.optional(spark, base, "item_mapping.json", "item_id int").isEmpty()
+    artifacts.write_prepared(data, f"{base}/below")
+    artifacts.write_mined(data, found, base, params)
+    artifacts.write_sanitized(data, hidden, base, params)
+    artifacts.write_verified(data, hidden, base, params)
+    assert artifacts.imported(spark, base) == {"found": sorted(artifacts.PREPARED + artifacts.MINED + artifacts.SANITIZED + artifacts.VERIFIED), "missing": [], "warnings": []}
+    same = lambda a, b: a.exceptAll(b.select(*a.columns)).isEmpty() and b.select(*a.columns).exceptAll(a).isEmpty()
+    for name, want in (("temporal_db.json", (data.tx_item, data.tx)), ("phase2_sanitized_db.json", (hidden.tx_item, hidden.tx))):
+        got = artifacts.read_database(spark, base, name)
+        assert same(got[0], want[0].select(*got[0].columns)) and same(got[1], want[1].select(*got[1].columns))
+    assert artifacts.find(spark, base, "tx_before_filter.csv").count() == data.tx_before.count() > data.tx.count() == artifacts.find(spark, base, "tx_after_filter.csv").count()
+    assert artifacts.find(spark, base, "sanitized_retail.txt").count() == hidden.tx.count()
+    scores = [r.score for r in artifacts.ordered_scores(found.scores).collect()]
+    assert scores == sorted(scores, reverse=True)
+    windows = artifacts.mining_windows(data, found, params)
+    assert windows.agg(F.sum("patterns")).first()[0] == found.patterns.count()
+
+
+def test_database_under_another_name_and_without_totals(spark, tmp_path):
+    (tmp_path / "temporal_db_original.json").mkdir()
+    (tmp_path / "temporal_db_original.json" / "part.json").write_text('{"window_key": "2011-01", "tid": "a", "invoice_no": "a", "items": [1, 2], "item_utils": {"1": 3, "2": 4}}\n')
+    tx_item, tx = artifacts.read_database(spark, str(tmp_path))
+    assert tx.first().transaction_utility == 7 and {(r.item_id, r.util) for r in tx_item.collect()} == {(1, 3), (2, 4)}
+    assert artifacts.imported(spark, str(tmp_path))["warnings"] == ["temporal_db.json: no column transaction_utility"]

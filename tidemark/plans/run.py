@@ -18,6 +18,7 @@ class Prepared:
     tx_item: DataFrame
     tx: DataFrame
     tx_before: DataFrame
+    facts: DataFrame  # of tx_before
 
 
 def prepared(raw: DataFrame, params: Params = Params()) -> Prepared:
@@ -28,7 +29,7 @@ def prepared(raw: DataFrame, params: Params = Params()) -> Prepared:
     facts = checkpoint(prepare.item_level(rows, items))
     before = prepare.headers(facts)
     tx_item, tx = prepare.limit_length(facts, before, params.max_transaction_len)
-    return Prepared(classified, items, tx_item, tx, before)
+    return Prepared(classified, items, tx_item, tx, before, facts)
 
 
 @dataclass

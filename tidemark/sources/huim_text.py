@@ -24,14 +24,18 @@ def write_transactions(tx_item: DataFrame, path: str, tx: DataFrame | None = Non
 
 
 def parse_patterns(lines: DataFrame, column: str = "value") -> DataFrame:
-    """items, utility and pattern_key of pattern lines; lines that are none are dropped, equal patterns count once, the first by utility."""
+    """items, utility and pattern_key of pattern lines; lines that are none are dropped, of equal patterns the first line counts.
+
+    A utility is the first word after the mark, a plain or exponential number of any sign, truncated.
+    """
     c = F.col(column)
-    marked = F.regexp_extract(c, r"^\s*([0-9 \t]+?)\s*#UTIL:\s*([0-9.]+)", 1)
+    marked = F.regexp_extract(c, r"^\s*([0-9 \t]+?)\s*#UTIL:", 1)
     left = F.when(marked != "", marked).otherwise(F.regexp_extract(c, r"^\s*([0-9 \t]+?)\s*:", 1))
-    value = F.when(marked != "", F.regexp_extract(c, r"#UTIL:\s*([0-9.]+)", 1)).otherwise(F.regexp_extract(c, r":\s*([0-9.]+)", 1))
+    value = F.regexp_extract(c, r":\s*(\S+)", 1)
+    number = F.when(value.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"), value).try_cast("double")
     items = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(F.trim(left), r"[ \t]+"), lambda x: x != ""), lambda x: x.try_cast("int"))))
-    rows = lines.select(items.alias("items"), value.try_cast("double").cast("long").alias("utility")).filter((F.size("items") > 0) & F.col("utility").isNotNull())
-    return rows.withColumn("pattern_key", pattern_key(F.col("items"))).groupBy("pattern_key").agg(F.first("items").alias("items"), F.max("utility").alias("utility"))
+    rows = lines.select(items.alias("items"), number.cast("long").alias("utility"), F.monotonically_increasing_id().alias("line")).filter((F.size("items") > 0) & F.col("utility").isNotNull())
+    return rows.withColumn("pattern_key", pattern_key(F.col("items"))).groupBy("pattern_key").agg(F.first("items").alias("items"), F.min_by("utility", "line").alias("utility"))
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
