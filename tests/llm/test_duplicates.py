@@ -233,3 +233,29 @@ def test_every_pair_of_a_centre_is_tried(monkeypatch, most):
         found = {s: v for s, v in enumerate(got[i].tolist()) if v < never}
         assert bool(found) == bool(want) and all(s in want and v >= want[s] for s, v in found.items())
         assert not found or min(found.values()) == min(want.values())
+
+
+def test_a_stretch_that_repeats_itself_is_compared_by_sets():
+    """Texts of two words in turn, with a few words of their own before or after: every window holds shingles twice."""
+    rng, t = random.Random(9), 20
+    size, contexts, docs = 2 * t + substring_dedup.WIDTH - 2, [], []
+    for doc in range(12):
+        own = [rng.randrange(1000, 2**16) if doc % 3 else 500 + k for k in range(10)]
+        text = own[: doc % 11] + [7, 8] * 40 + own[: (doc * 5) % 11]
+        for at in range(0, len(text) - size, 2):
+            contexts.append(text[at : at + size])
+            docs.append(doc)
+    docs, contexts = np.array(docs), np.array(contexts, np.uint16)
+    keys, never = np.zeros(len(docs), np.uint64), np.iinfo(np.int64).max
+    got = substring_dedup._near(keys, docs + 100, docs, contexts, t, 75)
+    shingles = [[v or None for v in row] for row in substring_dedup._shingles(contexts).tolist()]
+    sets = [[frozenset(x[s : s + t]) if None not in x[s : s + t] else None for s in range(t)] for x in shingles]
+    of: dict = {}
+    for d, row in zip(docs.tolist(), sets, strict=True):
+        for x in row:
+            of.setdefault(x, set()).add(d)
+    for i, row in enumerate(sets):
+        want = {s for s, x in enumerate(row) if x and any(y and ds - {docs[i]} and 100 * len(x & y) >= 75 * len(x | y) for y, ds in of.items())}
+        exact = {s for s, x in enumerate(row) if x and len(of[x]) > 1}
+        found = {s for s, v in enumerate(got[i].tolist()) if v < never}
+        assert exact <= found <= want and bool(found) == bool(want)
