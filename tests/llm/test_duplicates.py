@@ -259,3 +259,18 @@ def test_a_stretch_that_repeats_itself_is_compared_by_sets():
         exact = {s for s, x in enumerate(row) if x and len(of[x]) > 1}
         found = {s for s, v in enumerate(got[i].tolist()) if v < never}
         assert exact <= found <= want and bool(found) == bool(want)
+
+
+def test_copies_of_a_near_passage_name_the_earliest_document(spark):
+    """Each passage says one phrase twice; its first document has one word changed, the two after it have it word for word."""
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(20000)}"
+    texts, groups = [], 40
+    for _ in range(groups):
+        phrase = [word() for _ in range(8)]
+        passage = [*[word() for _ in range(18)], *phrase, *[word() for _ in range(20)], *phrase, *[word() for _ in range(16)]]
+        first = list(passage)
+        first[rng.choice([5, 34, 60])] = word()
+        texts += [" ".join([*[word() for _ in range(20)], *p, *[word() for _ in range(20)]]) for p in (first, passage, passage)]
+    found = {r.doc_id: {s.first_id for s in r.spans} for r in substring_dedup.repeated_passages(frame(spark, texts)).collect()}
+    assert sum(3 * k in found.get(3 * k + 1, ()) and 3 * k in found.get(3 * k + 2, ()) for k in range(groups)) >= 38

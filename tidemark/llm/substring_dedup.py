@@ -381,10 +381,10 @@ def _chunks(weights: np.ndarray, most: int):
 
 
 def _first_similar(seek, others, best, sets, bits, kinds, lowest, highest, ids, percent: int) -> None:
-    """For each of the sets `seek`, into `best`: the least id of those of `others` (ascending by id) that are similar and that
-    another document has."""
+    """For each of the sets `seek`, into `best` where it is less: the least id of those of `others` (ascending by id) that are similar
+    and that another document has."""
     for block in np.split(others, range(1024, len(others), 1024)):
-        seek = seek[best[seek] == np.iinfo(np.int64).max]
+        seek = seek[best[seek] > ids[block[:1]]] if len(block) else seek[:0]
         for part in np.split(seek, range(256, len(seek), 256)) if len(seek) else []:
             x, y = bits[part][:, None], bits[block][None]
             most = np.minimum(kinds[part][:, None] - np.bitwise_count(x & ~y).sum(2), kinds[block][None] - np.bitwise_count(y & ~x).sum(2))
@@ -402,8 +402,9 @@ def _first_similar(seek, others, best, sets, bits, kinds, lowest, highest, ids,
 def _near_by_sets(numbers, common, inside, repeating, centres, one, last, least, t: int, percent: int) -> np.ndarray:
     """What is found for classes of centres some of whose classes hold a shingle twice, by the distinct sets of their runs.
 
-    A stretch that repeats itself gives many windows and few sets. Equal sets of two documents need no comparison; a set that
-    one document has is compared with all others of the centre, but two of classes without repeats, which `_near` compares.
+    A stretch that repeats itself gives many windows and few sets. Each set is compared with all others of the centre that have
+    a smaller id than is known already, as of a document that has the same set; but for two of classes without repeats, which
+    `_near` compares.
     """
     never = np.iinfo(np.int64).max
     found = np.full((len(numbers), t), never)
@@ -435,7 +436,7 @@ def _near_by_sets(numbers, common, inside, repeating, centres, one, last, least,
     bits = np.concatenate([_signatures(x) for x in np.split(sets, range(4096, len(sets), 4096))])
     order = np.lexsort((ids, group))
     for g in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        for seek, others in ((g[~matched[g] & twice[g]], g), (g[~matched[g] & ~twice[g]], g[twice[g]])):
+        for seek, others in ((g[twice[g]], g), (g[~twice[g]], g[twice[g]])):
             _first_similar(seek, others, best, sets, bits, kinds, lowest, highest, ids, percent)
     score = np.zeros(found.shape, np.int8)
     found[of, run] = best[at]
