@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 def checkpoint(df: DataFrame) -> DataFrame:
     """The same rows from a table written under spark.checkpoint.dir: computed once, and read by later plans with known sizes.
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder takes its place.
+    Only in local mode, as in tests on one machine, may that setting be absent: then a temporary folder takes its place.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/lineage-{uuid.uuid4().hex}"

@@ -6,9 +6,10 @@ transaction_utility, length). A header stays when its items go.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import ranked
 from ..functions.scalars import int_utility, month, number, text, timestamp
 from ..schema import REQUIRED, require_columns
 
@@ -50,8 +51,7 @@ def clean(classified: DataFrame) -> DataFrame:
 def item_dictionary(rows: DataFrame) -> DataFrame:
     """item_id by rank of the stock code, and each code's first description that is not null, in file order."""
     codes = rows.groupBy("stock_code").agg(F.min_by(F.col("description"), F.when(F.col("description").isNotNull(), F.col("row_id"))).alias("description"))
-    # One row for each distinct item is left to rank.
-    return codes.select(F.row_number().over(Window.orderBy("stock_code")).alias("item_id"), "stock_code", "description")
+    return ranked(codes, ["stock_code"], "item_id").select(F.col("item_id").cast("int"), "stock_code", "description")
 
 
 def item_level(rows: DataFrame, items: DataFrame) -> DataFrame:
