@@ -87,8 +87,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_matches")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    ranks = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    rows = whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op5_bpe, op6_decontamination, op7_html_extraction, op8_substring_dedup, op9_interpolation_lm, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op5_bpe, op6_decontamination, op7_html_extraction, op8_substring_dedup, op9_interpolation_lm, op10_toxicity, op11_resampling, op12_whitening)}
 
 
 #: Words by splitting at ASCII white space after lower-casing A-Z; components by walking all links, which suits small tables.
@@ -104,5 +118,26 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM (SELECT a
 """
 
 
+#: crc32 byte by byte over distinct features, with the table of its polynomial worked out first; range() of DuckDB ends before its end.
+RESAMPLING_SQL = """
+WITH bits AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS t),
+texts AS (SELECT 'd' AS kind, doc_id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'b', NULL, row_number() OVER (), text FROM benchmark),
+words AS (SELECT kind, doc_id, r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM texts),
+grams AS (SELECT kind, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+counted AS (SELECT kind, r, f, count(*) AS c FROM grams GROUP BY ALL),
+hexes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)),
+codes AS (SELECT f, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT), lambda a, b: xor(a // 256, t[(xor(a % 256, b) + 1)::BIGINT]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM hexes CROSS JOIN bits),
+known AS (SELECT kind, r, c, bucket FROM counted JOIN codes USING (f)),
+held AS (SELECT bucket, coalesce(sum(c) FILTER (WHERE kind = 'd'), 0) AS s, coalesce(sum(c) FILTER (WHERE kind = 'b'), 0) AS t FROM known GROUP BY bucket),
+totals AS (SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM held),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS g FROM held CROSS JOIN totals),
+sums AS (SELECT r, sum(c)::BIGINT AS n, floor(sum(c * g)::DOUBLE / sum(c))::BIGINT AS w FROM known JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY r),
+scored AS (SELECT doc_id, len(words.w) AS n_words, coalesce(n, 0) AS n_features, coalesce(sums.w, 0) AS weight,
+        (coalesce(sums.w, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM words LEFT JOIN sums USING (r) WHERE kind = 'd'),
+placed AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (WHERE n_words >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * able // 100 THEN place END AS rank FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": JACCARD_SQL}
+    return {"op3_jaccard_join": JACCARD_SQL, "op11_resampling": RESAMPLING_SQL}
