@@ -18,6 +18,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -199,23 +202,54 @@ def _sets(width: int):
     return run
 
 
-def _approve(percent: int):
-    """Of candidate edges with both bitmaps, those that may link, with the bound."""
+@dataclass(frozen=True)
+class Signature:
+    """What tells of two nodes, before they are verified, that they may link. Both functions take lists of signatures and arrays of
+    sizes of both sides, and the percentage, and give which may link and how promising they are: `pairs` row by row, `tile` for
+    each of one side with each of the other. `longer` makes signatures for later rounds from the sets, if there are such."""
+
+    pairs: Callable
+    tile: Callable
+    longer: Callable | None = None
+
+
+def _bitmap_pairs(x: list[bytes], nx: np.ndarray, y: list[bytes], ny: np.ndarray, percent: int):
+    bounds = np.zeros(len(x), np.int64)
+    for i, (p, q) in enumerate(zip(x, y, strict=True)):
+        p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+        words = min(len(p), len(q))
+        p, q = folded(p, words), folded(q, words)
+        bounds[i] = min(nx[i] - int(np.bitwise_count(p & ~q).sum()), ny[i] - int(np.bitwise_count(q & ~p).sum()))
+    return _links(bounds, nx, ny, percent), bounds
+
+
+def _bitmap_tile(x: list[bytes], nx: np.ndarray, y: list[bytes], ny: np.ndarray, percent: int):
+    bits = [np.frombuffer(b, np.uint64) for b in (*x, *y)]
+    words = min(map(len, bits))
+    bits = np.stack([folded(b, words) for b in bits])
+    bound = overlap_bounds(bits[: len(x)], nx, bits[len(x) :], ny)
+    return _links(bound, nx[:, None], ny[None, :], percent), bound / np.maximum(nx[:, None], ny[None, :])
+
+
+def _wide(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([bitmap(unsqueeze_sorted(x), WIDE) for x in b.column("hashes").to_pylist()], pa.binary())], ["node", "bits"])
+
+
+BITMAPS = Signature(_bitmap_pairs, _bitmap_tile, _wide)
+
+
+def _approve(percent: int, signature: Signature):
+    """Of candidate edges with both signatures, those that may link, with how promising they are."""
 
     def run(batches):
         for b in batches:
-            keep, bounds = [], []
-            rows = zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)
-            for i, (na, nb, x, y) in enumerate(rows):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                words = min(len(x), len(y))
-                x, y = folded(x, words), folded(y, words)
-                bound = min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
-                if _links(bound, na, nb, percent):
-                    keep.append(i)
-                    bounds.append(bound)
-            got = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b"), pa.array(bounds, pa.int64())], ["a", "b", "bound"])
+            if not b.num_rows:
+                continue
+            sizes = [b.column(c).to_numpy() for c in ("n_a", "n_b")]
+            ok, score = signature.pairs(b.column("bits_a").to_pylist(), sizes[0], b.column("bits_b").to_pylist(), sizes[1], percent)
+            got = b.take(pa.array(np.flatnonzero(ok)))
+            yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b"), pa.array(score[ok].astype(np.float64))], ["a", "b", "score"])
 
     return run
 
@@ -254,7 +288,7 @@ def _most_promising(low: np.ndarray, high: np.ndarray, score: np.ndarray, each:
     return kept
 
 
-def _tiles(percent: int, each: int):
+def _tiles(percent: int, each: int, signature: Signature):
     """Compare the two sides of each tile; for each component, the `each` most promising pairs with other ones.
 
     A tile in which there were more is marked by a row without a, so that it is looked at again when these are verified."""
@@ -269,13 +303,11 @@ def _tiles(percent: int, each: int):
             tops = np.zeros((len(node), TOP), np.int64)
             for k, x in enumerate(t.column("tops").to_pylist()):
                 tops[k, : len(x)] = x
-            bits = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("bits")]
-            words = min(map(len, bits))
-            bits = np.stack([folded(x, words) for x in bits])
-            bound = overlap_bounds(bits[left], n[left], bits[right], n[right])
-            ok = _links(bound, n[left][:, None], n[right][None, :], percent) & (comp[left][:, None] != comp[right][None, :])
+            bits = t.column("bits").to_pylist()
+            ok, score = signature.tile([bits[k] for k in left], n[left], [bits[k] for k in right], n[right], percent)
+            ok &= comp[left][:, None] != comp[right][None, :]
             i, j = np.nonzero(ok)
-            score, i, j = bound[i, j] / np.maximum(n[left[i]], n[right[j]]), left[i], right[j]
+            score, i, j = score[i, j], left[i], right[j]
             new = np.concatenate([~_elsewhere(t.column("gid")[0].as_py(), tops, i[s : s + 65536], j[s : s + 65536]) for s in range(0, len(i), 65536)] or [np.zeros(0, bool)])
             new &= (side[i] != side[j]) | (i < j)  # a tile of one part with itself has each pair twice
             i, j, score = i[new], j[new], score[new]
@@ -337,7 +369,8 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     groups = materialise(groups.join(_few(chosen, chosen.count()), "node").select("gid", F.col("row").alias("node"), "n", "members"), "jaccard-groups")
     discard(named)
     nodes = kept.select(F.col("row").alias("node"), "n", "hashes", "bits")
-    found = _link(groups, nodes, chosen.select(F.col("row").alias("node")), percent)
+    found = link_groups(groups, nodes, nodes, chosen.select(F.col("row").alias("node")), percent)
+    discard(groups)
     names = chosen.select(F.col("row").alias("comp"), F.col("node").alias("comp_node"))
     labels = found.withColumnRenamed("node", "row").join(chosen, "row").join(names, "comp").select("node", F.col("comp_node").alias("comp"))
     member = sets.select("id", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -351,8 +384,8 @@ def _few(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_NODES else df
 
 
-def _ends(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """Edges (a, b) with these columns of both nodes. Those of each b travel once to its a; an a with many has its own copied to
+def _ends(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) with these columns of both nodes, and the table that they are read from. Those of each b travel once to its a; an a with many has its own copied to
     parts of them, so that no task gets all partners of a node."""
     sizes = edges.groupBy("a").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     dealt = materialise(edges.select("a", "b").join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "jaccard-edges")
@@ -360,22 +393,28 @@ def _ends(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
     members = nodes.join(_few(dealt, count), nodes.node == dealt.b).select("a", "part", "b", *[F.col(c).alias(f"{c}_b") for c in columns])
     centres = dealt.select(F.col("a").alias("centre"), "part").distinct()
     centres = nodes.join(_few(centres, count), nodes.node == centres.centre).select(F.col("centre").alias("a"), "part", *[F.col(c).alias(f"{c}_a") for c in columns])
-    return members.join(centres, ["a", "part"]).select("a", "b", *[f"{c}_{x}" for c in columns for x in "ab"])
+    return members.join(centres, ["a", "part"]).select("a", "b", *[f"{c}_{x}" for c in columns for x in "ab"]), dealt
 
 
 def _verified(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Exact verdicts for edges (a, b)."""
-    return materialise(_ends(edges, nodes, ["hashes"]).mapInArrow(_verify(percent), "a long, b long, linked boolean"), "jaccard-verified")
+    ends, dealt = _ends(edges, nodes, ["hashes"])
+    found = materialise(ends.mapInArrow(_verify(percent), "a long, b long, linked boolean"), "jaccard-verified")
+    discard(dealt)
+    return found
 
 
-def _star(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _star(groups: DataFrame, nodes: DataFrame, percent: int, signature: Signature) -> DataFrame:
     """For each node the most promising of its groups' centres; a centre is the node of a group that shares groups with most others."""
     degree = groups.groupBy("node").agg(F.sum("members").alias("degree"))
     ranked = groups.join(degree, "node")
     centre = ranked.groupBy("gid").agg(F.max_by(F.struct(F.col("node").alias("a"), F.col("n").alias("na")), F.struct("degree", "node")).alias("c")).select("gid", "c.*")
     fits = (100 * F.col("na") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("na"))
     star = groups.join(centre, "gid").filter((F.col("node") != F.col("a")) & fits).select("a", F.col("node").alias("b")).distinct()
-    return _ends(star, nodes, ["n", "bits"]).mapInArrow(_approve(percent), "a long, b long, bound long").groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
+    ends, dealt = _ends(star, nodes, ["n", "bits"])
+    found = materialise(ends.mapInArrow(_approve(percent, signature), "a long, b long, score double").groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a")), "jaccard-star")
+    discard(dealt)
+    return found
 
 
 def _cells(groups: DataFrame, comp: DataFrame, tops: DataFrame, percent: int) -> DataFrame:
@@ -408,46 +447,50 @@ def _cells(groups: DataFrame, comp: DataFrame, tops: DataFrame, percent: int) ->
     return found
 
 
-def _wide(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([bitmap(unsqueeze_sorted(x), WIDE) for x in b.column("hashes").to_pylist()], pa.binary())], ["node", "bits"])
-
-
-def _compared(cells: DataFrame, comp: DataFrame, tops: DataFrame, nodes: DataFrame, percent: int, each: int) -> DataFrame:
-    """tile, a, b: pairs of a tile's sides that are in different components and may link by their bitmaps."""
+def _compared(cells: DataFrame, comp: DataFrame, tops: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, each: int, signature: Signature) -> DataFrame:
+    """tile, a, b: pairs of a tile's sides that are in different components and may link by their signatures."""
     wanted = cells.select("node").distinct()
-    wanted = nodes.join(_few(wanted, wanted.count()), "node", "left_semi")
-    bits = wanted.select("node", "bits") if each == PARTNERS else wanted.select("node", "hashes").mapInArrow(_wide, "node long, bits binary")
+    longer = signature.longer is not None and each > PARTNERS
+    wanted = (sets if longer else nodes).join(_few(wanted, wanted.count()), "node", "left_semi")
+    bits = wanted.select("node", "hashes").mapInArrow(signature.longer, "node long, bits binary") if longer else wanted.select("node", "bits")
     rows = cells.join(bits.join(comp, "node").join(tops, "node"), "node")
-    return materialise(rows.repartition(partitions(nodes.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent, each), "tile long, a long, b long"), "jaccard-pairs")
+    return materialise(rows.repartition(partitions(nodes.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent, each, signature), "tile long, a long, b long"), "jaccard-pairs")
+
 
+def link_groups(groups: DataFrame, nodes: DataFrame, sets: DataFrame, names: DataFrame, percent: int, signature: Signature = BITMAPS) -> DataFrame:
+    """node and comp of every node that names lists: two nodes of a group are linked if their sets are similar enough.
 
-def _link(groups: DataFrame, nodes: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """Component of every node that names lists; `nodes` may hold further rows, which no group refers to."""
-    tried = _verified(_star(groups, nodes, percent), nodes, percent)
-    rejected = tried.filter("not linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    groups: gid, node, n (size of the node's set), members (of the group); nodes: node, n, bits (its signature); sets: node, hashes
+    (its set, ascending). nodes and sets have one row for each node of a group, and may hold further ones."""
+    star = _star(groups, nodes, percent, signature)
+    tried = _verified(star, sets, percent)
+    discard(star)
     found = components(tried.filter("linked"))
     comp = materialise(names.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "jaccard-labels")
+    rejected = materialise(tried.filter("not linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-rejected")
+    discard(found, tried)
     in_order = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("members")).alias("members"), "gid"))), 1, TOP)  # a node's groups: fewer than its shingles
     tops = materialise(groups.groupBy("node").agg(F.transform(in_order, lambda g: g["gid"]).alias("tops")), "jaccard-tops")
     cells, each = _cells(groups, comp, tops, percent), PARTNERS
     while not cells.isEmpty():
-        pairs = _compared(cells, comp, tops, nodes, percent, each)
+        pairs = _compared(cells, comp, tops, nodes, sets, percent, each, signature)
         fresh = pairs.filter("a is not null").select("a", "b").distinct().join(rejected, ["a", "b"], "left_anti")
-        tried = _verified(fresh, nodes, percent)
-        rejected = materialise(rejected.union(tried.filter("not linked").select("a", "b")), "jaccard-rejected")
+        tried = _verified(fresh, sets, percent)
         linked = tried.filter("linked")
         if not linked.isEmpty():  # components of components
             ends = [comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
             joined = components(linked.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
             merged = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
             before, comp = comp, materialise(comp.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "jaccard-labels")
-            discard(before)
+            discard(before, joined)
         # A tile all of whose pairs were tried is done; so each round looks at fewer, and at more pairs of each.
         again = pairs.filter("a is null").select("tile").distinct()
         if again.isEmpty():
+            discard(pairs, tried)
             break
-        before, cells = cells, materialise(cells.join(again, "tile", "left_semi"), "jaccard-cells")
-        discard(before, pairs)
+        before, rejected = rejected, materialise(rejected.union(tried.filter("not linked").select("a", "b")), "jaccard-rejected")
+        dead, cells = cells, materialise(cells.join(again, "tile", "left_semi"), "jaccard-cells")
+        discard(before, dead, pairs, tried)
         each *= GROWTH
+    discard(cells, rejected, tops)
     return comp

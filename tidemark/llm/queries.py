@@ -101,21 +101,29 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setsketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op5_bpe, op6_decontamination, op7_html_extraction, op8_substring_dedup, op9_interpolation_lm, op10_toxicity, op11_resampling, op12_whitening)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_jaccard_join, op4_quality_ratio, op5_bpe, op6_decontamination, op7_html_extraction, op8_substring_dedup, op9_interpolation_lm, op10_toxicity, op11_resampling, op12_whitening, op13_setsketch_dedup)}
 
 
 #: Words by splitting at ASCII white space after lower-casing A-Z; components by walking all links, which suits small tables.
-JACCARD_SQL = """
+_CLASSES_SQL = """
 WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {width} THEN list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width} - 1], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= {percent} * (p.n + q.n - c)),
 ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a, y FROM reach JOIN ways ON x = b)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id{more} FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
 """
+JACCARD_SQL = _CLASSES_SQL.format(width=5, percent=75, more="")
+SETSKETCH_SQL = _CLASSES_SQL.format(width=3, percent=85, more=", doc_id = component_id AS kept")
 
 
 #: crc32 byte by byte over distinct features, with the table of its polynomial worked out first; range() of DuckDB ends before its end.
@@ -140,4 +148,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * able // 100 TH
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": JACCARD_SQL, "op11_resampling": RESAMPLING_SQL}
+    return {"op3_jaccard_join": JACCARD_SQL, "op11_resampling": RESAMPLING_SQL, "op13_setsketch_dedup": SETSKETCH_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -55,9 +56,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of `materialise` that nothing will read again, as their successors are written."""
+    """Delete tables of `materialise` that nothing will read again, as their successors are written, and let the driver find out
+    which shuffles nothing refers to any more, so that executors delete their files too."""
+    gc.collect()
     for df in tables:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        jvm.System.gc()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
