@@ -424,10 +424,11 @@ def _cells(groups: DataFrame, comp: DataFrame, tops: DataFrame, percent: int) ->
     part = (F.min("top") == F.max("top")) & (F.min("top") != F.col("gid"))
     mixed = labelled.groupBy("gid").agg(((F.min("comp") != F.max("comp")) & ~part).alias("mixed")).filter("mixed").select("gid")
     open_groups = materialise(labelled.join(mixed, "gid", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent)) + 1e-9)), "jaccard-open")
-    parts = open_groups.groupBy("gid", "band").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    parts = open_groups.groupBy("gid", "band").agg(F.ceil(F.count("*") / TILE).alias("parts"), (F.count("*") == 1).alias("alone"))
     above = parts.select("gid", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
     below = parts.select("gid", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
     dealt = open_groups.join(parts.join(above, ["gid", "band"], "left").join(below, ["gid", "band"], "left"), ["gid", "band"])
+    dealt = dealt.filter(~F.col("alone") | F.col("above").isNotNull() | F.col("below").isNotNull())
     # Part p of a band meets the parts from p on of its own band, and all parts of the bands beside it.
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -436,13 +437,12 @@ def _cells(groups: DataFrame, comp: DataFrame, tops: DataFrame, percent: int) ->
         return F.struct(b1.alias("b1"), p1.alias("p1"), b2.alias("b2"), p2.alias("p2"), side.alias("side"))
 
     band, part = F.col("band"), F.col("part")
-    own = F.transform(upto("parts"), lambda q: tile(band, F.least(part, q), band, F.greatest(part, q), F.when(part == q, 2).when(part < q, 0).otherwise(1)))
+    own = F.when(F.col("alone"), F.array()).otherwise(F.transform(upto("parts"), lambda q: tile(band, F.least(part, q), band, F.greatest(part, q), F.when(part == q, 2).when(part < q, 0).otherwise(1))))
     up = F.when(F.col("above").isNotNull(), F.transform(upto("above"), lambda q: tile(band, part, band + 1, q, F.lit(0))))
     down = F.when(F.col("below").isNotNull(), F.transform(upto("below"), lambda q: tile(band - 1, q, band, part, F.lit(1))))
     cells = dealt.select("gid", "node", "n", F.explode(F.concat(own, F.coalesce(up, F.array()), F.coalesce(down, F.array()))).alias("t"))
     cells = cells.select("gid", F.xxhash64("gid", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side", "node", "n")
-    both = cells.groupBy("tile").agg((F.bool_or(F.col("side") != 1) & F.bool_or(F.col("side") != 0) & (F.count("*") > 1)).alias("both")).filter("both").select("tile")
-    found = materialise(cells.join(both, "tile", "left_semi"), "jaccard-cells")
+    found = materialise(cells, "jaccard-cells")
     discard(open_groups)
     return found
 

@@ -5,8 +5,9 @@
     registers with probability J, but for rounding.
 2.  Registers are taken in bands; sets that agree in a band form a group. A pair of J = 0.85 misses all 32 bands of 5 registers
     with probability 7e-9, a pair of lower J is met less often.
-3.  Within a group, the numbers of registers that are equal, larger and smaller, and the known sizes of both sets, give the
-    likelihood of each J; a pair goes on unless the most likely J is more than six standard errors below the threshold.
+3.  Within a group, a pair whose bitmaps of hashed shingles rule the threshold out is left at that. Of the others, the numbers of
+    registers that are equal, larger and smaller, and the known sizes of both sets, give the likelihood of each J; a pair goes on
+    unless the most likely J is more than six standard errors below the threshold.
 4.  What is left is verified on the sorted sets, and links between different classes merge them: rounds of stars and tiles, as in
     jaccard_join, so that no group gives all its pairs and yet no pair of a group is left out.
 """
@@ -15,11 +16,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard_join import BLOCK, BROADCAST_NODES, Signature, _few, _nodes, link_groups
+from .jaccard_join import BLOCK, BROADCAST_NODES, Signature, _bitmap_pairs, _bitmap_tile, _few, _nodes, bitmap, link_groups
 from .shared import WordHashes, block_shingles, discard, materialise, mix, split_blocks, squeeze_sorted, whole
 
 #: Registers of a band, bands, and registers of a sketch.
@@ -27,6 +27,8 @@ ROWS, BANDS = 5, 32
 REGISTERS = ROWS * BANDS
 #: The scale of registers: the base, the rate of the exponential hashes, and the largest value but one.
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
+#: Bits of a bitmap for each shingle, at least.
+BITS = 8
 #: Standard errors below the threshold at which a pair is given up.
 ERRORS = 6
 _ADD, _TIMES = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)), mix(np.arange(REGISTERS + 1, 2 * REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -95,21 +97,31 @@ def _judge(larger, smaller, na, nb, percent: int):
 
 
 def _rows(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(zstandard.decompress, sketches)), np.uint16).reshape(-1, REGISTERS)
+    """The registers at the head of signatures; a bitmap may follow."""
+    return np.frombuffer(b"".join(x[: 2 * REGISTERS] for x in sketches), np.uint16).reshape(-1, REGISTERS)
+
+
+def _judged(x: np.ndarray, nx, y: np.ndarray, ny, percent: int):
+    return _judge((x > y).sum(1), (x < y).sum(1), nx, ny, percent)
 
 
 def _by_pairs(x, nx, y, ny, percent):
-    a, b = _rows(x), _rows(y)
-    return _judge((a > b).sum(1), (a < b).sum(1), nx, ny, percent)
+    ok, _ = _bitmap_pairs([v[2 * REGISTERS :] for v in x], nx, [v[2 * REGISTERS :] for v in y], ny, percent)
+    at, score = np.flatnonzero(ok), np.zeros(len(ok))
+    if len(at):
+        a, b = (_rows([side[k] for k in at]) for side in (x, y))
+        ok[at], score[at] = _judged(a, nx[at], b, ny[at], percent)
+    return ok, score
 
 
 def _by_tile(x, nx, y, ny, percent):
-    a, b = _rows(x), _rows(y)
-    larger, smaller = np.zeros((2, len(a), len(b)), np.int16)
-    for k in range(REGISTERS):
-        larger += a[:, k, None] > b[None, :, k]
-        smaller += a[:, k, None] < b[None, :, k]
-    return _judge(larger.astype(np.int64), smaller.astype(np.int64), nx[:, None], ny[None, :], percent)
+    ok, _ = _bitmap_tile([v[2 * REGISTERS :] for v in x], nx, [v[2 * REGISTERS :] for v in y], ny, percent)
+    a, b, score = _rows(x), _rows(y), np.zeros(ok.shape)
+    i, j = np.nonzero(ok)
+    for s in range(0, len(i), 16_384):
+        p, q = i[s : s + 16_384], j[s : s + 16_384]
+        ok[p, q], score[p, q] = _judged(a[p], nx[p], b[q], ny[q], percent)
+    return ok, score
 
 
 SKETCHES = Signature(_by_pairs, _by_tile)
@@ -130,7 +142,7 @@ def _sketch(width: int):
             made = registers(found[carried], np.cumsum(n[own]) - n[own])
             sketches = [None] * len(n)
             for i, row in zip(own.tolist(), made, strict=True):
-                sketches[i] = zstandard.compress(row.tobytes(), 1)
+                sketches[i] = row.tobytes()
             columns = [pa.array(ids, pa.int64()), pa.array(nodes, mask=n == 0), pa.array(n), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "node", "n", "bits"])
 
@@ -154,7 +166,9 @@ def _whole_sets(width: int):
             own = own[n[own] > 0]
             for s in range(0, len(own), 500):
                 part = own[s : s + 500]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array([squeeze_sorted(found[ends[i] - n[i] : ends[i]]) for i in part], pa.binary())], ["node", "hashes"])
+                parts = [found[ends[i] - n[i] : ends[i]] for i in part]
+                columns = [pa.array(nodes[part]), pa.array([squeeze_sorted(p) for p in parts], pa.binary()), pa.array([bitmap(p, BITS) for p in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "hashes", "bitmap"])
 
     return run
 
@@ -184,12 +198,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     groups = _groups(nodes)
     names = materialise(groups.select("node").distinct(), "sketch-names")
     few = names.count()
-    sets = rows.select("text").mapInArrow(_whole_sets(width), "node long, hashes binary").join(_few(names, few), "node", "left_semi")
+    sets = rows.select("text").mapInArrow(_whole_sets(width), "node long, hashes binary, bitmap binary").join(_few(names, few), "node", "left_semi")
     sets = materialise(sets.dropDuplicates(["node"]), "sketch-sets")
-    labels = link_groups(groups, nodes, sets, names, percent, SKETCHES)
+    signed = nodes.join(sets.select("node", "bitmap"), "node").select("node", "n", F.concat("bits", "bitmap").alias("bits"))
+    signed = materialise(signed, "sketch-signed")
+    discard(nodes)
+    labels = link_groups(groups, signed, sets, names, percent, SKETCHES)
     member = sketched.select("id", "node", "n").join(labels if few > BROADCAST_NODES else F.broadcast(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = materialise(member.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("least")), "sketch-least")
-    discard(groups, names, sets, nodes)
+    discard(groups, names, sets, signed)
     component = F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least"))
     found = member.join(least, "comp", "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return found.select(F.col("id").alias(id), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
