@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import ordered
 from tidemark.operators import mining, prepare, sanitize, temporal, verify
 from tidemark.schema import PRESETS, Params, advise, validate_schema
 
@@ -60,11 +61,16 @@ def step_loop(db, defs, scores, local, global_, beta=0.25, gamma=0.75):
         db[best[0]][best[1]][i] -= delta
         total[best] -= delta
 
+    everywhere = [(w, t) for w in db for t in db[w]]
+    limit_all = global_ if isinstance(global_, int) else max(1, int(sum(total.values()) * global_))
     for w in sorted(db):
         limit = max(1, int(sum(total[w, t] for t in db[w]) * local))
         for key, p, targets in sorted(defs):
             while w in targets and (u := sum(utility(w, t, p) for t in db[w])) >= limit:
                 step([(w, t) for t in db[w]], p, u - limit + 1)
+    while leaks := [(-u, key, p) for key, p, _ in defs if (u := sum(utility(*x, p) for x in everywhere)) >= limit_all]:
+        u, _, p = min(leaks)
+        step(everywhere, p, -u - limit_all + 1)
     return db
 
 
@@ -87,6 +93,64 @@ def test_hiding_like_the_step_loop(spark, seed):
     assert {(r.window_key, r.tid): r.transaction_utility for r in head.collect()} == {(w, t): sum(x.values()) for w, txs in want.items() for t, x in txs.items()}
 
 
+def utilities(facts):
+    return {(r.window_key, r.tid, r.item_id): r.util for r in facts.collect()}
+
+
+def flat(db):
+    return {(w, t, i): u for w, txs in db.items() for t, x in txs.items() for i, u in x.items() if u > 0}
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_both_passes_like_the_step_loop(spark, seed):
+    rows, facts, tx = database(spark, seed, n=20, items=5)
+    months = sorted({r[0] for r in rows})
+    defs = [("1 2", [1, 2], months), ("1 2 3", [1, 2, 3], months[1:]), ("2 3", [2, 3], months[:1]), ("3 4", [3, 4], months), ("5", [5], months)]
+    scores = {1: 0.5, 2: 0.25, 3: 0.25, 5: 0.125}
+    definitions = spark.createDataFrame(defs, "pattern_key string, items array<int>, local_target_windows array<string>")
+    _, after, head = sanitize.sanitize(definitions, facts, tx, scored(spark, list(scores.items())), 0.2, 0.12)
+    want = step_loop(nested(rows), defs, scores, 0.2, 0.12)
+    assert utilities(after) == flat(want)
+    assert {(r.window_key, r.tid): r.transaction_utility for r in head.collect()} == {(w, t): sum(x.values()) for w, txs in want.items() for t, x in txs.items()}
+
+
+def test_global_pass_of_hundreds_of_cases_like_the_step_loop(spark):
+    """Cases have items of their own, so that each is a component, or several; the threshold is that of all."""
+    rng, rows, defs, scores, limit = random.Random(9), [], [], {}, 25
+    for case in range(200):
+        items = list(range(10 * case + 1, 10 * case + 6))
+        for t in range(rng.randint(3, 12)):
+            w = rng.choice(["2011-01", "2011-02"])
+            rows += [(w, f"{w}_{case}_{t}", "i", i, rng.randint(1, 9)) for i in items if rng.random() < 0.75]
+        for p in {tuple(sorted(rng.sample(items, rng.choice([1, 2, 2, 3])))) for _ in range(rng.randint(1, 4))}:
+            defs.append((" ".join(map(str, p)), list(p), []))
+        scores |= {i: rng.choice([0.0, 0.25, 0.5]) for i in items[:3]}
+    facts = spark.createDataFrame(rows, FACT)
+    tx = prepare.headers(facts)
+    definitions = spark.createDataFrame(defs, "pattern_key string, items array<int>, local_target_windows array<string>")
+    changes = sanitize.global_pass(definitions, facts, tx, scored(spark, list(scores.items())), limit)
+    want = {}
+    for case in range(200):
+        own = [r for r in rows if r[3] // 10 == case]
+        mine = [d for d in defs if d[1][0] // 10 == case]
+        want |= flat(step_loop(nested(own), mine, scores, 1.0, limit))
+    assert utilities(sanitize.apply_modifications(facts, tx, changes)[0]) == want
+
+
+def test_global_pass_takes_only_the_top_of_the_order(spark):
+    """Of many transactions a pattern that must lose little meets few."""
+    rows = [("2011-01", f"2011-01_{t}", "i", i, 5 + (t * 7 + i) % 4) for t in range(400) for i in (1, 2)]
+    facts = spark.createDataFrame(rows, FACT)
+    tx = prepare.headers(facts)
+    total = sum(r[4] for r in rows)
+    orders = temporal.pattern_support(spark.createDataFrame([("1 2", [1, 2])], "pattern_key string, items array<int>"), facts)
+    ran = ordered.running(orders, ["pattern_key"], [F.desc("utility"), "window_key", "tid"], {"before": "utility"})
+    assert sanitize._tops(ran, {"1 2": 100}).count() < 10
+    definitions = spark.createDataFrame([("1 2", [1, 2], [])], "pattern_key string, items array<int>, local_target_windows array<string>")
+    changes = sanitize.global_pass(definitions, facts, tx, scored(spark, []), total - 99)
+    assert utilities(sanitize.apply_modifications(facts, tx, changes)[0]) == flat(step_loop(nested(rows), [("1 2", [1, 2], [])], {}, 2.0, total - 99))
+
+
 def test_global_pass_leaves_no_leak(spark):
     rows, facts, tx = database(spark, 6)
     definitions = spark.createDataFrame([("1 2", [1, 2]), ("2 3", [2, 3])], "pattern_key string, items array<int>")

@@ -23,12 +23,13 @@ def test_ranks_of_rows_that_are_all_the_same(spark):
 def test_running_sums_with_one_large_key(spark):
     rng = random.Random(2)
     rows = [("a" if rng.random() < 0.6 else rng.choice("bcdefgh"), i, rng.randrange(100)) for i in range(600)]
-    got = running(spark.createDataFrame(rows, "key string, id int, v long").repartition(5), ["key"], [F.desc("id")], "v").collect()
+    got = running(spark.createDataFrame(rows, "key string, id int, v long").repartition(5), ["key"], [F.desc("id")], {"before": "v", "ids": "id"}).collect()
     for r in got:
         assert r.before == sum(v for k, i, v in rows if k == r.key and i > r.id)
+        assert r.ids == sum(i for k, i, v in rows if k == r.key and i > r.id)
     assert len(got) == len(rows)
 
 
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "key string, v long")
-    assert ranked(empty, ["v"]).isEmpty() and running(empty, ["key"], ["v"], "v").isEmpty()
+    assert ranked(empty, ["v"]).isEmpty() and running(empty, ["key"], ["v"], {"before": "v"}).isEmpty()

@@ -33,12 +33,14 @@ def ranked(df: DataFrame, order: list[str | Column], name: str = "rank") -> Data
     return placed.join(F.broadcast(offsets), "__part").select(*df.columns, (F.col("__before") + F.col("__place") + 1).alias(name))
 
 
-def running(df: DataFrame, keys: list[str], order: list[str | Column], value: str, name: str = "before") -> DataFrame:
-    """df with a long column `name`: the sum of `value` over the rows of the same keys that come before in this order, 0 for the first."""
+def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, str]) -> DataFrame:
+    """df with a long column for each name of `sums`: the sum of that name's column over the rows of the same keys that come before in
+    this order, 0 for the first."""
     placed = _placed(df, [*map(F.col, keys), *[F.col(c) if isinstance(c, str) else c for c in order]])
-    sums = placed.groupBy(*keys, "__part").agg(F.sum(value).alias("s"))  # one row for each range and key in it
+    zero = F.lit(0).cast("long")
+    held = placed.groupBy(*keys, "__part").agg(*[F.sum(c).alias(f"__{name}") for name, c in sums.items()])  # one row for each range and key in it
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "__part", F.coalesce(F.sum("s").over(earlier), F.lit(0).cast("long")).alias("__before"))
+    offsets = held.select(*keys, "__part", *[F.coalesce(F.sum(f"__{name}").over(earlier), zero).alias(f"__{name}") for name in sums])
     within = Window.partitionBy(*keys, "__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
-    inside = placed.withColumn("__inside", F.coalesce(F.sum(value).over(within), F.lit(0).cast("long")))
-    return inside.join(offsets, [*keys, "__part"]).select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name))
+    inside = placed.select("*", *[F.coalesce(F.sum(c).over(within), zero).alias(f"__in_{name}") for name, c in sums.items()])
+    return inside.join(offsets, [*keys, "__part"]).select(*df.columns, *[(F.col(f"__{name}") + F.col(f"__in_{name}")).alias(name) for name in sums])

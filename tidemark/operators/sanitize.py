@@ -1,23 +1,30 @@
 """Hiding sensitive patterns by lowering item utilities.
 
 Local pass: within each month, each target pattern in order of its key, transactions by descending score lose utility of their
-victim item until the pattern is below the month's threshold. Months are independent, so each is a group; only the
-transactions and items that some target touches go in.
+victim item until the pattern is below the month's threshold. A step leaves all other scores of its pattern as they are, so that a
+running sum over the order of scores says what each transaction must give. Months are independent: a round does the next target
+of all of them at once, and no month is a group (functions/ordered.py). Targets that are below the threshold already cost no round.
 
 Global pass: while a pattern reaches the threshold over all months, the largest one loses utility in the best transaction of all.
-Every step depends on the one before, so this runs in one task, over the transactions that hold a leaking pattern.
+Every step depends on those before it in transactions that both their patterns hold. Scores and utilities only fall, so a pattern
+takes its transactions from the top of its order of scores, as far down as it needs to lose; patterns that share none of these
+transactions do not touch each other. So each component of patterns is a group, with these top transactions only.
 
 Ties between transactions go to the earliest month, then the smallest tid.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpoint
+from ..functions.ordered import running
 from ..functions.scalars import hiding_threshold
-from .temporal import items_of, pattern_support
+from .temporal import holding, items_of, pattern_support
 
 MODIFICATION = "window_key string, tid string, item_id int, before_utility long, after_utility long, delta long, phase string, pattern_key string, step long"
 
@@ -53,92 +60,103 @@ def hide_first_target(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame,
     return cut.select("window_key", "tid", F.col("v.item_id").alias("item_id"), (-F.col("v.low")).alias("before_utility"), (-F.col("v.low") - F.col("delta")).alias("after_utility"), "delta", "pattern_key")
 
 
-class _State:
-    """Transactions of one task: total utility, and utilities of the items that some pattern holds."""
+def _packed(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame, scores: DataFrame) -> DataFrame:
+    """window_key, tid, tu, and x: the items of positive utility that some pattern holds, with their scores; one row for each
+    transaction with such an item."""
+    items = definitions.select(F.explode("items").alias("item_id")).distinct().join(scores.select("item_id", "score"), "item_id", "left").fillna(0.0, ["score"])
+    facts = tx_item.filter("util > 0").join(items, "item_id").groupBy("window_key", "tid").agg(F.array_sort(F.collect_list(F.struct("item_id", "util", "score"))).alias("x"))
+    return facts.join(tx.select("window_key", "tid", F.col("transaction_utility").alias("tu")), ["window_key", "tid"])
 
-    def __init__(self, pdf: pd.DataFrame, scores: dict[int, float], beta: float, gamma: float):
-        self.total = dict(zip(zip(pdf.window_key, pdf.tid, strict=True), pdf.transaction_utility, strict=True))
-        self.items: dict[tuple, dict[int, int]] = {}
-        for w, t, i, u in zip(pdf.window_key, pdf.tid, pdf.item_id, pdf.util, strict=True):
-            self.items.setdefault((w, t), {})[int(i)] = int(u)
-        self.scores, self.beta, self.gamma = scores, beta, gamma
 
-    def utility(self, tx: tuple, pattern: list[int]) -> int:
-        held = self.items[tx]
-        got = [held.get(i, 0) for i in pattern]
-        return sum(got) if all(u > 0 for u in got) else 0
+def _scored(held: DataFrame, beta: float, gamma: float) -> DataFrame:
+    """Rows of `holding` with v, the victim item (its score, its utility negated, its id), and rank_score."""
+    victim = F.array_min(F.transform("held", lambda e: F.struct(e["score"].alias("score"), (-e["util"]).alias("low"), e["item_id"].alias("item_id"))))
+    return held.withColumn("v", victim).withColumn("rank_score", F.col("utility") + beta * F.col("tu") + gamma - F.col("v.score"))
 
-    def victim(self, tx: tuple, pattern: list[int]) -> int:
-        return min(pattern, key=lambda i: (self.scores.get(i, 0.0), -self.items[tx][i], i))
 
-    def score(self, tx: tuple, pattern: list[int]) -> float:
-        return self.utility(tx, pattern) + self.beta * self.total[tx] + self.gamma - self.scores.get(self.victim(tx, pattern), 0.0)
+def _alive(packed: DataFrame) -> DataFrame:
+    return packed.withColumn("x", F.filter("x", lambda e: e["util"] > 0))
 
-    def reduce(self, tx: tuple, item: int, need: int) -> tuple[int, int, int]:
-        before = self.items[tx][item]
-        delta = max(0, min(need, before))
-        self.items[tx][item] = before - delta
-        self.total[tx] -= delta
-        return before, before - delta, delta
 
+class _Component:
+    """The global pass over one component: transactions with utilities of items, patterns with their totals."""
 
-def _local(patterns: dict[str, list[tuple[str, list[int]]]], scores: dict[int, float], beta: float, gamma: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        window, threshold = pdf.window_key.iloc[0], int(pdf.threshold.iloc[0])
-        state, out = _State(pdf, scores, beta, gamma), []
-        for key, items in sorted(patterns.get(window, [])):
-            support = {tx: u for tx in state.items if (u := state.utility(tx, items)) > 0}
-            total = sum(support.values())
-            for tx in sorted(support, key=lambda tx: (-state.score(tx, items), tx[1])):
-                if total < threshold:
-                    break
-                victim = state.victim(tx, items)
-                before, after, delta = state.reduce(tx, victim, total - threshold + 1)
-                if delta <= 0:
-                    break
-                total -= delta if after > 0 else support[tx]
-                out.append((window, tx[1], victim, before, after, delta, "local", key, len(out)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in MODIFICATION.split(", ")])
+    def __init__(self, pdf: pd.DataFrame, patterns: dict[str, tuple[list[int], int]], scores: dict[int, float], beta: float, gamma: float):
+        self.total, self.items = {}, {}
+        for w, t, u, ids, utils in zip(pdf.window_key, pdf.tid, pdf.tu, pdf["items"], pdf.utils, strict=True):
+            self.total[w, t] = int(u)
+            self.items[w, t] = dict(zip(map(int, ids), map(int, utils), strict=True))
+        self.members = {k: p for k, (p, _) in patterns.items()}
+        self.left = {k: u for k, (_, u) in patterns.items()}
+        self.scores, self.beta, self.gamma = scores, beta, gamma
+        self.of_item: dict[int, list[str]] = {}
+        for k, p in self.members.items():
+            for i in p:
+                self.of_item.setdefault(i, []).append(k)
+
+    def utility(self, tx: tuple, key: str) -> int:
+        got = [self.items[tx].get(i, 0) for i in self.members[key]]
+        return sum(got) if min(got) > 0 else 0
+
+    def victim(self, tx: tuple, key: str) -> int:
+        return min(self.members[key], key=lambda i: (self.scores.get(i, 0.0), -self.items[tx][i], i))
+
+    def order(self, tx: tuple, key: str) -> tuple:
+        return (-(self.utility(tx, key) + self.beta * self.total[tx] + self.gamma - self.scores.get(self.victim(tx, key), 0.0)), tx)
+
+    def steps(self, threshold: int):
+        """Modifications in order. Both heaps hold old places of what has fallen since; such an entry goes back with its new place."""
+        queues = {k: [self.order(tx, k) for tx in self.items if self.utility(tx, k)] for k in self.members}
+        for q in queues.values():
+            heapify(q)
+        leaks = [(-u, k) for k, u in self.left.items() if u >= threshold]
+        heapify(leaks)
+        while leaks:
+            u, key = heappop(leaks)
+            if self.left[key] < threshold:
+                continue
+            if -u != self.left[key]:
+                heappush(leaks, (-self.left[key], key))
+                continue
+            queue = queues[key]
+            while queue:
+                place, tx = heappop(queue)
+                if not self.utility(tx, key):
+                    continue
+                if (now := self.order(tx, key))[0] > place:
+                    heappush(queue, now)
+                    continue
+                yield self._step(tx, key, threshold)
+                if self.utility(tx, key):
+                    heappush(queue, self.order(tx, key))
+                heappush(leaks, (-self.left[key], key))
+                break
 
-    return run
+    def _step(self, tx: tuple, key: str, threshold: int) -> tuple:
+        item = self.victim(tx, key)
+        before = self.items[tx][item]
+        delta = min(before, self.left[key] - threshold + 1)
+        losses = [(k, self.utility(tx, k)) for k in self.of_item[item]]
+        self.items[tx][item] = before - delta
+        self.total[tx] -= delta
+        for k, was in losses:
+            if was:
+                self.left[k] -= delta if delta < before else was
+        return (*tx, item, before, before - delta, delta, "global", key)
 
 
-def _global(patterns: list[tuple[str, list[int]]], threshold: int, scores: dict[int, float], beta: float, gamma: float):
+def _global(components: list[dict[str, tuple[list[int], int]]], threshold: int, scores: dict[int, float], beta: float, gamma: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = _State(pdf, scores, beta, gamma), []
-        support = {key: {tx: u for tx in state.items if (u := state.utility(tx, items)) > 0} for key, items in patterns}
-        members = dict(patterns)
-        totals = {key: sum(s.values()) for key, s in support.items()}
-        while leaks := [key for key, u in totals.items() if u >= threshold]:
-            key = min(leaks, key=lambda k: (-totals[k], k))
-            if not support[key]:
-                break
-            tx = min(support[key], key=lambda tx: (-state.score(tx, members[key]), tx))
-            victim = state.victim(tx, members[key])
-            before, after, delta = state.reduce(tx, victim, totals[key] - threshold + 1)
-            if delta <= 0:
-                break
-            out.append((tx[0], tx[1], victim, before, after, delta, "global", key, len(out)))
-            for other, items in patterns:
-                if victim in items and tx in support[other]:
-                    now = state.utility(tx, items)
-                    totals[other] += now - support[other][tx]
-                    support[other][tx] = now
-                    if now <= 0:
-                        del support[other][tx]
+        counts: dict[str, int] = {}
+        out = []
+        for step in _Component(pdf, components[int(pdf.component.iloc[0])], scores, beta, gamma).steps(threshold):
+            out.append((*step, counts.get(step[-1], 0)))
+            counts[step[-1]] = out[-1][-1] + 1
         return pd.DataFrame(out, columns=[c.split()[0] for c in MODIFICATION.split(", ")])
 
     return run
 
 
-def _payload(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame) -> DataFrame:
-    """Facts of items that some pattern holds, in transactions that hold a pattern, with the transaction's utility."""
-    touched = pattern_support(definitions, tx_item).select("window_key", "tid").distinct()
-    items = definitions.select(F.explode("items").alias("item_id")).distinct()
-    facts = tx_item.select("window_key", "tid", "item_id", "util").join(items, "item_id", "left_semi").join(touched, ["window_key", "tid"], "left_semi")
-    return facts.join(tx.select("window_key", "tid", "transaction_utility"), ["window_key", "tid"])
-
-
 def apply_modifications(tx_item: DataFrame, tx: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The facts and headers after the changes; items at 0 go, headers stay."""
     by_item = changes.groupBy("window_key", "tid", "item_id").agg(F.sum("delta").alias("d"))
@@ -151,32 +169,100 @@ def apply_modifications(tx_item: DataFrame, tx: DataFrame, changes: DataFrame) -
 
 
 def local_pass(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame, scores: DataFrame, ratio: float, beta: float = 0.25, gamma: float = 0.75) -> DataFrame:
-    """Modifications that hide every pattern in its target months."""
-    chosen = definitions.select("pattern_key", "items", "local_target_windows").collect()  # at most max_selected_per_window for each month
-    patterns: dict[str, list[tuple[str, list[int]]]] = {}
-    for r in chosen:
-        for w in r.local_target_windows:
-            patterns.setdefault(w, []).append((r.pattern_key, list(r["items"])))
-    known = {r.item_id: r.score for r in scores.select("item_id", "score").collect()}  # items of selected patterns
-    targets = definitions.select("pattern_key", "items", F.explode("local_target_windows").alias("window_key"))
-    months = tx_item.join(targets.select("window_key").distinct(), "window_key", "left_semi")
-    rows = _payload(definitions, months, tx).join(local_thresholds(tx, ratio), "window_key")
-    return rows.groupBy("window_key").applyInPandas(_local(patterns, known, beta, gamma), MODIFICATION)
+    """Modifications that hide every pattern in its target months; step counts those of a month and pattern in order, from 0."""
+    waiting = definitions.select("pattern_key", "items", F.explode("local_target_windows").alias("window_key")).join(local_thresholds(tx, ratio), "window_key")
+    waiting = checkpoint(waiting)
+    months = waiting.select("window_key").distinct()
+    state = checkpoint(_packed(definitions, tx_item.join(months, "window_key", "left_semi"), tx, scores))
+    done = state.sparkSession.createDataFrame([], MODIFICATION)
+    while True:
+        # Of each month the first target that is not hidden. Those before it never need a step, as utilities only fall.
+        sums = holding(_alive(state), waiting, ("window_key",)).groupBy("window_key", "pattern_key", "items", "threshold").agg(F.sum("utility").alias("total"))
+        first = sums.filter("total >= threshold").groupBy("window_key").agg(F.min_by(F.struct("pattern_key", "items", "threshold", "total"), "pattern_key").alias("f"))
+        turn = checkpoint(first.select("window_key", "f.*"))
+        if turn.isEmpty():
+            return done
+        rows = _scored(holding(_alive(state), turn, ("window_key",)), beta, gamma).withColumn("one", F.lit(1).cast("long"))
+        rows = rows.select("window_key", "tid", "pattern_key", "utility", "threshold", "total", "rank_score", "v", "one")
+        ran = running(rows, ["window_key"], [F.desc("rank_score"), F.asc("tid")], {"before": "utility", "step": "one"})
+        rest = F.col("total") - F.col("before")
+        cut = ran.filter(rest >= F.col("threshold")).withColumn("delta", F.least(-F.col("v.low"), rest - F.col("threshold") + 1))
+        cut = checkpoint(cut.select("window_key", "tid", F.col("v.item_id").alias("item_id"), (-F.col("v.low")).alias("before_utility"), (-F.col("v.low") - F.col("delta")).alias("after_utility"), "delta", F.lit("local").alias("phase"), "pattern_key", "step"))
+        done = done.unionByName(cut)
+        lost = cut.select("window_key", "tid", F.col("item_id").alias("__item"), "delta")
+        left = F.transform("x", lambda e: e.withField("util", e["util"] - F.when(e["item_id"] == F.col("__item"), F.col("delta")).otherwise(F.lit(0))))
+        state = checkpoint(state.join(lost, ["window_key", "tid"], "left").select("window_key", "tid", (F.col("tu") - F.coalesce("delta", F.lit(0))).alias("tu"), left.alias("x")))
+        waiting = checkpoint(waiting.join(turn.select("window_key", F.col("pattern_key").alias("__turn")), "window_key").filter("pattern_key > __turn").drop("__turn"))
+
+
+def _tops(orders: DataFrame, need: dict[str, int]) -> DataFrame:
+    """Rows of `orders` (pattern_key, window_key, tid, utility, before: what the pattern's better transactions add up to) in which steps can
+    take place.
+
+    Each pattern has as many transactions from its top as to lose what it needs in those that are not among the tops of other
+    patterns; or all of its transactions. A pattern's own transactions keep their scores until it takes them, so it takes none
+    below them."""
+    spark, whole = orders.sparkSession, orders.groupBy("pattern_key").agg(F.sum("utility").alias("u"))
+    totals = {r.pattern_key: r.u for r in whole.collect()}  # one row for each leaking pattern
+    depth = dict(need)
+    while True:
+        limits = spark.createDataFrame(list(depth.items()), "pattern_key string, depth long")
+        tops = orders.join(F.broadcast(limits), "pattern_key").filter("before < depth")
+        alone = tops.groupBy("window_key", "tid").agg(F.min("pattern_key").alias("pattern_key"), F.count("*").alias("n"), F.min("utility").alias("u")).filter("n = 1")
+        own = {r.pattern_key: r.u for r in alone.groupBy("pattern_key").agg(F.sum("u").alias("u")).collect()}
+        short = [k for k in depth if own.get(k, 0) < need[k] and depth[k] < totals[k]]
+        if not short:
+            return tops.select("window_key", "tid").distinct()
+        for k in short:
+            depth[k] = min(totals[k], 2 * depth[k] + need[k] - own.get(k, 0))
+
+
+def _joined(pairs: list[tuple[str, str]], keys: list[str]) -> list[list[str]]:
+    """Components of keys under pairs."""
+    parent = {k: k for k in keys}
+
+    def root(k: str) -> str:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    groups: dict[str, list[str]] = {}
+    for k in sorted(keys):
+        groups.setdefault(root(k), []).append(k)
+    return list(groups.values())
 
 
 def global_pass(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame, scores: DataFrame, threshold: int, beta: float = 0.25, gamma: float = 0.75) -> DataFrame:
-    """Modifications that bring every pattern below the threshold over all months. tx_item and tx are those after the local pass."""
-    totals = pattern_support(definitions, tx_item).groupBy("pattern_key").agg(F.sum("utility").alias("utility"))
-    leaking = definitions.join(totals.filter(F.col("utility") >= threshold), "pattern_key", "left_semi")
-    patterns = [(r.pattern_key, list(r["items"])) for r in leaking.select("pattern_key", "items").collect()]  # selected patterns, few
-    known = {r.item_id: r.score for r in scores.select("item_id", "score").collect()}
-    return _payload(leaking, tx_item, tx).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_global(patterns, threshold, known, beta, gamma), MODIFICATION)
+    """Modifications that bring every pattern below the threshold over all months; step counts those of a pattern in order, from 0.
+    tx_item and tx are those after the local pass.
+
+    The driver holds the leaking patterns with their totals, selected ones at most; transactions stay where they are."""
+    spark = definitions.sparkSession
+    state = checkpoint(_packed(definitions, tx_item, tx, scores))
+    held = _scored(holding(state, definitions.select("pattern_key", "items")), beta, gamma)
+    sums = held.groupBy("pattern_key", "items").agg(F.sum("utility").alias("total")).filter(F.col("total") >= threshold).collect()
+    patterns = {r.pattern_key: (list(r["items"]), r.total) for r in sums}
+    if not patterns:
+        return spark.createDataFrame([], MODIFICATION)
+    rows = held.filter(F.col("pattern_key").isin(list(patterns))).select("pattern_key", "window_key", "tid", "utility", "rank_score")
+    orders = checkpoint(running(rows, ["pattern_key"], [F.desc("rank_score"), F.asc("window_key"), F.asc("tid")], {"before": "utility"}))
+    tops = checkpoint(_tops(orders, {k: u - threshold + 1 for k, (_, u) in patterns.items()}))
+    # What happens in a top transaction concerns every leaking pattern that it holds.
+    met = orders.join(tops, ["window_key", "tid"], "left_semi").groupBy("window_key", "tid").agg(F.array_sort(F.collect_set("pattern_key")).alias("keys"))
+    met = checkpoint(met)
+    pairs = met.select(F.col("keys")[0].alias("a"), F.explode("keys").alias("b")).distinct().collect()  # pairs of leaking patterns
+    groups = _joined([(r.a, r.b) for r in pairs], list(patterns))
+    names = spark.createDataFrame([(k, i) for i, g in enumerate(groups) for k in g], "key string, component int")
+    rows = state.join(met.select("window_key", "tid", F.col("keys")[0].alias("key")), ["window_key", "tid"]).join(F.broadcast(names), "key")
+    rows = rows.select("component", "window_key", "tid", "tu", F.col("x.item_id").alias("items"), F.col("x.util").alias("utils"))
+    known = {r.item_id: r.score for r in scores.select("item_id", "score").collect()}  # items of selected patterns
+    return rows.groupBy("component").applyInPandas(_global([{k: patterns[k] for k in g} for g in groups], threshold, known, beta, gamma), MODIFICATION)
 
 
 def sanitize(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame, scores: DataFrame, local_ratio: float, global_ratio: float, beta: float = 0.25, gamma: float = 0.75):
     """Both passes: modifications, and facts and headers after them. Results are cut from their lineage, as each is used often."""
-    from ..functions.lineage import checkpoint
-
     local = checkpoint(local_pass(definitions, tx_item, tx, scores, local_ratio, beta, gamma))
     facts, head = (checkpoint(x) for x in apply_modifications(tx_item, tx, local))
     threshold = tx.agg(hiding_threshold(F.coalesce(F.sum("transaction_utility"), F.lit(0)), global_ratio).alias("t")).first().t

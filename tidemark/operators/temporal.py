@@ -7,11 +7,23 @@ from pyspark.sql import functions as F
 
 
 def pattern_support(patterns: DataFrame, tx_item: DataFrame, positive: bool = True) -> DataFrame:
-    """pattern_key, window_key, tid, utility for each transaction that holds all of a pattern's items (with positive utility)."""
-    wanted = patterns.select("pattern_key", F.size("items").alias("k"), F.explode("items").alias("item_id"))
+    """pattern_key, window_key, tid, utility for each transaction that holds all of a pattern's items (with positive utility).
+
+    Transactions are packed once and meet the patterns whose first item they hold; the other items are looked up in the packed row,
+    so that no row for each item of each pattern is shuffled. Patterns are few and broadcast by their size, if it is small enough.
+    """
     facts = tx_item.filter("util > 0") if positive else tx_item
-    held = facts.join(wanted, "item_id").groupBy("pattern_key", "k", "window_key", "tid").agg(F.count("*").alias("n"), F.sum("util").alias("utility"))
-    return held.filter("n = k").select("pattern_key", "window_key", "tid", "utility")
+    packed = facts.groupBy("window_key", "tid").agg(F.collect_list(F.struct("item_id", "util")).alias("x"))
+    return holding(packed, patterns).select("pattern_key", "window_key", "tid", "utility")
+
+
+def holding(packed: DataFrame, patterns: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Packed transactions (x: item_id, util and more) with each pattern all of whose items they hold, once: all columns of both,
+    `held`, the entries of the pattern's items, and `utility`, their sum. `on` are further columns that must agree."""
+    wanted = patterns.withColumn("__first", F.col("items")[0])
+    met = packed.withColumn("__first", F.explode(F.array_distinct("x.item_id"))).join(wanted, ["__first", *on]).drop("__first")
+    met = met.withColumn("held", F.filter("x", lambda e: F.array_contains("items", e["item_id"]))).filter(F.size("held") == F.size("items"))
+    return met.withColumn("utility", F.aggregate("held", F.lit(0).cast("long"), lambda a, e: a + e["util"]))
 
 
 def pattern_windows(patterns: DataFrame, tx_item: DataFrame, windows: DataFrame) -> DataFrame:
