@@ -11,7 +11,7 @@ from tidemark import oracle, queries
 ROOT = "/root/testdata"
 SQL = oracle.oracle_sql()
 FAST = [n for n in ("raw_summary", "sales_overview", "raw_monthly_stats", "top_products_utility", "product_table", "invoice_utilities", "drop_report", "item_dictionary", "transactions", "window_totals", "max_len_impact", "preprocess_report", "twu_items", "twu_stats", "huim_text") if n in SQL]
-MINED = ["hui_all", "temporal_stats", "peak_sensitive_selection", "item_scores", "local_pass_first_target", "transaction_detail", "cross_sell"]
+MINED = ["hui_all", "temporal_stats", "peak_sensitive_selection", "item_scores", "local_pass_first_target", "transaction_detail", "cross_sell", "modifications", "integrity_audit_damaged", "restricted_selection"]
 
 
 def rows(frame):

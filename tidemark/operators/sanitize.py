@@ -174,14 +174,16 @@ def local_pass(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame, scores
     waiting = checkpoint(waiting)
     months = waiting.select("window_key").distinct()
     state = checkpoint(_packed(definitions, tx_item.join(months, "window_key", "left_semi"), tx, scores))
-    done = state.sparkSession.createDataFrame([], MODIFICATION)
+    spark, open_ = state.sparkSession, waiting
+    done = spark.createDataFrame([], MODIFICATION)
     while True:
         # Of each month the first target that is not hidden. Those before it never need a step, as utilities only fall.
-        sums = holding(_alive(state), waiting, ("window_key",)).groupBy("window_key", "pattern_key", "items", "threshold").agg(F.sum("utility").alias("total"))
+        sums = holding(_alive(state), open_, ("window_key",)).groupBy("window_key", "pattern_key", "items", "threshold").agg(F.sum("utility").alias("total"))
         first = sums.filter("total >= threshold").groupBy("window_key").agg(F.min_by(F.struct("pattern_key", "items", "threshold", "total"), "pattern_key").alias("f"))
-        turn = checkpoint(first.select("window_key", "f.*"))
-        if turn.isEmpty():
+        turns = first.select("window_key", "f.*").collect()  # a row for each month
+        if not turns:
             return done
+        turn = F.broadcast(spark.createDataFrame(turns, "window_key string, pattern_key string, items array<int>, threshold long, total long"))
         rows = _scored(holding(_alive(state), turn, ("window_key",)), beta, gamma).withColumn("one", F.lit(1).cast("long"))
         rows = rows.select("window_key", "tid", "pattern_key", "utility", "threshold", "total", "rank_score", "v", "one")
         ran = running(rows, ["window_key"], [F.desc("rank_score"), F.asc("tid")], {"before": "utility", "step": "one"})
@@ -192,7 +194,7 @@ def local_pass(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame, scores
         lost = cut.select("window_key", "tid", F.col("item_id").alias("__item"), "delta")
         left = F.transform("x", lambda e: e.withField("util", e["util"] - F.when(e["item_id"] == F.col("__item"), F.col("delta")).otherwise(F.lit(0))))
         state = checkpoint(state.join(lost, ["window_key", "tid"], "left").select("window_key", "tid", (F.col("tu") - F.coalesce("delta", F.lit(0))).alias("tu"), left.alias("x")))
-        waiting = checkpoint(waiting.join(turn.select("window_key", F.col("pattern_key").alias("__turn")), "window_key").filter("pattern_key > __turn").drop("__turn"))
+        open_ = waiting.join(turn.select("window_key", F.col("pattern_key").alias("__turn")), "window_key").filter("pattern_key > __turn").drop("__turn")
 
 
 def _tops(orders: DataFrame, need: dict[str, int]) -> DataFrame:

@@ -78,6 +78,9 @@ def item_scores(selected: DataFrame) -> DataFrame:
     return each.groupBy("item_id").agg(F.sum("score").alias("score"), F.count("*").alias("selected_count"), F.array_sort(F.collect_set("selected_window")).alias("windows"), F.array_sort(F.collect_set("pattern_key")).alias("patterns"))
 
 
-def restrict(selected: DataFrame, keys: list[str]) -> DataFrame:
-    """Selected rows of the given patterns only; an empty list is no restriction. Item scores stay those of the whole selection."""
+def restrict(selected: DataFrame, keys: list[str] | DataFrame) -> DataFrame:
+    """Selected rows of the given patterns only, a list or a table with pattern_key; an empty list is no restriction. Item scores stay
+    those of the whole selection."""
+    if isinstance(keys, DataFrame):
+        return selected.join(keys.select("pattern_key").distinct(), "pattern_key", "left_semi")
     return selected.filter(F.col("pattern_key").isin(keys)) if keys else selected

@@ -89,6 +89,53 @@ labelled AS (SELECT pattern_key, selected_window, list(label ORDER BY pos) AS la
     FROM (SELECT pattern_key, selected_window, unnest(string_split(pattern_key, ' '))::INT AS item_id, generate_subscripts(string_split(pattern_key, ' '), 1) AS pos FROM sel) e JOIN items USING (item_id)) GROUP BY ALL)"""
 
 
+def _steps() -> str:
+    """Both passes of hiding. A row of `loc` is a transaction after the targets up to the r-th of its month, one of `everywhere` after n
+    steps of the global pass; what a step takes stands in the row that it changes."""
+    score = f"u + {HIDE.beta}::DOUBLE * tu + {HIDE.gamma}::DOUBLE - v.s"
+    held = "list_filter({0}.x, lambda e: list_contains({1}.p, e.i) AND e.u > 0)"
+    whole = "CASE WHEN len(held) = len(p) THEN list_sum(list_transform(held, lambda e: e.u))::BIGINT ELSE 0 END AS u, list_min(list_transform(held, lambda e: {'s': e.s, 'l': -e.u, 'i': e.i})) AS v"
+    lower = "list_transform(x, lambda e: CASE WHEN e.i = {0} THEN struct_pack(i := e.i, u := e.u - {1}, s := e.s) ELSE e END)"
+    earlier = f"OVER (PARTITION BY window_key ORDER BY CASE WHEN u > 0 THEN {score} END DESC NULLS LAST, tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""{_hide()},
+pats AS (SELECT pattern_key, list_transform(string_split(pattern_key, ' '), lambda x: x::INT) AS p FROM defs),
+targets AS (SELECT selected_window AS window_key, sel.pattern_key, p, threshold, row_number() OVER (PARTITION BY selected_window ORDER BY sel.pattern_key) AS r FROM sel JOIN pats USING (pattern_key) JOIN limits ON limits.window_key = selected_window),
+packed AS (SELECT i.window_key, i.tid, transaction_utility AS tu, list({{'i': i.item_id, 'u': i.util, 's': coalesce(score, 0)}} ORDER BY i.item_id) AS x
+    FROM tx_item i JOIN tx ON tx.window_key = i.window_key AND tx.tid = i.tid LEFT JOIN scores ON scores.item_id = i.item_id WHERE i.item_id IN (SELECT item_id FROM each) GROUP BY i.window_key, i.tid, transaction_utility),
+loc(r, window_key, tid, tu, x, pattern_key, item_id, before_utility, delta, step) AS (
+    SELECT 0, window_key, tid, tu, x, NULL::VARCHAR, NULL::INT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM packed
+    UNION ALL
+    SELECT r, window_key, tid, (tu - coalesce(d, 0))::BIGINT, CASE WHEN d > 0 THEN {lower.format("v.i", "d")} ELSE x END, CASE WHEN d > 0 THEN pattern_key END, CASE WHEN d > 0 THEN v.i END, CASE WHEN d > 0 THEN -v.l END, CASE WHEN d > 0 THEN d END, step FROM
+        (SELECT *, CASE WHEN u > 0 AND total - before >= threshold THEN least(-v.l, total - before - threshold + 1) END::BIGINT AS d FROM
+            (SELECT *, sum(u) OVER (PARTITION BY window_key) AS total, coalesce(sum(u) {earlier}, 0) AS before, coalesce(sum(CASE WHEN u > 0 THEN 1 ELSE 0 END) {earlier}, 0)::BIGINT AS step FROM
+                (SELECT *, {whole} FROM
+                    (SELECT l.r + 1 AS r, l.window_key, l.tid, l.tu, l.x, t.pattern_key, t.p, t.threshold, {held.format("l", "t")} AS held FROM loc l LEFT JOIN targets t ON t.window_key = l.window_key AND t.r = l.r + 1 WHERE l.r < (SELECT max(r) FROM targets)))))),
+mid AS (SELECT window_key, tid, tu, x FROM loc WHERE r = (SELECT max(r) FROM targets)),
+leaking AS (SELECT pattern_key, p FROM (SELECT pattern_key, p, {whole} FROM (SELECT k.pattern_key, k.p, {held.format("m", "k")} AS held FROM mid m CROSS JOIN pats k)) GROUP BY pattern_key, p HAVING sum(u) >= (SELECT threshold FROM total)),
+everywhere(n, window_key, tid, tu, x, pattern_key, item_id, before_utility, delta) AS (
+    SELECT 0, window_key, tid, tu, x, NULL::VARCHAR, NULL::INT, NULL::BIGINT, NULL::BIGINT FROM mid m WHERE EXISTS (SELECT 1 FROM leaking k WHERE len({held.format("m", "k")}) = len(k.p))
+    UNION ALL
+    SELECT g.n + 1, g.window_key, g.tid, (g.tu - CASE WHEN hit THEN d ELSE 0 END)::BIGINT, CASE WHEN hit THEN {lower.format("b.i", "d")} ELSE x END, CASE WHEN hit THEN b.pattern_key END, CASE WHEN hit THEN b.i END, CASE WHEN hit THEN b.was END, CASE WHEN hit THEN d END FROM
+        (SELECT g.n, g.window_key, g.tid, g.tu, g.x, b, b.d AS d, g.window_key = b.w AND g.tid = b.t AS hit FROM everywhere g CROSS JOIN
+            (SELECT {{'pattern_key': pattern_key, 'w': window_key, 't': tid, 'i': v.i, 'was': -v.l, 'd': least(-v.l, total - threshold + 1)::BIGINT}} AS b FROM
+                (SELECT *, sum(u) OVER (PARTITION BY pattern_key) AS total, (SELECT threshold FROM total) AS threshold FROM
+                    (SELECT *, {whole} FROM (SELECT h.window_key, h.tid, h.tu, k.pattern_key, k.p, {held.format("h", "k")} AS held FROM everywhere h CROSS JOIN leaking k)))
+                WHERE total >= threshold AND u > 0 ORDER BY total DESC, pattern_key, {score} DESC, window_key, tid LIMIT 1)) g),
+mods AS (SELECT window_key, tid, item_id, before_utility, (before_utility - delta)::BIGINT AS after_utility, delta, 'local' AS phase, pattern_key, step FROM loc WHERE delta > 0
+    UNION ALL SELECT window_key, tid, item_id, before_utility, (before_utility - delta)::BIGINT, delta, 'global', pattern_key, (row_number() OVER (PARTITION BY pattern_key ORDER BY n) - 1)::BIGINT FROM everywhere WHERE delta > 0),
+taken AS (SELECT window_key, tid, item_id, sum(delta) AS d, coalesce(sum(delta) FILTER (WHERE phase = 'local'), 0) AS d_local FROM mods GROUP BY ALL),
+end_item AS (SELECT i.window_key, i.tid, i.invoice_no, i.item_id, (i.util - coalesce(d, 0))::BIGINT AS util FROM tx_item i LEFT JOIN taken USING (window_key, tid, item_id) WHERE i.util - coalesce(d, 0) > 0),
+mid_item AS (SELECT i.window_key, i.tid, i.item_id, (i.util - coalesce(d_local, 0))::BIGINT AS util FROM tx_item i LEFT JOIN taken USING (window_key, tid, item_id) WHERE i.util - coalesce(d_local, 0) > 0),
+end_win AS (SELECT window_key, coalesce(sum(util), 0)::BIGINT AS sanitized_utility FROM win LEFT JOIN end_item USING (window_key) GROUP BY window_key),
+members_of AS (SELECT pattern_key, len(p) AS k, unnest(p) AS item_id FROM pats),
+end_support AS (SELECT pattern_key, window_key, tid, sum(util)::BIGINT AS u FROM members_of JOIN end_item USING (item_id) GROUP BY pattern_key, k, window_key, tid HAVING count(*) = k),
+mid_support AS (SELECT pattern_key, window_key, tid, sum(util)::BIGINT AS u FROM members_of JOIN mid_item USING (item_id) GROUP BY pattern_key, k, window_key, tid HAVING count(*) = k),
+judged AS (SELECT t.window_key, t.pattern_key, threshold, coalesce(e.u, 0) AS u, coalesce(m.u, 0) AS u_mid FROM targets t LEFT JOIN (SELECT pattern_key, window_key, sum(u) AS u FROM end_support GROUP BY ALL) e USING (pattern_key, window_key) LEFT JOIN (SELECT pattern_key, window_key, sum(u) AS u FROM mid_support GROUP BY ALL) m USING (pattern_key, window_key)),
+hidden AS (SELECT window_key, count(*)::BIGINT AS targets, count(*) FILTER (WHERE u >= threshold)::BIGINT AS violations, count(*) FILTER (WHERE u_mid >= threshold)::BIGINT AS mid_violations, string_agg(pattern_key, ' ' ORDER BY pattern_key) FILTER (WHERE u >= threshold) AS keys FROM judged GROUP BY window_key),
+metrics AS (SELECT pattern_key, replace(local_target_windows, ',', ' ') AS local_target_windows, replace(peak_windows, ',', ' ') AS peak_windows, utility AS original_global_utility, coalesce(u, 0)::BIGINT AS sanitized_global_utility, threshold AS global_threshold_abs, coalesce(u, 0) >= threshold AS global_leak
+    FROM defs JOIN peaks USING (pattern_key) JOIN globally USING (pattern_key) LEFT JOIN (SELECT pattern_key, sum(u) AS u FROM end_support GROUP BY pattern_key) USING (pattern_key) CROSS JOIN total)"""
+
+
 _PRODUCTS = f"WITH {DIRTY_ROWS}, {VALID} SELECT stock AS stock_code, description, round(sum(quantity), 2) AS total_quantity, round(sum(utility), 2) AS total_utility, count(DISTINCT invoice)::BIGINT AS invoice_count FROM valid GROUP BY stock, description"
 
 
@@ -112,7 +159,10 @@ _RATE = "coalesce({0}::DOUBLE / nullif({1}, 0), 0)"
 
 
 def oracle_sql() -> dict[str, str]:
-    mined, hide = _mined(MINE), _hide()
+    mined, hide, steps = _mined(MINE), _hide(), _steps()
+    reduced = "(SELECT coalesce(sum(delta), 0)::BIGINT FROM mods)"
+    sums = f"(SELECT total::BIGINT FROM total) AS original_total_utility, (SELECT total - {reduced} FROM total)::BIGINT AS sanitized_total_utility"
+    rate = f"round({_RATE.format(reduced, '(SELECT total FROM total)')}, 6) AS utility_loss_rate"
     return {
         "raw_summary": f"""WITH {DIRTY_ROWS}, {VALID} SELECT a.*, v.*, (total_rows - valid_transactions)::BIGINT AS removed_rows FROM
             (SELECT count(*)::BIGINT AS total_rows, 8::BIGINT AS total_columns, count(DISTINCT invoice)::BIGINT AS total_invoices, count(DISTINCT stock)::BIGINT AS total_items, count(*) FILTER (WHERE stock IS NULL)::BIGINT AS missing_required_rows,
@@ -165,6 +215,29 @@ def oracle_sql() -> dict[str, str]:
             total_utility AS original_utility, total_utility AS sanitized_utility, 0::BIGINT AS utility_reduced, 0::DOUBLE AS utility_loss_rate FROM win JOIN limits USING (window_key)
             LEFT JOIN (SELECT selected_window AS window_key, count(*) AS targets, count(*) FILTER (WHERE u >= threshold) AS violations, string_agg(pattern_key, ' ' ORDER BY pattern_key) FILTER (WHERE u >= threshold) AS keys
                 FROM (SELECT sel.pattern_key, selected_window, sum(utility) AS u FROM sel JOIN support s ON s.pattern_key = sel.pattern_key AND s.window_key = selected_window GROUP BY ALL) JOIN limits ON limits.window_key = selected_window GROUP BY selected_window) USING (window_key)""", hide),
+        "modifications": _ready("SELECT * FROM mods", steps),
+        "sanitized_items": _ready("SELECT * FROM end_item", steps),
+        "modified_transactions": _ready(f"{_COMPARED.replace('after_item', 'end_item')} WHERE i.util <> coalesce(a.util, 0)", steps),
+        "pattern_metrics": _ready("SELECT * FROM metrics", steps),
+        "local_reports": _ready("""SELECT window_key, threshold AS local_threshold_abs, coalesce(targets, 0)::BIGINT AS targets, coalesce(mid_violations, 0)::BIGINT AS local_violations, coalesce(modifications, 0)::BIGINT AS modifications, coalesce(utility_reduced, 0)::BIGINT AS utility_reduced
+            FROM limits LEFT JOIN hidden USING (window_key) LEFT JOIN (SELECT window_key, count(*) AS modifications, sum(delta) AS utility_reduced FROM mods WHERE phase = 'local' GROUP BY window_key) USING (window_key)""", steps),
+        "local_hiding": _ready(f"""SELECT window_key, coalesce(targets, 0)::BIGINT AS targets, (coalesce(targets, 0) - coalesce(violations, 0))::BIGINT AS hidden, coalesce(violations, 0)::BIGINT AS violations, coalesce(keys, '') AS violation_pattern_keys, threshold AS local_threshold_abs,
+            total_utility AS original_utility, sanitized_utility, (total_utility - sanitized_utility)::BIGINT AS utility_reduced, round({_RATE.format("(total_utility - sanitized_utility)", "total_utility")}, 6) AS utility_loss_rate FROM win JOIN limits USING (window_key) JOIN end_win USING (window_key) LEFT JOIN hidden USING (window_key)""", steps),
+        "sanitization_summary": _ready(f"""SELECT {sums}, (SELECT count(*) FROM defs)::BIGINT AS sensitive_patterns, (SELECT threshold FROM total) AS global_threshold_abs, (SELECT coalesce(sum(mid_violations), 0) FROM hidden)::BIGINT AS local_violations_after,
+            (SELECT count(*) FROM (SELECT pattern_key FROM mid_support GROUP BY pattern_key HAVING sum(u) >= (SELECT threshold FROM total)))::BIGINT AS pre_patch_global_leaks, (SELECT count(*) FROM metrics WHERE global_leak)::BIGINT AS post_patch_global_leaks,
+            (SELECT count(*) FROM (SELECT DISTINCT window_key, tid FROM mods))::BIGINT AS modified_transactions, {reduced} AS total_utility_reduced, {rate}""", steps),
+        "verification_report": _ready(f"""SELECT *, pass_integrity AND pass_local AND pass_global AS passed FROM (SELECT *, bad_tu + empty_transactions + duplicate_items + zero_or_negative_item_utils = 0 AS pass_integrity, local_violations_after = 0 AS pass_local, global_leaks_after = 0 AS pass_global FROM
+            (SELECT {sums}, (SELECT count(*) FROM tx)::BIGINT AS total_transactions, (SELECT coalesce(sum(violations), 0) FROM hidden)::BIGINT AS local_violations_after, (SELECT count(*) FROM metrics WHERE global_leak)::BIGINT AS global_leaks_after,
+                (SELECT coalesce(string_agg(pattern_key, ',' ORDER BY pattern_key), '') FROM metrics WHERE global_leak) AS global_leaking_pattern_keys, (SELECT count(*) FROM (SELECT DISTINCT window_key, tid FROM mods))::BIGINT AS modified_transactions,
+                (SELECT count(*) FROM (SELECT tx.tid FROM tx LEFT JOIN (SELECT window_key, tid, sum(delta) AS d FROM mods GROUP BY ALL) m USING (window_key, tid) LEFT JOIN (SELECT window_key, tid, sum(util) AS s FROM end_item GROUP BY ALL) e USING (window_key, tid) WHERE transaction_utility - coalesce(d, 0) <> coalesce(s, 0)))::BIGINT AS bad_tu,
+                (SELECT count(*) FROM tx WHERE NOT EXISTS (SELECT 1 FROM end_item a WHERE a.window_key = tx.window_key AND a.tid = tx.tid))::BIGINT AS empty_transactions, 0::BIGINT AS duplicate_items, 0::BIGINT AS zero_or_negative_item_utils, {reduced} AS total_utility_reduced, {rate},
+                (SELECT round(count(DISTINCT (window_key, tid))::DOUBLE / (SELECT count(*) FROM tx), 6) FROM mods) AS modified_tx_rate, (SELECT threshold FROM total) AS global_threshold_abs))""", steps),
+        "integrity_audit_damaged": _ready("""SELECT count(*) FILTER (WHERE declared <> computed)::BIGINT AS bad_tu, count(*) FILTER (WHERE positive = 0 OR declared <= 0)::BIGINT AS empty_transactions, count(*) FILTER (WHERE n <> items)::BIGINT AS duplicate_items, coalesce(sum(n - positive), 0)::BIGINT AS zero_or_negative_item_utils FROM
+            (SELECT declared, sum(util) AS computed, count(*) AS n, count(DISTINCT item_id) AS items, count(*) FILTER (WHERE util > 0) AS positive FROM
+                (SELECT *, CASE WHEN digit = '3' OR digit = '4' AND item_id <= 12 THEN 0 ELSE held END AS util FROM
+                    (SELECT i.window_key, i.tid, i.item_id, i.util AS held, right(i.invoice_no, 1) AS digit, transaction_utility + CASE WHEN right(i.invoice_no, 1) = '7' THEN 5 ELSE 0 END AS declared, unnest(range(CASE WHEN right(i.invoice_no, 1) = '1' THEN 2 ELSE 1 END)) AS copy FROM tx_item i JOIN tx USING (window_key, tid)))
+            GROUP BY window_key, tid, declared)"""),
+        "restricted_selection": _ready("SELECT pattern_key, selected_window, rank FROM sel WHERE pattern_key IN (SELECT pattern_key FROM sel WHERE rank = 1)", hide),
         "selected_pattern_labels": _ready("SELECT pattern_key, selected_window, array_to_string(labels, ' + ') AS labels, array_to_string(shorts[1:5], ' | ') || CASE WHEN len(shorts) > 5 THEN ' | +' || (len(shorts) - 5) || ' more' ELSE '' END AS short_text FROM labelled", hide),
         "cross_sell": _ready("SELECT pattern_key, selected_window, main_product, array_to_string(list_filter(labels, lambda x: x <> main_product), ', ') AS suggested, array_to_string(labels, ' + ') AS combo FROM (SELECT *, unnest(labels) AS main_product FROM labelled WHERE len(labels) >= 2)", hide),
         "business_rows": _ready("SELECT pattern_key, selected_window, window_utility, CASE WHEN peak_windows = '' THEN selected_window ELSE split_part(peak_windows, ',', 1) END AS peak_window, round(peakness_ratio, 6) AS peakness_ratio, support_windows, CASE WHEN peakness_ratio >= 2 THEN 'seasonal_peak' WHEN window_utility > 0 THEN 'high_revenue_bundle' ELSE 'protect' END AS reason FROM sel", hide),

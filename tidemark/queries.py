@@ -14,7 +14,7 @@ from .sources.huim_text import transaction_lines
 from .sources.retail import retail
 
 MINE = Params(candidate_mining_ratio=0.03, sensitive_ratio=0.03, max_patterns_per_window=None)
-HIDE = Params(candidate_mining_ratio=0.05, sensitive_ratio=0.05, local_ratio=0.05, global_ratio=0.05, max_patterns_per_window=None)
+HIDE = Params(candidate_mining_ratio=0.05, sensitive_ratio=0.05, local_ratio=0.05, global_ratio=0.04, max_patterns_per_window=None)
 IMPACT = (2, 3, 4, 5, 6, 8, 10, 30)
 TOP = 5
 
@@ -254,6 +254,23 @@ def integrity_audit(spark, d):
     return verify.audit_counts(*sanitize.apply_modifications(data.tx_item, data.tx, changes))
 
 
+@query
+def integrity_audit_damaged(spark, d):
+    """The audit of a database whose declared totals, items and utilities were changed: invoices by their last digit."""
+    data = ready(spark, d)
+    digit = F.substring("invoice_no", -1, 1)
+    tx = data.tx.withColumn("transaction_utility", F.col("transaction_utility") + F.when(digit == "7", 5).otherwise(0))
+    facts = data.tx_item.withColumn("util", F.when(digit == "3", 0).when((digit == "4") & (F.col("item_id") <= 12), F.lit(0)).otherwise(F.col("util")))
+    return verify.audit_counts(facts.unionByName(facts.filter(digit == "1")), tx)
+
+
+@query
+def restricted_selection(spark, d):
+    """The selection restricted to chosen patterns, here those that come first in some month, as a table of keys."""
+    selected = _mined(spark, d, HIDE)[1].selected
+    return temporal.restrict(selected, selected.filter("rank = 1").select("pattern_key")).select("pattern_key", "selected_window", "rank")
+
+
 @query
 def transaction_detail(spark, d):
     data, changes = _first(spark, d)
