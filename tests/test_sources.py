@@ -119,3 +119,63 @@ def test_database_under_another_name_and_without_totals(spark, tmp_path):
     tx_item, tx = artifacts.read_database(spark, str(tmp_path))
     assert tx.first().transaction_utility == 7 and {(r.item_id, r.util) for r in tx_item.collect()} == {(1, 3), (2, 4)}
     assert artifacts.imported(spark, str(tmp_path))["warnings"] == ["temporal_db.json: no column transaction_utility"]
+
+
+def test_artifacts_at_any_depth(spark, tmp_path):
+    for depth, value in (("a/b/c/d/e", 1), ("a/z", 2)):
+        (tmp_path / depth / "phase2_summary.json").mkdir(parents=True)
+        (tmp_path / depth / "phase2_summary.json" / "part.json").write_text(f'{{"total_utility_reduced": {value}}}\n')
+    read = lambda base: artifacts.optional(spark, str(base), "phase2_summary.json", "total_utility_reduced long").collect()
+    assert read(tmp_path)[0][0] == 2 and read(tmp_path / "a/b")[0][0] == 1
+    assert read(tmp_path / "a/z/phase2_summary.json") == [] and read(tmp_path / "absent") == []
+    assert artifacts.find(spark, str(tmp_path), "item_mapping.json") is None
+
+
+def test_a_database_that_is_one_document(spark, tmp_path):
+    text = '{\n "metadata": {"num_items": 2},\n "windows": {"2011-01": {"window_key": "2011-01",\n "transactions": [{"tid": "a", "invoice_no": "i", "items": [1, 2], "item_utils": {"1": 3, "2": 4}, "tu": 7},\n {"tid": "b", "items": [], "item_utils": {}}]}}}'
+    (tmp_path / "temporal_db.json").write_text(text)
+    tx_item, tx = artifacts.read_database(spark, str(tmp_path))
+    assert {(r.window_key, r.tid, r.item_id, r.util) for r in tx_item.collect()} == {("2011-01", "a", 1, 3), ("2011-01", "a", 2, 4)}
+    assert {(r.tid, r.transaction_utility) for r in tx.collect()} == {("a", 7), ("b", 0)}
+    assert artifacts.imported(spark, str(tmp_path))["warnings"] == []
+
+
+def test_import_of_archives(spark, tmp_path):
+    import zipfile
+
+    source = tmp_path / "in"
+    (source / "deep").mkdir(parents=True)
+    with zipfile.ZipFile(source / "results.zip", "w") as z:
+        z.writestr("run/phase2_summary.json", '{"total_utility_reduced": 5}\n')
+        z.writestr("run/01_static_efim_hui.csv", "a,b\r\n1,é\r\n\r\n2,y\n")
+        z.writestr("../../etc/item_mapping.json", "{}")
+        z.writestr("/abs/item_mapping.json", "{}")
+        z.writestr("x/..\\item_mapping.json", "{}")
+        z.writestr("run/tool.exe", "no")
+        z.writestr("run/inner.zip", "no")
+        z.writestr("run/huge.txt", "0" * 5000)
+        z.writestr("run/comparison_report.xlsx", b"PK\x00raw")
+    (source / "deep" / "phase2_summary.json").write_text('{"total_utility_reduced": 9}\n')
+    (source / "broken.zip").write_bytes(b"PK\x03\x04 nothing")
+    got = artifacts_import(spark, source, tmp_path / "out", 4000)
+    want = {
+        ("deep/phase2_summary.json", "stored", True), ("run/phase2_summary.json", "shadowed", True), ("run/01_static_efim_hui.csv", "stored", True), ("../../etc/item_mapping.json", "refused", False), ("/abs/item_mapping.json", "refused", False),
+        ("x/..\\item_mapping.json", "refused", False), ("run/tool.exe", "ignored", False), ("run/inner.zip", "ignored", False), ("run/huge.txt", "too large", False), ("run/comparison_report.xlsx", "stored", True), ("broken.zip", "unreadable: BadZipFile", False),
+    }
+    assert {(("deep/" if "/deep/" in r.source else "") + r.member, r.status, r.recognised) for r in got} == want
+    out = str(tmp_path / "out")
+    assert artifacts.find(spark, out, "phase2_summary.json").first()[0] == 9
+    assert [tuple(r) for r in artifacts.find(spark, out, "01_static_efim_hui.csv").collect()] == [("1", "é"), ("2", "y")]
+    assert bytes(spark.read.parquet(f"{out}/kept_files").first().content) == b"PK\x00raw"
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["01_static_efim_hui.csv", "kept_files", "phase2_summary.json"]
+    assert not (tmp_path / "etc").exists()
+    sections = {r.section for r in artifacts.explorer_bundle(spark, out).collect()}
+    assert sections == {"phase2_summary", "01_static_efim_hui.csv"}
+    (tmp_path / "none").mkdir()
+    assert artifacts_import(spark, tmp_path / "none", tmp_path / "out2", 10) == []
+
+
+def artifacts_import(spark, source, base, most):
+    from tidemark.sources.results_import import import_results
+
+    return import_results(spark, str(source), str(base), most).collect()

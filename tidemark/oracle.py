@@ -232,6 +232,9 @@ def oracle_sql() -> dict[str, str]:
                 (SELECT count(*) FROM (SELECT tx.tid FROM tx LEFT JOIN (SELECT window_key, tid, sum(delta) AS d FROM mods GROUP BY ALL) m USING (window_key, tid) LEFT JOIN (SELECT window_key, tid, sum(util) AS s FROM end_item GROUP BY ALL) e USING (window_key, tid) WHERE transaction_utility - coalesce(d, 0) <> coalesce(s, 0)))::BIGINT AS bad_tu,
                 (SELECT count(*) FROM tx WHERE NOT EXISTS (SELECT 1 FROM end_item a WHERE a.window_key = tx.window_key AND a.tid = tx.tid))::BIGINT AS empty_transactions, 0::BIGINT AS duplicate_items, 0::BIGINT AS zero_or_negative_item_utils, {reduced} AS total_utility_reduced, {rate},
                 (SELECT round(count(DISTINCT (window_key, tid))::DOUBLE / (SELECT count(*) FROM tx), 6) FROM mods) AS modified_tx_rate, (SELECT threshold FROM total) AS global_threshold_abs))""", steps),
+        "explorer_bundle": _ready(f"""SELECT 'modified_transactions' AS section, tid || ' ' || item_id AS key, sum(delta)::BIGINT AS amount FROM mods GROUP BY window_key, tid, item_id
+            UNION ALL SELECT 'selected_patterns', pattern_key || ' ' || selected_window, window_utility FROM sel UNION ALL SELECT 'window_metrics', window_key, threshold FROM limits
+            UNION ALL SELECT 'pattern_metrics', pattern_key, sanitized_global_utility FROM metrics UNION ALL SELECT 'phase0_summary', 'M', total::BIGINT FROM total UNION ALL SELECT 'phase2_summary', '', {reduced}""", steps),
         "integrity_audit_damaged": _ready("""SELECT count(*) FILTER (WHERE declared <> computed)::BIGINT AS bad_tu, count(*) FILTER (WHERE positive = 0 OR declared <= 0)::BIGINT AS empty_transactions, count(*) FILTER (WHERE n <> items)::BIGINT AS duplicate_items, coalesce(sum(n - positive), 0)::BIGINT AS zero_or_negative_item_utils FROM
             (SELECT declared, sum(util) AS computed, count(*) AS n, count(DISTINCT item_id) AS items, count(*) FILTER (WHERE util > 0) AS positive FROM
                 (SELECT *, CASE WHEN digit = '3' OR digit = '4' AND item_id <= 12 THEN 0 ELSE held END AS util FROM

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import lineage
 from .operators import explore, mining, prepare, profile, sanitize, temporal, verify
 from .plans import run
 from .schema import Params
+from .sources import artifacts
 from .sources.huim_text import transaction_lines
 from .sources.retail import retail
 
@@ -367,6 +370,31 @@ def business_rows(spark, d):
     return rounded(explore.business_rows(_mined(spark, d, HIDE)[1].selected))
 
 
+#: For each section of the explorer, the field that tells its records apart and a number of theirs.
+_SHOWN = {
+    "modified_transactions": (("tid", "item_id"), "delta"), "selected_patterns": (("pattern_key", "selected_window"), "window_utility"), "window_metrics": (("window_key",), "local_threshold_abs"),
+    "pattern_metrics": (("pattern_key",), "sanitized_global_utility"), "phase0_summary": (("window_granularity",), "utility_after_filter"), "phase2_summary": ((), "total_utility_reduced"),
+}
+
+
+@query
+def explorer_bundle(spark, d):
+    """A run's artifacts, written by its stages and read back as the explorer shows them: each record's key and a number of it."""
+    base = f"{lineage.shared(spark)}/explorer-{uuid.uuid4().hex}/run"
+    data, found, h = _hidden(spark, d)
+    artifacts.write_prepared(data, f"{base}/one/two/three", HIDE)
+    artifacts.write_mined(data, found, base, HIDE)
+    artifacts.write_sanitized(data, h, base, HIDE)
+    artifacts.write_verified(data, h, f"{base}/checks", HIDE)
+    rows = artifacts.explorer_bundle(spark, base)
+    field = lambda c: F.get_json_object("document", f"$.{c}")
+    key, number = F.lit(""), F.lit(None).cast("string")
+    for section, (names, amount) in _SHOWN.items():
+        key = F.when(F.col("section") == section, F.concat_ws(" ", *map(field, names))).otherwise(key)
+        number = F.when(F.col("section") == section, field(amount)).otherwise(number)
+    return rows.select("section", key.alias("key"), number.cast("long").alias("amount"))
+
+
 @query
 def huim_text(spark, d):
     return transaction_lines(ready(spark, d).tx_item)

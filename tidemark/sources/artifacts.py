@@ -6,6 +6,10 @@ whole database. Names of the folders are fixed values, which other tools look fo
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from json import JSONDecodeError
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +20,20 @@ from ..schema import Params
 from .huim_text import transaction_lines
 
 #: Names of what each stage writes.
-PREPARED = ("temporal_db.json", "item_mapping.json", "tx_before_filter.csv", "tx_after_filter.csv")
-MINED = ("phase1_peak_shui.json", "phase1_item_scores.json", "phase1_windows.json")
+PREPARED = ("temporal_db.json", "temporal_db_metadata.json", "temporal_db_windows.json", "preprocess_report.json", "item_mapping.json", "tx_before_filter.csv", "tx_after_filter.csv")
+MINED = ("phase1_peak_shui.json", "phase1_pattern_stats.json", "phase1_item_scores.json", "phase1_windows.json")
 SANITIZED = ("phase2_sanitized_db.json", "phase2_summary.json", "phase2_modifications.json", "modified_transactions.csv", "sanitized_retail.txt")
 VERIFIED = ("phase3_verification_report.json", "phase3_window_metrics.csv", "phase3_pattern_metrics.csv")
+#: Results of a comparison of methods, which are shown where they are found and made by nobody here.
+COMPARISON_REPORT = "comparison_report.json"
+COMPARISONS = (
+    "00_high_level_summary.csv", "01_static_efim_hui.csv", "02_temporal_selected_pshui.csv", "03_static_vs_temporal.csv", "04_static_vs_temporal_summary.csv",
+    "05_phase2_summary.csv", "06_phase2_window_summary.csv", "07_method_static_vs_temporal.csv", "08_algorithm_comparison.csv",
+)
 #: Other names under which a transaction database is found, best first.
 ALIASES = {"temporal_db.json": ("temporal_db_filtered.json", "temporal_db_original.json")}
+#: Every name that an import recognises.
+KNOWN = (*PREPARED, *MINED, *SANITIZED, *VERIFIED, *ALIASES["temporal_db.json"], COMPARISON_REPORT, "comparison_report.xlsx", *COMPARISONS)
 #: Columns that a finished artifact should have; others are welcome.
 EXPECTED = {
     "temporal_db.json": ("window_key", "tid", "items", "item_utils", "transaction_utility"),
@@ -31,6 +43,8 @@ EXPECTED = {
     "phase3_verification_report.json": ("pass_integrity", "pass_local", "pass_global"),
 }
 
+#: A database as one document: months by key, transactions inside.
+DOCUMENT = "windows map<string,struct<transactions:array<struct<tid:string,invoice_no:string,window:string,items:array<int>,item_utils:map<string,bigint>,transaction_utility:bigint,tu:bigint>>>>"
 DATABASE = "window_key string, tid string, invoice_no string, items array<int>, item_utils map<string,bigint>, transaction_utility bigint, length int"
 
 
@@ -66,13 +80,43 @@ def facts(db: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tx_item, db.select("window_key", "tid", "invoice_no", F.coalesce("transaction_utility", total).alias("transaction_utility"), F.size("items").alias("length"))
 
 
+def from_document(document: DataFrame) -> DataFrame:
+    """Rows of DATABASE from databases that are one document each."""
+    months = document.select(F.explode("windows").alias("key", "month")).select("key", F.explode("month.transactions").alias("t"))
+    return months.select(F.coalesce("t.window", "key").alias("window_key"), "t.tid", "t.invoice_no", "t.items", "t.item_utils", F.coalesce("t.transaction_utility", "t.tu").alias("transaction_utility"), F.size("t.items").alias("length"))
+
+
 def read_database(spark: SparkSession, base: str, name: str = "temporal_db.json") -> tuple[DataFrame, DataFrame]:
-    """tx_item and tx of a database artifact; without rows if there is none."""
+    """tx_item and tx of a database artifact, rows of transactions or one document; without rows if there is none."""
+    path = locate(spark, base, name)
+    if path is not None and not _is_rows(spark, path):
+        return facts(from_document(spark.read.schema(DOCUMENT).option("multiLine", True).json(path)))
     return facts(optional(spark, base, name, DATABASE))
 
 
-def write_prepared(data: Prepared, base: str) -> None:
+def _is_rows(spark: SparkSession, path: str) -> bool:
+    """Whether the first line of a JSON artifact is a whole record of a transaction: a document has its months under `windows`."""
+    first = spark.read.text(path).filter(F.trim("value") != "").select("value").first()
+    try:
+        return first is None or "tid" in json.loads(first.value)
+    except JSONDecodeError:
+        return False
+
+
+def metadata(data: Prepared, params: Params) -> DataFrame:
+    """One row: what the database was made from, and how much of it there is before and after the limit on length."""
+    r = prepare.report(data.classified, data.tx_before, data.tx)
+    return r.select(
+        F.col("input_rows").alias("source_rows"), "clean_rows", F.lit(params.max_transaction_len).cast("int").alias("max_transaction_len"), F.lit(params.window_granularity).alias("window_granularity"), F.lit(params.utility_mode).alias("utility_mode"),
+        "num_items", F.col("transactions_before_filter").alias("num_transactions_before_filter"), F.col("transactions_after_filter").alias("num_transactions_after_filter"), "utility_before_filter", "utility_after_filter",
+    )
+
+
+def write_prepared(data: Prepared, base: str, params: Params = Params()) -> None:
     _write(database(data.tx_item, data.tx), base, "temporal_db.json", months=True)
+    _write(metadata(data, params), base, "temporal_db_metadata.json")
+    _write(prepare.windows(data.tx), base, "temporal_db_windows.json")
+    _write(prepare.report(data.classified, data.tx_before, data.tx), base, "preprocess_report.json")
     _write(data.items, base, "item_mapping.json")
     _write(prepare.nested(data.facts), base, "tx_before_filter.csv")
     _write(prepare.nested(data.tx_item), base, "tx_after_filter.csv")
@@ -98,6 +142,7 @@ def ordered_scores(scores: DataFrame) -> DataFrame:
 
 def write_mined(data: Prepared, found: Mined, base: str, params: Params = Params()) -> None:
     _write(found.selected, base, "phase1_peak_shui.json")
+    _write(ordered_stats(found.stats), base, "phase1_pattern_stats.json")
     _write(ordered_scores(found.scores), base, "phase1_item_scores.json")
     _write(mining_windows(data, found, params), base, "phase1_windows.json")
 
@@ -127,13 +172,47 @@ def _read(spark: SparkSession, path: str, name: str, schema: str | None) -> Data
         raise
 
 
+def locate(spark: SparkSession, base: str, name: str) -> str | None:
+    """The path of the artifact of this name, or of another name that it goes by, in the folder itself or in any folder below, the
+    least deep one, then the first by path; None if absent. Folders are listed in the store they are in, artifacts not entered."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(base)
+    fs, level, seen = top.getFileSystem(conf), [top], {}
+    if not fs.exists(top):
+        return None
+    names = (name, *ALIASES.get(name, ()))
+    while level and name not in seen:
+        below = []
+        for folder in level:
+            for status in fs.listStatus(folder):
+                path = status.getPath()
+                if path.getName() in names:
+                    seen[path.getName()] = min(seen.get(path.getName(), path.toString()), path.toString())
+                elif status.isDirectory() and path.getName() not in KNOWN:
+                    below.append(path)
+        level = below
+    return next((seen[n] for n in names if n in seen), None)
+
+
+def adopt(spark: SparkSession, folder: str, base: str) -> None:
+    """Moves the folders name=... that a partitioned write has left to `base`, under their names; an older one is replaced."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(conf)
+    for status in fs.listStatus(top) if fs.exists(top) else []:
+        name = status.getPath().getName()
+        if name.startswith("name="):
+            plain = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name[5:])
+            target = jvm.org.apache.hadoop.fs.Path(base, plain)
+            fs.delete(target, True)
+            fs.rename(status.getPath(), target)
+    fs.delete(top, True)
+
+
 def find(spark: SparkSession, base: str, name: str, schema: str | None = None) -> DataFrame | None:
-    """The artifact of this name, or of another name that it goes by, in the folder itself or in any folder below; None if absent."""
-    for n in (name, *ALIASES.get(name, ())):
-        for path in (f"{base.rstrip('/')}/{n}", f"{base.rstrip('/')}/*/{n}", f"{base.rstrip('/')}/*/*/{n}"):
-            if (df := _read(spark, path, n, schema)) is not None:
-                return df
-    return None
+    """The artifact of this name as a table, wherever below the folder it lies (see locate); None if absent or empty."""
+    path = locate(spark, base, name)
+    return None if path is None else _read(spark, path, name, schema)
 
 
 def optional(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
@@ -142,9 +221,49 @@ def optional(spark: SparkSession, base: str, name: str, schema: str) -> DataFram
     return spark.createDataFrame([], schema) if df is None else df
 
 
+def _columns(spark: SparkSession, path: str, name: str) -> list[str]:
+    """The columns of an artifact, of a JSON one those of its first rows."""
+    if name.endswith(".json"):
+        first = [r.value for r in spark.read.text(path).filter("value <> ''").limit(100).collect()]
+        partitions = ["window_key"] if name.endswith("_db.json") else []
+        schema = spark.range(1).select(*[F.schema_of_json(F.lit(line)).alias(f"c{i}") for i, line in enumerate(first) if line.startswith("{")]).first() if first else []
+        return partitions + sorted({c for kind in schema or [] for c in _fields(kind)})
+    found = _read(spark, path, name, None)
+    return found.columns if found is not None else []
+
+
+def _fields(kind: str) -> list[str]:
+    from pyspark.sql.types import StructType
+
+    parsed = StructType.fromDDL(f"r {kind}")[0].dataType
+    return parsed.names if isinstance(parsed, StructType) else []
+
+
 def imported(spark: SparkSession, base: str) -> dict:
     """Which artifacts a folder of finished results has, which are missing, and what those that are there lack. Nothing is refused."""
     names = PREPARED + MINED + SANITIZED + VERIFIED
-    found = {n: df for n in names if (df := find(spark, base, n)) is not None}
-    warnings = [f"{n}: no column {c}" for n, columns in EXPECTED.items() if n in found for c in columns if c not in found[n].columns]
+    found = {n: path for n in names if (path := locate(spark, base, n)) is not None}
+    warnings = []
+    for n, columns in EXPECTED.items():
+        if n in found and not (n.endswith("_db.json") and not _is_rows(spark, found[n])):
+            have = _columns(spark, found[n], n)
+            warnings += [f"{n}: no column {c}" for c in columns if c not in have]
     return {"found": sorted(found), "missing": [n for n in names if n not in found], "warnings": warnings}
+
+
+#: The sections of the explorer, and the artifact that each shows.
+SECTIONS = {
+    "modified_transactions": "modified_transactions.csv", "selected_patterns": "phase1_peak_shui.json", "window_metrics": "phase3_window_metrics.csv", "pattern_metrics": "phase3_pattern_metrics.csv",
+    "phase0_summary": "temporal_db_metadata.json", "phase2_summary": "phase2_summary.json", "comparison_summary": COMPARISON_REPORT, **{n: n for n in COMPARISONS},
+}
+
+
+def explorer_bundle(spark: SparkSession, base: str) -> DataFrame:
+    """section and document: every record of the artifacts that a run's explorer shows, as JSON. Absent artifacts have no rows.
+
+    A section may hold as many records as the database has transactions, so that they are rows, not one document."""
+    parts = [spark.createDataFrame([], "section string, document string")]
+    for section, name in SECTIONS.items():
+        if (df := find(spark, base, name)) is not None:
+            parts.append(df.select(F.lit(section).alias("section"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("document")))
+    return reduce(DataFrame.unionByName, parts)
