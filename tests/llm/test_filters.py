@@ -177,3 +177,38 @@ def test_words_of_any_length_become_entries(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     lexicon = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
     assert word in lexicon.weights
+
+
+@pytest.mark.parametrize(
+    "mark",
+    ['title="the hidden cost"', 'data-x="not hidden"', 'class="ad-hoc"', 'id="social-history"', 'class="share-price-table"', 'class="notice-of-death"', 'class="download head-of-state"', "alt='display:none'"],
+)
+def test_attributes_that_only_look_like_marks(mark):
+    page = f"<body><nav>Menu</nav><article><p>First words here.</p><p {mark}>Second words here.</p></article></body>"
+    assert html_extract.main_text(page) == "First words here. Second words here."
+
+
+@pytest.mark.parametrize("mark", ["hidden", 'hidden=""', 'aria-hidden="true"', 'style="color:red; display : none"', 'class="x comment-list"', 'class="site-footer"', 'id=cookie-banner', 'role="navigation"', 'class="post-comments"', 'class="ad-slot"'])
+def test_attributes_that_are_marks(mark):
+    page = f"<body><article><p>First words here.</p><div {mark}>Second words here.</div></article></body>"
+    assert html_extract.main_text(page) == "First words here."
+
+
+def test_captions_formulas_comments_and_cards():
+    text = " ".join(f"word{i}" for i in range(40))
+    page = f"<body><section><article><p>{text}</p><figure><img><figcaption>A caption.</figcaption></figure><p>Sum <math><mi>x</mi></math> of it.</p></article></section><section><article class=comment>I disagree.</article></section><article><h2><a href=x>Another piece</a></h2><p>Its lead.</p></article></body>"
+    assert html_extract.main_text(page) == f"{text} A caption. Sum x of it."
+    two = f"<body><article>{text}</article><article>{text} more</article></body>"
+    assert html_extract.main_text(two) == f"{text} {text} more"
+
+
+def test_many_scripts_and_long_pages_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        page = "<body><article>" + "".join(f"<SCRIPT>var a{i} = '</p>';</Script><p>Line {i}.</p>" for i in range(n)) + "</article></body>"
+        start = time.process_time()
+        assert html_extract.main_text(page) == " ".join(f"Line {i}." for i in range(n))
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * took[0]

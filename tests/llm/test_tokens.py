@@ -137,3 +137,9 @@ def test_second_run_of_the_query_meets_stored_counts(spark, tmp_path, monkeypatc
     assert spark.read.parquet(str(tmp_path / "shared/token-cache")).count() == entries == len({t or "" for t in TEXTS} | {"no id"})
     want = sorted((i is None, i or 0, len((t or "").encode()), len(lib.encode(t or ""))) for i, t in [(None, "no id"), (1, ""), *enumerate(TEXTS)])
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens) for r in first) == want and sorted(map(str, first)) == sorted(map(str, again))
+
+
+def test_files_beyond_five_digits_stay_in_order(spark):
+    names = [f"x/part-{n:05d}-a.txt" for n in (0, 7, 99999, 100000, 100001, 1000000)]
+    found = spark.createDataFrame([(n,) for n in reversed(names)], "file string").orderBy(*token_records.file_order())
+    assert [r.file for r in found.collect()] == names

@@ -141,11 +141,16 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, id: str = "doc_id"
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
     scan = read_files(spark, path, with_ids=False)
     totals = scan.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
-    before = totals.select("file", (F.sum("tokens").over(Window.orderBy("file")) - F.col("tokens")).alias("before"))
+    before = totals.select("file", (F.sum("tokens").over(Window.orderBy(*file_order())) - F.col("tokens")).alias("before"))  # one row for each file
     index = scan.drop("ids").join(before, "file").withColumn("start", F.col("before") + F.col("local_start"))
     index.drop("before", "local_start").write.parquet(f"{path}/index")
 
 
+def file_order() -> list:
+    """The order of files: by the number in their names, which has five digits or more, so that names do not sort by it."""
+    return [F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long"), F.col("file")]
+
+
 def read_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """One row for each record of the files: id, file, offset, size, n_tokens, tokens before it in its file, ids as u32."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data")
