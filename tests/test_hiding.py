@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ordered
 from tidemark.operators import mining, prepare, sanitize, temporal, verify
-from tidemark.schema import PRESETS, Params, advise, validate_schema
+from tidemark.schema import PRESETS, Params, Statistics, advise, validate_schema
 
 FACT = "window_key string, tid string, invoice_no string, item_id int, util long"
 
@@ -206,5 +206,7 @@ def test_parameters():
         Params(window_granularity="W")
     assert PRESETS["fast"].max_patterns_per_window == 1500
     assert not validate_schema(["InvoiceNo "])["is_valid"]
-    assert advise({"num_transactions": 9000, "avg_transaction_len": 40, "max_transaction_len": 50}, {"candidate_mining_ratio": 0.01})["risk_level"] == "medium"
-    assert advise(None, {})["risk_level"] == "high"
+    large = Statistics(num_transactions=9000, avg_transaction_len=40, max_transaction_len=50)
+    assert advise(large, Params())["risk_level"] == "medium" and len(advise(large, Params(max_patterns_per_window=20_000))["warnings"]) == 3
+    assert advise(Statistics(10, 5, 2.0, 4), Params())["risk_level"] == "low" and advise(Statistics(10, 5, 2.0), Params())["risk_level"] == "low"
+    assert advise(Statistics(), Params(candidate_mining_ratio=0.001))["risk_level"] == "high" and advise(None, Params())["errors"]

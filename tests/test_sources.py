@@ -179,3 +179,33 @@ def artifacts_import(spark, source, base, most):
     from tidemark.sources.results_import import import_results
 
     return import_results(spark, str(source), str(base), most).collect()
+
+
+def test_csv_bytes_are_decoded_strictly(spark, tmp_path):
+    rows = lambda name, data: (tmp_path / name).write_bytes(data) and load_csv(spark, str(tmp_path / name)).collect()
+    head = HEAD.encode() + b"\n"
+    assert rows("mark.csv", head + "1,a,2,2.5,05/01/2011,caf\ufffd\n".encode())[0].Description == "caf\ufffd"
+    assert rows("latin.csv", head + b"1,a,2,2.5,05/01/2011,caf\xe9\n2,b,2,2.5,05/01/2011,x\n")[0].Description == "café"
+    got = rows("escaped.csv", head + b"1,a,2,2.5,05/01/2011,caf\\xe9 \xe9 \\u6f22\n2,b,2,2.5,05/01/2011,\"x, y\"\n")
+    assert [(r.InvoiceNo, r.StockCode, r.Description) for r in got] == [("1", "a", "café é 漢"), ("2", "b", "x, y")]
+    assert rows("malformed.csv", head + b"1,a,2,2.5,05/01/2011,caf\xe9 \\x\n")[0].Description == "café \\x"
+    assert rows("quoted.csv", head + b'1,a,2,2.5,05/01/2011,"two\nlines"\n')[0].Description == "two\nlines"
+    with pytest.raises(ValueError):
+        rows("none.csv", b"a\tb\n1\t2\n") and load_csv(spark, str(tmp_path / "absent"))
+
+
+def test_shares_of_invented_rows(spark):
+    n = 200_000
+    raw = synthetic_retail(spark, n, months=6)
+    assert raw.count() == n and raw.select("row_id").distinct().count() == n
+    shares = {r.Country: r.n / n for r in raw.groupBy("Country").agg(F.count("*").alias("n")).collect()}
+    for country, share in (("United Kingdom", 0.82), ("France", 0.06), ("Germany", 0.05), ("Netherlands", 0.04), ("EIRE", 0.03)):
+        assert abs(shares[country] - share) < 0.01
+    assert abs(raw.filter("Description is null").count() / n - 0.01) < 0.005
+    invoices = raw.groupBy("InvoiceNo").agg(F.collect_set("StockCode").alias("x"), F.first(F.substring("InvoiceDate", 4, 2)).alias("m"))
+    late = invoices.groupBy("m").agg(F.avg(F.array_contains("x", "SYN1020").cast("int") * F.array_contains("x", "SYN1021").cast("int")).alias("share"))
+    got = {r.m: r.share for r in late.collect()}
+    assert abs(got["05"] - 0.24) < 0.02 and all(abs(got[m] - 0.04) < 0.02 for m in got if m != "05")
+    assert abs(invoices.filter("InvoiceNo like 'C%'").count() / invoices.count() - 0.015) < 0.005
+    with pytest.raises(ValueError):
+        synthetic_retail(spark, 49)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+#: Names of columns.
 REQUIRED = ("InvoiceNo", "StockCode", "Quantity", "UnitPrice", "InvoiceDate")
 OPTIONAL = ("Description", "CustomerID", "Country")
 
@@ -36,6 +38,7 @@ class Params:
             raise ValueError("only rounded utilities are supported")
 
 
+#: Settings by name.
 PRESETS = {
     "fast": Params(max_transaction_len=20, sensitive_ratio=0.02, candidate_mining_ratio=0.02, max_selected_per_window=10, max_patterns_per_window=1500),
     "balanced": Params(),
@@ -55,33 +58,42 @@ def require_columns(columns: list[str]) -> None:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
 
 
-#: Limits beyond which parameters draw advice, and the advice.
-ADVICE = (
-    ("num_transactions", 5000, "many transactions: mining may be slow"),
-    ("num_distinct_items", 1000, "many distinct items: mining may take long"),
-    ("avg_transaction_len", 30, "long transactions: combinations may grow fast"),
+@dataclass(frozen=True)
+class Statistics:
+    """What advice on parameters looks at. Unknown figures are 0, an unknown longest transaction None."""
+
+    num_transactions: int = 0
+    num_distinct_items: int = 0
+    avg_transaction_len: float = 0.0
+    max_transaction_len: int | None = None
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Advice that is given where `applies` holds; severe advice makes the risk high by itself."""
+
+    advice: str
+    applies: Callable[[Statistics, Params], bool]
+    severe: bool = False
+
+
+#: The limits beyond which there is advice.
+RULES = (
+    Rule("the ratio for candidates is below 0.005, at which patterns may explode", lambda s, p: p.candidate_mining_ratio < 0.005, severe=True),
+    Rule("more than 5000 transactions take a while to mine", lambda s, p: s.num_transactions > 5000),
+    Rule("more than 1000 distinct items make mining long", lambda s, p: s.num_distinct_items > 1000),
+    Rule("transactions of more than 30 items on average have very many subsets", lambda s, p: s.avg_transaction_len > 30),
+    Rule("fewer patterns are candidates than count as sensitive", lambda s, p: p.sensitive_ratio < p.candidate_mining_ratio),
+    Rule("more than 10000 patterns for each month fill memory", lambda s, p: (p.max_patterns_per_window or 0) > 10_000),
+    Rule("how long the longest transaction is, is not known", lambda s, p: s.num_transactions > 0 and not s.max_transaction_len),
 )
 
 
-def _number(value) -> float:
-    try:
-        return float(value)
-    except (TypeError, ValueError):
-        return 0.0
-
-
-def advise(stats: dict | None, params: dict) -> dict:
-    """Warnings, errors and a risk level (low, medium, high) for mining parameters against the statistics of a database."""
-    if not stats:
-        return {"warnings": [], "errors": ["there is no transaction database yet; prepare one first"], "risk_level": "high"}
-    warnings = [text for name, limit, text in ADVICE if _number(stats.get(name)) > limit]
-    risky = _number(params.get("candidate_mining_ratio")) < 0.005
-    if risky:
-        warnings.append("candidate_mining_ratio below 0.005 may give too many patterns")
-    if _number(params.get("sensitive_ratio")) < _number(params.get("mining_ratio")):
-        warnings.append("sensitive_ratio is usually at least mining_ratio")
-    if _number(params.get("max_patterns_per_window")) > 10_000:
-        warnings.append("more than 10,000 patterns for each window need much memory")
-    if _number(stats.get("max_transaction_len")) <= 0 < _number(stats.get("num_transactions")):
-        warnings.append("the longest transaction is unknown")
-    return {"warnings": warnings, "errors": [], "risk_level": "high" if risky else "medium" if len(warnings) >= 2 else "low"}
+def advise(statistics: Statistics | None, params: Params) -> dict:
+    """Warnings, errors and a risk level for parameters: high with severe advice or without a database, medium from two pieces of
+    advice on, else low."""
+    if statistics is None:
+        return {"warnings": [], "errors": ["no database has been prepared"], "risk_level": "high"}
+    given = [r for r in RULES if r.applies(statistics, params)]
+    level = "high" if any(r.severe for r in given) else ("low", "low", "medium")[min(len(given), 2)]
+    return {"warnings": [r.advice for r in given], "errors": [], "risk_level": level}
