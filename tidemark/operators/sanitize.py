@@ -18,7 +18,7 @@ from __future__ import annotations
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint
@@ -40,24 +40,11 @@ def local_thresholds(tx: DataFrame, ratio: float) -> DataFrame:
 
 
 def hide_first_target(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame, scores: DataFrame, ratio: float, beta: float = 0.25, gamma: float = 0.75) -> DataFrame:
-    """The local pass for the first target of each month, as one sorted pass: a step leaves all other scores as they are, so a
-    running sum of what transactions before have lost says how much each must still give."""
-    targets = definitions.select("pattern_key", "items", F.explode("local_target_windows").alias("window_key"))
+    """The local pass for the first target of each month only."""
+    targets = definitions.select("pattern_key", F.explode("local_target_windows").alias("window_key"))
     first = targets.groupBy("window_key").agg(F.min("pattern_key").alias("pattern_key"))
-    first = first.withColumn("items", items_of())
-    support = pattern_support(first.select("pattern_key", "items").distinct(), tx_item).join(first.select("pattern_key", "window_key"), ["pattern_key", "window_key"])
-    wanted = first.select("window_key", "pattern_key", F.explode("items").alias("item_id"))
-    held = tx_item.filter("util > 0").join(wanted, ["window_key", "item_id"]).join(support.select("pattern_key", "window_key", "tid"), ["pattern_key", "window_key", "tid"], "left_semi")
-    held = held.join(scores.select("item_id", F.col("score").alias("item_score")), "item_id", "left").fillna(0.0, ["item_score"])
-    victim = held.groupBy("pattern_key", "window_key", "tid").agg(F.min(F.struct("item_score", (-F.col("util")).alias("low"), "item_id")).alias("v"))
-    rows = support.join(victim, ["pattern_key", "window_key", "tid"]).join(tx.select("window_key", "tid", "transaction_utility"), ["window_key", "tid"]).join(local_thresholds(tx, ratio), "window_key")
-    score = F.col("utility") + beta * F.col("transaction_utility") + gamma - F.col("v.item_score")
-    order = Window.partitionBy("window_key").orderBy(F.desc("rank_score"), "tid")
-    rows = rows.withColumn("rank_score", score).withColumn("total", F.sum("utility").over(Window.partitionBy("window_key")))
-    rows = rows.withColumn("before", F.coalesce(F.sum("utility").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rem = F.col("total") - F.col("before")
-    cut = rows.filter(rem >= F.col("threshold")).withColumn("delta", F.least(-F.col("v.low"), rem - F.col("threshold") + 1))
-    return cut.select("window_key", "tid", F.col("v.item_id").alias("item_id"), (-F.col("v.low")).alias("before_utility"), (-F.col("v.low") - F.col("delta")).alias("after_utility"), "delta", "pattern_key")
+    own = first.groupBy("pattern_key").agg(F.array_sort(F.collect_list("window_key")).alias("local_target_windows"))
+    return local_pass(own.withColumn("items", items_of()), tx_item, tx, scores, ratio, beta, gamma).drop("phase", "step")
 
 
 def _packed(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame, scores: DataFrame) -> DataFrame:
