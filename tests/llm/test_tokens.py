@@ -143,3 +143,46 @@ def test_files_beyond_five_digits_stay_in_order(spark):
     names = [f"x/part-{n:05d}-a.txt" for n in (0, 7, 99999, 100000, 100001, 1000000)]
     found = spark.createDataFrame([(n,) for n in reversed(names)], "file string").orderBy(*token_records.file_order())
     assert [r.file for r in found.collect()] == names
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_decode_keeps_rows_and_columns(spark, name):
+    """Null, empty, unknown and repeated ids, a column decoded, columns of several kinds, batches of few rows."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    lib = Tokenizer.from_file(path)
+    lists = [None, [], [5], [5, 9, 5], [lib.get_vocab_size() + 7, 11], *[lib.encode(t or "", add_special_tokens=False).ids for t in TEXTS]] * 5
+    pack = lambda x: None if x is None else bytearray(array.array("I", x).tobytes())
+    rows = [(k, pack(x), "old", [k, None], {"a": k}) for k, x in enumerate(lists)]
+    coded = spark.createDataFrame(rows, "k long, codes binary, decoded string, piece array<long>, ids map<string,long>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(bpe.decode(coded, path, ids="codes").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r.k for r in got] == list(range(len(lists)))
+    for r, x in zip(got, lists, strict=True):
+        assert r.decoded == (None if x is None else lib.decode(x, skip_special_tokens=False))
+        assert (r.codes, r.piece, r.ids) == (pack(x), [r.k, None], {"a": r.k})
+    assert bpe.decode(coded.limit(0), path, ids="codes").columns == ["k", "codes", "piece", "ids", "decoded"]
+
+
+def test_pieces_are_joined_without_a_shuffle(spark):
+    coded = spark.createDataFrame([(1, bytearray(array.array("I", [5]).tobytes()))], "k long, ids binary")
+    plan = bpe.decode(coded, WORD)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_bpe_query_against_the_library(spark, tmp_path, library):
+    from tidemark.llm import queries
+
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_bpe(spark, str(tmp_path)).collect()
+    want = []
+    for doc, text in [(None, "no id"), (1, ""), *enumerate(TEXTS)]:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        want.append((doc, len(ids), hashlib.sha256(array.array("I", ids).tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)

@@ -4,6 +4,11 @@ Texts are split into words where the tokenizer always separates. Words are shuff
 corpus is encoded once; the ids go back to the block of documents that asked, in the order in which its words were sent, and are
 put in place of the words. A block holds a few MB of text; within it a word is sent once, so what is shuffled is the compressed
 texts and a small part for words, and no word, however common, is more than one entry for each block.
+
+To decode, a task sends the distinct ids of some rows ahead of the rows. They meet the table of pieces, which is as long as the
+vocabulary and so is broadcast, and come out of the join as pieces ahead of the same rows, whose ids then become text. A join with
+a broadcast table leaves the rows of a partition together and in order, so nothing is shuffled; where an id had no answer, the task
+fails instead of leaving a gap.
 """
 
 from __future__ import annotations
@@ -15,8 +20,9 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .encoders import WordEncoder, file_bytes, once
 from .shared import partitions, split_blocks, squeeze, unsqueeze, whole
@@ -76,11 +82,76 @@ def _encode(version: str, model):
     return run
 
 
-def _assemble(version: str, model, buckets: int, decode: bool):
+#: Columns of the rows that ask for pieces, and of the answers.
+TOKEN, PIECE = "__token", "__piece"
+
+
+def _asking(rows: pa.Table, ids: str) -> pa.Table:
+    """The rows, behind one row for each distinct id in them that holds nothing else."""
+    distinct = np.unique(np.frombuffer(b"".join(x for x in rows.column(ids).to_pylist() if x), "<u4")).astype(np.int64)
+    asks = pa.table([pa.array(distinct)], names=[TOKEN])
+    return pa.concat_tables([asks, rows], promote_options="default").select([*rows.column_names, TOKEN])
+
+
+def _asked(ids: str):
+    def run(batches):
+        for b in batches:
+            yield from _asking(pa.Table.from_batches([b]), ids).to_batches()
+
+    return run
+
+
+def _pieces(spark: SparkSession, encoder: WordEncoder) -> DataFrame:
+    """The piece of every id of the vocabulary."""
+    known = [(i, p) for i in range(encoder.size) if (p := encoder.lib.id_to_token(i)) is not None]
+    ids, pieces = zip(*known, strict=True)
+    return spark.createDataFrame(pa.table([pa.array(ids, pa.int64()), pa.array(pieces, pa.string())], names=[TOKEN, PIECE]))
+
+
+def _texts(ids: str, joined: bool, version: str, model):
+    """Rows behind the pieces they asked for, with decoded; ids without a piece are passed over, as the library does."""
+
+    def run(batches):
+        text = " ".join if joined else once(WordEncoder, version, model.value).lib.decoder.decode
+        pieces: dict[int, str | None] = {}
+        answering = gaps = False
+        for b in batches:
+            answer = b.column(TOKEN).is_valid().to_numpy(zero_copy_only=False)
+            cuts = (np.flatnonzero(np.diff(answer)) + 1).tolist()
+            for s, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                part = b.slice(s, e - s)
+                if s == e:
+                    continue
+                if answer[s]:
+                    if not answering:
+                        pieces = {}
+                    pieces.update(zip(part.column(TOKEN).to_pylist(), part.column(PIECE).to_pylist(), strict=True))
+                    answering, gaps = True, None in pieces.values()
+                    continue
+                answering = False
+                decoded = []
+                for row in part.column(ids).to_pylist():
+                    found = [] if row is None else list(map(pieces.__getitem__, np.frombuffer(row, "<u4").tolist()))
+                    decoded.append(None if row is None else text([p for p in found if p is not None] if gaps else found))
+                kept = part.drop_columns([TOKEN, PIECE])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(decoded, pa.large_string()).cast(pa.string())], [*kept.schema.names, "decoded"])
+
+    return run
+
+
+def _decoded(asked: DataFrame, encoder: WordEncoder, version: str, model, ids: str) -> DataFrame:
+    """Rows of _asking with decoded in place of the ids that they asked for."""
+    answered = asked.join(F.broadcast(_pieces(asked.sparkSession, encoder)), TOKEN, "left")
+    order = [c for c in asked.columns if c != TOKEN]
+    fields = [T.StructField(c, asked.schema[c].dataType) for c in order] + [T.StructField("decoded", T.StringType())]
+    return answered.select(*[F.col(f"`{c}`") for c in order], TOKEN, PIECE).mapInArrow(_texts(ids, encoder.joined, version, model), T.StructType(fields))
+
+
+def _assemble(version: str, model, buckets: int, ask: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         encoder = once(WordEncoder, version, model.value)
         answers = {b: (c, n, i) for b, c, n, i in zip(right.column("bucket").to_pylist(), right.column("check").to_pylist(), right.column("counts").to_pylist(), right.column("ids").to_pylist(), strict=True)}
-        out_ids, out_tokens, out_text = [], [], []
+        out_ids, out_tokens = [], []
         for ids, sizes, blob in zip(left.column("ids").to_pylist(), left.column("sizes").to_pylist(), left.column("texts").to_pylist(), strict=True):
             blob, ends = zstandard.decompress(blob), np.cumsum(unsqueeze(sizes, np.int64)).tolist()
             texts = [blob[s:e] for s, e in zip([0, *ends], ends, strict=False)]
@@ -96,8 +167,8 @@ def _assemble(version: str, model, buckets: int, decode: bool):
                 tokens = array.array(encoder.kind, b"".join([table[w] for w in text.split()]))
                 out_ids.append(doc)
                 out_tokens.append(np.asarray(tokens).astype("<u4").tobytes())
-                out_text.append(encoder.decode(tokens) if decode else None)
-        return pa.table([pa.array(out_ids, pa.int64()), pa.array(out_tokens, pa.binary()), pa.array(out_text, pa.large_string()).cast(pa.string())], names=["id", "ids", "decoded"])
+        rows = pa.table([pa.array(out_ids, pa.int64()), pa.array(out_tokens, pa.binary())], names=["id", "ids"])
+        return _asking(rows, "ids") if ask else rows
 
     return run
 
@@ -111,7 +182,8 @@ def encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     data, version = file_bytes(tokenizer)
-    if not WordEncoder(data).by_word:
+    encoder = WordEncoder(data)
+    if not encoder.by_word:
         raise ValueError("this tokenizer does not always separate at white space")
     model = spark.sparkContext.broadcast(data)
     buckets = 2 * partitions(spark)
@@ -119,18 +191,21 @@ def encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     words = rows.mapInArrow(_words(buckets), "bucket int, block long, words binary")
     known = words.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(version, model), "block long, bucket int, check long, counts binary, ids binary")
     blobs = rows.mapInArrow(_blobs, "block long, ids array<long>, sizes binary, texts binary")
-    out = blobs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_assemble(version, model, buckets, decode), "id long, ids binary, decoded string")
+    kind = f"id long, ids binary, {TOKEN} long" if decode else "id long, ids binary"
+    out = blobs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_assemble(version, model, buckets, decode), kind)
+    out = _decoded(out, encoder, version, model, "ids") if decode else out.withColumn("decoded", F.lit(None).cast("string"))
     return out.select(F.col("id").alias(id), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
-    """`encoded` with decoded, the text of a column of ids, by the table of pieces, which is as long as the vocabulary; null stays null."""
+    """`encoded` with decoded, the text of a column of ids (little-endian unsigned 32-bit integers), as the library's
+    decode(ids, skip_special_tokens=False) gives it, through a join with the table of pieces.
+
+    Null ids give null, empty ones the empty text; ids that the vocabulary does not have are passed over. A column decoded is
+    replaced, all others and all rows stay. An empty table gives an empty result.
+    """
     data, version = file_bytes(tokenizer)
+    rows = encoded.drop("decoded")
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + [T.StructField(TOKEN, T.LongType())])
     model = encoded.sparkSession.sparkContext.broadcast(data)
-
-    @F.pandas_udf("string")
-    def texts(column):
-        encoder = once(WordEncoder, version, model.value)
-        return column.map(lambda x: None if x is None else encoder.decode(array.array("I", x)))
-
-    return encoded.drop("decoded").withColumn("decoded", texts(ids))
+    return _decoded(rows.mapInArrow(_asked(ids), kind), WordEncoder(data), version, model, ids)

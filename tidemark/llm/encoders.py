@@ -93,7 +93,6 @@ class WordEncoder:
         self.size = self.lib.get_vocab_size(with_added_tokens=True)
         self.kind = "H" if self.size <= 1 << 16 else "I"
         self.joined = shape.get("decoder") is None
-        self.pieces = None
         self.seen = Remembered(self.word)
         self.bare = Remembered(self._library)
 
@@ -116,14 +115,6 @@ class WordEncoder:
             return self._library(text.decode("utf-8"))
         return b"".join(map(self.seen.__getitem__, text.split()))
 
-    def decode(self, ids: array.array) -> str:
-        """The text that the library's decode(ids, skip_special_tokens=False) gives."""
-        if not self.joined:
-            return self.lib.decode(list(ids), skip_special_tokens=False)
-        if self.pieces is None:  # the id-to-piece table, as long as the vocabulary
-            self.pieces = [self.lib.id_to_token(i) or "" for i in range(self.size)]
-        return " ".join(map(self.pieces.__getitem__, ids))
-
 
 def file_bytes(path: str) -> tuple[bytes, str]:
     """A tokenizer file's bytes, a few MB at most, and their digest, which names its version."""
