@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .encoders import WordEncoder, file_bytes, once
-from .shared import partitions, split_blocks, squeeze, unsqueeze, whole
+from .shared import SLICE_ROWS, partitions, split_blocks, squeeze, unsqueeze, whole
 
 
 def _block_number(seq: int) -> int:
@@ -78,6 +78,7 @@ def _encode(version: str, model):
                     ids = [table[w] for w in words]
                     rows.append((block, bucket, check, squeeze(np.fromiter(map(len, ids), np.uint32, len(ids))), zstandard.compress(b"".join(ids), 1)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "bucket", "check", "counts", "ids"])
+        encoder.forget()
 
     return run
 
@@ -119,22 +120,23 @@ def _texts(ids: str, joined: bool, version: str, model):
             answer = b.column(TOKEN).is_valid().to_numpy(zero_copy_only=False)
             cuts = (np.flatnonzero(np.diff(answer)) + 1).tolist()
             for s, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-                part = b.slice(s, e - s)
                 if s == e:
                     continue
                 if answer[s]:
+                    part = b.slice(s, e - s)
                     if not answering:
                         pieces = {}
                     pieces.update(zip(part.column(TOKEN).to_pylist(), part.column(PIECE).to_pylist(), strict=True))
                     answering, gaps = True, None in pieces.values()
                     continue
                 answering = False
-                decoded = []
-                for row in part.column(ids).to_pylist():
-                    found = [] if row is None else list(map(pieces.__getitem__, np.frombuffer(row, "<u4").tolist()))
-                    decoded.append(None if row is None else text([p for p in found if p is not None] if gaps else found))
-                kept = part.drop_columns([TOKEN, PIECE])
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(decoded, pa.large_string()).cast(pa.string())], [*kept.schema.names, "decoded"])
+                for part in (b.slice(at, min(SLICE_ROWS, e - at)) for at in range(s, e, SLICE_ROWS)):
+                    decoded = []
+                    for row in part.column(ids).to_pylist():
+                        found = [] if row is None else list(map(pieces.__getitem__, np.frombuffer(row, "<u4").tolist()))
+                        decoded.append(None if row is None else text([p for p in found if p is not None] if gaps else found))
+                    kept = part.drop_columns([TOKEN, PIECE])
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(decoded, pa.large_string()).cast(pa.string())], [*kept.schema.names, "decoded"])
 
     return run
 
@@ -147,9 +149,8 @@ def _decoded(asked: DataFrame, encoder: WordEncoder, version: str, model, ids: s
     return answered.select(*[F.col(f"`{c}`") for c in order], TOKEN, PIECE).mapInArrow(_texts(ids, encoder.joined, version, model), T.StructType(fields))
 
 
-def _assemble(version: str, model, buckets: int, ask: bool):
+def _assemble(version: str, model, kind: str, buckets: int, ask: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        encoder = once(WordEncoder, version, model.value)
         answers = {b: (c, n, i) for b, c, n, i in zip(right.column("bucket").to_pylist(), right.column("check").to_pylist(), right.column("counts").to_pylist(), right.column("ids").to_pylist(), strict=True)}
         out_ids, out_tokens = [], []
         for ids, sizes, blob in zip(left.column("ids").to_pylist(), left.column("sizes").to_pylist(), left.column("texts").to_pylist(), strict=True):
@@ -159,12 +160,13 @@ def _assemble(version: str, model, buckets: int, ask: bool):
             for bucket, words in _dealt(texts, buckets).items():
                 check, counts, flat = answers.get(bucket, (None, None, None))
                 if check != xxhash.xxh64_intdigest(b"\n".join(words)) >> 1:  # the rows came in another order the second time
+                    encoder = once(WordEncoder, version, model.value)
                     table.update((w, encoder.word(w)) for w in words)
                     continue
                 flat, at = zstandard.decompress(flat), np.cumsum(unsqueeze(counts, np.uint32)).tolist()
                 table.update((w, flat[s:e]) for w, s, e in zip(words, [0, *at], at, strict=False))
             for doc, text in zip(ids, texts, strict=True):
-                tokens = array.array(encoder.kind, b"".join([table[w] for w in text.split()]))
+                tokens = array.array(kind, b"".join([table[w] for w in text.split()]))
                 out_ids.append(doc)
                 out_tokens.append(np.asarray(tokens).astype("<u4").tobytes())
         rows = pa.table([pa.array(out_ids, pa.int64()), pa.array(out_tokens, pa.binary())], names=["id", "ids"])
@@ -191,8 +193,8 @@ def encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     words = rows.mapInArrow(_words(buckets), "bucket int, block long, words binary")
     known = words.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(version, model), "block long, bucket int, check long, counts binary, ids binary")
     blobs = rows.mapInArrow(_blobs, "block long, ids array<long>, sizes binary, texts binary")
-    kind = f"id long, ids binary, {TOKEN} long" if decode else "id long, ids binary"
-    out = blobs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_assemble(version, model, buckets, decode), kind)
+    assemble = _assemble(version, model, encoder.kind, buckets, decode)
+    out = blobs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(assemble, f"id long, ids binary, {TOKEN} long" if decode else "id long, ids binary")
     out = _decoded(out, encoder, version, model, "ids") if decode else out.withColumn("decoded", F.lit(None).cast("string"))
     return out.select(F.col("id").alias(id), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 

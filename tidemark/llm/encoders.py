@@ -110,6 +110,11 @@ class WordEncoder:
             return self._library(text)
         return self.bare[m[1].lower()] + (self.bare[m[2]] if m[2] else b"")
 
+    def forget(self) -> None:
+        """Let go of what was remembered, so that a worker that waits for other work holds little."""
+        self.seen.clear()
+        self.bare.clear()
+
     def ids(self, text: bytes) -> bytes:
         if not self.by_word:
             return self._library(text.decode("utf-8"))
