@@ -274,3 +274,23 @@ def test_copies_of_a_near_passage_name_the_earliest_document(spark):
         texts += [" ".join([*[word() for _ in range(20)], *p, *[word() for _ in range(20)]]) for p in (first, passage, passage)]
     found = {r.doc_id: {s.first_id for s in r.spans} for r in substring_dedup.repeated_passages(frame(spark, texts)).collect()}
     assert sum(3 * k in found.get(3 * k + 1, ()) and 3 * k in found.get(3 * k + 2, ()) for k in range(groups)) >= 38
+
+
+def test_cutting_leaves_other_columns_exact_and_names_apart(spark):
+    """Microseconds, nested and odd values, columns named like the operator's; null, empty and very long texts; no rows."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passage, long = words(60), words(120_000)
+    texts = [f"{words(20)} {passage} {words(5)}", f"{passage} {words(30)}", None, "", long, f"{words(3)} {long}"]
+    rows = [(i, t, "mine", f"1893-04-0{i + 1} 10:20:30.12345{i}", f"2024-05-06 07:08:09.00000{i}", [1.5, None], float("nan"), i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string, a string, b string, c array<double>, d double, `e.f` int")
+    docs = docs.withColumns({"a": docs.a.cast("timestamp_ntz"), "b": docs.b.cast("timestamp"), "g": docs.text.cast("binary"), "h": docs.d.cast("float")})
+    cut = substring_dedup.repeated_passages(docs, cut=True)
+    assert sorted(cut.columns) == sorted([*docs.columns, "spans"])
+    got = {r.doc_id: r for r in cut.collect()}
+    for r in docs.collect():
+        mine = got[r.doc_id]
+        assert all(str(mine[c]) == str(r[c]) for c in ("a", "b", "c", "d", "e.f", "g", "h"))
+        assert mine.n_words == len((r.text or "").split())
+    assert got[0].text == texts[0] and passage not in got[1].text and got[4].text == long and len(got[5].text.split()) == 3
+    assert substring_dedup.repeated_passages(docs.limit(0), cut=True).count() == 0

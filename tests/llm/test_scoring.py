@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import interpolation_lm as lm
 
@@ -93,3 +94,20 @@ def test_pipeline_drops_rows_not_ids(spark, tmp_path):
     docs = frame([(8, "left " + passage), (8, "right " + passage), (None, passage + " end"), (1, "first")])
     got = rows(pipeline.repeated_passages(spark, docs, str(tmp_path)))
     assert [i for i, _ in got] == [None, 1, 8, 8] and got[0][1] == "end" and sorted(len(t.split()) for i, t in got if i == 8) == [1, 71]
+
+
+def test_pipeline_orders_equal_ids_the_same_way_and_keeps_names(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = lambda k: " ".join(f"q{k}x{i}" for i in range(70))
+    rows = [(1, words(1), "a", 70), (1, words(1) + " more", "b", 71), (1, words(2), "c", 72), (None, words(3), "d", 73), (2, None, "e", 74)]
+    columns = "doc_id long, text string, spans string, n_words int"
+    seen = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, columns).repartition(3)
+        seen.append([r.asDict() for r in pipeline._keyed(docs).orderBy(pipeline.ROW).drop(pipeline.ROW).collect()])
+        cut = pipeline.repeated_passages(spark, docs.withColumn("n_chars", F.length("text")), str(tmp_path))
+        kept = {(r.spans, r.n_words) for r in cut.collect()}
+        assert cut.columns == ["doc_id", "text", "spans", "n_words", "n_chars"] and len(kept) >= 4 and kept <= {(r[2], r[3]) for r in rows}
+    assert seen[0] == seen[1]
+    empty = spark.createDataFrame([], columns)
+    assert pipeline.near_duplicates(spark, empty, str(tmp_path)).count() == pipeline.repeated_passages(spark, empty.withColumn("n_chars", F.lit(0)), str(tmp_path)).count() == 0

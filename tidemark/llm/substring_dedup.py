@@ -640,6 +640,10 @@ def _spans(t: int, buckets: int, cut: bool):
     return run
 
 
+#: How columns that only pass through are written and read again, so that they come back as they were.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 50, percent: int = 75, cut: bool = False) -> DataFrame:
     """One row for each row of docs: id, n_words, spans; with `cut`, the columns of docs, the text without passages that an
     earlier document has, and n_words and spans, which tell of the text before that.
@@ -649,15 +653,16 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     without shingles at the ends that the other document does not have if a run is left. first_id is the smallest id among the
     documents found to have it, the document itself included. Words are runs without ASCII white space, A-Z lower-cased. Spans
     with different first ids may overlap. Exact repeats are all found; near ones with the likelihood that min-hashes give.
-    Null texts count as empty; texts of fewer words have no spans. Rows with null ids take part as id -1; rows with equal ids are
-    documents apart. An empty table gives an empty result.
+    Null texts count as empty; texts of fewer words have no spans. Texts are compared whole, whatever their length. Rows with null
+    ids take part as id -1; rows with equal ids are documents apart. With `cut`, columns n_words and spans of docs give way to the
+    operator's, all others come back as they were. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     t, buckets = least - WIDTH + 1, partitions(spark)
     if t < 2:
         raise ValueError(f"passages need at least {WIDTH + 1} words")
-    others = [c for c in docs.columns if c not in (id, text)] if cut else []
-    rest = F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(others)])) if others else F.lit(None).cast("string")
+    others = [c for c in docs.columns if c not in (id, text, "n_words", "spans")] if cut else []
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]), _EXACT) if others else F.lit(None).cast("string")
     rows = docs.select(F.col(id).cast("long").alias("id"), rest.alias("rest"), whole(text).alias("text"))
     blobs = materialise(rows.mapInArrow(_blobs, "block long, ids array<long>, rest array<string>, sizes binary, texts binary"), "passages-texts")
     centres = blobs.select("block", "sizes", "texts").mapInArrow(_ask_centres(t, buckets), "bucket int, block long, keys binary, docs binary")
@@ -672,6 +677,6 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", l
         return found.select(F.col("id").alias(id), "n_words", "spans")
     if others:
         fields = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(others)])
-        found = found.withColumn("rest", F.from_json("rest", fields))
+        found = found.withColumn("rest", F.from_json("rest", fields, _EXACT))
     kept = {id: F.col("id").cast(docs.schema[id].dataType), text: F.col("text")} | {c: F.col(f"rest.c{k}") for k, c in enumerate(others)}
-    return found.select(*[kept[c].alias(c) for c in docs.columns], "n_words", "spans")
+    return found.select(*[kept[c].alias(c) for c in docs.columns if c in kept], "n_words", "spans")
