@@ -18,8 +18,9 @@ ROW = "__row"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, in the order of ids, those without an id last; written, so that it stays the same."""
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last())
+    """docs with a number for each row, in the order of ids, those without an id last, and of equal ids by a hash of the row, so that
+    it is the same in every run; written, so that it stays the same. Rows that are equal throughout may change places."""
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"]))
     return materialise(ordered.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
 
 
@@ -43,11 +44,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 words or more that an earlier row (by id) has; a document of which nothing is left goes."""
-    found = substring_dedup.repeated_passages(_keyed(docs), id=ROW, cut=True)
+    """Cuts passages of 50 words or more that an earlier row (by id) has; a document of which nothing is left goes.
+
+    n_chars follows the text where it is cut; all other columns stay, also those named like the operator's own."""
+    hidden = {c: f"__{c}" for c in ("n_words", "spans") if c in docs.columns}
+    found = substring_dedup.repeated_passages(_keyed(docs.withColumnsRenamed(hidden)), id=ROW, cut=True)
     changed = F.exists("spans", lambda s: s["first_id"] != F.col(ROW))
     n_chars = F.when(changed, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")).alias("n_chars")
-    return found.filter(~changed | (F.col("text") != "")).select(*[n_chars if c == "n_chars" else c for c in docs.columns])
+    return found.filter(~changed | (F.col("text") != "")).select(*[n_chars if c == "n_chars" else F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
