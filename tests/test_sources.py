@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import explore, prepare
+from tidemark.functions import scalars
+from tidemark.operators import explore, prepare, temporal, verify
 from tidemark.plans import run
 from tidemark.schema import Params
 from tidemark.sources import artifacts
@@ -209,3 +210,58 @@ def test_shares_of_invented_rows(spark):
     assert abs(invoices.filter("InvoiceNo like 'C%'").count() / invoices.count() - 0.015) < 0.005
     with pytest.raises(ValueError):
         synthetic_retail(spark, 49)
+
+
+@pytest.mark.parametrize("kind", ["json", "csv"])
+def test_download_is_one_file_with_one_header(spark, tmp_path, kind):
+    store = RunStore(spark, str(tmp_path / "runs"))
+    run_id = store.create("x.csv")
+    rows = spark.range(1000).select("id", F.concat(F.lit('a "b", ü '), F.col("id")).alias("name, quoted"), F.array("id").alias("list"))
+    store.save(run_id, "patterns", rows.repartitionByRange(7, "id"))
+    store.save(run_id, "items", rows.limit(0))
+    pieces = list(store.download(run_id, "patterns", kind, chunk=50))
+    assert max(map(len, pieces)) <= 50
+    shown = rows.withColumn("list", F.to_json("list")) if kind == "csv" else rows
+    getattr(shown.orderBy("id").coalesce(1).write.option("header", True), kind)(str(tmp_path / "one"))
+    (single,) = [p for p in (tmp_path / "one").iterdir() if p.name.startswith("part-")]
+    lines = lambda data: [data.split(b"\n")[0], *sorted(data.split(b"\n")[1:])]
+    assert sorted(b"".join(pieces).split(b"\n")) == sorted(single.read_bytes().split(b"\n"))
+    if kind == "csv":
+        assert lines(b"".join(pieces)) == lines(single.read_bytes())
+        assert b"".join(store.download(run_id, "items", kind)) == single.read_bytes().split(b"\n")[0] + b"\n"
+    else:
+        assert b"".join(store.download(run_id, "items", kind)) == b""
+
+
+def test_chosen_patterns_restrict_the_selection(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "runs"))
+    run_id = store.create("x.csv")
+    selected = spark.createDataFrame([("1 2", "2020-01"), ("3", "2020-01"), ("1 2", "2020-02"), ("4", "2020-02")], "pattern_key string, selected_window string")
+    keys = lambda df: sorted(r.pattern_key for r in df.collect())
+    assert keys(temporal.restrict(selected, store.chosen(run_id))) == keys(selected) == keys(temporal.restrict(selected, []))
+    store.choose(run_id, ["1 2", "9", "1 2"])
+    assert keys(temporal.restrict(selected, store.chosen(run_id))) == ["1 2", "1 2"] == keys(temporal.restrict(selected, ["1 2", "9"]))
+    store.choose(run_id, ["4"])
+    assert keys(temporal.restrict(selected, store.chosen(run_id))) == ["4"]
+    store.choose(run_id, [])
+    assert keys(temporal.restrict(selected, store.chosen(run_id))) == keys(selected)
+
+
+def test_transactions_of_one_database_only_can_be_passed_over(spark):
+    facts = lambda rows: spark.createDataFrame(rows, "window_key string, tid string, item_id int, util long")
+    heads = lambda rows: spark.createDataFrame(rows, "window_key string, tid string, invoice_no string")
+    items = spark.createDataFrame([(1, "A", None)], "item_id int, stock_code string, description string")
+    before = facts([("m", "m_1", 1, 9), ("m", "m_1", 2, 4), ("m", "m_3", 1, 2)]), heads([("m", "m_1", "1"), ("m", "m_3", "3")])
+    after = facts([("m", "m_1", 1, 5), ("m", "m_1", 2, 4), ("m", "m_2", 1, 7)]), heads([("m", "m_1", "1"), ("m", "m_2", "2")])
+    rows = lambda **k: sorted((r.tid, r.item_id, r.before_utility, r.after_utility, r.delta) for r in verify.compare(*before, *after, items, **k).collect())
+    assert rows() == [("m_1", 1, 9, 5, 4), ("m_2", 1, 0, 7, -7), ("m_3", 1, 2, 0, 2)]
+    assert rows(shared_only=True) == [("m_1", 1, 9, 5, 4)]
+
+
+def test_dates_are_parsed_by_their_marks(spark):
+    texts = ["1/2/2020 3:04:05", " 01/02/2020 3:04 ", "1/2/2020", "2020-02-01 03:04:05", "2020-02-01 03:04", "2020-02-01", "31/02/2020", "13/13/2020 1:00", "2020-02-01 3", "bad", "", ":", "1/2/2020 3:04:05:06", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    tried = F.coalesce(*[F.try_to_timestamp(F.trim("t"), F.lit(f)) for f in scalars.DATE_FORMATS])
+    got = df.select("i", scalars.timestamp(df, "t").alias("got"), tried.alias("want")).orderBy("i").collect()
+    assert [r.got for r in got] == [r.want for r in got] and sum(r.got is not None for r in got) == 6
+    assert df.select(scalars.timestamp(df, "t", ("yyyy/M/d", "d/M/yyyy")).alias("x")).filter("x is not null").count() == 1

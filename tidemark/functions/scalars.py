@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-#: Day-first formats, and ISO dates read as what they say.
+#: Day-first formats, and ISO dates read as what they say; no two have as many strokes and colons.
 DATE_FORMATS = ("d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
 #: Texts that stand for a missing value in CSV files.
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -29,11 +29,25 @@ def number(df: DataFrame, name: str) -> Column:
 
 
 def timestamp(df: DataFrame, name: str, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """A timestamp; typed columns stay as they are, text is read by the first format that fits, else null."""
+    """A timestamp; typed columns stay as they are, text is read by the one format that has its strokes and colons, else null.
+
+    Each text is parsed once, whatever the format of its column, and no pass over the column is needed to find that out.
+    """
     c = column_or_null(df, name)
     if dict(df.dtypes).get(name, "string") != "string":
         return c.cast("timestamp")
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats])
+    if len({_marks(f) for f in formats}) < len(formats):  # marks do not tell these formats apart
+        return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats])
+    count = lambda mark: F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
+    out = F.lit(None).cast("timestamp")
+    for f in formats:
+        strokes, colons = _marks(f)
+        out = F.when((count("/") == strokes) & (count(":") == colons), F.try_to_timestamp(F.trim(c), F.lit(f))).otherwise(out)
+    return out
+
+
+def _marks(date_format: str) -> tuple[int, int]:
+    return date_format.count("/"), date_format.count(":")
 
 
 def month(ts: Column) -> Column:

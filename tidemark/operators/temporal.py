@@ -79,8 +79,10 @@ def item_scores(selected: DataFrame) -> DataFrame:
 
 
 def restrict(selected: DataFrame, keys: list[str] | DataFrame) -> DataFrame:
-    """Selected rows of the given patterns only, a list or a table with pattern_key; an empty list is no restriction. Item scores stay
-    those of the whole selection."""
+    """Selected rows of the given patterns only, a list or a table with pattern_key; an empty list or table is no restriction. Item
+    scores stay those of the whole selection."""
     if isinstance(keys, DataFrame):
+        if keys.isEmpty():
+            return selected
         return selected.join(keys.select("pattern_key").distinct(), "pattern_key", "left_semi")
     return selected.filter(F.col("pattern_key").isin(keys)) if keys else selected

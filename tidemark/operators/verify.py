@@ -55,9 +55,13 @@ def pattern_metrics(definitions: DataFrame, tx_item: DataFrame, tx: DataFrame, a
     return out.select("pattern_key", words("local_target_windows"), words("peak_windows"), "original_global_utility", "sanitized_global_utility", "global_threshold_abs", (F.col("sanitized_global_utility") >= F.col("global_threshold_abs")).alias("global_leak"))
 
 
-def compare(tx_item: DataFrame, tx: DataFrame, after_item: DataFrame, after: DataFrame, items: DataFrame, changed_only: bool = True) -> DataFrame:
-    """Utilities of every item of every transaction before and after; only those that differ, unless asked otherwise."""
+def compare(tx_item: DataFrame, tx: DataFrame, after_item: DataFrame, after: DataFrame, items: DataFrame, changed_only: bool = True, shared_only: bool = False) -> DataFrame:
+    """Utilities of every item of every transaction before and after; only those that differ, unless asked otherwise. With
+    `shared_only`, transactions that one of the databases does not have are passed over."""
     keys = ["window_key", "tid", "item_id"]
+    if shared_only:
+        both = tx.select("window_key", "tid").join(after.select("window_key", "tid"), ["window_key", "tid"], "left_semi")
+        tx_item, after_item = (x.join(both, ["window_key", "tid"], "left_semi") for x in (tx_item, after_item))
     both = tx_item.select(*keys, F.col("util").alias("b")).join(after_item.select(*keys, F.col("util").alias("a")), keys, "full_outer").fillna(0, ["a", "b"])
     if changed_only:
         both = both.filter("a <> b")

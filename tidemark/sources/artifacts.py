@@ -151,7 +151,7 @@ def write_sanitized(data: Prepared, hidden: Sanitized, base: str, params: Params
     _write(database(hidden.tx_item, hidden.tx), base, "phase2_sanitized_db.json", months=True)
     _write(sanitize.summary(hidden.definitions, data.tx_item, data.tx, hidden.modifications, hidden.tx_item, hidden.tx, params.local_ratio, params.global_ratio), base, "phase2_summary.json")
     _write(hidden.modifications, base, "phase2_modifications.json")
-    _write(verify.compare(data.tx_item, data.tx, hidden.tx_item, hidden.tx, data.items), base, "modified_transactions.csv")
+    _write(verify.compare(data.tx_item, data.tx, hidden.tx_item, hidden.tx, data.items, shared_only=True), base, "modified_transactions.csv")
     _write(transaction_lines(hidden.tx_item, hidden.tx).select("line"), base, "sanitized_retail.txt")
 
 

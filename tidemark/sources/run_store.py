@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 KNOWN = ("raw", "tx_item", "tx", "items", "patterns", "selected", "item_scores", "modifications", "sanitized_item", "sanitized_tx", "report")
 
 
+#: Bytes of a table that a download holds at a time.
+CHUNK = 4 << 20
+
+
 class RunStore:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
@@ -68,3 +74,35 @@ class RunStore:
         else:
             df.write.mode("overwrite").json(path)
         return path
+
+    def choose(self, run_id: str, keys: list[str]) -> None:
+        """Keep the patterns that a user has chosen, each once, in place of those chosen before."""
+        rows = [(k,) for k in sorted(set(keys))]
+        self.spark.createDataFrame(rows, "pattern_key string").coalesce(1).write.mode("overwrite").parquet(self.path(run_id, "chosen"))
+
+    def chosen(self, run_id: str) -> DataFrame:
+        """The chosen patterns as a table for `temporal.restrict`; no rows if none were chosen."""
+        return self.optional(run_id, "chosen", "pattern_key string")
+
+    def download(self, run_id: str, name: str, kind: str = "json", chunk: int = CHUNK) -> Iterator[bytes]:
+        """A table as one JSON-lines or CSV file, in pieces of at most `chunk` bytes, with one header.
+
+        Executors write the parts, in the table's order; here they are read through one after the other, without being held.
+        Without rows, JSON is nothing and CSV is the header.
+        """
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.export(run_id, name, kind))
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        parts = sorted((int(m[1]), n) for n in names if (m := re.match(r"part-(\d+)", n)))
+        header = b""
+        for k, (_, part) in enumerate(parts):
+            stream = fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(folder, part))
+            try:
+                if kind == "csv" and k:
+                    stream.seek(min(len(header), fs.getFileStatus(self.spark._jvm.org.apache.hadoop.fs.Path(folder, part)).getLen()))
+                while piece := bytes(stream.readNBytes(chunk)):
+                    if kind == "csv" and not k and not header.endswith(b"\n"):
+                        header += piece[: piece.find(b"\n") + 1] or piece
+                    yield piece
+            finally:
+                stream.close()
