@@ -35,3 +35,31 @@ def test_first_descriptions_without_sorting_all_rows(spark):
     assert got == {"A": (1, "second"), "B": (2, None), "C": (3, "null first")}
     flat = df.withColumn("row_id", F.coalesce(F.col("row_id.a") * 10 + F.col("row_id.b"), F.lit(None).cast("int")))
     assert {r.stock_code: r.description for r in prepare.item_dictionary(flat).collect()} == {"A": "second", "B": None, "C": "one"}
+
+
+def test_hiding_and_checks_do_not_group_transactions(spark):
+    """Packed tables give what facts and headers gave, and neither patterns nor the audit shuffle transactions."""
+    from tidemark.operators import mining, sanitize, temporal, verify
+    from tidemark.sources import artifacts
+    from tidemark.sources.huim_text import transaction_lines
+
+    data = run.prepared(synthetic_retail(spark, 400, months=3), Params(max_transaction_len=None))
+    old = (data.tx_item, data.tx)
+    assert rows(mining.twu(data.baskets, data.baskets)) == rows(mining.twu(*old))
+    assert rows(mining.mine(data.baskets, data.baskets, 0.1)) == rows(mining.mine(*old, 0.1))
+    first = data.tx_item.filter("item_id = 1").select("window_key", "tid", "item_id", F.col("util").alias("delta"))
+    changes = first.unionByName(data.tx_item.filter("item_id = 2 and util > 1").select("window_key", "tid", "item_id", F.lit(1).cast("long").alias("delta")))
+    assert not first.isEmpty()
+    after, same = sanitize.apply_modifications(data.baskets, data.baskets, changes)
+    assert after is same
+    facts, head = sanitize.apply_modifications(*old, changes)
+    assert rows(after.select(F.explode("x").alias("e"), "window_key", "tid", "invoice_no").select("window_key", "tid", "invoice_no", "e.*")) == rows(facts)
+    assert rows(after.drop("x")) == rows(head)
+    for options in ({}, {"changed_only": False}, {"shared_only": True}):
+        assert rows(verify.compare(data.baskets, data.baskets, after, after, data.items, **options)) == rows(verify.compare(*old, facts, head, data.items, **options))
+    assert rows(verify.audit(after, after)) == rows(verify.audit(facts, head))
+    assert "Exchange" not in plan(verify.audit(data.baskets, data.baskets)) and "Exchange hashpartitioning" not in plan(artifacts.database(data.baskets, data.baskets))
+    patterns = spark.createDataFrame([("1 2", [1, 2]), ("3", [3])], "pattern_key string, items array<int>")
+    assert rows(temporal.pattern_support(patterns, after)) == rows(temporal.pattern_support(patterns, facts))
+    assert rows(artifacts.database(after, after).withColumn("item_utils", F.to_json("item_utils"))) == rows(artifacts.database(facts, head).withColumn("item_utils", F.to_json("item_utils")))
+    assert rows(transaction_lines(after, after)) == rows(transaction_lines(facts, head)) and rows(transaction_lines(after)) == rows(transaction_lines(facts))

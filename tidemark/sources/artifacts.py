@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.packing import packed
 from ..operators import prepare, sanitize, verify
 from ..plans.run import Mined, Prepared, Sanitized
 from ..schema import Params
@@ -66,10 +67,8 @@ def _write(df: DataFrame, base: str, name: str, months: bool = False) -> None:
 
 def database(tx_item: DataFrame, tx: DataFrame) -> DataFrame:
     """One row for each transaction, emptied ones included, with its items in order and their utilities."""
-    listed = tx_item.groupBy("window_key", "tid").agg(F.array_sort(F.collect_list(F.struct("item_id", "util"))).alias("x"))
     utils = F.map_from_entries(F.transform("x", lambda v: F.struct(v["item_id"].cast("string"), v["util"])))
-    rows = tx.join(listed, ["window_key", "tid"], "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<item_id:int,util:bigint>>")))
-    return rows.select("window_key", "tid", "invoice_no", F.col("x.item_id").alias("items"), utils.alias("item_utils"), "transaction_utility", F.size("x").alias("length"))
+    return packed(tx_item, tx).select("window_key", "tid", "invoice_no", F.col("x.item_id").alias("items"), utils.alias("item_utils"), "transaction_utility", F.size("x").alias("length"))
 
 
 def facts(db: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,13 +112,13 @@ def metadata(data: Prepared, params: Params) -> DataFrame:
 
 
 def write_prepared(data: Prepared, base: str, params: Params = Params()) -> None:
-    _write(database(data.tx_item, data.tx), base, "temporal_db.json", months=True)
+    _write(database(data.baskets, data.baskets), base, "temporal_db.json", months=True)
     _write(metadata(data, params), base, "temporal_db_metadata.json")
     _write(prepare.windows(data.tx), base, "temporal_db_windows.json")
     _write(prepare.report(data.classified, data.tx_before, data.tx), base, "preprocess_report.json")
     _write(data.items, base, "item_mapping.json")
-    _write(prepare.nested(data.facts), base, "tx_before_filter.csv")
-    _write(prepare.nested(data.tx_item), base, "tx_after_filter.csv")
+    _write(prepare.nested(data.baskets_before), base, "tx_before_filter.csv")
+    _write(prepare.nested(data.baskets), base, "tx_after_filter.csv")
 
 
 def mining_windows(data: Prepared, found: Mined, params: Params) -> DataFrame:
@@ -148,18 +147,18 @@ def write_mined(data: Prepared, found: Mined, base: str, params: Params = Params
 
 
 def write_sanitized(data: Prepared, hidden: Sanitized, base: str, params: Params = Params()) -> None:
-    _write(database(hidden.tx_item, hidden.tx), base, "phase2_sanitized_db.json", months=True)
-    _write(sanitize.summary(hidden.definitions, data.tx_item, data.tx, hidden.modifications, hidden.tx_item, hidden.tx, params.local_ratio, params.global_ratio), base, "phase2_summary.json")
+    _write(database(hidden.baskets, hidden.baskets), base, "phase2_sanitized_db.json", months=True)
+    _write(sanitize.summary(hidden.definitions, data.baskets, data.baskets, hidden.modifications, hidden.baskets, hidden.baskets, params.local_ratio, params.global_ratio), base, "phase2_summary.json")
     _write(hidden.modifications, base, "phase2_modifications.json")
-    _write(verify.compare(data.tx_item, data.tx, hidden.tx_item, hidden.tx, data.items, shared_only=True), base, "modified_transactions.csv")
-    _write(transaction_lines(hidden.tx_item, hidden.tx).select("line"), base, "sanitized_retail.txt")
+    _write(verify.compare(data.baskets, data.baskets, hidden.baskets, hidden.baskets, data.items, shared_only=True), base, "modified_transactions.csv")
+    _write(transaction_lines(hidden.baskets, hidden.baskets).select("line"), base, "sanitized_retail.txt")
 
 
 def write_verified(data: Prepared, hidden: Sanitized, base: str, params: Params = Params()) -> None:
     d = hidden.definitions
-    _write(verify.report(d, data.tx_item, data.tx, hidden.tx_item, hidden.tx, data.items, params.local_ratio, params.global_ratio), base, "phase3_verification_report.json")
-    _write(verify.local_hiding(d, data.tx, hidden.tx_item, hidden.tx, params.local_ratio), base, "phase3_window_metrics.csv")
-    _write(verify.pattern_metrics(d, data.tx_item, data.tx, hidden.tx_item, params.global_ratio), base, "phase3_pattern_metrics.csv")
+    _write(verify.report(d, data.baskets, data.baskets, hidden.baskets, hidden.baskets, data.items, params.local_ratio, params.global_ratio), base, "phase3_verification_report.json")
+    _write(verify.local_hiding(d, data.tx, hidden.baskets, hidden.baskets, params.local_ratio), base, "phase3_window_metrics.csv")
+    _write(verify.pattern_metrics(d, data.baskets, data.baskets, hidden.baskets, params.global_ratio), base, "phase3_pattern_metrics.csv")
 
 
 def _read(spark: SparkSession, path: str, name: str, schema: str | None) -> DataFrame | None:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.packing import packed
 from ..functions.scalars import pattern_key
 
 
 def transaction_lines(tx_item: DataFrame, tx: DataFrame | None = None) -> DataFrame:
     """One line for each transaction. With headers, emptied transactions have a line of their own (:0:), else none."""
-    grouped = tx_item.groupBy("window_key", "tid").agg(F.array_sort(F.collect_list(F.struct("item_id", "util"))).alias("x"))
-    if tx is not None:
-        grouped = tx.select("window_key", "tid").join(grouped, ["window_key", "tid"], "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<item_id:int,util:bigint>>")))
+    grouped = packed(tx_item, tx)
+    if tx is None:
+        grouped = grouped.filter(F.size("x") > 0)
     joined = lambda c: F.array_join(F.transform(f"x.{c}", lambda v: v.cast("string")), " ")
     total = F.aggregate("x.util", F.lit(0).cast("long"), lambda a, v: a + v)
     return grouped.select("window_key", "tid", F.concat_ws(":", joined("item_id"), total.cast("string"), joined("util")).alias("line"))
