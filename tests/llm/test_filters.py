@@ -48,6 +48,21 @@ def test_ratio_without_trusted_rows_or_documents(spark):
     assert quality_ratio.judge(docs.limit(0), ratios, -0.25).count() == 0
 
 
+def test_texts_are_read_and_hashed_once(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(None, "One two three"), (3, None)], "doc_id long, text string")
+    grams = quality_ratio.grams(docs)
+    assert "text" not in grams.columns and grams.count() == docs.count()
+    for r in quality_ratio.with_buckets(docs).collect():
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        assert len(r["__buckets"]) == 2 * words and all(0 <= b < quality_ratio.BUCKETS for b in r["__buckets"])
+    ratios = [quality_ratio.log_ratios(x, docs.filter("doc_id < 3")) for x in (docs, grams)]
+    assert sorted(ratios[0].collect()) == sorted(ratios[1].collect())
+    got = [sorted(map(str, quality_ratio.judge(x, ratios[0], -0.25).collect())) for x in (docs, grams)]
+    assert got[0] == got[1]
+    plan = quality_ratio.judge(grams, ratios[0], -0.25)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "xxhash64" not in plan
+
+
 def test_leaks_whole_substituted_and_clean(spark):
     rng = random.Random(2)
     item = [f"q{i}" for i in range(30)]

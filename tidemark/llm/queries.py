@@ -38,9 +38,9 @@ QUALITY_THRESHOLD = -0.25
 
 
 def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality_ratio import judge, log_ratios
+    from .quality_ratio import grams, judge, log_ratios
 
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = grams(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     return judge(docs, log_ratios(docs, labels.filter("quality = 1")), QUALITY_THRESHOLD)
 
 
