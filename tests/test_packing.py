@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import prepare
+from tidemark.operators import mining, prepare, temporal
 from tidemark.plans import run
 from tidemark.schema import Params
 from tidemark.sources.synthetic import synthetic_retail
@@ -63,3 +63,33 @@ def test_hiding_and_checks_do_not_group_transactions(spark):
     assert rows(temporal.pattern_support(patterns, after)) == rows(temporal.pattern_support(patterns, facts))
     assert rows(artifacts.database(after, after).withColumn("item_utils", F.to_json("item_utils"))) == rows(artifacts.database(facts, head).withColumn("item_utils", F.to_json("item_utils")))
     assert rows(transaction_lines(after, after)) == rows(transaction_lines(facts, head)) and rows(transaction_lines(after)) == rows(transaction_lines(facts))
+
+
+def test_pairs_that_fall_short_are_not_written(spark, monkeypatch):
+    facts = spark.createDataFrame([("m", f"t{k}", i, u) for k in range(10) for i, u in ((1, 10), (2 + k, 1))], "window_key string, tid string, item_id int, util long")
+    tx = facts.groupBy("window_key", "tid").agg(F.sum("util").alias("transaction_utility"))
+    written, write = [], mining.checkpoint
+
+    def counted(df):
+        out = write(df)
+        if "rest" in df.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(mining, "checkpoint", counted)
+    found = mining.mine(facts, tx, 0.5)
+    assert [(r.pattern_key, r.utility) for r in found.collect()] == [("1", 100)] and sum(written) == 0
+
+
+def test_patterns_meet_transactions_that_hold_their_first_two_items(spark):
+    baskets = [{1: 5}, {1: 2, 2: 3}, {1: 1, 2: 2, 3: 4}, {2: 7, 3: 8, 5: 9}, {1: 6, 9: 1}, {}]
+    patterns = [[1], [3], [1, 2], [1, 3], [2, 3, 5], [9, 1], [1, 4], [7, 8]]
+    entry = "window_key string, tid string, x array<struct<item_id:int,util:bigint>>"
+    packed = spark.createDataFrame([("m", str(k), list(b.items())) for k, b in enumerate(baskets)], entry)
+    wanted = spark.createDataFrame([(" ".join(map(str, p)), p, w) for p in patterns for w in ("m", "other")], "pattern_key string, items array<int>, window_key string")
+    want = sorted((" ".join(map(str, p)), str(k), sum(b[i] for i in p)) for p in patterns for k, b in enumerate(baskets) if set(p) <= set(b))
+    met = temporal.holding(packed, wanted, ("window_key",))
+    assert sorted((r.pattern_key, r.tid, r.utility) for r in met.collect()) == want
+    every = temporal.holding(packed.drop("window_key"), wanted.filter("window_key = 'm'").drop("window_key"))
+    assert sorted((r.pattern_key, r.tid, r.utility) for r in every.collect()) == want
+    assert "__second" in met._jdf.queryExecution().optimizedPlan().toString(), "not every pattern that begins alike"
