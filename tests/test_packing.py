@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import packing
 from tidemark.operators import mining, prepare, temporal
 from tidemark.plans import run
 from tidemark.schema import Params
@@ -93,3 +94,14 @@ def test_patterns_meet_transactions_that_hold_their_first_two_items(spark):
     every = temporal.holding(packed.drop("window_key"), wanted.filter("window_key = 'm'").drop("window_key"))
     assert sorted((r.pattern_key, r.tid, r.utility) for r in every.collect()) == want
     assert "__second" in met._jdf.queryExecution().optimizedPlan().toString(), "not every pattern that begins alike"
+
+
+def test_levels_read_written_transactions_that_say_what_later_items_add(spark, monkeypatch):
+    """Before, each of the first levels filtered the transactions and added up their later items again."""
+    written, cut = [], mining.checkpoint
+    monkeypatch.setattr(mining, "checkpoint", lambda df: written.append(cut(df)) or written[-1])
+    rows = spark.createDataFrame([("2024-01", "a", "a", 12, 4, [(1, 5), (2, 0), (3, 4), (4, 3)])], f"window_key string, tid string, invoice_no string, transaction_utility long, length int, x {packing.ENTRIES}")
+    found = {tuple(r["items"]): r.utility for r in mining.mine(rows, rows, 0.5).collect()}
+    assert found == {(1, 3): 9, (1, 4): 8, (3, 4): 7, (1, 3, 4): 12}
+    listed = [df for df in written if "x" in df.columns]
+    assert [[tuple(e) for e in r.x] for df in listed for r in df.collect()] == [[(1, 5, 7), (3, 4, 3), (4, 3, 0)]]
