@@ -294,3 +294,17 @@ def test_cutting_leaves_other_columns_exact_and_names_apart(spark):
         assert mine.n_words == len((r.text or "").split())
     assert got[0].text == texts[0] and passage not in got[1].text and got[4].text == long and len(got[5].text.split()) == 3
     assert substring_dedup.repeated_passages(docs.limit(0), cut=True).count() == 0
+
+
+def test_sets_are_made_for_verified_nodes_only(spark, monkeypatch):
+    """Before, the shingles of every text that shares a group were written, more than the texts themselves."""
+    written, cut = {}, jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, name: written.setdefault(name, []).append(out := cut(df, name)) or out)
+    counts, verified = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda edges, nodes, percent: counts.append(edges.count()) or verified(edges, nodes, percent))
+    head = [f"h{i}" for i in range(30)]
+    texts = [" ".join([*head, *[f"w{k}_{i}" for i in range(90)]]) for k in range(20)]
+    texts += [texts[0] + " more", "x " + texts[0], texts[0] + " more"]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(frame(spark, texts)).collect()}
+    assert found == classes(texts)
+    assert all("hashes" not in df.columns for df in written["jaccard-sets"]) and sum(counts) < 20

@@ -43,6 +43,8 @@ BITS, WIDE = 2, 16
 TOP = 4
 #: Partners of a component that a tile proposes in the first round; each later round proposes GROWTH times as many.
 PARTNERS, GROWTH = 4, 8
+#: A table of nodes, or a function that makes and writes one for the nodes of another.
+Nodes = DataFrame | Callable[[DataFrame], DataFrame]
 #: Text bytes of a block, small as the arrays over a block's words take some forty times as much.
 BLOCK = 1 << 20
 
@@ -180,10 +182,10 @@ def _links(bound, na, nb, percent):
 def _sets(width: int):
     def run(batches):
         hashes = WordHashes()
-        for ids, texts in split_blocks(batches, ["id", "text"], BLOCK):
+        for ids, keys, texts in split_blocks(batches, ["id", "key", "text"], BLOCK):
             n, found = block_shingles(texts, hashes, width)
             nodes, ends = _nodes(n, found), np.cumsum(n)
-            first = np.zeros(len(n), bool)  # of equal sets of a block one carries its shingles
+            first = np.zeros(len(n), bool)  # of equal sets of a block one carries its bitmap
             first[np.unique(nodes, return_index=True)[1]] = True
             for s in range(0, len(n), 500):
                 e = min(s + 500, len(n))
@@ -193,15 +195,29 @@ def _sets(width: int):
                         pa.array(ids[s:e], pa.int64()),
                         pa.array(nodes[s:e], mask=n[s:e] == 0),
                         pa.array(n[s:e]),
-                        pa.array([squeeze_sorted(p) if len(p) else None for p in parts], pa.binary()),
+                        pa.array(keys[s:e], pa.int64()),
                         pa.array([bitmap(p, BITS) if len(p) else None for p in parts], pa.binary()),
                     ],
-                    ["id", "node", "n", "hashes", "bits"],
+                    ["id", "node", "n", "key", "bits"],
                 )
 
     return run
 
 
+def _hashes(width: int):
+    """Names and shingles of sets, of equal ones of a block once."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for (texts,) in split_blocks(batches, ["text"], BLOCK):
+            n, found = block_shingles(texts, hashes, width)
+            nodes, ends = _nodes(n, found), np.cumsum(n)
+            nodes, first = np.unique(nodes, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([squeeze_sorted(found[ends[i] - n[i] : ends[i]]) for i in first.tolist()], pa.binary())], ["node", "hashes"])
+
+    return run
+
+
 @dataclass(frozen=True)
 class Signature:
     """What tells of two nodes, before they are verified, that they may link. Both functions take lists of signatures and arrays of
@@ -357,19 +373,32 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     groups = packed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_groups(percent), "gid long, node long, n long, members long")
     groups = materialise(groups.distinct(), "jaccard-groups")
     named = groups
+    discard()  # the shuffle of all prefixes, before sets are written
     needed = groups.select("node").distinct().withColumn("needed", F.lit(True))
     if needed.count() <= BROADCAST_NODES:
         needed = F.broadcast(needed)
-    sets = rows.mapInArrow(_sets(width), "id long, node long, n long, hashes binary, bits binary").join(needed, "node", "left")
-    sets = materialise(sets.select("id", "node", "n", *[F.when(F.col("needed"), F.col(c)).alias(c) for c in ("hashes", "bits")], F.monotonically_increasing_id().alias("row")), "jaccard-sets")
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    sets = keyed.select("id", "key", "text").mapInArrow(_sets(width), "id long, node long, n long, key long, bits binary").join(needed, "node", "left")
+    sets = materialise(sets.select("id", "node", "n", "key", F.when(F.col("needed"), F.col("bits")).alias("bits"), F.monotonically_increasing_id().alias("row")), "jaccard-sets")
     # Of rows with equal sets one stands for the node; by its row number the others are left out of every join without a second
     # table of sets.
-    kept = sets.filter(F.col("hashes").isNotNull())
-    chosen = materialise(kept.groupBy("node").agg(F.min("row").alias("row")), "jaccard-chosen")
+    kept = sets.filter(F.col("bits").isNotNull())
+    chosen = materialise(kept.groupBy("node").agg(F.min("row").alias("row"), F.min_by("key", "row").alias("key")), "jaccard-chosen")
     groups = materialise(groups.join(_few(chosen, chosen.count()), "node").select("gid", F.col("row").alias("node"), "n", "members"), "jaccard-groups")
     discard(named)
-    nodes = kept.select(F.col("row").alias("node"), "n", "hashes", "bits")
-    found = link_groups(groups, nodes, nodes, chosen.select(F.col("row").alias("node")), percent)
+    nodes = kept.select(F.col("row").alias("node"), "n", "bits")
+
+    def asked(wanted: DataFrame) -> DataFrame:
+        """Shingles of these nodes, made from their texts again: few are verified, and those of all would take more room than the texts."""
+        names = materialise(chosen.join(wanted.withColumnRenamed("node", "row"), "row", "left_semi"), "jaccard-asked")
+        count = names.count()
+        texts = keyed.join(_few(names.select("key").distinct(), count), "key", "left_semi").select("text")
+        made = texts.mapInArrow(_hashes(width), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+        made = materialise(made.join(_few(names.select("node", "row"), count), "node").select(F.col("row").alias("node"), "hashes"), "jaccard-hashes")
+        discard(names)
+        return made
+
+    found = link_groups(groups, nodes, asked, chosen.select(F.col("row").alias("node")), percent)
     discard(groups)
     names = chosen.select(F.col("row").alias("comp"), F.col("node").alias("comp_node"))
     labels = found.withColumnRenamed("node", "row").join(chosen, "row").join(names, "comp").select("node", F.col("comp_node").alias("comp"))
@@ -384,23 +413,26 @@ def _few(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_NODES else df
 
 
-def _ends(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) with these columns of both nodes, and the table that they are read from. Those of each b travel once to its a; an a with many has its own copied to
+def _ends(edges: DataFrame, nodes: Nodes, columns: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) with these columns of both nodes, and the tables made for them. Those of each b travel once to its a; an a with many has its own copied to
     parts of them, so that no task gets all partners of a node."""
     sizes = edges.groupBy("a").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     dealt = materialise(edges.select("a", "b").join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "jaccard-edges")
-    count = dealt.count()
+    count, made = dealt.count(), [dealt]
+    if callable(nodes):
+        nodes = nodes(dealt.select(F.col("a").alias("node")).union(dealt.select("b")).distinct())
+        made.append(nodes)
     members = nodes.join(_few(dealt, count), nodes.node == dealt.b).select("a", "part", "b", *[F.col(c).alias(f"{c}_b") for c in columns])
     centres = dealt.select(F.col("a").alias("centre"), "part").distinct()
     centres = nodes.join(_few(centres, count), nodes.node == centres.centre).select(F.col("centre").alias("a"), "part", *[F.col(c).alias(f"{c}_a") for c in columns])
-    return members.join(centres, ["a", "part"]).select("a", "b", *[f"{c}_{x}" for c in columns for x in "ab"]), dealt
+    return members.join(centres, ["a", "part"]).select("a", "b", *[f"{c}_{x}" for c in columns for x in "ab"]), made
 
 
-def _verified(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _verified(edges: DataFrame, nodes: Nodes, percent: int) -> DataFrame:
     """Exact verdicts for edges (a, b)."""
-    ends, dealt = _ends(edges, nodes, ["hashes"])
+    ends, made = _ends(edges, nodes, ["hashes"])
     found = materialise(ends.mapInArrow(_verify(percent), "a long, b long, linked boolean"), "jaccard-verified")
-    discard(dealt)
+    discard(*made)
     return found
 
 
@@ -411,9 +443,9 @@ def _star(groups: DataFrame, nodes: DataFrame, percent: int, signature: Signatur
     centre = ranked.groupBy("gid").agg(F.max_by(F.struct(F.col("node").alias("a"), F.col("n").alias("na")), F.struct("degree", "node")).alias("c")).select("gid", "c.*")
     fits = (100 * F.col("na") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("na"))
     star = groups.join(centre, "gid").filter((F.col("node") != F.col("a")) & fits).select("a", F.col("node").alias("b")).distinct()
-    ends, dealt = _ends(star, nodes, ["n", "bits"])
+    ends, made = _ends(star, nodes, ["n", "bits"])
     found = materialise(ends.mapInArrow(_approve(percent, signature), "a long, b long, score double").groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a")), "jaccard-star")
-    discard(dealt)
+    discard(*made)
     return found
 
 
@@ -447,21 +479,25 @@ def _cells(groups: DataFrame, comp: DataFrame, tops: DataFrame, percent: int) ->
     return found
 
 
-def _compared(cells: DataFrame, comp: DataFrame, tops: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, each: int, signature: Signature) -> DataFrame:
+def _compared(cells: DataFrame, comp: DataFrame, tops: DataFrame, nodes: DataFrame, sets: Nodes, percent: int, each: int, signature: Signature) -> DataFrame:
     """tile, a, b: pairs of a tile's sides that are in different components and may link by their signatures."""
     wanted = cells.select("node").distinct()
     longer = signature.longer is not None and each > PARTNERS
-    wanted = (sets if longer else nodes).join(_few(wanted, wanted.count()), "node", "left_semi")
+    made = [sets(wanted)] if longer and callable(sets) else []
+    wanted = made[0] if made else (sets if longer else nodes).join(_few(wanted, wanted.count()), "node", "left_semi")
     bits = wanted.select("node", "hashes").mapInArrow(signature.longer, "node long, bits binary") if longer else wanted.select("node", "bits")
     rows = cells.join(bits.join(comp, "node").join(tops, "node"), "node")
-    return materialise(rows.repartition(partitions(nodes.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent, each, signature), "tile long, a long, b long"), "jaccard-pairs")
+    pairs = materialise(rows.repartition(partitions(nodes.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent, each, signature), "tile long, a long, b long"), "jaccard-pairs")
+    if made:
+        discard(*made)
+    return pairs
 
 
-def link_groups(groups: DataFrame, nodes: DataFrame, sets: DataFrame, names: DataFrame, percent: int, signature: Signature = BITMAPS) -> DataFrame:
+def link_groups(groups: DataFrame, nodes: DataFrame, sets: Nodes, names: DataFrame, percent: int, signature: Signature = BITMAPS) -> DataFrame:
     """node and comp of every node that names lists: two nodes of a group are linked if their sets are similar enough.
 
     groups: gid, node, n (size of the node's set), members (of the group); nodes: node, n, bits (its signature); sets: node, hashes
-    (its set, ascending). nodes and sets have one row for each node of a group, and may hold further ones."""
+    (its set, ascending), or a function that makes and writes such a table for the nodes of another. nodes and sets have one row for each node of a group, and may hold further ones."""
     star = _star(groups, nodes, percent, signature)
     tried = _verified(star, sets, percent)
     discard(star)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import numpy as np
@@ -47,10 +49,27 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that are written while `recorded` is on.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def recorded():
+    """A list that gets the folder of each table of `materialise` that is written meanwhile, in this thread."""
+    paths: list[str] = []
+    token = _WRITTEN.set(paths)
+    try:
+        yield paths
+    finally:
+        _WRITTEN.reset(token)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage with files that outlive any executor."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,13 +77,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of `materialise` that nothing will read again, as their successors are written, and let the driver find out
     which shuffles nothing refers to any more, so that executors delete their files too."""
+    delete(SparkSession.active(), {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()})
+
+
+def delete(spark: SparkSession, folders) -> None:
+    """Delete these folders, where they are still there, and what shuffles nothing refers to any more."""
     gc.collect()
-    for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        jvm.System.gc()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    spark._jvm.System.gc()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
