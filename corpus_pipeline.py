@@ -1,13 +1,19 @@
-"""A corpus pipeline of five stages over `documents`; each stage reads what the one before it has written."""
+"""A corpus pipeline of five stages over `documents`; each stage reads what the one before it has written.
+
+A stage's result reads tables that the stage has written to the shared folder. It is to be written before the next stage is called
+in the same thread, as that deletes these tables (but for those that its own input still reads)."""
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, jaccard_join, substring_dedup, toxicity
-from tidemark.llm.shared import materialise, shared_dir, table
+from tidemark.llm.shared import delete, materialise, recorded, shared_dir, table
 
 #: Ids up to which a list of documents to drop is broadcast; beyond, it is joined by shuffling.
 BROADCAST_IDS = 1_000_000
@@ -17,6 +23,27 @@ BROADCAST_IDS = 1_000_000
 ROW = "__row"
 
 
+#: Folders of tables that stages before have left, in this thread.
+_LEFT: ContextVar[tuple[str, ...]] = ContextVar("left", default=())
+
+
+def _stage(f):
+    """A stage that first deletes the tables of those before it: their results are written, and kept tables of all stages would add up."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left, read = _LEFT.get(), docs.inputFiles() if _LEFT.get() else []
+        kept = tuple(p for p in left if any(f"/{p.rsplit('/', 1)[1]}/" in r for r in read))
+        delete(spark, [p for p in left if p not in kept])
+        _LEFT.set(kept)
+        with recorded() as paths:
+            found = f(spark, docs, sf_dir)
+        _LEFT.set((*kept, *paths))
+        return found
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with a number for each row, in the order of ids, those without an id last, and of equal ids by a hash of the row, so that
     it is the same in every run; written, so that it stays the same. Rows that are equal throughout may change places."""
@@ -30,12 +57,14 @@ def _drop(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, ROW, "left_anti").drop(ROW)
 
 
+@_stage
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is 0.5 or more."""
     lexicon = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, lexicon).filter("score < 0.5").select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each class of linked documents the first row with the smallest id."""
     columns, docs = docs.columns, _keyed(docs)
@@ -43,6 +72,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _drop(docs, materialise(classes.filter(f"{ROW} <> component_id").select(ROW), "pipeline-duplicates")).select(*columns)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 words or more that an earlier row (by id) has; a document of which nothing is left goes.
 
@@ -54,6 +84,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.filter(~changed | (F.col("text") != "")).select(*[n_chars if c == "n_chars" else F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns])
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages."""
     columns, docs = docs.columns, _keyed(docs)
@@ -61,6 +92,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _drop(docs, materialise(found, "pipeline-leaks")).select(*columns)
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of ids and of the text that they decode to."""
     coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -85,5 +117,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         path = shared_dir(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if k:
+            delete(spark, [before])
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -111,3 +112,17 @@ def test_pipeline_orders_equal_ids_the_same_way_and_keeps_names(spark, tmp_path)
     assert seen[0] == seen[1]
     empty = spark.createDataFrame([], columns)
     assert pipeline.near_duplicates(spark, empty, str(tmp_path)).count() == pipeline.repeated_passages(spark, empty.withColumn("n_chars", F.lit(0)), str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_delete_what_those_before_left(spark, tmp_path):
+    """Before, the tables of all stages stayed until the end and added up."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(k, "one two three four five six", 27) for k in range(3)], "doc_id long, text string, n_chars int")
+    found = pipeline.near_duplicates(spark, docs, str(tmp_path))
+    left = pipeline._LEFT.get()
+    assert len([p for p in left if Path(p).exists()]) >= 2
+    pipeline.repeated_passages(spark, found, str(tmp_path)).write.parquet(str(tmp_path / "lazy"))  # its input still reads some of them
+    assert found.count() == spark.read.parquet(str(tmp_path / "lazy")).count() == 1
+    found.write.parquet(str(tmp_path / "written"))
+    pipeline.repeated_passages(spark, spark.read.parquet(str(tmp_path / "written")), str(tmp_path))
+    assert not any(Path(p).exists() for p in left)
