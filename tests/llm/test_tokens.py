@@ -5,9 +5,11 @@ import hashlib
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import bpe, token_counts, token_records
+from tidemark.llm.encoders import WordEncoder
 
 TEXTS = [None, "", " ", "Hello, world's  end\n\n", "the the The THE the", "naïve Ünïcödé ﬁ é ½ İstanbul ΣΑΣ 日本語 🙂", "tab\there\x1cthere\x85x", "<|endoftext|> a<|startoftext|>b </s> <s>", "▁odd ▁▁ x", "word " * 3000, "a" * 3000, "don't we'll 123 4a5 --- ###", "Hello, world's  end\n\n"]
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -186,3 +188,29 @@ def test_bpe_query_against_the_library(spark, tmp_path, library):
         text = library.decode(ids, skip_special_tokens=False)
         want.append((doc, len(ids), hashlib.sha256(array.array("I", ids).tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
+def test_words_of_a_column_go_to_the_library_together():
+    with open(WORD, "rb") as f:
+        encoder = WordEncoder(f.read())
+    lib, calls = encoder.lib, []
+
+    class Counting:
+        def encode(self, *a, **k):
+            calls.append(1)
+            return lib.encode(*a, **k)
+
+        def encode_batch_fast(self, *a, **k):
+            calls.append(1)
+            return lib.encode_batch_fast(*a, **k)
+
+    encoder.lib = Counting()
+    letters = "abcdefghijklmnopqrstuvwxyzäé"
+    many = " ".join(f"{a}{b.upper()}{c}{m}" for a in letters[:20] for b in letters for c in letters for m in ("", ".", "!!"))
+    odd = ["", None, " a b ", "\x0b\x0ca\r\n", "don't Stop</w> É ﬁ é e\u0301 x\u00a0y\u3000z", "<|endoftext|> a<|startoftext|>b", "a" * 70_000, "Ünï...,!! !! ..", "\x00 \x85 \x1c a\x1db", "ßẞ İ ŉ ſ", many]
+    column = pa.array(odd * 2)
+    want = [array.array(encoder.kind, lib.encode(x or "", add_special_tokens=False).ids).tobytes() for x in odd * 2]
+    assert list(encoder.column_ids(column)) == want
+    assert list(encoder.column_ids(column.slice(3, 9))) == want[3:12]
+    assert list(encoder.column_ids(pa.array([], pa.string()))) == []
+    assert len(calls) < 100  # of 47,000 different words

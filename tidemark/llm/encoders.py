@@ -11,6 +11,11 @@ import array
 import json
 import os
 import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 REMEMBERED = 600_000
 _loaded: dict[tuple, object] = {}
@@ -61,6 +66,9 @@ class Remembered(dict):
         return value
 
 
+#: Words that are given to the library as one text, and text bytes that are cut into words at a time.
+TOGETHER, CUT_BYTES = 500, 8 << 20
+
 #: The shape of tokenizer file for which white space always separates tokens.
 SPACE_RULES = ("\\s+", "[^\\s\\p{L}\\p{N}]+")
 
@@ -93,6 +101,9 @@ class WordEncoder:
         self.size = self.lib.get_vocab_size(with_added_tokens=True)
         self.kind = "H" if self.size <= 1 << 16 else "I"
         self.joined = shape.get("decoder") is None
+        suffix = shape.get("model", {}).get("end_of_word_suffix")
+        #: Which ids end a word, if the vocabulary tells them apart.
+        self.last = np.array([bool(suffix) and (self.lib.id_to_token(i) or "").endswith(suffix) for i in range(self.size)])
         self.seen = Remembered(self.word)
         self.bare = Remembered(self._library)
 
@@ -100,7 +111,8 @@ class WordEncoder:
         return array.array(self.kind, self.lib.encode(word, add_special_tokens=False).ids).tobytes()
 
     #: A Latin word of letters, then marks that the tokenizer keeps as one run.
-    _simple = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#*$%&]*)")
+    _letters, _marks = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,;:!?|#*$%&]*"
+    _simple = re.compile(f"({_letters})({_marks})")
 
     def word(self, word: bytes) -> bytes:
         """Ids of one piece without ASCII white space."""
@@ -110,6 +122,56 @@ class WordEncoder:
             return self._library(text)
         return self.bare[m[1].lower()] + (self.bare[m[2]] if m[2] else b"")
 
+    def _learn(self, words: list[str], letters: int) -> list[bytes]:
+        """Ids of distinct pieces, of which the first ones are runs of letters in lower case: these go to the library together."""
+        known = [self.bare.get(w) for w in words]
+        new = [k for k, x in enumerate(known) if x is None]
+        if len(self.bare) + len(new) > self.bare.most:
+            self.bare.clear()
+        joint = [k for k in new if k < letters]
+        for part in (joint[at : at + TOGETHER] for at in range(0, len(joint), TOGETHER)):
+            ids = np.array(self.lib.encode_batch_fast([" ".join([words[k] for k in part])], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                flat, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
+                for k, s, e in zip(part, [0, *ends], ends, strict=False):
+                    known[k] = flat[s:e]
+        for k in new:
+            if known[k] is None:
+                known[k] = self._library(words[k])
+        for k in new[: self.bare.most]:
+            self.bare[words[k]] = known[k]
+        return known
+
+    def column_ids(self, column: pa.Array) -> Iterator[bytes]:
+        """What `ids` gives for each text of a column, null as empty. Distinct words of some MB of texts are looked up once."""
+        if not self.by_word:
+            yield from (self._library(x or "") for x in column.to_pylist())
+            return
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+        cuts = np.flatnonzero(np.diff(ends // CUT_BYTES)) + 1
+        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(column)], strict=True):
+            yield from self._cut(column.slice(s, e - s))
+
+    def _cut(self, column: pa.Array) -> Iterator[bytes]:
+        words = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        coded = words.flatten().dictionary_encode()
+        parts = pc.extract_regex(coded.dictionary, f"^(?P<letters>{self._letters})(?P<marks>{self._marks})$")
+        simple = np.asarray(parts.is_valid())
+        letters, marks = (parts.field(k).filter(pa.array(simple)) for k in range(2))
+        units = pa.concat_arrays([pc.utf8_lower(letters), marks, coded.dictionary.filter(pa.array(~simple))]).dictionary_encode()
+        codes, n = np.asarray(units.indices), len(letters)
+        known = self._learn(units.dictionary.to_pylist(), int(codes[:n].max(initial=-1)) + 1)
+        flat = np.frombuffer(b"".join(known), self.kind)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // flat.itemsize
+        # Words as letters, then marks, and all others as they are; then texts as words.
+        of = np.full((len(simple), 2), len(known), np.int64)
+        of[simple, 0], of[simple, 1], of[~simple, 0] = codes[:n], codes[n : 2 * n], codes[2 * n :]
+        flat, ends = _gathered(flat, np.r_[sizes, 0], of.ravel())
+        flat, ends = _gathered(flat, np.diff(ends[::2]), np.asarray(coded.indices))
+        of_text = ends[np.asarray(words.offsets) - words.offsets[0].as_py()].tolist()
+        yield from (flat[s:e].tobytes() for s, e in zip(of_text[:-1], of_text[1:], strict=True))
+
     def forget(self) -> None:
         """Let go of what was remembered, so that a worker that waits for other work holds little."""
         self.seen.clear()
@@ -121,6 +183,14 @@ class WordEncoder:
         return b"".join(map(self.seen.__getitem__, text.split()))
 
 
+def _gathered(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of these numbers one after the other, and where each begins and ends; `flat` holds the pieces of these sizes in order."""
+    each = sizes[at]
+    ends = np.r_[0, np.cumsum(each)]
+    begins = np.cumsum(sizes) - sizes
+    return flat[np.repeat(begins[at] - ends[:-1], each) + np.arange(ends[-1])], ends
+
+
 def file_bytes(path: str) -> tuple[bytes, str]:
     """A tokenizer file's bytes, a few MB at most, and their digest, which names its version."""
     import hashlib

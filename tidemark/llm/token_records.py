@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoders import WordEncoder, file_bytes, once
-from .shared import partitions, texts_of, whole
+from .shared import partitions, whole
 
 MASK_DELTA = 0xA282EAD8
 HEAD, META = "<QI", "<BqB"
@@ -75,7 +75,7 @@ def _to_records(version: str, model, end_id: int | None):
         end = b"" if end_id is None else array.array(encoder.kind, [end_id]).tobytes()
         for b in batches:
             ids = b.column("id").to_pylist()
-            out = [frame(struct.pack(META, i is None, i or 0, width) + encoder.ids(t) + end)[:-1] for i, t in zip(ids, texts_of(b.column("text")), strict=True)]
+            out = [frame(struct.pack(META, i is None, i or 0, width) + t + end)[:-1] for i, t in zip(ids, encoder.column_ids(b.column("text")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     return run
