@@ -4,7 +4,9 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from tidemark.llm import jaccard_join, substring_dedup
 from tidemark.llm.shared import WordHashes, block_shingles
@@ -308,3 +310,27 @@ def test_sets_are_made_for_verified_nodes_only(spark, monkeypatch):
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(frame(spark, texts)).collect()}
     assert found == classes(texts)
     assert all("hashes" not in df.columns for df in written["jaccard-sets"]) and sum(counts) < 20
+
+
+def test_texts_are_cut_and_hashed_as_their_words_one_by_one():
+    texts = [b"", b" \x0b ", "A b\x1cC \u00c4 \x85x\u3000y\t\n".encode(), b"  a\r\nb\x0cA", "É É é".encode()]
+    n, found = WordHashes().of_texts(texts)
+    words = [t.lower().split() for t in texts]
+    assert n.tolist() == [len(w) for w in words]
+    assert found.tolist() == WordHashes().of([x for w in words for x in w]).tolist()
+    assert [len(x) for x in WordHashes().of_texts([])] == [0, 0]
+
+
+def test_windows_are_searched_once_for_each_block(monkeypatch):
+    text = " ".join(f"w{i * i % 97}" for i in range(400)).encode()
+    monkeypatch.setattr(substring_dedup.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "rest": pa.array([None] * 3, pa.string()), "text": [text.decode(), None, "x " + text.decode()]})
+    blocks = pa.Table.from_batches(list(substring_dedup._blobs(10, 4)([batch])))
+    s = substring_dedup.Sequences([text, b"", b"x " + text], WordHashes(), 10)
+    for f, seed in enumerate(substring_dedup.SEEDS):
+        assert [x.tolist() for x in substring_dedup._windows(blocks["windows"][0].as_py(), f)] == [x.tolist() for x in s.windows(seed)]
+    monkeypatch.setattr(substring_dedup.Sequences, "windows", None)
+    shared = [(3 << 32, x["bucket"], zstandard.compress(b"\xff" * len(x["docs"]) * 8)) for x in blocks["asks"][0].as_py()]
+    shared = pa.table([pa.array(c) for c in zip(*shared, strict=True)], names=["block", "bucket", "shared"])
+    asked = substring_dedup._ask_runs(10, 4)(blocks, shared)
+    assert asked.num_rows and set(asked["bucket"].to_pylist()) <= set(range(12))

@@ -11,6 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,6 +133,20 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many words each text has, and the 64-bit hashes of all words, A-Z lower-cased, one after the other.
+
+        Arrow cuts the texts, so that only different words become Python objects."""
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        column = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(b"".join(texts)))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(column))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+        at, offsets = np.asarray(coded.indices), np.asarray(words.offsets)
+        real = np.fromiter(map(bool, distinct), bool, len(distinct))[at]  # white space at an end of a text gives an empty word
+        return np.diff(np.r_[0, np.cumsum(real)][offsets]), hashes[at[real]]
+
 
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the finaliser of SplitMix64)."""
@@ -219,10 +234,7 @@ def runs(batches, key: str):
 
 def block_shingles(texts: list[bytes], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending: how many each has, and all of them one after the other."""
-    words = [ascii_lower(t).split() for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    flat = hashes.of([w for ws in words for w in ws])
-    del words
+    n, flat = hashes.of_texts(texts)
     ends = np.cumsum(n)
     owner = np.repeat(np.arange(len(texts)), n)
     found = shingle_hashes(flat, width) if len(flat) >= width else flat[:0]

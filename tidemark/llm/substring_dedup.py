@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WordHashes, ascii_lower, materialise, mix, partitions, runs, shingle_hashes, split_blocks, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, whole
+from .shared import WordHashes, delete, materialise, mix, partitions, runs, shingle_hashes, split_blocks, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, whole
 
 WIDTH = 5
 #: Windows that a task compares at a time, about; those of one centre are not parted.
@@ -36,12 +36,35 @@ WINDOWS = 4_000
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
-def _blobs(batches):
-    task = TaskContext.get().partitionId() << 32
-    for seq, (ids, rest, texts) in enumerate(split_blocks(batches, ["id", "rest", "text"])):
-        sizes = squeeze(np.fromiter(map(len, texts), np.int64, len(texts)))
-        columns = (([task | seq], pa.int64()), ([ids], pa.list_(pa.int64())), ([rest], pa.list_(pa.string())), ([sizes], pa.binary()), ([zstandard.compress(b"".join(texts), 3)], pa.binary()))
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns], ["block", "ids", "rest", "sizes", "texts"])
+BLOB = "block long, ids array<long>, rest array<string>, sizes binary, texts binary, windows array<binary>, asks array<struct<bucket:int,keys:binary,docs:binary>>"
+
+
+def _blobs(t: int, buckets: int):
+    """Blocks of texts, with their compact windows and what is asked about the centres of these."""
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.struct([("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())]))]
+    names = ["block", "ids", "rest", "sizes", "texts", "windows", "asks"]
+
+    def run(batches):
+        task = TaskContext.get().partitionId() << 32
+        for seq, (ids, rest, texts) in enumerate(split_blocks(batches, ["id", "rest", "text"])):
+            s = Sequences(texts, WordHashes(), t)
+            windows, asks = [], []
+            for f, seed in enumerate(SEEDS):
+                lo, centre, hi = s.windows(seed)
+                windows += [squeeze(centre - lo), squeeze_sorted(centre), squeeze(hi - centre)]
+                keys, docs, _ = _distinct(s.seq[centre], s.owner[centre])
+                asks += [{"bucket": bucket, "keys": squeeze_sorted(keys[p]), "docs": squeeze(docs[p])} for bucket, p in _bucketed(keys, buckets, f * buckets)]
+            sizes = squeeze(np.fromiter(map(len, texts), np.int64, len(texts)))
+            row = (task | seq, ids, rest, sizes, zstandard.compress(b"".join(texts), 3), windows, asks)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+
+    return run
+
+
+def _windows(packed: list[bytes], f: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left end, centre and right end of a block's windows under function f."""
+    before, centre, after = unsqueeze(packed[3 * f], np.int64), unsqueeze_sorted(packed[3 * f + 1], np.int64), unsqueeze(packed[3 * f + 2], np.int64)
+    return centre - before, centre, centre + after
 
 
 def _texts(sizes: bytes, blob: bytes) -> list[bytes]:
@@ -53,21 +76,18 @@ class Sequences:
     """The shingles of those texts of a block that have at least T, one text after another."""
 
     def __init__(self, texts: list[bytes], hashes: WordHashes, t: int):
-        self.t, self.docs, parts, self.words, words_of = t, [], [], [], []
-        for k, text in enumerate(texts):
-            words = ascii_lower(text).split()
-            self.words.append(len(words))
-            if len(words) >= t + WIDTH - 1:
-                self.docs.append(k)
-                hashed = hashes.of(words)
-                parts.append(shingle_hashes(hashed, WIDTH))
-                words_of.append(np.maximum((hashed >> np.uint64(40)).astype(np.uint16), 1))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.seq = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.folded = np.concatenate(words_of) if parts else np.zeros(0, np.uint16)  # WIDTH - 1 more for each text than shingles
+        n, hashed = hashes.of_texts(texts)
+        long = n >= t + WIDTH - 1
+        self.t, self.words, self.docs = t, n.tolist(), np.flatnonzero(long).tolist()
+        hashed, n = hashed[np.repeat(long, n)], n[long]
+        self.folded = np.maximum((hashed >> np.uint64(40)).astype(np.uint16), 1)  # WIDTH - 1 more for each text than shingles
+        self.seq = shingle_hashes(hashed, WIDTH)
+        inside = np.ones(len(self.seq), bool)
+        inside[(np.cumsum(n)[:-1, None] - np.arange(1, WIDTH)).ravel()] = False  # those that go over the end of a text
+        self.seq, sizes = self.seq[inside], n - WIDTH + 1
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
-        self.owner = np.repeat(np.arange(len(parts)), sizes)  # place in docs
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)  # place in docs
 
     def windows(self, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Compact windows: left end, centre, right end (inclusive), in order of centre."""
@@ -133,23 +153,6 @@ def _distinct(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found, np.bincount(pairs // (int(owner.max(initial=0)) + 1), minlength=len(found)), at
 
 
-def _ask_centres(t: int, buckets: int):
-    def run(batches):
-        hashes = WordHashes()
-        for b in batches:
-            for block, sizes, blob in zip(b.column("block").to_pylist(), b.column("sizes").to_pylist(), b.column("texts").to_pylist(), strict=True):
-                s = Sequences(_texts(sizes, blob), hashes, t)
-                rows = []
-                for f, seed in enumerate(SEEDS):
-                    _, centre, _ = s.windows(seed)
-                    keys, docs, _ = _distinct(s.seq[centre], s.owner[centre])
-                    rows += [(bucket, block, squeeze_sorted(keys[p]), squeeze(docs[p])) for bucket, p in _bucketed(keys, buckets, f * buckets)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "keys", "docs"])
-
-    return run
-
-
 def _answer_centres(batches):
     """For each block's keys, in order, whether more than one document has the key."""
     for t in runs(batches, "bucket"):
@@ -175,8 +178,8 @@ def _ask_runs(t: int, buckets: int):
             s = Sequences(_texts(b["sizes"], b["texts"]), WordHashes(), t)
             ids = np.array([-1 if x is None else x for x in b["ids"]], np.int64)[np.array(s.docs, np.int64)] if s.docs else np.zeros(0, np.int64)
             runs_of = np.zeros(0, np.int64)
-            for f, seed in enumerate(SEEDS):
-                lo, centre, hi = s.windows(seed)
+            for f in range(len(SEEDS)):
+                lo, centre, hi = _windows(b["windows"], f)
                 keys, _, at = _distinct(s.seq[centre], s.owner[centre])
                 shared = np.zeros(len(keys), bool)
                 for bucket, p in _bucketed(keys, buckets, f * buckets):
@@ -231,6 +234,12 @@ def _kept_runs(ok: np.ndarray, score: np.ndarray, held: np.ndarray, t: int) -> n
     return kept
 
 
+def _all_in_runs(on: np.ndarray, t: int) -> np.ndarray:
+    """For each run of t places of each row, whether all are on."""
+    off = np.cumsum(np.pad(~on, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+    return off[:, t:] == off[:, :-t]
+
+
 def _run_sets(at: np.ndarray, size: int, t: int) -> np.ndarray:
     """For rows of shingle numbers below `size`, which numbers each run of t holds."""
     marks = np.zeros((len(at), at.shape[1] + 1, size), np.uint8)
@@ -248,7 +257,7 @@ def _similar_sets(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> tuple[n
     np.put_along_axis(at, order, np.cumsum(np.pad(ordered[:, 1:] != ordered[:, :-1], ((0, 0), (1, 0))), axis=1), 1)
     size, m = int(at.max()) + 1, x.shape[1]
     of_x, of_y = _run_sets(at[:, :m], size, t), _run_sets(at[:, m:], size, t)
-    whole_x, whole_y = (np.lib.stride_tricks.sliding_window_view(v > 0, t, axis=1).all(axis=2) for v in (x, y))
+    whole_x, whole_y = (_all_in_runs(v > 0, t) for v in (x, y))
     common = of_x @ of_y.transpose(0, 2, 1)
     union = of_x.sum(2)[:, :, None] + of_y.sum(2)[:, None, :] - common
     ok = (100 * common >= percent * union) & whole_x[:, :, None] & whole_y[:, None, :]
@@ -286,7 +295,7 @@ def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.n
         sums = np.zeros((len(rows), m + 1), np.int32)
         np.cumsum(level, axis=1, out=sums[:, 1:])
         at = np.arange(starts)[None, :]
-        wholes = [np.lib.stride_tricks.sliding_window_view(v[rows] > 0, t, axis=1).all(axis=2) for v in (x, y)]
+        wholes = [_all_in_runs(v[rows] > 0, t) for v in (x, y)]
         for side, (own, other) in enumerate((wholes, wholes[::-1])):
             first, last = other.argmax(1)[:, None], starts - 1 - other[:, ::-1].argmax(1)[:, None]
             partner = np.clip(at, first, last)
@@ -308,7 +317,7 @@ def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.n
         wide = np.zeros((len(rows), starts, m + 1), np.int16)
         np.cumsum(sums[:, t:] - sums[:, :-t], axis=2, dtype=np.int16, out=wide[:, :, 1:])
         common = wide[:, :, t:] - wide[:, :, :-t]
-        whole_a, whole_b = (np.lib.stride_tricks.sliding_window_view(v > 0, t, axis=1).all(axis=2) for v in (a, b))
+        whole_a, whole_b = (_all_in_runs(v > 0, t) for v in (a, b))
         common[~(whole_a[:, :, None] & whole_b[:, None, :])] = 0
         for side, axis, held in ((0, 2, held_a), (1, 1, held_b)):
             best = common.max(axis=axis)
@@ -320,8 +329,8 @@ def _labels(keys: np.ndarray, docs: np.ndarray, shingles: np.ndarray) -> tuple[n
     """Shingles as numbers from 3 on, 0 outside the text; the same with 1 for those that no other document's window of the centre
     has, as they agree with nothing; for each window a hash of these and of its centre; and which shingles other documents have.
     Rows that hold a shingle twice keep all."""
-    _, at = np.unique(np.where(shingles > 0, mix(shingles ^ mix(keys)[:, None]), 0), return_inverse=True)
-    at = at.reshape(shingles.shape).astype(np.int32)
+    of_centre = pa.array(np.where(shingles > 0, mix(shingles ^ mix(keys)[:, None]), 0).ravel())
+    at = np.asarray(of_centre.dictionary_encode().indices).reshape(shingles.shape)
     lowest, highest = np.full(int(at.max(initial=0)) + 1, np.iinfo(np.int64).max), np.full(int(at.max(initial=0)) + 1, -1)
     of = np.repeat(docs, shingles.shape[1])
     np.minimum.at(lowest, at.ravel(), of)
@@ -336,21 +345,18 @@ def _labels(keys: np.ndarray, docs: np.ndarray, shingles: np.ndarray) -> tuple[n
     return numbers, shared, prints, common
 
 
-def _set_prints(numbers: np.ndarray, t: int) -> np.ndarray:
-    """For each run of t numbers of each row, a hash of the set of its numbers."""
+def _run_kinds(numbers: np.ndarray, common: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of t numbers of each row, a hash of the set of its numbers, how many different ones it holds that are not 0,
+    and how many of these are common."""
     order = np.argsort(numbers, axis=1, kind="stable")
     ordered = np.take_along_axis(numbers, order, 1)
-    before = np.pad(np.where(ordered[:, 1:] == ordered[:, :-1], order[:, :-1], -1), ((0, 0), (1, 0)), constant_values=-1)
+    before = np.pad(np.where(ordered[:, 1:] == ordered[:, :-1], order[:, :-1], -1), ((0, 0), (1, 0)), constant_values=-1).astype(np.int16)
     last = np.empty_like(before)  # the place before at which the same number stands
     np.put_along_axis(last, order, before, 1)
-    values, places = (np.lib.stride_tricks.sliding_window_view(v, t, axis=1) for v in (mix(numbers.astype(np.uint64)), last))
-    return np.where(places < np.arange(values.shape[1])[None, :, None], values, np.uint64(0)).sum(2, dtype=np.uint64)
-
-
-def _distinct_in(rows: np.ndarray) -> np.ndarray:
-    """How many different numbers from 2 on each row holds."""
-    x = np.sort(rows, axis=1)
-    return (x > 1).sum(1) - ((x[:, 1:] == x[:, :-1]) & (x[:, 1:] > 1)).sum(1)
+    places, values, real, shared = (np.lib.stride_tricks.sliding_window_view(v, t, axis=1) for v in (last, mix(numbers.astype(np.uint64)), numbers > 0, common))
+    first = places < np.arange(places.shape[1])[None, :, None]
+    prints = np.where(first, values, np.uint64(0)).sum(2, dtype=np.uint64)
+    return prints, np.count_nonzero(first & real, axis=2), np.count_nonzero(first & shared, axis=2)
 
 
 def _signatures(labels: np.ndarray) -> np.ndarray:
@@ -412,9 +418,9 @@ def _near_by_sets(numbers, common, inside, repeating, centres, one, last, least,
     rows = np.flatnonzero(np.bincount(group, weights=repeating)[group] > 0) if len(group) else np.zeros(0, np.int64)
     parts = []
     for part in np.split(rows, range(256, len(rows), 256)):
-        kinds, shared = (_distinct_in(np.lib.stride_tricks.sliding_window_view(v, t, axis=1).reshape(-1, t)).reshape(len(part), t) for v in (numbers[part], np.where(common[part], numbers[part], 0)))
+        prints, kinds, shared = _run_kinds(numbers[part], common[part], t)
         row, run = np.nonzero(inside[part] & (100 * shared >= percent * kinds))
-        prints = mix(_set_prints(numbers[part], t) ^ mix(centres[part])[:, None])
+        prints = mix(prints ^ mix(centres[part])[:, None])
         parts.append((part[row], run, prints[row, run], kinds[row, run], shared[row, run]))
     if not len(rows) or not any(len(x[0]) for x in parts):
         return found
@@ -465,7 +471,7 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
     least, one, last = np.minimum.reduceat(ids[order], new), docs[order[new]], docs[order[np.r_[new[1:], len(order)] - 1]]
     numbers, labels, common = numbers[order[new]], labels[order[new]], common[order[new]]
     repeating, centres = _repeating(shingles[order[new]]), keys[order[new]]
-    inside = np.lib.stride_tricks.sliding_window_view(labels > 0, t, axis=1).all(axis=2)
+    inside = _all_in_runs(labels > 0, t)
     found = _near_by_sets(numbers, common, inside, repeating, centres, one, last, least, t, percent)
     # Runs with too many shingles that nobody has need no partner; a class all of whose other runs have one is done.
     held = np.cumsum(np.pad(labels > 1, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
@@ -595,8 +601,8 @@ def _spans(t: int, buckets: int, cut: bool):
             exact = np.full(n, np.iinfo(np.int64).max)  # for each place that begins a repeated run, the first id that has it
             near = exact.copy()
             if any(k < buckets for k in answers):
-                places, shared = np.arange(n), s.fingerprints()
-                lo, centre, hi = s.windows(SEEDS[0])
+                shared = s.fingerprints()
+                lo, centre, hi = _windows(b["windows"], 0)
                 shared_keys = {x["bucket"]: x["shared"] for x in b["shared"] or []}
                 keys, _, at = _distinct(s.seq[centre], s.owner[centre])
                 on = np.zeros(len(keys), bool)
@@ -620,14 +626,14 @@ def _spans(t: int, buckets: int, cut: bool):
                     np.minimum.at(near, each, np.repeat(unsqueeze(firsts, np.int64), lengths))
             found: list[list] = [[] for _ in b["ids"]]
             starts = np.flatnonzero(np.minimum(exact, near) < np.iinfo(np.int64).max)
-            for p in starts.tolist():
-                d = int(s.owner[p])
-                word, mine = p - int(s.begins[d]), found[s.docs[d]]
-                first, is_exact = int(min(exact[p], near[p])), bool(exact[p] < np.iinfo(np.int64).max)
-                if mine and word <= mine[-1]["end"] and mine[-1]["first_id"] == first and mine[-1]["exact"] == is_exact:
-                    mine[-1]["end"] = word + t + WIDTH - 1
-                else:
-                    mine.append({"start": word, "end": word + t + WIDTH - 1, "first_id": first, "exact": is_exact})
+            if len(starts):
+                owner, first, is_exact = s.owner[starts], np.minimum(exact, near)[starts], exact[starts] < np.iinfo(np.int64).max
+                word = starts - s.begins[owner]
+                # Runs that meet the one before them belong to its span, if they have the same first id and are as exact.
+                new = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(first) != 0) | (np.diff(is_exact) != 0) | (np.diff(word) > t + WIDTH - 1)])
+                to = word[np.r_[new[1:], len(starts)] - 1] + t + WIDTH - 1
+                for d, *span in zip(owner[new].tolist(), word[new].tolist(), to.tolist(), first[new].tolist(), is_exact[new].tolist(), strict=True):
+                    found[s.docs[d]].append(dict(zip(("start", "end", "first_id", "exact"), span, strict=True)))
             ids += b["ids"]
             rest += b["rest"]
             n_words += s.words
@@ -664,14 +670,17 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     others = [c for c in docs.columns if c not in (id, text, "n_words", "spans")] if cut else []
     rest = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]), _EXACT) if others else F.lit(None).cast("string")
     rows = docs.select(F.col(id).cast("long").alias("id"), rest.alias("rest"), whole(text).alias("text"))
-    blobs = materialise(rows.mapInArrow(_blobs, "block long, ids array<long>, rest array<string>, sizes binary, texts binary"), "passages-texts")
-    centres = blobs.select("block", "sizes", "texts").mapInArrow(_ask_centres(t, buckets), "bucket int, block long, keys binary, docs binary")
+    blobs = materialise(rows.mapInArrow(_blobs(t, buckets), BLOB), "passages-texts")
+    centres = blobs.select("block", F.explode("asks").alias("ask")).select("block", "ask.*")
     shared = materialise(centres.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_centres, "block long, bucket int, shared binary"), "passages-centres")
-    asked = blobs.drop("rest").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_runs(t, buckets), "bucket int, block long, keys binary, docs binary, firsts binary, owners binary, contexts binary, centres binary")
+    asking = blobs.select("block", "ids", "sizes", "texts", "windows")
+    asked = asking.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_runs(t, buckets), "bucket int, block long, keys binary, docs binary, firsts binary, owners binary, contexts binary, centres binary")
     answers = asked.repartition(3 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_runs(t, buckets, percent), "block long, bucket int, places binary, firsts binary, lengths binary")
     answers = materialise(answers, "passages-answers")
+    del centres, asking, asked
+    delete(spark, [])  # what was asked was shuffled, and nothing reads it again
     exact = shared.filter(F.col("bucket") < buckets).groupBy("block").agg(F.collect_list(F.struct("bucket", "shared")).alias("shared"))
-    with_shared = blobs.join(exact, "block", "left")
+    with_shared = blobs.drop("asks").withColumn("windows", F.slice("windows", 1, 3)).join(exact, "block", "left")
     found = with_shared.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_spans(t, buckets, cut), f"id long, rest string, n_words long, spans array<{SPAN}>, text string")
     if not cut:
         return found.select(F.col("id").alias(id), "n_words", "spans")
