@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 
-from tidemark.llm import jaccard_join, substring_dedup
+from tidemark.llm import jaccard_join, shared, substring_dedup
 from tidemark.llm.shared import WordHashes, block_shingles
 
 
@@ -334,3 +334,12 @@ def test_windows_are_searched_once_for_each_block(monkeypatch):
     shared = pa.table([pa.array(c) for c in zip(*shared, strict=True)], names=["block", "bucket", "shared"])
     asked = substring_dedup._ask_runs(10, 4)(blocks, shared)
     assert asked.num_rows and set(asked["bucket"].to_pylist()) <= set(range(12))
+
+
+def test_tasks_give_back_what_arrow_holds(monkeypatch):
+    calls = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: calls.append(1)})())
+    batch = pa.RecordBatch.from_pydict({"k": [1, 1, 2], "text": ["a", None, "b"]})
+    assert [t.num_rows for t in shared.runs([batch], "k")] == [2, 1]
+    assert list(shared.split_blocks([batch], ["k", "text"])) == [[[1, 1, 2], [b"a", b"", b"b"]]]
+    assert len(calls) == 2

@@ -210,6 +210,7 @@ def split_blocks(batches, columns: list[str], most: int = BLOCK_BYTES):
                 rows, size = [[] for _ in columns], 0
     if rows[0]:
         yield rows
+    pa.default_memory_pool().release_unused()  # a worker that waits for other work holds little
 
 
 def runs(batches, key: str):
@@ -230,6 +231,7 @@ def runs(batches, key: str):
             held.append(b.slice(s, e - s))
     if held:
         yield pa.Table.from_batches(held)
+    pa.default_memory_pool().release_unused()
 
 
 def block_shingles(texts: list[bytes], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray]:
