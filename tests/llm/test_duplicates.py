@@ -343,3 +343,48 @@ def test_tasks_give_back_what_arrow_holds(monkeypatch):
     assert [t.num_rows for t in shared.runs([batch], "k")] == [2, 1]
     assert list(shared.split_blocks([batch], ["k", "text"])) == [[[1, 1, 2], [b"a", b"", b"b"]]]
     assert len(calls) == 2
+
+
+def test_runs_are_asked_for_only_if_their_centres_are_shared_under_every_function(monkeypatch):
+    text = " ".join(f"w{i * i % 97}" for i in range(400))
+    monkeypatch.setattr(substring_dedup.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "rest": pa.array([None] * 2, pa.string()), "text": [text, "x " + text]})
+    blocks = pa.Table.from_batches(list(substring_dedup._blobs(10, 4)([batch])))
+    for marks, some in ((b"\xff\xff", True), (b"\xff\x00", False), (b"\x00\xff", False)):
+        shared = [(3 << 32, x["bucket"], zstandard.compress(marks[x["bucket"] // 4 : x["bucket"] // 4 + 1] * len(x["docs"]) * 8)) for x in blocks["asks"][0].as_py()]
+        shared = pa.table([pa.array(c) for c in zip(*shared, strict=True)], names=["block", "bucket", "shared"])
+        asked = substring_dedup._ask_runs(10, 4)(blocks, shared)
+        assert any(b < 4 for b in asked["bucket"].to_pylist()) == some and any(b >= 4 for b in asked["bucket"].to_pylist())
+
+
+def test_windows_with_equal_shingles_like_one_by_one():
+    rng = np.random.default_rng(2)
+    texts = [b" ".join(b"w%d" % k for k in rng.integers(0, kinds, n)) for kinds, n in ((1, 60), (2, 90), (50, 300), (3, 14), (2, 200), (5, 13))]
+    s = substring_dedup.Sequences([*texts, b"a b"], WordHashes(), 10)
+    lo, centre, hi = s.windows(substring_dedup.SEEDS[1])
+    value = substring_dedup.mix(s.seq ^ np.uint64(substring_dedup.SEEDS[1]))
+    want = set()
+    for begin, end in zip(s.begins.tolist(), s.ends.tolist(), strict=True):
+        want |= {k + int(value[k : k + 10].argmin()) for k in range(begin, end - 9)}
+    assert centre.tolist() == sorted(want)
+    for x, c, y in zip(lo.tolist(), centre.tolist(), hi.tolist(), strict=True):
+        begin, end = s.begins[s.owner[c]], s.ends[s.owner[c]]
+        assert (value[x:c] > value[c]).all() and (value[c + 1 : y + 1] >= value[c]).all()
+        assert x == begin or value[x - 1] <= value[c]
+        assert y == end - 1 or value[y + 1] < value[c]
+
+
+def test_shingles_meet_within_their_pair_only():
+    x, y = np.array([[0, 5, 6, 9], [9, 8, 7, 5], [1, 1, 3, 4]], np.int32), np.array([[9, 0, 7, 5], [9, 9, 9, 9], [2, 4, 2, 3]], np.int32)
+    x[1], y[1] = 9, 0
+    place, held = substring_dedup._meetings(x, y)
+    assert place.tolist() == [[3, 255, 255, 1], [255] * 4, [255, 3, 255, 2]]
+    assert held.tolist() == [[False, True, False, True], [False] * 4, [False, False, True, True]]
+    wide = [v.astype(np.uint64) << np.uint64(59) for v in (x, y)]
+    assert substring_dedup._meetings(*wide)[0].tolist() == place.tolist()
+
+
+def test_words_of_every_length_are_hashed_as_xxhash_does():
+    words = [bytes(97 + (k * k + i) % 26 for i in range(k)) for k in range(1, 80)]
+    n, found = WordHashes().of_texts([b"\t".join(words), b" ".join(words[::-1])])
+    assert n.tolist() == [79, 79] and found.tolist() == WordHashes().of(words + words[::-1]).tolist()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WordHashes, delete, materialise, mix, partitions, runs, shingle_hashes, split_blocks, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, whole
+from .shared import WordHashes, materialise, mix, partitions, release, runs, shingle_hashes, split_blocks, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted, whole
 
 WIDTH = 5
 #: Windows that a task compares at a time, about; those of one centre are not parted.
@@ -95,25 +95,27 @@ class Sequences:
         if n < t:
             return (np.zeros(0, np.int64),) * 3
         value = mix(self.seq ^ np.uint64(seed))
-        inside = np.flatnonzero(np.arange(n - t + 1) + t <= self.ends[self.owner[: n - t + 1]])
-        view = np.lib.stride_tricks.sliding_window_view(value, t)
-        centre = np.unique(np.concatenate([inside[s : s + 65536] + view[inside[s : s + 65536]].argmin(1) for s in range(0, len(inside), 65536)]))
+        least, width = value, 1  # the least value of each run of `width` places
+        while 2 * width <= t:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        least = np.minimum(least[: n - t + 1], least[t - width :])
+        inside = np.arange(n - t + 1) + t <= self.ends[self.owner[: n - t + 1]]
+        # A run has the centre of the run before it, unless its least value is another or stood at the place that it has left.
+        new = np.r_[True, (least[1:] != least[:-1]) | (value[: n - t] == least[:-1])]
+        new[self.begins[self.begins <= n - t]] = True
+        new, view = np.flatnonzero(inside & new), np.lib.stride_tricks.sliding_window_view(value, t)
+        if not len(new):
+            return (new,) * 3
+        centre = np.concatenate([new[s : s + 65536] + view[new[s : s + 65536]].argmin(1) for s in range(0, len(new), 65536)])
+        centre = centre[np.diff(centre, prepend=-1) > 0]
         # Nodes of the Cartesian tree that span T or more: every smaller neighbour of such a node spans as much, so the tree
         # of these nodes alone gives their spans. Of equal values the first is the smaller.
-        left, right = self.begins[self.owner[centre]].tolist(), (self.ends[self.owner[centre]] - 1).tolist()
-        stack: list[int] = []
-        last = -1
-        places, values, owners = centre.tolist(), value[centre].tolist(), self.owner[centre].tolist()
-        for k in range(len(places)):
-            if owners[k] != last:
-                stack.clear()
-                last = owners[k]
-            while stack and values[stack[-1]] > values[k]:
-                right[stack.pop()] = places[k] - 1
-            if stack:
-                left[k] = places[stack[-1]] + 1
-            stack.append(k)
-        return np.array(left, np.int64), centre, np.array(right, np.int64)
+        owner, values = self.owner[centre], value[centre]
+        edge = np.diff(owner) != 0
+        before, after = _nearest(values, np.r_[True, edge], False), _nearest(values[::-1], np.r_[True, edge[::-1]], True)[::-1]
+        left = np.where(before < 0, self.begins[owner], centre[before] + 1)
+        right = np.where(after < 0, self.ends[owner] - 1, centre[::-1][after] - 1)
+        return left, centre, right
 
     def fingerprints(self) -> np.ndarray:
         """For each place, a hash of the T shingles from there on; without meaning where fewer follow."""
@@ -137,6 +139,20 @@ class Sequences:
         return np.where(inside, self.folded[np.clip(at, 0, len(self.folded) - 1)], 0).astype(np.uint16)
 
 
+def _nearest(values: np.ndarray, first: np.ndarray, strict: bool) -> np.ndarray:
+    """For each place the nearest one before it with a value that is less, or as small unless `strict`; -1 if there is none from
+    the last place on that is marked as `first`."""
+    to = np.arange(-1, len(values) - 1)
+    to[first] = -1
+    at = np.flatnonzero(to >= 0)
+    while len(at):
+        over = values[to[at]] >= values[at] if strict else values[to[at]] > values[at]
+        at = at[over]
+        to[at] = to[to[at]]  # all between are over the value there, and so over that here
+        at = at[to[at] >= 0]
+    return to
+
+
 def _bucketed(keys: np.ndarray, buckets: int, first: int):
     bucket = ((keys >> np.uint64(36)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -166,6 +182,30 @@ def _answer_centres(batches):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([t.column("bucket")[0].as_py()], pa.int32()), pa.array([zstandard.compress(np.packbits(mine).tobytes(), 1)], pa.binary())], ["block", "bucket", "shared"])
 
 
+def _shared_windows(s: Sequences, packed: list[bytes], shared: dict[int, bytes], buckets: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Under each function, the windows of a block whose centres other documents have too."""
+    out = []
+    for f in range(len(SEEDS)):
+        lo, centre, hi = _windows(packed, f)
+        keys, at = np.unique(s.seq[centre], return_inverse=True)
+        on = np.zeros(len(keys), bool)
+        for bucket, p in _bucketed(keys, buckets, f * buckets):
+            on[p] = np.unpackbits(np.frombuffer(zstandard.decompress(shared[bucket]), np.uint8), count=len(p))
+        on = on[at]
+        out.append((lo[on], centre[on], hi[on]))
+    return out
+
+
+def _shared_runs(windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, t: int) -> np.ndarray:
+    """Of n places, those that begin a run of T whose centre is shared under every function: a run that two documents have shares
+    all its centres."""
+    on = np.ones(n, bool)
+    for lo, centre, hi in windows:
+        first, last = np.maximum(lo, centre - t + 1), np.minimum(centre, hi - t + 1)
+        on &= np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1))[:n] > 0
+    return np.flatnonzero(on)
+
+
 def _ask_runs(t: int, buckets: int):
     """For the windows with shared centres: fingerprints of their runs, and what stands around their centres."""
     names = ["bucket", "block", "keys", "docs", "firsts", "owners", "contexts", "centres"]
@@ -177,19 +217,9 @@ def _ask_runs(t: int, buckets: int):
         for b in left.to_pylist():
             s = Sequences(_texts(b["sizes"], b["texts"]), WordHashes(), t)
             ids = np.array([-1 if x is None else x for x in b["ids"]], np.int64)[np.array(s.docs, np.int64)] if s.docs else np.zeros(0, np.int64)
-            runs_of = np.zeros(0, np.int64)
-            for f in range(len(SEEDS)):
-                lo, centre, hi = _windows(b["windows"], f)
-                keys, _, at = _distinct(s.seq[centre], s.owner[centre])
-                shared = np.zeros(len(keys), bool)
-                for bucket, p in _bucketed(keys, buckets, f * buckets):
-                    shared[p] = np.unpackbits(np.frombuffer(zstandard.decompress(answers[bucket]), np.uint8), count=len(p))
-                on = shared[at] if len(keys) else np.zeros(0, bool)
-                lo, centre, hi = lo[on], centre[on], hi[on]
-                if f == 0 and len(centre):
-                    first, last = np.maximum(lo, centre - t + 1), np.minimum(centre, hi - t + 1)
-                    count = last - first + 1
-                    runs_of = np.unique(np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+            windows = _shared_windows(s, b["windows"], answers, buckets)
+            runs_of = _shared_runs(windows, len(s.seq), t)
+            for f, (_, centre, _) in enumerate(windows):
                 key = s.seq[centre]
                 for bucket, p in _bucketed(key, buckets, (1 + f) * buckets):
                     rows.append((bucket, b["block"], key[p].tobytes(), squeeze(s.owner[centre[p]]), None, squeeze(ids[s.owner[centre[p]]]), zstandard.compress(s.context(centre[p]).tobytes(), 1), squeeze(centre[p])))
@@ -283,17 +313,17 @@ def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.n
     fast = np.ones(n, bool)
     fast[slow] = False
     need = -(-2 * percent * t // (100 + percent))
-    # Where all that two contexts share stands at the same places, the best partner of a run is the one nearest to its place.
     fast = np.flatnonzero(fast)
-    alike = lambda v: ((v[:, 1:] == v[:, :-1]) & (v[:, 1:] > 0)).sum(1)
-    ordered = [np.sort(v, axis=1) for v in (np.concatenate([x[fast], y[fast]], axis=1), x[fast], y[fast])]
-    total = alike(ordered[0]) - alike(ordered[1]) - alike(ordered[2])  # what agrees with nothing may stand more than once
-    level = (x[fast] == y[fast]) & (x[fast] > 0)
-    straight = (level.sum(1) == total) & (total >= need)
-    rows, level = fast[straight], level[straight]
+    place, held_x = _meetings(x[fast], y[fast])
+    none = np.iinfo(place.dtype).max
+    held_y, level = place != none, place == np.arange(m, dtype=place.dtype)
+    total = np.count_nonzero(held_y, axis=1)
+    # Where all that two contexts share stands at the same places, the best partner of a run is the one nearest to its place.
+    straight = (np.count_nonzero(level, axis=1) == total) & (total >= need)
+    rows, even = fast[straight], level[straight]
     if len(rows):
         sums = np.zeros((len(rows), m + 1), np.int32)
-        np.cumsum(level, axis=1, out=sums[:, 1:])
+        np.cumsum(even, axis=1, out=sums[:, 1:])
         at = np.arange(starts)[None, :]
         wholes = [_all_in_runs(v[rows] > 0, t) for v in (x, y)]
         for side, (own, other) in enumerate((wholes, wholes[::-1])):
@@ -301,30 +331,66 @@ def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.n
             partner = np.clip(at, first, last)
             low, high = np.maximum(at, partner), np.minimum(at, partner) + t
             best = np.where(own & other.any(1)[:, None], np.take_along_axis(sums, high, 1) - np.take_along_axis(sums, low, 1), 0)
-            out[side][rows] = _kept_runs(best >= need, best, level, t)
-    fast = fast[~straight & (total >= need)]
-    for s in range(0, len(fast), 256):
-        rows = fast[s : s + 256]
-        a, b = x[rows], y[rows]
-        same = (a[:, :, None] == b[:, None, :]) & (a > 0)[:, :, None]
-        some = np.flatnonzero(same.any(2).sum(1) >= need)
-        if not len(some):
-            continue
-        rows, a, b, same = rows[some], a[some], b[some], same[some]
-        held_a, held_b = same.any(2), same.any(1)
-        sums = np.zeros((len(rows), m + 1, m), np.int16)
-        np.cumsum(same, axis=1, dtype=np.int16, out=sums[:, 1:])
-        wide = np.zeros((len(rows), starts, m + 1), np.int16)
-        np.cumsum(sums[:, t:] - sums[:, :-t], axis=2, dtype=np.int16, out=wide[:, :, 1:])
-        common = wide[:, :, t:] - wide[:, :, :-t]
-        whole_a, whole_b = (_all_in_runs(v > 0, t) for v in (a, b))
-        common[~(whole_a[:, :, None] & whole_b[:, None, :])] = 0
-        for side, axis, held in ((0, 2, held_a), (1, 1, held_b)):
-            best = common.max(axis=axis)
-            out[side][rows] = _kept_runs(best >= need, best, held, t)
+            out[side][rows] = _kept_runs(best >= need, best, even, t)
+    other = np.flatnonzero(~straight & (total >= need))
+    for s in range(0, len(other), 256):
+        some = other[s : s + 256]
+        rows = fast[some]
+        best = _best_common(np.ascontiguousarray(place[some].T), *(_all_in_runs(v[rows] > 0, t).T for v in (x, y)), t)
+        for side, held in enumerate((held_x, held_y)):
+            out[side][rows] = _kept_runs(best[side].T >= need, best[side].T, held[some], t)
     return out
 
 
+def _meetings(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of rows of which neither holds a value twice that the other has: at which place of x the value of each place of y
+    stands, the largest number if it does not, and which values of x are in y. 0 agrees with nothing."""
+    n, m = x.shape
+    both = np.concatenate([x, y], axis=1)
+    if (wide := (2 * m).bit_length()) + int(both.max(initial=0)).bit_length() > 63:
+        both = np.unique(both, return_inverse=True)[1].reshape(both.shape) + int(both.min(initial=1) > 0)
+    both = both.astype(np.int32 if wide + int(both.max(initial=0)).bit_length() < 32 else np.int64)
+    both <<= wide
+    both |= np.arange(2 * m, dtype=both.dtype)
+    both.sort(axis=1)
+    both, mask = both.ravel(), (1 << wide) - 1
+    at = np.flatnonzero((both[1:] ^ both[:-1] <= mask) & (both[1:] > mask))
+    first, second = both[at] & mask, both[at + 1] & mask
+    real = np.flatnonzero((first < m) & (second >= m) & ((at + 1) % (2 * m) > 0))
+    row, first, second = at[real] // (2 * m) * m, first[real], second[real] - m
+    place, held = ~np.zeros(n * m, np.min_scalar_type(m)), np.zeros(n * m, bool)
+    place[row + second] = first
+    held[row + first] = True
+    return place.reshape(n, m), held.reshape(n, m)
+
+
+def _best_common(place: np.ndarray, whole_x: np.ndarray, whole_y: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs, one a column, how many values each run of t of x shares with the best of y, by start, and each of y with the best
+    of x. `place` tells where in x the values of y stand; only runs that are whole count."""
+    m, n = place.shape
+    starts, full = m - t + 1, np.iinfo(place.dtype).max
+    # Whether the value of a place of y is in a run of x: the place less the run's start, which wraps below 0, is less than t.
+    inside = (place[:, None] - np.arange(starts, dtype=place.dtype)[None, :, None] < t).view(np.uint8)
+    common = np.empty((starts, starts, n), place.dtype)  # of runs of y with runs of x
+    np.sum(inside[:t], axis=0, dtype=place.dtype, out=common[0])
+    for j in range(1, starts):
+        np.add(common[j - 1], inside[j + t - 1], out=common[j])
+        common[j] -= inside[j - 1]
+    common &= np.where(whole_x, full, 0).astype(place.dtype)
+    common &= np.where(whole_y, full, 0).astype(place.dtype)[:, None]
+    return np.maximum.reduce(common, axis=0), np.maximum.reduce(common, axis=1)
+
+
+def _prints(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A hash of each row and of its key."""
+    each = 8 // rows.dtype.itemsize
+    lanes, prints = np.pad(rows, ((0, 0), (0, -rows.shape[1] % each))).view(np.uint64), mix(keys)
+    with np.errstate(over="ignore"):
+        for k in range(lanes.shape[1]):
+            prints = mix(prints + lanes[:, k])
+    return prints
+
+
 def _labels(keys: np.ndarray, docs: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shingles as numbers from 3 on, 0 outside the text; the same with 1 for those that no other document's window of the centre
     has, as they agree with nothing; for each window a hash of these and of its centre; and which shingles other documents have.
@@ -338,11 +404,7 @@ def _labels(keys: np.ndarray, docs: np.ndarray, shingles: np.ndarray) -> tuple[n
     common = (shingles > 0) & (lowest < highest)[at]
     numbers = np.where(shingles == 0, 0, at + 3).astype(np.int32)
     shared = np.where((numbers > 0) & ~common & ~_repeating(shingles)[:, None], 1, numbers)
-    prints = mix(keys)
-    with np.errstate(over="ignore"):
-        for k in range(shared.shape[1]):
-            prints = mix(prints + shared[:, k].astype(np.uint64))
-    return numbers, shared, prints, common
+    return numbers, shared, _prints(keys, shared), common
 
 
 def _run_kinds(numbers: np.ndarray, common: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -508,10 +570,7 @@ def _near_by_centre(keys, ids, docs, contexts, t: int, percent: int):
     """What _near gives, some centres at a time and equal surroundings of a centre once, so that a task's memory follows the
     largest number of different surroundings that a centre has."""
     never = np.iinfo(np.int64).max
-    prints = mix(keys)
-    with np.errstate(over="ignore"):
-        for k in range(contexts.shape[1]):
-            prints = mix(prints + contexts[:, k])
+    prints = _prints(keys, contexts)
     # Of equal ones three stand for all: those with the least id, the first document and the last one.
     order = np.lexsort((ids, prints, keys))
     new = np.flatnonzero(np.r_[True, (np.diff(prints[order]) != 0) | (np.diff(keys[order]) != 0)]) if len(keys) else np.zeros(0, np.int64)
@@ -602,17 +661,7 @@ def _spans(t: int, buckets: int, cut: bool):
             near = exact.copy()
             if any(k < buckets for k in answers):
                 shared = s.fingerprints()
-                lo, centre, hi = _windows(b["windows"], 0)
-                shared_keys = {x["bucket"]: x["shared"] for x in b["shared"] or []}
-                keys, _, at = _distinct(s.seq[centre], s.owner[centre])
-                on = np.zeros(len(keys), bool)
-                for bucket, p in _bucketed(keys, buckets, 0):
-                    on[p] = np.unpackbits(np.frombuffer(zstandard.decompress(shared_keys[bucket]), np.uint8), count=len(p))
-                on = on[at]
-                lo, centre, hi = lo[on], centre[on], hi[on]
-                first, last = np.maximum(lo, centre - t + 1), np.minimum(centre, hi - t + 1)
-                count = last - first + 1
-                places = np.unique(np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+                places = _shared_runs(_shared_windows(s, b["windows"], {x["bucket"]: x["shared"] for x in b["shared"]}, buckets), n, t)
                 keys, at = np.unique(shared[places], return_inverse=True)
                 best = np.full(len(keys), np.iinfo(np.int64).max)
                 for bucket, p in _bucketed(keys, buckets, 0):
@@ -673,14 +722,16 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", l
     blobs = materialise(rows.mapInArrow(_blobs(t, buckets), BLOB), "passages-texts")
     centres = blobs.select("block", F.explode("asks").alias("ask")).select("block", "ask.*")
     shared = materialise(centres.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_centres, "block long, bucket int, shared binary"), "passages-centres")
+    del centres
+    release(spark)
     asking = blobs.select("block", "ids", "sizes", "texts", "windows")
     asked = asking.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_runs(t, buckets), "bucket int, block long, keys binary, docs binary, firsts binary, owners binary, contexts binary, centres binary")
     answers = asked.repartition(3 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_runs(t, buckets, percent), "block long, bucket int, places binary, firsts binary, lengths binary")
     answers = materialise(answers, "passages-answers")
-    del centres, asking, asked
-    delete(spark, [])  # what was asked was shuffled, and nothing reads it again
-    exact = shared.filter(F.col("bucket") < buckets).groupBy("block").agg(F.collect_list(F.struct("bucket", "shared")).alias("shared"))
-    with_shared = blobs.drop("asks").withColumn("windows", F.slice("windows", 1, 3)).join(exact, "block", "left")
+    del asking, asked
+    release(spark)  # what was asked was shuffled, and nothing reads it again
+    of_block = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared")).alias("shared"))
+    with_shared = blobs.drop("asks").join(of_block, "block", "left")
     found = with_shared.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_spans(t, buckets, cut), f"id long, rest string, n_words long, spans array<{SPAN}>, text string")
     if not cut:
         return found.select(F.col("id").alias(id), "n_words", "spans")
