@@ -388,3 +388,20 @@ def test_words_of_every_length_are_hashed_as_xxhash_does():
     words = [bytes(97 + (k * k + i) % 26 for i in range(k)) for k in range(1, 80)]
     n, found = WordHashes().of_texts([b"\t".join(words), b" ".join(words[::-1])])
     assert n.tolist() == [79, 79] and found.tolist() == WordHashes().of(words + words[::-1]).tolist()
+
+
+def test_pairs_that_can_give_no_wanted_run_a_partner_are_left_out(monkeypatch):
+    rng, t = random.Random(10), 12
+    base = [rng.randrange(1, 10**6) for _ in range(2 * t - 1)]
+    other = [*base[:13], *(rng.randrange(10**6, 10**7) for _ in range(10))]
+    x, y = np.array([base] * 3, np.int32), np.array([other, [5, *other[:-1]], other], np.int32)
+    whole = substring_dedup._similar(x, y, t, 75)
+    assert whole[0].any(1).all() and not whole[0][:, -1].any()
+    on, off = np.ones((3, t), bool), np.zeros((3, t), bool)
+    last = off.copy()
+    last[:, -1] = True
+    never = np.zeros(3, bool)
+    assert all((a == b).all() for a, b in zip(whole, substring_dedup._similar(x, y, t, 75, never, (on, off)), strict=True))
+    monkeypatch.setattr(substring_dedup, "_best_common", None)  # nothing is left to compare
+    for wanted in ((off, off), (last, last)):
+        assert not any(v.any() for v in substring_dedup._similar(x, y, t, 75, never, wanted))

@@ -270,6 +270,13 @@ def _all_in_runs(on: np.ndarray, t: int) -> np.ndarray:
     return off[:, t:] == off[:, :-t]
 
 
+def _held_in_runs(held: np.ndarray, t: int) -> np.ndarray:
+    """For each run of t places of each row, how many are on."""
+    sums = np.zeros((len(held), held.shape[1] + 1), np.min_scalar_type(t))  # differences of sums hold where these wrap
+    np.cumsum(held, axis=1, dtype=sums.dtype, out=sums[:, 1:])
+    return sums[:, t:] - sums[:, :-t]
+
+
 def _run_sets(at: np.ndarray, size: int, t: int) -> np.ndarray:
     """For rows of shingle numbers below `size`, which numbers each run of t holds."""
     marks = np.zeros((len(at), at.shape[1] + 1, size), np.uint8)
@@ -299,10 +306,11 @@ def _similar_sets(x: np.ndarray, y: np.ndarray, t: int, percent: int) -> tuple[n
     return _kept_runs(ok.any(2), score.max(2), held_x, t), _kept_runs(ok.any(1), score.max(1), held_y, t)
 
 
-def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.ndarray | None = None, wanted: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of contexts, one pair a row: which runs of T shingles of x, by start, have a run of y whose set of shingles is
     `percent` similar by Jaccard, and which of y have one of x, without foreign shingles at the ends. `repeating` names the pairs
-    in which a context may hold a shingle twice, if that is known."""
+    in which a context may hold a shingle twice, if that is known. `wanted`: pairs of none of whose runs named here (of x, and of y)
+    the other context has shingles enough need no answer."""
     n, m = len(x), x.shape[1]
     starts = m - t + 1
     out = np.zeros((n, starts), bool), np.zeros((n, starts), bool)
@@ -318,8 +326,12 @@ def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.n
     none = np.iinfo(place.dtype).max
     held_y, level = place != none, place == np.arange(m, dtype=place.dtype)
     total = np.count_nonzero(held_y, axis=1)
+    real = total >= need
+    if wanted is not None:
+        open_x, open_y = ((_held_in_runs(held, t) >= need) & on[fast] for held, on in ((held_x, wanted[0]), (held_y, wanted[1])))
+        real &= open_x.any(1) | open_y.any(1)
     # Where all that two contexts share stands at the same places, the best partner of a run is the one nearest to its place.
-    straight = (np.count_nonzero(level, axis=1) == total) & (total >= need)
+    straight = (np.count_nonzero(level, axis=1) == total) & real
     rows, even = fast[straight], level[straight]
     if len(rows):
         sums = np.zeros((len(rows), m + 1), np.int32)
@@ -332,7 +344,7 @@ def _similar(x: np.ndarray, y: np.ndarray, t: int, percent: int, repeating: np.n
             low, high = np.maximum(at, partner), np.minimum(at, partner) + t
             best = np.where(own & other.any(1)[:, None], np.take_along_axis(sums, high, 1) - np.take_along_axis(sums, low, 1), 0)
             out[side][rows] = _kept_runs(best >= need, best, even, t)
-    other = np.flatnonzero(~straight & (total >= need))
+    other = np.flatnonzero(~straight & real)
     for s in range(0, len(other), 256):
         some = other[s : s + 256]
         rows = fast[some]
@@ -557,7 +569,8 @@ def _near(keys, ids, docs, contexts, t: int, percent: int):
             if not len(p):
                 continue
             x, y = labels[p], labels[q] + (labels[q] == 1)  # 1 and 2 agree with nothing
-            for to, of, hit in zip((p, q), (q, p), _similar(x, y, t, percent, np.zeros(len(p), bool)), strict=True):
+            wanted = [possible[to] & (found[to] > least[of][:, None]) for to, of in ((p, q), (q, p))]
+            for to, of, hit in zip((p, q), (q, p), _similar(x, y, t, percent, np.zeros(len(p), bool), wanted), strict=True):
                 some = np.flatnonzero(hit.any(1))
                 np.minimum.at(found, to[some], np.where(hit[some], least[of[some]][:, None], never))
             seen = np.unique(np.concatenate([p, q]))
