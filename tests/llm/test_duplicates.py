@@ -405,3 +405,22 @@ def test_pairs_that_can_give_no_wanted_run_a_partner_are_left_out(monkeypatch):
     monkeypatch.setattr(substring_dedup, "_best_common", None)  # nothing is left to compare
     for wanted in ((off, off), (last, last)):
         assert not any(v.any() for v in substring_dedup._similar(x, y, t, 75, never, wanted))
+
+
+def test_centres_with_equal_surroundings_are_not_compared(monkeypatch):
+    rng, t = random.Random(11), 12
+    size = 2 * t + substring_dedup.WIDTH - 2
+    rows = []
+    for key in range(30):
+        context = [rng.randrange(1, 2**16) for _ in range(size)]
+        if key % 3 == 1:
+            context = [7, 8] * size
+        context = ([0] * (key % 5) + context)[:size]
+        rows += [(key, 100 + rng.randrange(50), doc, context) for doc in range(1 if key % 7 == 6 else rng.randrange(2, 5)) for _ in range(1 + key % 2)]
+    rng.shuffle(rows)
+    keys, ids, docs, contexts = (np.array(c, k) for c, k in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int64, np.uint16), strict=True))
+    want = substring_dedup._near(keys, ids, docs, contexts, t, 75)
+    assert (want < np.iinfo(np.int64).max).any(1).sum() > 40
+    monkeypatch.setattr(substring_dedup, "_near", None)
+    assert substring_dedup._near_by_centre(keys, ids, docs, contexts, t, 75).tolist() == want.tolist()
+    assert substring_dedup._near_by_centre(keys[:0], ids[:0], docs[:0], contexts[:0], t, 75).shape == (0, t)

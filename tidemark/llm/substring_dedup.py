@@ -583,16 +583,27 @@ def _near_by_centre(keys, ids, docs, contexts, t: int, percent: int):
     """What _near gives, some centres at a time and equal surroundings of a centre once, so that a task's memory follows the
     largest number of different surroundings that a centre has."""
     never = np.iinfo(np.int64).max
+    if not len(keys):
+        return np.full((0, t), never)
     prints = _prints(keys, contexts)
     # Of equal ones three stand for all: those with the least id, the first document and the last one.
     order = np.lexsort((ids, prints, keys))
-    new = np.flatnonzero(np.r_[True, (np.diff(prints[order]) != 0) | (np.diff(keys[order]) != 0)]) if len(keys) else np.zeros(0, np.int64)
+    new = np.flatnonzero(np.r_[True, (np.diff(prints[order]) != 0) | (np.diff(keys[order]) != 0)])
     kind = np.empty(len(keys), np.int64)
     kind[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
     by_doc = np.lexsort((docs, kind))
-    kept = np.unique(np.concatenate([order[new], by_doc[new], by_doc[np.r_[new[1:], len(order)] - 1]])) if len(keys) else new
-    kept = kept[np.argsort(keys[kept], kind="stable")]
+    last = np.r_[new[1:], len(order)] - 1
+    # Where all surroundings of a centre are equal, each whole run is found in all documents that have them.
+    alone = keys[order[new]]
+    alone = np.diff(alone, prepend=~alone[:1]) != 0
+    alone &= np.r_[alone[1:], True]
     found = np.full((len(new), t), never)
+    several = np.flatnonzero(alone & (docs[by_doc[new]] != docs[by_doc[last]]))
+    for part in np.split(several, range(4096, len(several), 4096)):
+        found[part] = np.where(_all_in_runs(contexts[order[new[part]]] > 0, t + WIDTH - 1), ids[order[new[part]]][:, None], never)
+    kept = np.unique(np.concatenate([order[new], by_doc[new], by_doc[last]]))
+    kept = kept[~alone[kind[kept]]]
+    kept = kept[np.argsort(keys[kept], kind="stable")]
     _, sizes = np.unique(keys[kept], return_counts=True)
     ends = np.cumsum(sizes)
     for part in _chunks(sizes, WINDOWS):
